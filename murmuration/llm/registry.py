@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedup_queries, token_queries
+from . import dedup_queries, line_queries, sharding_queries, token_queries
 
-MODULES = (dedup_queries, token_queries)
+MODULES = (dedup_queries, line_queries, sharding_queries, token_queries)
 
 
 def queries() -> dict:
