@@ -1,0 +1 @@
+"""Column builders: keyed random numbers and densities."""

@@ -1,0 +1 @@
+"""Models, resamplers, partitioned schemes, filters and statistics."""

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kernels, resampling, running
+
+_ALL = kernels.QUERIES | resampling.QUERIES | running.QUERIES
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: one weighted set resampled by every scheme."""
+    return running.scheme_comparison(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -1,0 +1 @@
+"""Readers, writers, simulators, and particle views of tables."""

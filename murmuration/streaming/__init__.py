@@ -1,0 +1 @@
+"""Online filtering over a stream of observations."""
