@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rng
 from ..lineage import cut
@@ -169,7 +170,7 @@ def imm_moments(state: DataFrame, shrink: float) -> DataFrame:
     return state.groupBy(*KEY).agg(*mixed, *means, *products)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def root_of(covariances: pd.Series) -> pd.Series:
     """Lower triangles of roots of covariances given as lower triangles: Cholesky, or by eigenvalues where it has none."""
 
