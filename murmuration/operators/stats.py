@@ -42,7 +42,10 @@ def quantile_band(x, low: float = 0.05, high: float = 0.95) -> list[Column]:
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float]) -> DataFrame:
     """``prob, value``: the first value whose running weight reaches each share (exact for fixed-point weights)."""
     by_value = df.groupBy(x).agg(F.sum(w).alias(w)).where(F.col(w) > 0)
-    c = cumulated(by_value, w, (), x)
+    low, high = by_value.agg(F.min(x), F.max(x)).first()
+    # blocks of the running sum are stretches of the value
+    wide = (high - low) / 4096 if low is not None and high > low else 1.0
+    c = cumulated(by_value, w, (), x, block=wide)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     return c.select(x, "cw", "tw", wanted).where(F.col("cw") >= F.col("prob") * F.col("tw")).groupBy("prob").agg(F.min(x).alias("value"))
 
