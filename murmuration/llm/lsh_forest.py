@@ -29,9 +29,11 @@ class Forest:
 
     A pair of similarity 0.8 shares a prefix of 3 in at least one of 12 trees
     with probability 0.9998. ``region`` is how many neighbours are compared
-    with each other before a deeper prefix is asked for; ``floor`` is the
-    share of equal sketch bytes, four standard deviations under the threshold,
-    from which a pair is worth an exact comparison.
+    with each other before a deeper prefix is asked for. ``floor`` and
+    ``fine_floor`` are the shares of equal minimum hashes from which a pair is
+    worth a closer look, by the first ``sketch`` of them in the sorted orders
+    and by all before an exact comparison; both are four standard deviations
+    under the threshold.
     """
 
     trees: int = 12
@@ -40,14 +42,14 @@ class Forest:
     sketch: int = 64
     region: int = 512
     floor: float = 0.6
-    sure: float = 0.88
+    fine_floor: float = 0.64
     order_rows: int = 50_000
     verify_group: int = 400
     seed: int = 11
 
 
-def signature(values: np.ndarray, forest: Forest, chunk: int = 4096) -> np.ndarray:
-    """Minimum of each of trees * depth hash functions over the set."""
+def signature(values: np.ndarray, forest: Forest, chunk: int = 512) -> np.ndarray:
+    """Minimum of each hash function over the set."""
     m = forest.trees * forest.depth
     a = mixed(np.arange(m), forest.seed) | np.uint64(1)
     b = mixed(np.arange(m), forest.seed + 1)
@@ -58,7 +60,7 @@ def signature(values: np.ndarray, forest: Forest, chunk: int = 4096) -> np.ndarr
 
 
 def _fingerprints(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
-    """``doc_id, n_shingles, sid, check, orders, sketch`` of every row; sid null where a set is empty."""
+    """``doc_id, mark, n_shingles, sid, check, orders, sketch`` of every row; sid null where a set is empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -79,11 +81,12 @@ def _fingerprints(docs: DataFrame, width: int, forest: Forest) -> DataFrame:
                     sketch[i] = low[: forest.sketch].astype(np.uint8).tobytes()
             empty = n == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(sid, mask=empty), pa.array(check, mask=empty), pa.array(orders, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "sid", "check", "orders", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(sid, mask=empty), pa.array(check, mask=empty), pa.array(orders, pa.binary()), pa.array(sketch, pa.binary())],
+                names=["doc_id", "mark", "n_shingles", "sid", "check", "orders", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sid long, check long, orders binary, sketch binary")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, sid long, check long, orders binary, sketch binary")
 
 
 def regions(keys: np.ndarray, min_depth: int, region: int) -> Iterator[tuple[int, int]]:
@@ -124,10 +127,10 @@ def _equal_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / a.shape[1]
 
 
-def _cells(sketches: np.ndarray, floor: float) -> np.ndarray:
+def _cells(share: np.ndarray, floor: float) -> np.ndarray:
     """Groups of a region's rows that chains of similar sketches connect."""
-    n = len(sketches)
-    near = _equal_share(sketches, sketches) >= floor
+    near = share >= floor
+    n = len(near)
     group = np.full(n, -1)
     for i in range(n):
         if group[i] < 0:
@@ -142,7 +145,11 @@ def _cells(sketches: np.ndarray, floor: float) -> np.ndarray:
 
 
 def _candidate_cells(entries: DataFrame, forest: Forest) -> DataFrame:
-    """``cell, sid, sketch, leader``: rows of sorted orders that may be near, cell by cell."""
+    """Rows of sorted orders that may be near, cell by cell: ``cell, sid`` and two neighbours with their shares.
+
+    ``leader`` is the cell's row that is most like all others, ``partner`` the
+    one most like this row.
+    """
 
     def run(batches):
         # a region's rows stand together; what follows the last break waits for the next batch
@@ -159,31 +166,26 @@ def _candidate_cells(entries: DataFrame, forest: Forest) -> DataFrame:
             sid = table.column("sid").to_numpy()
             raw = table.column("sketch").to_pylist()
             sketches = np.frombuffer(b"".join(raw), np.uint8).reshape(rows, forest.sketch)
-            take: list[np.ndarray] = []
-            cell: list[np.ndarray] = []
+            out: list[tuple[np.ndarray, ...]] = []
             for a, b in regions(keys, forest.min_depth + 1, forest.region):
-                if b - a == 2:
-                    if np.count_nonzero(sketches[a] == sketches[a + 1]) < forest.floor * forest.sketch:
-                        continue
-                    group = np.zeros(2, np.int64)
-                else:
-                    group = _cells(sketches[a:b], forest.floor)
+                if b - a == 2 and np.count_nonzero(sketches[a] == sketches[a + 1]) < forest.floor * forest.sketch:
+                    continue
+                share = _equal_share(sketches[a:b], sketches[a:b])
+                group = _cells(share, forest.floor)
                 values, counts = np.unique(group, return_counts=True)
                 for g in values[counts > 1]:
-                    mine = a + np.flatnonzero(group == g)
-                    take.append(mine)
-                    cell.append(np.full(len(mine), number))
+                    mine = np.flatnonzero(group == g)
+                    own = share[np.ix_(mine, mine)]
+                    leader = int(own.sum(axis=0).argmax())
+                    np.fill_diagonal(own, -1)
+                    partner = own.argmax(axis=1)
+                    names = sid[a + mine]
+                    out.append((np.full(len(mine), number), names, np.full(len(mine), names[leader]), own[:, leader], names[partner], own.max(axis=1)))
                     number += 1
-            if not take:
+            if not out:
                 return None
-            rows_taken = np.concatenate(take)
-            cells = np.concatenate(cell)
-            starts = np.flatnonzero(np.diff(cells, prepend=-1))
-            leader = np.repeat(np.minimum.reduceat(sid[rows_taken], starts), np.diff(np.append(starts, len(cells))))
-            return pa.RecordBatch.from_arrays(
-                [pa.array((part << 40) | cells), pa.array(sid[rows_taken]), table.column("sketch").take(pa.array(rows_taken)).combine_chunks(), pa.array(leader)],
-                names=["cell", "sid", "sketch", "leader"],
-            )
+            cell, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array((part << 40) | cell), *map(pa.array, columns)], names=["cell", "sid", "leader", "leader_share", "partner", "partner_share"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -202,22 +204,65 @@ def _candidate_cells(entries: DataFrame, forest: Forest) -> DataFrame:
         if held is not None and held.num_rows and (out := found(held.combine_chunks())) is not None:
             yield out
 
-    return entries.mapInArrow(run, "cell long, sid long, sketch binary, leader long")
+    return entries.mapInArrow(run, "cell long, sid long, leader long, leader_share double, partner long, partner_share double")
+
+
+def _is_link(own: np.ndarray, others: list[np.ndarray], per_mille: int) -> np.ndarray:
+    """Which of the other whole sets reach the threshold with this one; all sets ascend."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    both = np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 1000 * both >= per_mille * (len(own) + sizes - both)
+
+
+class _Rows:
+    """A task's rows of one group: ids, components, whole sets and minimum hashes."""
 
+    def __init__(self, table: pa.Table, forest: Forest):
+        self.forest = forest
+        self.sid, self.root = (table.column(c).to_numpy() for c in ("sid", "root"))
+        shingles = table.column("shingles").combine_chunks()
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingles]
+        self.size = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        raw = b"".join(table.column("orders").to_pylist())
+        self.orders = np.frombuffer(raw, ">u2").reshape(len(self.sid), forest.trees * forest.depth).astype(np.uint16)
 
-def _between_components(cells: DataFrame, roots: DataFrame, forest: Forest) -> DataFrame:
-    """Candidate pairs ``a, b`` of a cell whose ends no verified link connects yet."""
-    rooted = cells.join(roots, cells.sid == roots.node, "left").select("cell", "sid", "sketch", F.coalesce("root", "sid").alias("root"))
+    def may_link(self, i: int, others: _Rows, threshold: float) -> np.ndarray:
+        """Rows of ``others`` in other components that size and minimum hashes leave open."""
+        n = self.size[i]
+        may = (others.root != self.root[i]) & (np.minimum(n, others.size) >= threshold * np.maximum(n, others.size))
+        at = np.flatnonzero(may)
+        share = np.count_nonzero(others.orders[at] == self.orders[i], axis=1)
+        return at[share >= self.forest.fine_floor * self.orders.shape[1]]
+
+    def links(self, i: int, others: _Rows, at: np.ndarray, per_mille: int) -> Iterator[tuple[int, int, int]]:
+        """One confirmed (this id, other id, other component) for each component among ``others`` at ``at``."""
+        if len(at):
+            good = at[_is_link(self.sets[i], [others.sets[j] for j in at], per_mille)]
+            for j in good[np.unique(others.root[good], return_index=True)[1]]:
+                yield int(self.sid[i]), int(others.sid[j]), int(others.root[j])
+
+
+def _pairs_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _between_components(cells: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, forest: Forest) -> DataFrame:
+    """Confirmed links ``a, b`` between components that meet in a cell.
+
+    Only cells that still hold several components are read, with a whole set
+    for each row; a cell is bounded by ``region``, and gives one link for a row
+    and component at most.
+    """
+    rooted = cells.select("cell", "sid").join(roots, cells.sid == roots.node, "left").select("cell", "sid", F.coalesce("root", "sid").alias("root"))
     spans = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    open_cells = rooted.join(spans, "cell").repartition(shuffle_partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    rows = rooted.join(spans, "cell").join(sets, "sid").select("cell", "sid", "root", "shingles", "orders")
+    dealt = rows.repartition(shuffle_partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    per_mille = round(threshold * 1000)
 
     def run(batches):
-        def pairs(sid, root, raw):
-            sketches = np.frombuffer(b"".join(raw), np.uint8).reshape(len(sid), forest.sketch)
-            share = _equal_share(sketches, sketches)
-            i, j = np.nonzero(np.triu((share >= forest.floor) & (root[:, None] != root[None, :]), 1))
-            return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-
         held = None
         for batch in _and_end(batches):
             if batch is not None:
@@ -228,14 +273,77 @@ def _between_components(cells: DataFrame, roots: DataFrame, forest: Forest) -> D
             cell = held.column("cell").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
             whole = len(edges) - 1 if batch is None else len(edges) - 2
-            sid, root, raw = held.column("sid").to_numpy(), held.column("root").to_numpy(), held.column("sketch").to_pylist()
             for k in range(whole):
-                a, b = pairs(sid[edges[k] : edges[k + 1]], root[edges[k] : edges[k + 1]], raw[edges[k] : edges[k + 1]])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                mine = _Rows(held.slice(int(edges[k]), int(edges[k + 1] - edges[k])), forest)
+                found = []
+                for i in range(len(mine.sid)):
+                    at = mine.may_link(i, mine, threshold)
+                    for a, b, other in mine.links(i, mine, at[at > i], per_mille):
+                        found.append((a, b, other))
+                        mine.root = np.where(mine.root == other, mine.root[i], mine.root)
+                if found:
+                    yield _pairs_batch(found)
             held = held.slice(int(edges[whole]))
 
-    return open_cells.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _dense(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """``region, tree, sid, size, trees`` for the rows of all regions too large to be one cell; trees marks all of a row's."""
+    step = 2 * forest.depth
+    prefix = F.array(*[F.substring("orders", 1 + t * step, 2 * forest.min_depth) for t in range(forest.trees)])
+    each = nodes.select("sid", F.posexplode(prefix).alias("tree", "prefix")).select("sid", "tree", F.xxhash64("tree", "prefix").alias("region"))
+    sizes = each.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > forest.region)
+    rows = cut(each.join(sizes, "region"))
+    marks = rows.groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("trees"))
+    return rows.join(marks, "sid").select("region", "tree", "sid", "size", "trees")
+
+
+def _across_dense(dense: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, forest: Forest) -> DataFrame:
+    """Confirmed links between components that meet in a region too large to be one cell.
+
+    The rows outside a region's largest component are held against all its
+    rows, which stand in blocks of about ``region``; a task keeps one block and
+    reads the others past it. A pair that meets in several dense regions is
+    compared in the first.
+    """
+    rooted = dense.join(roots, dense.sid == roots.node, "left").select("region", "tree", "sid", "size", "trees", F.coalesce("root", "sid").alias("root"))
+    largest = rooted.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = F.ceil(F.col("size") / forest.region).cast("int")
+    mixed_rows = rooted.join(largest, "region")
+    kept = ["sid", "root", "tree", "trees"]
+    members = mixed_rows.select("region", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), *kept, F.lit(0).alias("visits"))
+    guests = mixed_rows.where("root <> main").select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *kept, F.lit(1).alias("visits"))
+    rows = members.unionByName(guests).join(sets, "sid").select("region", "block", "visits", *kept, "shingles", "orders")
+    dealt = rows.repartition(shuffle_partitions(sets.sparkSession), "region", "block").sortWithinPartitions("region", "block", "visits")
+    per_mille, step, deep = round(threshold * 1000), forest.depth, forest.min_depth
+
+    def run(batches):
+        key, held, block_rows = None, None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            region, block, visits, tree, trees = (table.column(c).to_numpy() for c in ("region", "block", "visits", "tree", "trees"))
+            edges = np.flatnonzero((np.diff(region) != 0) | (np.diff(block) != 0) | (np.diff(visits) != 0)) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(region)], strict=True):
+                part, here = table.slice(i, j - i), (region[i], block[i])
+                if not visits[i]:  # a block may come in two batches
+                    block_rows = pa.concat_tables([block_rows, part]) if key == here else part
+                    key, held = here, None
+                    continue
+                if held is None:
+                    held, held_trees = _Rows(block_rows, forest), block_rows.column("trees").to_numpy()
+                mine, found = _Rows(part, forest), []
+                for g in range(j - i):
+                    at = mine.may_link(g, held, threshold)
+                    for t in range(int(tree[i])):  # met before, in an earlier dense region
+                        if trees[i + g] >> t & 1 and len(at):
+                            same = (held.orders[at, t * step : t * step + deep] == mine.orders[g, t * step : t * step + deep]).all(axis=1)
+                            at = at[~(same & (held_trees[at] >> t & 1 == 1))]
+                    found += mine.links(g, held, at, per_mille)
+                if found:
+                    yield _pairs_batch(found)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _and_end(batches):
@@ -243,8 +351,24 @@ def _and_end(batches):
     yield None
 
 
+def _bits_of(sids: DataFrame, most: int = 25) -> np.ndarray:
+    """A bitmap over the low bits of ``sids``, of 2**most bits (4 MB) at most.
+
+    It only saves shuffling sets that no candidate needs: what it lets through
+    is joined exactly, so a full bitmap costs time and no result.
+    """
+    bits = min(most, max(10, (16 * sids.count()).bit_length()))
+    low = F.col("sid").bitwiseAND(F.lit((1 << bits) - 1))
+    words = sids.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(sid & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _sets_of(docs: DataFrame, sids: DataFrame, width: int) -> DataFrame:
     """``sid, shingles``: the whole shingle sets behind ``sids``, one row each."""
+    wanted = _bits_of(sids)
+    mask = 64 * len(wanted) - 1
 
     def run(batches):
         for batch in batches:
@@ -254,7 +378,7 @@ def _sets_of(docs: DataFrame, sids: DataFrame, width: int) -> DataFrame:
                 if len(values):
                     total = mixed(values, 3).sum() + np.uint64(len(values))
                     sid = int(mixed(np.array([total]), 5).view(np.int64)[0])
-                    if sid not in seen:
+                    if sid not in seen and int(wanted[(sid & mask) >> 6]) >> (sid & 63) & 1:
                         seen[sid] = values.tobytes()
                 if len(seen) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], names=["sid", "shingles"])
@@ -306,29 +430,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float, group: int)
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, forest: Forest = Forest()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
-
-    Rows of equal shingle sets are one node. Nodes go through the forest; in
-    each cell of near neighbours all are first linked to the smallest, each
-    node to one leader, and confirmed on whole sets. What a cell still holds
-    in different components after that is confirmed pair by pair, so copies of
-    a large group cost a link each and no pair between components is skipped.
-
-    ``component_id`` is the smallest doc_id reachable; ``kept`` marks it.
-    Texts without words (null and empty too) have 0 shingles, link with
-    nothing and are kept. A null doc_id takes part, but names a component only
-    where that has no other; repeated rows share their component; an empty
-    table gives no rows; other columns are not read.
-    """
+def _grouped(docs: DataFrame, width: int, threshold: float, forest: Forest) -> DataFrame:
+    """``doc_id, mark, n_shingles, sid, root, component_id`` of every row; the last three null for texts without words."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     prints = cut(_fingerprints(docs, width, forest))
-    members = prints.select("doc_id", "n_shingles", "sid")
+    members = prints.select("doc_id", "mark", "n_shingles", "sid")
     nodes = cut(
         prints.where("sid is not null")
         .groupBy("sid")
-        .agg(F.min("doc_id").alias("low_doc"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("orders").alias("orders"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min("doc_id").alias("low_doc"),
+            F.min("check").alias("c0"),
+            F.max("check").alias("c1"),
+            F.first("orders").alias("orders"),
+            F.first("sketch").alias("sketch"),
+        )
     )
     if nodes.where("c0 <> c1").limit(1).count():
         raise RuntimeError("two different shingle sets share an id; use another seed")
@@ -343,17 +460,63 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, for
     order = ["tree", "key", F.expr(f"substring(sketch, 1 + tree * {forest.sketch // forest.trees})"), "sid"]
     orders = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     cells = cut(_candidate_cells(orders, forest))
-    sets = cut(_sets_of(docs, cells.select("sid").distinct(), width))
-    led = cells.where("sid <> leader").groupBy(F.col("sid").alias("b")).agg(F.min("leader").alias("a"))
-    links = cut(_confirmed(led, sets, threshold, forest.verify_group))
+    # whatever meets a like row in a cell or stands in a dense region may be compared
+    dense = cut(_dense(nodes, forest))
+    wanted = cut(cells.select("sid").union(dense.select("sid")).distinct())
+    sets = cut(_sets_of(docs, wanted, width).join(nodes.select("sid", "orders"), "sid"))
+    nearest = cells.groupBy("sid").agg(
+        F.expr("max_by(leader, leader_share) filter (where leader <> sid)").alias("leader"),
+        F.max_by("partner", "partner_share").alias("partner"),
+    )
+    ends = nearest.select("sid", F.explode(F.array_distinct(F.array("leader", "partner"))).alias("other")).where("other is not null")
+    first = ends.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    links = cut(_confirmed(first, sets, threshold, forest.verify_group))
     roots = components(links)
-    more = cut(_between_components(cells, roots, forest))
-    if more.limit(1).count():
-        links = links.unionByName(_confirmed(more, sets, threshold, forest.verify_group))
-        roots = components(links)
+    for search, rows in ((_between_components, cells), (_across_dense, dense)):
+        more = cut(search(rows, roots, sets, threshold, forest))
+        if more.limit(1).count():
+            links = cut(links.unionByName(more))
+            roots = components(links)
     rooted = nodes.join(roots, nodes.sid == roots.node, "left").select("sid", "low_doc", F.coalesce("root", "sid").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low_doc").alias("component_id"))
-    named = rooted.join(names, "root").select("sid", "component_id")
-    out = members.join(named, "sid", "left")
+    named = rooted.join(names, "root").select("sid", "root", "component_id")
+    return members.join(named, "sid", "left").select("doc_id", "mark", "n_shingles", "sid", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, forest: Forest = Forest()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Rows of equal shingle sets are one node. Nodes go through the forest; in a
+    cell of near neighbours each node is first held against the one most like
+    all and the one most like itself, on whole sets. What a cell still holds
+    in different components after that is confirmed pair by pair, so copies of
+    a large group cost a link or two each and no pair between components is
+    skipped.
+
+    ``component_id`` is the smallest doc_id reachable; ``kept`` marks it.
+    Texts without words (null and empty too) have 0 shingles, link with
+    nothing and are kept. A null doc_id takes part, but names a component only
+    where that has no other; repeated rows share their component; an empty
+    table gives no rows; other columns are not read.
+    """
+    rows = _grouped(docs, width, threshold, forest)
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8, forest: Forest = Forest()) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id's, one of its repeated rows.
+
+    Rows whose text has no word all stay. Columns are unchanged.
+    """
+    rows = cut(_grouped(docs, width, threshold, forest))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    stay = rows.where("sid is not null").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("__doc"), F.col("o.mark").alias("__mark"), F.lit(True).alias("__stays"))
+    joined = docs.withColumn("__own", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = joined.where(F.col("__stays") | wordless)
+    repeated = rows.where("sid is not null").groupBy("doc_id", "mark").count().where("count > 1")
+    if repeated.limit(1).count():
+        one = out.where(~wordless).dropDuplicates(["doc_id", "__own"])
+        out = one.unionByName(out.where(wordless))
+    return out.select(*docs.columns)
