@@ -1,11 +1,73 @@
-"""Corpus cleaning as a chain of training-data operators (stages are added as they are built)."""
+"""Corpus cleaning as a chain of training-data operators.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but
+the last return the columns of documents. ``run`` writes each stage's result
+as Parquet in the shared folder and reads it back as the next one's input, so
+a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from murmuration.llm.common import new_path, read
+from murmuration.llm.decontaminate import decontaminate
+from murmuration.llm.line_dedup import dedup_lines
+from murmuration.llm.lsh_forest import keep_one
+from murmuration.llm.packing import Capacities, pack
+from murmuration.llm.token_queries import CONTEXT, vocabulary
+from murmuration.llm.toxicity import scores, train
+
+#: Score from which a document is rejected.
+REJECT = 0.4
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose whole text scores under ``REJECT``."""
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return scores(docs, model, "__score").where(F.col("__score") < REJECT).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without later copies of repeated passages; n_chars follows the text."""
+    out = dedup_lines(docs).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return keep_one(docs, width=5, threshold=0.8)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no benchmark item."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, packed into sequences."""
+    return pack(docs, vocabulary(), end_id=0, caps=Capacities(tokens=CONTEXT, documents=CONTEXT, attention=CONTEXT * CONTEXT))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+#: Classifier, MinHash and tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices_by_bytes, texts_of
 from .shingles import SLICE_BYTES, window_hashes, word_hashes
@@ -163,6 +164,16 @@ def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tu
                 yield a + int(text), t, first, share
 
 
+def _item_blocks(benchmark: DataFrame, search: Search) -> Iterator[tuple[list, Items]]:
+    """Blocks of items of bounded size, each with the items' ids."""
+    wanted = benchmark.select("item_id", "text").where("text is not null")
+    n_blocks = max(1, -(-wanted.count() // search.items_at_once))
+    for k in range(n_blocks):
+        mine = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        rows = sorted((tuple(r) for r in mine.collect()), key=str)
+        yield [r[0] for r in rows], Items([r[1] for r in rows], search)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
     """``doc_id, item_id, first_word, similarity`` of every leak, one row for a document row and item.
 
@@ -174,19 +185,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
     reported each; an empty table on either side gives no rows.
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_kind}, item_id {item_kind}, first_word int, similarity double"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+    schema = f"doc_id {id_kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, first_word int, similarity double"
     narrow = docs.select("doc_id", "text")
-    wanted = benchmark.select("item_id", "text").where("text is not null")
-    n_blocks = max(1, -(-wanted.count() // search.items_at_once))
     out = None
-    for k in range(n_blocks):
-        mine = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        rows = sorted((tuple(r) for r in mine.collect()), key=str)
-        ids, items = [r[0] for r in rows], Items([r[1] for r in rows], search)
+    for ids, items in _item_blocks(benchmark, search):
 
         def run(batches, ids=ids, items=items):
-            item_ids = pa.array(ids, pa.from_numpy_dtype(np.int64) if item_kind in ("bigint", "int", "smallint") else None)
+            item_ids = pa.array(ids, item_type)
             for batch in batches:
                 data, offsets = texts_of(batch.column(1))
                 found = list(leaks_in(data, offsets, items))
@@ -203,7 +209,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a leak. Rows with a null doc_id stay where their text has none."""
-    found = leaks(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))), benchmark, search).select("doc_id").distinct()
-    marks = found.select(F.col("doc_id.doc_id").alias("__doc"), F.col("doc_id.h").alias("__h"))
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    """The rows of ``docs`` without a leak, with all their columns, by a narrow pass per block of items.
+
+    Each row is judged by its own text, so null and repeated doc_ids are no
+    special case.
+    """
+    at = docs.columns.index("text")
+    for _, items in _item_blocks(benchmark, search):
+
+        def run(batches, items=items):
+            for batch in batches:
+                data, offsets = texts_of(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                clean[[text for text, *_ in leaks_in(data, offsets, items)]] = False
+                yield batch if clean.all() else batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
