@@ -74,7 +74,7 @@ def _sigmoid(x):
 
 @dataclass(frozen=True)
 class Training:
-    """``positives`` and ``unlabelled`` bound the rows that the fit takes; nothing else depends on them."""
+    """``positives`` bounds the toxic documents that the fit takes, ``unlabelled`` is how many others it expects; nothing else depends on them."""
 
     positives: int = 6000
     unlabelled: int = 20000
@@ -146,8 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     """Fit on bounded samples of rows that are not held out.
 
     The class prior is the toxic share of all usable labels. Samples take the
-    smallest hashes of the doc_id, so they do not depend on partitions; texts
-    become features on the executors, and only those reach the driver.
+    rows with the smallest hashes, so they do not depend on partitions: toxic
+    ids by their order, unlabelled text by a bound on the hash that lets the
+    wanted number through. Rows that agree in doc_id and text count once.
+    Texts become features on the executors, and only those reach the driver.
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, toxic = usable.agg(F.count("*"), F.sum("toxic")).first()
@@ -157,16 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
         for batch in batches:
             data, offsets = texts_of(batch.column(0))
             found = [f.tobytes() for _, f in features(data, offsets)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["found", "h", "tie"])
-
-    def sample(rows: DataFrame, most: int) -> list[np.ndarray]:
-        picked = rows.select("text", F.xxhash64("doc_id", F.lit(17)).alias("h"), F.xxhash64("text").alias("tie"))
-        top = picked.orderBy("h", "tie").limit(most).mapInArrow(run, "found binary, h long, tie long").collect()
-        return [np.frombuffer(r["found"], np.uint32) for r in sorted(top, key=lambda r: (r["h"], r["tie"]))]
-
-    texts = docs.select("doc_id", "text").where("doc_id is not null").where(~held_out("doc_id"))
-    positive = sample(texts.join(usable.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), how.positives)
-    return fit(positive, sample(texts, how.unlabelled), prior, how)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["found", "h"])
+
+    def collected(rows: DataFrame) -> list[np.ndarray]:
+        once = rows.select("text", "h").dropDuplicates(["h"])
+        table = once.mapInArrow(run, "found binary, h long").toArrow().sort_by("h")
+        return [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("found")]
+
+    texts = docs.select("doc_id", "text").where("doc_id is not null").where(~held_out("doc_id")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
+    ids = usable.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").select("doc_id").limit(how.positives)
+    positive = collected(texts.join(F.broadcast(ids), "doc_id"))  # at most how.positives ids
+    share = min(1.0, how.unlabelled / max(1, texts.count()))
+    within = F.lit(True) if share == 1.0 else F.col("h") < F.lit(int(share * 2.0**64 - 2.0**63))
+    return fit(positive, collected(texts.where(within)), prior, how)
 
 
 def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
