@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Places after a line feed, or after a mark and the white space that follows it.
-BREAKS = r"(?<=\n)|(?<=[.!?,;:][ \n\t\r])"
+BREAKS = r"(?<=[ \n\t\r])(?:(?<=\n)|(?<=[.!?,;:][ \n\t\r]))"  # most places fail at the first test
 TRIMMED = " \n\t\r"
 
 
@@ -29,23 +29,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, lines: int, min_chars: int) -> DataFrame:
-    """``h, doc_id, place``: each window of enough characters; place is its mark and first line."""
-    hashed = _keyed(docs).select(
-        "doc_id",
-        "mark",
-        F.transform("lines", lambda x: F.xxhash64(F.rtrim(x, F.lit(TRIMMED)))).alias("hashes"),
-        F.transform("lines", lambda x: F.length(F.rtrim(x, F.lit(TRIMMED)))).alias("sizes"),
-    )
-    whole = hashed.where(F.size("hashes") >= lines)
-
-    def window(i):
-        parts = [F.get("hashes", i + k) for k in range(lines)]
-        size = sum((F.get("sizes", i + k) for k in range(1, lines)), F.get("sizes", i))
-        return F.when(size >= min_chars, F.struct(F.xxhash64(*parts).alias("h"), i.alias("at")))
+    """``h, doc_id, place``: each window of enough characters; place is its mark and first line.
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.size("hashes") - lines), window), lambda w: w.isNotNull())
-    exploded = whole.select("doc_id", "mark", F.explode(found).alias("w"))
-    return exploded.select(F.col("w.h").alias("h"), "doc_id", F.col("mark").bitwiseOR(F.col("w.at").cast("long")).alias("place"))
+    Windows are arrays of hashes and lengths zipped with themselves, one line
+    on each time; only those that go on are exploded. Past the last window the
+    length is null.
+    """
+    hashes = F.transform("lines", lambda x: F.xxhash64(F.rtrim(x, F.lit(TRIMMED))))
+    each = _keyed(docs).select("doc_id", "mark", hashes.alias("hashes"), F.transform("lines", F.length).alias("sizes"))
+    h, size = F.col("hashes"), F.col("sizes")
+    for k in range(2, lines + 1):
+        h = F.zip_with(h, F.slice("hashes", k, 1 << 30), lambda a, b: F.xxhash64(a, b))
+        size = F.zip_with(size, F.slice("sizes", k, 1 << 30), lambda a, b: a + b)
+    at = F.sequence(F.lit(0), F.size("hashes") - 1)
+    exploded = each.select("doc_id", "mark", F.explode(F.arrays_zip(h.alias("h"), size.alias("size"), at.alias("at"))).alias("w"))
+    kept = exploded.where(F.col("w.size") >= min_chars)
+    return kept.select(F.col("w.h").alias("h"), "doc_id", F.col("mark").bitwiseOR(F.col("w.at").cast("long")).alias("place"))
 
 
 def repeated_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFrame:
@@ -69,7 +68,7 @@ def repeated_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> Data
 
 
 def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFrame:
-    """All columns of ``docs``, with later copies of repeated passages gone from ``text``, then ``n_lines`` and ``n_removed``.
+    """All columns of ``docs``, with later copies of repeated passages gone from ``text``, then ``n_removed``.
 
     Every window of ``lines`` consecutive lines that holds ``min_chars``
     characters is hashed. Of a window that occurs again anywhere, the first
@@ -79,25 +78,20 @@ def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFra
     A text of fewer lines is left alone; null and empty texts are unchanged
     with 0 removed. Rows that agree in doc_id and text count as one document
     and are treated alike. An empty table stays empty. Other columns pass
-    through; the two added ones replace columns of the same name.
+    through; the added one replaces a column of the same name.
     """
-    found = repeated_lines(docs, lines, min_chars).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("covered").alias("__covered"))
+    found = repeated_lines(docs, lines, min_chars).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.array_sort("covered").alias("__covered"))
     named = docs.withColumn("__own", F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)), 32))
     joined = named.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
-    # the removed lines as a flag each: a lookup by place, not a search for every line
-    all_lines = joined.withColumn("__lines", lines_of(F.col("text"))).withColumn("__sorted", F.array_sort("__covered"))
-    count = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.size("__lines"))
-    gaps = F.concat(F.array(F.lit(-1)), F.col("__sorted"), F.array(F.size("__lines")))
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.size("__sorted")),
+    # only changed texts are cut again
+    whole = joined.withColumn("__lines", F.when(F.col("__covered").isNotNull(), lines_of(F.col("text"))))
+    # what stands between removed lines, joined: no search for each line
+    gaps = F.concat(F.array(F.lit(-1)), "__covered", F.array(F.size("__lines")))
+    between = F.transform(
+        F.sequence(F.lit(0), F.size("__covered")),
         lambda k: F.array_join(F.slice("__lines", F.get(gaps, k) + 2, F.get(gaps, k + 1) - F.get(gaps, k) - 1), ""),
     )
-    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(stretches, ""))
-    out = all_lines.select(
-        *[c for c in docs.columns if c not in ("text", "n_lines", "n_removed")],
-        text.alias("text"),
-        count.alias("n_lines"),
-        F.when(F.col("__covered").isNull(), F.lit(0)).otherwise(F.size("__covered")).alias("n_removed"),
-    )
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*order, "n_lines", "n_removed")
+    rebuilt = F.array_join(between, "")
+    order = [c for c in docs.columns if c != "n_removed"]
+    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(rebuilt)
+    return whole.select(*[text.alias("text") if c == "text" else F.col(c) for c in order], F.when(F.col("__covered").isNull(), F.lit(0)).otherwise(F.size("__covered")).alias("n_removed"))

@@ -9,7 +9,7 @@ from .line_dedup import dedup_lines
 
 
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
 QUERIES = {f.__name__: f for f in (op5_line_windows,)}
@@ -20,11 +20,13 @@ WITH lines AS (
          string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?,;:][ \n\t\r])', '\1' || chr(31), 'g'), chr(31)) AS u
   FROM documents),
 each AS (SELECT doc_id, unnest(u) AS line, unnest(range(len(u))) AS i FROM lines),
-trimmed AS (SELECT doc_id, i, rtrim(line, chr(32) || chr(10) || chr(9) || chr(13)) AS t FROM each),
+trimmed AS (
+  SELECT doc_id, i, length(line) AS n, rtrim(line, chr(32) || chr(10) || chr(9) || chr(13)) AS t FROM each),
 three AS (
-  SELECT doc_id, i, t AS a, lead(t, 1) OVER w AS b, lead(t, 2) OVER w AS c
+  SELECT doc_id, i, t AS a, lead(t, 1) OVER w AS b, lead(t, 2) OVER w AS c,
+         n + lead(n, 1) OVER w + lead(n, 2) OVER w AS chars
   FROM trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-kept AS (SELECT * FROM three WHERE c IS NOT NULL AND length(a) + length(b) + length(c) >= 60),
+kept AS (SELECT * FROM three WHERE c IS NOT NULL AND chars >= 60),
 ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM kept),
 covered AS (SELECT DISTINCT doc_id, i + d AS i FROM ranked, (VALUES (0), (1), (2)) AS o(d) WHERE k > 1),
 left_over AS (
@@ -33,7 +35,6 @@ left_over AS (
 removed AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
 SELECT l.doc_id,
        CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text,
-       CAST(CASE WHEN coalesce(length(l.text), 0) = 0 THEN 0 ELSE len(l.u) END AS INT) AS n_lines,
        CAST(coalesce(r.n, 0) AS INT) AS n_removed
 FROM lines l LEFT JOIN left_over o ON l.doc_id = o.doc_id LEFT JOIN removed r ON l.doc_id = r.doc_id
 """
