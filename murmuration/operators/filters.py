@@ -20,6 +20,7 @@ from ..functions import rng
 from ..lineage import cut
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, fixed_from_log, replicated
+from .schemes import SCHEMES
 from .stats import effective_size, quantile_band, weighted_mean
 
 KEY = ["series_id"]
@@ -141,6 +142,34 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     return out.select(*columns)
 
 
+def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
+    """A partitioned filter over one series: (final set, ``t, mean, ess`` of every step before resampling).
+
+    ``particles`` has ``id, part, x`` and ``observations`` has ``t, y``. Each
+    step moves and weighs the set and resamples it by the named scheme, whose
+    weights go into the next step.
+    """
+    seen = {r["t"]: r["y"] for r in observations.where("y is not null").select("t", "y").collect()}  # one number a step
+    state = cut(particles.select("id", F.col("part").cast("int").alias("part"), F.lit(ONE).cast("long").alias("w"), "x"))
+    n, out = config.n_out or state.count(), None
+    for t in sorted(seen):
+        time, noise = F.lit(t * config.dt), rng.normal("part", "id", seed=config.seed, tag=f"move{t}")
+        moved = state.withColumn("__before", F.col("x")).withColumn("x", model.propagate(F.col("x"), time, noise))
+        gain = model.log_likelihood(seen[t], F.col("__before") if config.weight_on == "pre" else F.col("x"))
+        log_w = _log("w") + gain if config.accumulate else gain
+        now = cut(fixed_from_log(moved.withColumn("__lw", log_w), "__lw").select("id", "part", "w", "x"))
+        said = now.agg(weighted_mean("x").alias("mean"), effective_size().alias("ess")).select(F.lit(t).alias("t"), "mean", "ess")
+        out = said if out is None else out.unionByName(said)
+        draw = lambda *keys, t=t: rng.uniform(*keys, seed=config.seed, tag=f"draw{t}")
+        chosen = SCHEMES[scheme](now, n, config.parts, draw, draw)
+        if "part" not in chosen.columns:
+            chosen = chosen.withColumn("part", F.floor(F.col("id") * config.parts / n).cast("int"))
+        state = cut(fixed_from_log(chosen.withColumn("__lw", F.log("weight")), "__lw").select("id", F.col("part").cast("int").alias("part"), "w", "x"))
+    if out is None:
+        raise ValueError("there are no observations")
+    return state, out
+
+
 # The auxiliary interacting-multiple-model filter with parameter learning.
 
 THETA = [f"p{k}" for k in range(9)]

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
 from ..lineage import cut
-from ..operators.filters import FilterConfig, run_filter, run_imm
+from ..operators.filters import FilterConfig, run_filter, run_imm, run_scheme
+from ..operators.models import BenchmarkModel
 from ..operators.schemes import SCHEMES
 from ..operators.stats import effective_size, weighted_mean
-from ..sources.tables import event_series, table
+from ..sources.tables import event_particles, event_series, table
 from ..streaming.online import OnlineFilter
 from .kernels import _w
 
@@ -43,6 +44,17 @@ def aux_imm_run(spark, sf_dir):
     return run_imm(event_series(spark, sf_dir, 3), CONFIG)
 
 
+def scheme_runs(spark, sf_dir):
+    """The six partitioned filters over the users' mean values, every event a particle."""
+    seen = event_series(spark, sf_dir, 2).groupBy("t").agg(F.avg("y").alias("y"))
+    particles = event_particles(spark, sf_dir)
+    out = []
+    for name in ("dpf", "dpf_noshuffle", "cen", "dist1", "dist2", "dist3"):
+        config = FilterConfig(parts=4, seed=21, weight_on="pre")
+        out.append(run_scheme(particles, seen, name, BenchmarkModel(), config)[1].select(F.lit(name).alias("scheme"), "t", "mean", "ess"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def online_run(spark, sf_dir):
     """The bootstrap filter fed by a file stream of events, one step per event of a user."""
     schema = table(spark, sf_dir, "events").schema
@@ -66,5 +78,6 @@ QUERIES = {
     "bootstrap_run": (bootstrap_run, None),
     "apf_run": (apf_run, None),
     "aux_imm_run": (aux_imm_run, None),
+    "scheme_runs": (scheme_runs, None),
     "online_run": (online_run, None),
 }

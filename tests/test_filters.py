@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from murmuration.operators.filters import FilterConfig, initial, run_filter, run_imm, weighed
+from murmuration.operators.filters import FilterConfig, initial, run_filter, run_imm, run_scheme, weighed
 from murmuration.operators.models import BenchmarkModel
 from murmuration.operators.resample import ONE
 from murmuration.operators.stats import histogram, weighted_quantiles
@@ -87,3 +87,12 @@ def test_histogram_and_quantiles(spark):
     q = {r["prob"]: r["value"] for r in weighted_quantiles(df, "x", "w", [0.05, 0.5]).collect()}
     assert q == {0.05: 4.0, 0.5: 49.0}
     assert histogram(df.where("x = 3"), "x", "w", 10).count() == 1
+
+
+@pytest.mark.parametrize("scheme", ["cen", "dist1", "sub"])
+def test_partitioned_runs(spark, series, scheme):
+    one = series.where("series_id = 0 and t <= 2").select("t", "y")
+    start = spark.range(400).selectExpr("id", "cast(id % 4 as int) part", "cast(id as double) / 40 - 5 as x")
+    state, said = run_scheme(start, one, scheme, BenchmarkModel(), FilterConfig(parts=4, seed=2))
+    assert state.count() == 400 and {r["t"] for r in said.collect()} == {1, 2}
+    assert state.select("part").distinct().count() <= 4
