@@ -98,6 +98,16 @@ def best_fit(lengths: np.ndarray, caps: Capacities) -> tuple[np.ndarray, np.ndar
     return bins, offsets
 
 
+#: Bytes of one Arrow batch.
+ARROW_BYTES = 8 << 20
+
+
+def batch_bytes(spark) -> int:
+    """The session's bound on an Arrow batch."""
+    said = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
+    return int(said) if said.isdigit() else 1 << 62
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, deal`` of every document.
 
@@ -130,7 +140,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> Da
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "row"],
                 )
                 row += len(owner)
+            pa.default_memory_pool().release_unused()
 
+    # batches by bytes: a worker holds one and its ids beside the table of units
+    spark = docs.sparkSession
+    if batch_bytes(spark) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     narrow = docs.select("doc_id", "text")
     out = narrow.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
     return out.withColumn("deal", F.xxhash64("doc_id", "piece", "row")).drop("row")

@@ -77,7 +77,7 @@ class UnitTokenizer:
     unit); units beyond it are encoded for their batch and forgotten.
     """
 
-    def __init__(self, path: str, max_units: int = 600_000, slice_bytes: int = 8 << 20):
+    def __init__(self, path: str, max_units: int = 300_000, slice_bytes: int = 2 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
