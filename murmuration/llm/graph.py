@@ -21,16 +21,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    seen = None
+    # small graphs take few tasks, and so few files, between their many short shuffles
+    few = max(1, now.count() // 20_000)
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.coalesce(few)
+
+    now, seen = packed(now), None
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
+        low = packed(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
         # large star: every larger neighbour v of u points to u's minimum
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = packed(packed(now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
         # small star: u and its smaller neighbours point to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
+        low = packed(large.groupBy("u").agg(F.min("v").alias("low")))
+        small = packed(large.join(low, "u")).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        now = packed(cut(packed(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct())))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -113,10 +113,8 @@ def regions(keys: np.ndarray, min_depth: int, region: int) -> Iterator[tuple[int
             elif depth < keys.shape[1]:
                 work.append((first, last, depth + 1))
             else:
-                for i in range(first, last, region // 2):  # half overlapping
+                for i in range(first, last - 1, region):
                     yield i, min(i + region, last)
-                    if i + region >= last:
-                        break
 
 
 def _equal_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,12 +142,21 @@ def _cells(share: np.ndarray, floor: float) -> np.ndarray:
     return group
 
 
+NAMES = ["cell", "sid", "leader", "leader_share", "partner", "partner_share", "seam"]
+
+
 def _candidate_cells(entries: DataFrame, forest: Forest) -> DataFrame:
     """Rows of sorted orders that may be near, cell by cell: ``cell, sid`` and two neighbours with their shares.
 
     ``leader`` is the cell's row that is most like all others, ``partner`` the
-    one most like this row.
+    one most like this row. Rows with ``seam`` instead name the regions at a
+    partition's two ends, which the next partition may share.
     """
+    nothing = [pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.float64()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.float64())]
+
+    def region_at(table, row):
+        key = np.frombuffer(table.column("key")[row].as_py(), ">u2")[: forest.min_depth]
+        return int(table.column("tree")[row].as_py()) << 48 | int("".join(f"{int(v):04x}" for v in key), 16)
 
     def run(batches):
         # a region's rows stand together; what follows the last break waits for the next batch
@@ -185,10 +192,13 @@ def _candidate_cells(entries: DataFrame, forest: Forest) -> DataFrame:
             if not out:
                 return None
             cell, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array((part << 40) | cell), *map(pa.array, columns)], names=["cell", "sid", "leader", "leader_share", "partner", "partner_share"])
+            return pa.RecordBatch.from_arrays([pa.array((part << 40) | cell), *map(pa.array, columns)], names=NAMES[:-1]).append_column("seam", pa.nulls(len(cell), pa.int64()))
 
+        ends = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            if table.num_rows:
+                ends = [*ends[:1], region_at(table, table.num_rows - 1)] if ends else [region_at(table, 0), region_at(table, table.num_rows - 1)]
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows < 20_000:
                 continue
@@ -203,8 +213,10 @@ def _candidate_cells(entries: DataFrame, forest: Forest) -> DataFrame:
                 held = held.slice(last)
         if held is not None and held.num_rows and (out := found(held.combine_chunks())) is not None:
             yield out
+        if ends:
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(ends)], names=NAMES)
 
-    return entries.mapInArrow(run, "cell long, sid long, leader long, leader_share double, partner long, partner_share double")
+    return entries.mapInArrow(run, "cell long, sid long, leader long, leader_share double, partner long, partner_share double, seam long")
 
 
 def _is_link(own: np.ndarray, others: list[np.ndarray], per_mille: int) -> np.ndarray:
@@ -288,19 +300,26 @@ def _between_components(cells: DataFrame, roots: DataFrame, sets: DataFrame, thr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _dense(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """``region, tree, sid, size, trees`` for the rows of all regions too large to be one cell; trees marks all of a row's."""
+def _dense(nodes: DataFrame, seams: DataFrame, forest: Forest) -> DataFrame:
+    """``region, tree, sid, size, trees`` for the rows of regions that no one cell held: too large, or at a partition's end.
+
+    ``trees`` marks all of a row's such regions. A region is named by its tree
+    and prefix. ``seams`` has two rows a partition.
+    """
     step = 2 * forest.depth
     prefix = F.array(*[F.substring("orders", 1 + t * step, 2 * forest.min_depth) for t in range(forest.trees)])
-    each = nodes.select("sid", F.posexplode(prefix).alias("tree", "prefix")).select("sid", "tree", F.xxhash64("tree", "prefix").alias("region"))
-    sizes = each.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > forest.region)
+    name = F.shiftleft(F.col("tree").cast("long"), 48).bitwiseOR(F.conv(F.hex("prefix"), 16, 10).cast("long"))
+    each = nodes.select("sid", F.posexplode(prefix).alias("tree", "prefix")).select("sid", "tree", name.alias("region"))
+    split = F.broadcast(seams.select(F.col("seam").alias("region"), F.lit(True).alias("split")).distinct())
+    counted = each.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = counted.join(split, "region", "left").where((F.col("size") > forest.region) | F.col("split")).select("region", "size")
     rows = cut(each.join(sizes, "region"))
     marks = rows.groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("trees"))
     return rows.join(marks, "sid").select("region", "tree", "sid", "size", "trees")
 
 
 def _across_dense(dense: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, forest: Forest) -> DataFrame:
-    """Confirmed links between components that meet in a region too large to be one cell.
+    """Confirmed links between components that meet in a region that no one cell held.
 
     The rows outside a region's largest component are held against all its
     rows, which stand in blocks of about ``region``; a task keeps one block and
@@ -459,9 +478,10 @@ def _grouped(docs: DataFrame, width: int, threshold: float, forest: Forest) -> D
     # equal keys go on by the sketch, from a place of the tree's own, so each order has other neighbours
     order = ["tree", "key", F.expr(f"substring(sketch, 1 + tree * {forest.sketch // forest.trees})"), "sid"]
     orders = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    cells = cut(_candidate_cells(orders, forest))
+    found = cut(_candidate_cells(orders, forest))
+    cells, seams = found.where("seam is null").drop("seam"), found.where("seam is not null").select("seam")
     # whatever meets a like row in a cell or stands in a dense region may be compared
-    dense = cut(_dense(nodes, forest))
+    dense = cut(_dense(nodes, seams, forest))
     wanted = cut(cells.select("sid").union(dense.select("sid")).distinct())
     sets = cut(_sets_of(docs, wanted, width).join(nodes.select("sid", "orders"), "sid"))
     nearest = cells.groupBy("sid").agg(
