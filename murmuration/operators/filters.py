@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rng
-from ..lineage import cut
+from ..lineage import cut, new_path
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, fixed_from_log, replicated
 from .schemes import SCHEMES
@@ -114,10 +114,35 @@ def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: Benchma
     pick = RESAMPLERS[config.resampler](first, config.particles, config.seed * 1_000_003 + t, KEY, config.block)
     chosen = replicated(pick).withColumn("x", model.propagate(F.col("x"), time, rng.normal("series_id", "id", seed=config.seed, tag=f"move{t}")))
     second = chosen.withColumn("__lw", model.log_likelihood(F.col("y"), F.col("x")) - F.col("__ahead"))
-    now = fixed_from_log(second, "__lw", KEY).select("series_id", "id", "part", "w", "x")
+    now = cut(fixed_from_log(second, "__lw", KEY).select("series_id", "id", "part", "w", "x"))
     return now, summary(now, t)
 
 
+class Told:
+    """Summaries of steps, each written in the shared folder as it is made."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema, self.steps = spark, new_path(spark, "told"), None, []
+
+    def add(self, said: DataFrame, t: int) -> None:
+        said.write.parquet(f"{self.path}/{t}")
+        self.schema = said.schema
+        self.steps.append(t)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{t}" for t in self.steps])
+
+
+def _ends(seen: DataFrame) -> DataFrame:
+    """``series_id, end``: each series' last step with an observation."""
+    return cut(seen.groupBy(*KEY).agg(F.max("t").alias("end")))
+
+
+def _going(state: DataFrame, ends: DataFrame, t: int) -> DataFrame:
+    """The series that have observations after step t."""
+    return state.join(ends.where(F.col("end") > t), KEY, "left_semi")
+
+
 STEPS = {"bootstrap": bootstrap_step, "auxiliary": auxiliary_step}
 
 
@@ -125,21 +150,22 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     """``series_id, t, mean, ess, q05, q95`` for every step of ``observations(series_id, t, y)``.
 
     Steps depend on one another; series and particles do not, and lineage is
-    cut once a step. Rows whose y is null count as no observation.
+    cut and the summary written once a step. Rows whose y is null count as no
+    observation; a series leaves after its last one.
     """
     model = MODELS[model]() if isinstance(model, str) else model
     seen = cut(observations.where("y is not null").select("series_id", "t", "y"))
-    last = seen.agg(F.max("t")).first()[0] or 0
-    state = initial(seen, model, config)
-    out = None
+    ends = _ends(seen)
+    last = ends.agg(F.max("end")).first()[0] or 0
+    state, out = _going(initial(seen, model, config), ends, 0), Told(seen.sparkSession)
     for t in range(1, last + 1):
         state, said = STEPS[filter_](state, seen.where(F.col("t") == t), t, model, config)
-        state = cut(state)
-        out = said if out is None else out.unionByName(said)
+        out.add(said, t)
+        state = cut(_going(state, ends, t))
     columns = ["series_id", "t", "mean", "ess", "q05", "q95"]
-    if out is None:
+    if not out.steps:
         return summary(state, 0).select(*columns).where("false")
-    return out.select(*columns)
+    return out.rows().select(*columns)
 
 
 def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +177,7 @@ def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model
     """
     seen = {r["t"]: r["y"] for r in observations.where("y is not null").select("t", "y").collect()}  # one number a step
     state = cut(particles.select("id", F.col("part").cast("int").alias("part"), F.lit(ONE).cast("long").alias("w"), "x"))
-    n, out = config.n_out or state.count(), None
+    n, out = config.n_out or state.count(), Told(particles.sparkSession)
     for t in sorted(seen):
         time, noise = F.lit(t * config.dt), rng.normal("part", "id", seed=config.seed, tag=f"move{t}")
         moved = state.withColumn("__before", F.col("x")).withColumn("x", model.propagate(F.col("x"), time, noise))
@@ -159,15 +185,15 @@ def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model
         log_w = _log("w") + gain if config.accumulate else gain
         now = cut(fixed_from_log(moved.withColumn("__lw", log_w), "__lw").select("id", "part", "w", "x"))
         said = now.agg(weighted_mean("x").alias("mean"), effective_size().alias("ess")).select(F.lit(t).alias("t"), "mean", "ess")
-        out = said if out is None else out.unionByName(said)
+        out.add(said, t)
         draw = lambda *keys, t=t: rng.uniform(*keys, seed=config.seed, tag=f"draw{t}")
         chosen = SCHEMES[scheme](now, n, config.parts, draw, draw)
         if "part" not in chosen.columns:
             chosen = chosen.withColumn("part", F.floor(F.col("id") * config.parts / n).cast("int"))
         state = cut(fixed_from_log(chosen.withColumn("__lw", F.log("weight")), "__lw").select("id", F.col("part").cast("int").alias("part"), "w", "x"))
-    if out is None:
+    if not out.steps:
         raise ValueError("there are no observations")
-    return state, out
+    return state, out.rows()
 
 
 # The auxiliary interacting-multiple-model filter with parameter learning.
@@ -252,7 +278,7 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
     moved = theta.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).withColumn("q", F.col("mode"))
     share = F.when(F.col("mode") == 0, F.col("mode0")).otherwise(F.col("mode1"))
     second = moved.withColumn("lw", F.log(share) + model.log_likelihood(F.col("y"), F.col("r")) - F.col("ahead"))
-    now = fixed_from_log(second, "lw", KEY).select("series_id", "id", "w", "r", "vol", "q", *THETA)
+    now = cut(fixed_from_log(second, "lw", KEY).select("series_id", "id", "w", "r", "vol", "q", *THETA))
     said = now.groupBy(*KEY).agg(
         weighted_mean("r").alias("mean"),
         weighted_mean("vol").alias("vol"),
@@ -267,12 +293,13 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
 def run_imm(observations: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
     """``series_id, t, mean, vol, ess, prob_mode0, q05, q95, p0..p8`` for every step."""
     seen = cut(observations.where("y is not null").select("series_id", "t", "y"))
-    last = seen.agg(F.max("t")).first()[0] or 0
-    state, out = cut(imm_initial(seen, config)), None
+    ends = _ends(seen)
+    last = ends.agg(F.max("end")).first()[0] or 0
+    state, out = cut(_going(imm_initial(seen, config), ends, 0)), Told(seen.sparkSession)
     for t in range(1, last + 1):
         state, said = imm_step(state, seen.where(F.col("t") == t), t, config)
-        state = cut(state)
-        out = said if out is None else out.unionByName(said)
-    if out is None:
+        out.add(said, t)
+        state = cut(_going(state, ends, t))
+    if not out.steps:
         raise ValueError("there are no observations")
-    return out.select("series_id", "t", "mean", "vol", "ess", "prob_mode0", "q05", "q95", *THETA)
+    return out.rows().select("series_id", "t", "mean", "vol", "ess", "prob_mode0", "q05", "q95", *THETA)

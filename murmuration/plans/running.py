@@ -18,7 +18,6 @@ from ..streaming.online import OnlineFilter
 from .kernels import _w
 
 CONFIG = FilterConfig(particles=64, seed=3)
-STEPS = 4
 
 
 def scheme_comparison(spark: SparkSession, sf_dir: str, n: int = 10_000, parts: int = 4) -> DataFrame:
@@ -33,20 +32,20 @@ def scheme_comparison(spark: SparkSession, sf_dir: str, n: int = 10_000, parts:
 
 
 def bootstrap_run(spark, sf_dir):
-    return run_filter(event_series(spark, sf_dir, STEPS), "benchmark", "bootstrap", CONFIG)
+    return run_filter(event_series(spark, sf_dir), "benchmark", "bootstrap", CONFIG)
 
 
 def apf_run(spark, sf_dir):
-    return run_filter(event_series(spark, sf_dir, STEPS), "growth", "auxiliary", CONFIG)
+    return run_filter(event_series(spark, sf_dir), "growth", "auxiliary", CONFIG)
 
 
 def aux_imm_run(spark, sf_dir):
-    return run_imm(event_series(spark, sf_dir, 3), CONFIG)
+    return run_imm(event_series(spark, sf_dir), CONFIG)
 
 
 def scheme_runs(spark, sf_dir):
     """The six partitioned filters over the users' mean values, every event a particle."""
-    seen = event_series(spark, sf_dir, 2).groupBy("t").agg(F.avg("y").alias("y"))
+    seen = event_series(spark, sf_dir).groupBy("t").agg(F.avg("y").alias("y"))
     particles = event_particles(spark, sf_dir)
     out = []
     for name in ("dpf", "dpf_noshuffle", "cen", "dist1", "dist2", "dist3"):
@@ -69,8 +68,7 @@ def online_run(spark, sf_dir):
 
 def _placed(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("series_id"), F.row_number().over(order).alias("t"))
-    return e.where(F.col("t") <= STEPS)
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("series_id"), F.row_number().over(order).alias("t"))
 
 
 QUERIES = {

@@ -26,8 +26,8 @@ def weighted_events(spark: SparkSession, sf_dir: str, y: float, t: float, model:
     return moved.withColumn("w", fixed(model.likelihood(y, F.col("x"))))
 
 
-def event_series(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
-    """``series_id, t, y``: the first ``steps`` values of each user, in order of time."""
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series_id, t, y``: all values of each user, in order of time."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ranked = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("t", F.row_number().over(order))
-    return ranked.where(F.col("t") <= steps).select(F.col("user_id").alias("series_id"), "t", (F.col("value") / 25.0).alias("y"))
+    return ranked.select(F.col("user_id").alias("series_id"), "t", (F.col("value") / 25.0).alias("y"))
