@@ -106,15 +106,18 @@ def bootstrap_step(state: DataFrame, observed: DataFrame, t: int, model: Benchma
 
 
 def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
-    """Resample by weight times the likelihood of the expected next state, move, and weigh by the ratio."""
-    time = F.lit(t * config.dt)
-    joined = state.join(observed.select("series_id", "y"), KEY)
+    """Resample by weight times the likelihood of the expected next state, move, and weigh by the ratio. A series without an observation only moves."""
+    time, noise = F.lit(t * config.dt), rng.normal("series_id", "id", seed=config.seed, tag=f"move{t}")
+    seen = observed.where("y is not null").select("series_id", "y")
+    joined = state.join(seen, KEY)
     ahead = joined.withColumn("__ahead", model.log_likelihood(F.col("y"), model.mean(F.col("x"), time)))
     first = cut(fixed_from_log(ahead.withColumn("__lw", _log("w") + F.col("__ahead")), "__lw", KEY).drop("__lw"))
     pick = RESAMPLERS[config.resampler](first, config.particles, config.seed * 1_000_003 + t, KEY, config.block)
-    chosen = replicated(pick).withColumn("x", model.propagate(F.col("x"), time, rng.normal("series_id", "id", seed=config.seed, tag=f"move{t}")))
+    chosen = replicated(pick).withColumn("x", model.propagate(F.col("x"), time, noise))
     second = chosen.withColumn("__lw", model.log_likelihood(F.col("y"), F.col("x")) - F.col("__ahead"))
-    now = cut(fixed_from_log(second, "__lw", KEY).select("series_id", "id", "part", "w", "x"))
+    idle = state.join(seen, KEY, "left_anti").withColumn("x", model.propagate(F.col("x"), time, noise))
+    columns = ["series_id", "id", "part", "w", "x"]
+    now = cut(fixed_from_log(second, "__lw", KEY).select(*columns).unionByName(idle.select(*columns)))
     return now, summary(now, t)
 
 
@@ -258,9 +261,11 @@ def imm_first_stage(state: DataFrame, moments: DataFrame, observed: DataFrame, s
 
 
 def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
-    """(set, summary with ``prob_mode0`` and parameter means) after one observation."""
+    """(set, summary with ``prob_mode0`` and parameter means) after one observation. A series without one only moves."""
     model = RsGarch()
-    first = cut(fixed_from_log(imm_first_stage(state, imm_moments(state, config.shrink), observed, config.shrink), "lw", ["series_id", "mode"], out="w"))
+    seen = observed.where("y is not null").select("series_id", "y")
+    watched = state.join(seen, KEY, "left_semi")
+    first = cut(fixed_from_log(imm_first_stage(watched, imm_moments(watched, config.shrink), seen, config.shrink), "lw", ["series_id", "mode"], out="w"))
     keys = ["series_id", "mode"]
     n = F.lit(config.particles // model.modes).cast("long") + F.when(F.col("mode") < config.particles % model.modes, 1).otherwise(0)
     chosen = RESAMPLERS[config.resampler](first, n, config.seed * 1_000_003 + t, keys, config.block).where("hi > lo")
@@ -274,11 +279,17 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
     drawn_columns = copies.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", *[drawn(k).alias(f"d{k}") for k in range(9)])
     fixed_ = constrained(F.col("d3"), F.col("d4"), F.col("d1"), F.col("d2"))
     theta = drawn_columns.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", F.col("d0").alias("p0"), *fixed_, *[F.col(f"d{k}").alias(f"p{k}") for k in range(5, 9)])
-    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("mode"), p, rng.normal("series_id", "id", seed=config.seed, tag=f"r{t}"))
+    noise = rng.normal("series_id", "id", seed=config.seed, tag=f"r{t}")
+    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("mode"), p, noise)
     moved = theta.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).withColumn("q", F.col("mode"))
     share = F.when(F.col("mode") == 0, F.col("mode0")).otherwise(F.col("mode1"))
     second = moved.withColumn("lw", F.log(share) + model.log_likelihood(F.col("y"), F.col("r")) - F.col("ahead"))
-    now = cut(fixed_from_log(second, "lw", KEY).select("series_id", "id", "w", "r", "vol", "q", *THETA))
+    # without an observation a particle draws its next mode and keeps weight and parameters
+    turned = state.join(seen, KEY, "left_anti").withColumn("q", model.next_mode(F.col("q"), F.col("vol"), p, rng.uniform("series_id", "id", seed=config.seed, tag=f"q{t}")))
+    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("q"), p, noise)
+    idle = turned.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r"))
+    columns = ["series_id", "id", "w", "r", "vol", "q", *THETA]
+    now = cut(fixed_from_log(second, "lw", KEY).select(*columns).unionByName(idle.select(*columns)))
     said = now.groupBy(*KEY).agg(
         weighted_mean("r").alias("mean"),
         weighted_mean("vol").alias("vol"),

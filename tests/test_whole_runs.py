@@ -4,9 +4,11 @@ import datetime
 
 import pytest
 
+from murmuration.operators.filters import FilterConfig, run_filter, run_imm
 from murmuration.plans.running import QUERIES
 
 LENGTHS = {1: 7, 2: 5, 3: 1}
+CONFIG = FilterConfig(particles=40, seed=2)
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +29,18 @@ def test_every_event_is_filtered(spark, events, name):
 def test_scheme_runs_take_every_step(spark, events):
     found = [r["t"] for r in QUERIES["scheme_runs"][0](spark, events).collect()]
     assert sorted(found) == sorted(6 * list(range(1, max(LENGTHS.values()) + 1)))
+
+
+@pytest.mark.parametrize("run", [lambda s: run_filter(s, "growth", "auxiliary", CONFIG), lambda s: run_imm(s, CONFIG)], ids=["auxiliary", "imm"])
+def test_a_gap_does_not_end_a_series(spark, run):
+    """Series 0 has a null y and series 1 no row at step 2; series 2 has all."""
+    rows = [(i, t, None if (i, t) == (0, 2) else 1.0 + i + t) for i in range(3) for t in (1, 2, 3) if (i, t) != (1, 2)]
+    seen = spark.createDataFrame(rows, "series_id long, t int, y double")
+    out = {(r["series_id"], r["t"]): r for r in run(seen).collect()}
+    assert out.keys() == {(i, t) for i in range(3) for t in (1, 2, 3)}
+    for i in (0, 1):
+        # a step without observation keeps the weights and moves the state
+        assert out[i, 2]["ess"] == pytest.approx(out[i, 1]["ess"]) and out[i, 2]["mean"] != out[i, 1]["mean"]
+        assert 1 <= out[i, 3]["ess"] <= 40 + 1e-6
+    alone = {(r["series_id"], r["t"]): r for r in run(seen.where("series_id = 2")).collect()}
+    assert all(alone[2, t]["mean"] == pytest.approx(out[2, t]["mean"]) for t in (1, 2, 3))
