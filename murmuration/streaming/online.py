@@ -1,8 +1,9 @@
 """Online filtering: each micro-batch of observations advances a particle table.
 
-The set after step t is a Parquet folder of its own, and a batch writes the
-folders of its steps before the query commits it, so a replayed batch finds
-the same inputs and, with keyed noise, writes the same sets.
+The state is one Parquet folder per step taken, with each series' own last
+step beside its particles. A batch writes the folders of its steps before the
+query commits it. What a replayed batch has taken already is late then, and
+the rest, with keyed noise, gives the same sets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..lineage import new_path
+from ..lineage import cut, new_path
 from ..operators.filters import STEPS, FilterConfig, initial
 from ..operators.models import MODELS, BenchmarkModel
 
@@ -21,44 +22,58 @@ class OnlineFilter:
     """``start(stream)`` consumes ``series_id, t, y``; ``summaries()`` reads what is known so far.
 
     A series begins with its first observation. Observations of one batch are
-    taken step by step; one whose step its series has passed is late and left
-    out.
+    taken step by step; one whose step its own series has passed is late and
+    left out, whatever steps other series have reached. A series moves through
+    steps that it has no observation of.
     """
 
     def __init__(self, spark: SparkSession, model: str | BenchmarkModel = "benchmark", filter_: str = "bootstrap", config: FilterConfig = FilterConfig(), path: str | None = None):
         self.spark, self.filter_, self.config = spark, filter_, config
         self.model = MODELS[model]() if isinstance(model, str) else model
         self.path = path or new_path(spark, "online")
-        self.last_step = self._recovered()
+        self.version, self.last_step = self._recovered()
 
-    def _recovered(self) -> int:
-        """The last step whose summary is whole, where ``path`` is a folder of an earlier run."""
+    def _recovered(self) -> tuple[int, int]:
+        """The last state whose summary is whole and the furthest step of any series, where ``path`` is a folder of an earlier run."""
         try:
-            return self.summaries().agg(F.max("t")).first()[0] or 0
+            version, step = self._told().agg(F.max("version"), F.max("t")).first()
+            return version or 0, step or 0
         except AnalysisException:
-            return 0
+            return 0, 0
 
     def _state(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/state/{self.last_step}") if self.last_step else None
+        return self.spark.read.parquet(f"{self.path}/state/{self.version}") if self.version else None
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        seen = batch.where("y is not null").dropDuplicates(["series_id", "t"])
-        steps = [r["t"] for r in seen.select("t").distinct().orderBy("t").collect() if r["t"] > self.last_step]
-        for t in steps:
-            now = seen.where(F.col("t") == t)
-            state = self._state()
-            fresh = initial(now, self.model, self.config)
+        seen = batch.where("y is not null").dropDuplicates(["series_id", "t"]).select("series_id", F.col("t").cast("int").alias("t"), "y")
+        state = self._state()
+        if state is None:
+            seen = seen.withColumn("step", F.lit(None).cast("int"))
+        else:
+            seen = seen.join(state.groupBy("series_id").agg(F.max("step").alias("step")), "series_id", "left")
+        seen = cut(seen.where("step is null or t > step"))
+        spans = cut(seen.groupBy("series_id").agg(F.max("step").alias("step"), F.coalesce(F.max("step") + 1, F.min("t")).alias("low"), F.max("t").alias("high")))
+        steps = spans.select(F.explode(F.sequence("low", "high")).alias("t")).distinct().orderBy("t").collect()
+        for t in [r["t"] for r in steps]:
+            now, state = seen.where(F.col("t") == t), self._state()
+            fresh, idle = initial(spans.where((F.col("low") == t) & F.col("step").isNull()), self.model, self.config), None
             if state is not None:
-                fresh = fresh.join(state.select("series_id").distinct(), "series_id", "left_anti")
-                fresh = state.unionByName(fresh)
-            after, said = STEPS[self.filter_](fresh, now, t, self.model, self.config)
-            after.write.mode("overwrite").parquet(f"{self.path}/state/{t}")
-            said.join(now.select("series_id"), "series_id", "left_semi").write.mode("overwrite").parquet(f"{self.path}/summary/t={t}")
-            self.last_step = t
+                moving = spans.where((F.col("low") <= t) & (F.col("high") >= t)).select("series_id")
+                fresh = state.drop("step").join(moving, "series_id", "left_semi").unionByName(fresh)
+                idle = state.join(moving, "series_id", "left_anti")
+            after, said = STEPS[self.filter_](fresh, now.select("series_id", "y"), t, self.model, self.config)
+            after = after.withColumn("step", F.lit(t))
+            after = after if idle is None else after.unionByName(idle)
+            after.write.mode("overwrite").parquet(f"{self.path}/state/{self.version + 1}")
+            said.join(now.select("series_id"), "series_id", "left_semi").write.mode("overwrite").parquet(f"{self.path}/summary/version={self.version + 1}")
+            self.version, self.last_step = self.version + 1, max(self.last_step, t)
 
     def start(self, stream: DataFrame, checkpoint: str | None = None) -> StreamingQuery:
         where = checkpoint or f"{self.path}/commits"
         return stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", where).trigger(availableNow=True).start()
 
-    def summaries(self) -> DataFrame:
+    def _told(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/summary").parquet(f"{self.path}/summary")
+
+    def summaries(self) -> DataFrame:
+        return self._told().drop("version")
