@@ -3,13 +3,16 @@
 Each item is one fingerprint of its five-word shingles; a document's windows
 of the same number of words are fingerprinted too. A multi-index over blocks
 of the fingerprint (Norouzi et al., 2012) finds every item within a Hamming
-radius, and an exact weighted similarity of the shingles decides.
+radius that follows from the threshold, and an exact weighted similarity of
+the shingles decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +26,9 @@ from .shingles import SLICE_BYTES, window_hashes, word_hashes
 
 @dataclass(frozen=True)
 class Search:
-    """``radius`` bits of 64. With 8 blocks, a fingerprint within 15 differs from
-    the item's in one bit at most in some block, so looking up each block's
-    value and its 8 neighbours misses none.
+    """``radius`` bits of 64 at least. With 8 blocks, a fingerprint within 15 differs
+    from the item's in one bit at most in some block, so looking up each block's
+    value and its 8 neighbours misses none; within 23, in two bits at most.
 
     ``items_at_once`` bounds what is broadcast: more items are searched in
     blocks, each with a pass of its own over the documents.
@@ -36,6 +39,15 @@ class Search:
     radius: int = 15
     blocks: int = 8
     items_at_once: int = 20_000
+    miss: float = 2e-5
+
+    @cached_property
+    def reach(self) -> int:
+        """Bits that windows at the threshold differ in, but for a share of ``miss`` by the binomial tail; no less than ``radius``."""
+        shared = 2 * self.threshold / (1 + self.threshold)
+        p = math.acos(min(1.0, shared)) / math.pi
+        tail = np.cumsum([math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(64, -1, -1)])[::-1]  # from k bits on
+        return max(self.radius, int(np.flatnonzero(np.append(tail[1:], 0.0) < self.miss)[0]))
 
 
 def _signs(values: np.ndarray) -> np.ndarray:
@@ -80,7 +92,7 @@ class Items:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.by_size = {int(m): np.flatnonzero(self.sizes == m) for m in np.unique(self.sizes[self.sizes > 0])}
-        self.index: dict[int, np.ndarray] = {}  # built where first needed
+        self.index: dict[tuple[int, int], np.ndarray] = {}  # by size and radius, built where first needed
 
     def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of shingles that some item has, and their places in ``known``."""
@@ -89,13 +101,14 @@ class Items:
         real = self.known[np.minimum(place, len(self.known) - 1)] == values[at] if len(self.known) else np.zeros(len(at), bool)
         return at[real], place[real]
 
-    def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, size: int, prints: np.ndarray, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``prints``, item of that size) for all pairs within the radius."""
         members, blocks = self.by_size[size], self.search.blocks
+        radius = self.search.radius if radius is None else radius
         bits = 64 // blocks
-        if size not in self.index:
+        if (size, radius) not in self.index:
             near = np.zeros((blocks, 1 << bits, len(members)), bool)
-            most = self.search.radius // blocks  # errors that some block stays within
+            most = radius // blocks  # errors that some block stays within
             masks = [0] if most == 0 else [0, *(1 << i for i in range(bits))]
             if most > 1:
                 masks = [m for m in range(1 << bits) if m.bit_count() <= most]
@@ -103,13 +116,13 @@ class Items:
                 own = (self.prints[members] >> np.uint64(b * bits)).astype(np.int64) & ((1 << bits) - 1)
                 for mask in masks:
                     near[b, own ^ mask, np.arange(len(members))] = True
-            self.index[size] = near
-        near = self.index[size]
+            self.index[size, radius] = near
+        near = self.index[size, radius]
         maybe = np.zeros((len(prints), len(members)), bool)
         for b in range(blocks):
             maybe |= near[b, (prints >> np.uint64(b * bits)).astype(np.int64) & ((1 << bits) - 1)]
         row, item = np.nonzero(maybe)
-        close = np.bitwise_count(prints[row] ^ self.prints[members[item]]) <= self.search.radius
+        close = np.bitwise_count(prints[row] ^ self.prints[members[item]]) <= radius
         return row[close], members[item[close]]
 
 
@@ -126,10 +139,12 @@ def _windows_with(hits: np.ndarray, n_shingles: int, span: int) -> Iterator[tupl
 def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, float]]:
     """(text, item, first word, similarity): the best window of each pair that reaches the threshold.
 
-    Windows that share no shingle with any item can't reach it, so only the
-    others are fingerprinted. A text shorter than an item is one window.
+    A text that shares fewer shingles with an item than the threshold needs
+    can't reach it, so only windows with shingles of the other items are
+    fingerprinted. A text shorter than an item is one window.
     """
     search = items.search
+    n_shingles = np.maximum(items.sizes - search.width + 1, 0)
     for a, b in slices_by_bytes(offsets, SLICE_BYTES):
         part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         words, before = word_hashes(part, local)
@@ -147,6 +162,13 @@ def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tu
             counts = items.owner_cuts[local_place + 1] - items.owner_cuts[local_place]
             found_items = items.owners[np.repeat(items.owner_cuts[local_place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
             hit_at = np.repeat(local_at, counts)
+            # of a + b shingles, a similarity of s needs s / (1 + s) * (a + b) in common; at most each place of the text is one
+            named, which, places = np.unique(found_items, return_inverse=True, return_counts=True)
+            spans = np.minimum(n_shingles[named], len(own))
+            able = places >= search.threshold / (1 + search.threshold) * (spans + n_shingles[named]) - 1e-6
+            if not able.any():
+                continue
+            found_items, hit_at = found_items[able[which]], hit_at[able[which]]
             best: dict[int, tuple[float, int]] = {}
             for size in np.unique(items.sizes[found_items]):
                 span = min(int(size) - search.width + 1, len(own))
@@ -155,7 +177,9 @@ def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tu
                     signs = _signs(own[low : high + span])
                     run = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)])
                     sums = run[span:] - run[:-span]
-                    row, item = items.within(int(size), simhash(sums))
+                    row, item = items.within(int(size), simhash(sums), search.reach)
+                    sought = np.isin(item, named[able])
+                    row, item = row[sought], item[sought]
                     for r, t in zip(row.tolist(), item.tolist(), strict=True):
                         share = weighted_similarity(own[low + r : low + r + span], items.shingles[t])
                         if share >= search.threshold and share > best.get(t, (0.0, 0))[0]:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.llm import jpeg
-from murmuration.llm.decontaminate import Items, Search, decontaminate, leaks, weighted_similarity
+from murmuration.llm.decontaminate import Items, Search, decontaminate, leaks, leaks_in, weighted_similarity
 from murmuration.llm.decontaminate_queries import QUERIES as LEAKS
 from murmuration.llm.media import media_features, store_media
 from murmuration.llm.media_queries import QUERIES as MEDIA
@@ -83,6 +83,21 @@ def test_leaks_with_edits_and_blocks(spark, messy, nothing):
     assert decontaminate(messy, b).count() == messy.count() and decontaminate(messy, b).columns == messy.columns
 
 
+def test_lightly_edited_leaks_just_over_the_threshold():
+    """400 passages of 45 shingles with 5 changed, a similarity of 0.8: a radius of 15 bits misses about 1 in 40."""
+    items = {i: prose(5000 + i, 49) for i in range(400)}
+    docs = []
+    for i, text in items.items():
+        words = text.split(" ")
+        words[6 + i % 36] = f"changed{i}"
+        docs.append(prose(7000 + i, 30) + " " + " ".join(words) + " " + prose(9000 + i, 30))
+    raw = [d.encode() for d in docs]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    found = {(text, item): share for text, item, _, share in leaks_in(data, offsets, Items(list(items.values()), Search()))}
+    assert found.keys() == {(i, i) for i in items} and min(found.values()) == 0.8
+    assert Search().reach == 23
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     items = Items([prose(i, 40) for i in range(300)], Search())
