@@ -17,10 +17,10 @@ from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.lsh_forest import keep_one
 from murmuration.llm.packing import Capacities, pack
 from murmuration.llm.token_queries import CONTEXT, vocabulary
-from murmuration.llm.toxicity import scores, train
+from murmuration.llm.toxicity import THRESHOLD, scores, train
 
-#: Score from which a document is rejected.
-REJECT = 0.4
+#: Score from which a document is rejected: the operator's own.
+REJECT = THRESHOLD
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

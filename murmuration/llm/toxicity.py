@@ -59,6 +59,10 @@ def features(data: np.ndarray, offsets: np.ndarray):
             yield a + i, np.unique(np.concatenate([words[s], *[v[s][ok[s]] for ok, v in heads]]))
 
 
+#: Score from which a text counts as toxic.
+THRESHOLD = 0.3
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -193,7 +197,7 @@ def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training = Training()) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, how: Training = Training()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Null doc_ids are scored and not held out; repeated rows score alike; with

@@ -1,6 +1,7 @@
 """The chain of stages: each one's decisions, columns, and odd rows."""
 
 import corpus_pipeline
+from murmuration.llm.toxicity import THRESHOLD, toxicity
 
 from ..conftest import SMALL
 from .test_dedup import brute, plain_dedup
@@ -37,3 +38,13 @@ def test_messy_rows_go_through(spark, messy, nothing):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_no_toxic_document_stays(spark):
+    """What the operator calls toxic does not go on, with documents of all scores."""
+    rows = [(i, " ".join(["awful"] * (i % 10) + [f"word{i % 7}"] * (10 - i % 10))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SMALL).collect()}
+    assert kept == {i for i, toxic in scored.items() if not toxic}
+    assert corpus_pipeline.REJECT == THRESHOLD
