@@ -38,6 +38,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: columns apart, lineage cut."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has a row for each key and ``n``, how many of ``rows`` have it.
+
+    Keys that hold more than one in ``hot`` of all rows are ``hot`` at most, so
+    their side is broadcast; only the others, none of them large, are shuffled.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    limit = max(10_000, total // hot)
+    large = keyed.where(F.col("n") > limit)
+    small = rows.join(keyed.where(F.col("n") <= limit), keys)
+    if not large.limit(1).count():
+        return small
+    few = F.broadcast(large)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(keyed.where(F.col("n") <= limit), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,8 +1,9 @@
 """Line dedup by overlapping three-line windows, in built-in functions only.
 
-A line is a physical line, cut further after a sentence or clause mark:
-corpora often hold a paragraph per line, and a passage pasted inside one
-would otherwise share no whole line with its other copies.
+A line is a physical line, cut further after a sentence or clause mark and
+after a long word. Corpora often hold a paragraph per line, and a passage
+pasted inside one would otherwise share no whole line with its other copies;
+cuts that depend on the words alone fall at the same places in every copy.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted, stored
 
-#: Places after a line feed, or after a mark and the white space that follows it.
-BREAKS = r"(?<=[ \n\t\r])(?:(?<=\n)|(?<=[.!?,;:][ \n\t\r]))"  # most places fail at the first test
+#: Places after a line feed, or after the white space that follows a mark or nine characters of one word.
+BREAKS = r"(?<=[ \n\t\r])(?:(?<=\n)|(?<=[.!?,;:][ \n\t\r])|(?<=[^ \n\t\r]{9}[ \n\t\r]))"  # most places fail at the first test
 TRIMMED = " \n\t\r"
+#: Bits of the filter that windows pass before they are shuffled: 2**25 at most, half a million broadcast rows.
+MOST_BITS = 25
 
 
 def lines_of(text: Column) -> Column:
@@ -22,76 +25,88 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), BREAKS, -1)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, lines``; mark tells texts of one doc_id apart."""
-    mark = F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)), 32)
-    return docs.select("doc_id", mark.alias("mark"), lines_of(F.col("text")).alias("lines"))
+def _windows(hashed: DataFrame, lines: int) -> DataFrame:
+    """``doc_id, mark, at, c0, c1, ...``: a row for each window, with the hashes of its lines and its first line's number."""
+    columns = [F.slice("hashes", k + 1, 1 << 30).alias(f"c{k}") for k in range(lines)]
+    at = F.sequence(F.lit(0), F.size("hashes") - 1).alias("at")
+    out = hashed.where(F.size("hashes") >= lines).select("doc_id", "mark", F.inline(F.arrays_zip(at, *columns)))
+    return out.where(F.col(f"c{lines - 1}").isNotNull())
 
 
-def _windows(docs: DataFrame, lines: int, min_chars: int) -> DataFrame:
-    """``h, doc_id, place``: each window of enough characters; place is its mark and first line.
+def _word(h: Column, bits: int) -> Column:
+    return F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
 
-    Windows are arrays of hashes and lengths zipped with themselves, one line
-    on each time; only those that go on are exploded. Past the last window the
-    length is null.
+
+def _passing(windows: DataFrame, key: Column, repeated: DataFrame) -> DataFrame:
+    """The windows whose key may be among ``repeated``, by a bitmap over the low bits of the hash.
+
+    The bitmap has 16 bits for each repeated hash up to a fixed size, which
+    bounds what is broadcast; what it lets through is compared exactly after.
     """
-    hashes = F.transform("lines", lambda x: F.xxhash64(F.rtrim(x, F.lit(TRIMMED))))
-    each = _keyed(docs).select("doc_id", "mark", hashes.alias("hashes"), F.transform("lines", F.length).alias("sizes"))
-    h, size = F.col("hashes"), F.col("sizes")
-    for k in range(2, lines + 1):
-        h = F.zip_with(h, F.slice("hashes", k, 1 << 30), lambda a, b: F.xxhash64(a, b))
-        size = F.zip_with(size, F.slice("sizes", k, 1 << 30), lambda a, b: a + b)
-    at = F.sequence(F.lit(0), F.size("hashes") - 1)
-    exploded = each.select("doc_id", "mark", F.explode(F.arrays_zip(h.alias("h"), size.alias("size"), at.alias("at"))).alias("w"))
-    kept = exploded.where(F.col("w.size") >= min_chars)
-    return kept.select(F.col("w.h").alias("h"), "doc_id", F.col("mark").bitwiseOR(F.col("w.at").cast("long")).alias("place"))
-
-
-def repeated_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFrame:
-    """``doc_id, mark, covered``: line numbers that later occurrences of windows cover.
-
-    Windows that occur once leave with a grouped count (combined before the
-    shuffle, so a window in very many documents is one row a task); the join
-    that finds the occurrences of the rest can be split where one is hot.
+    bits = min(MOST_BITS, max(10, (16 * repeated.count()).bit_length()))
+    words = repeated.select(_word(F.col("h"), bits).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hashed = windows.withColumn("h", key).withColumn("word", _word(F.col("h"), bits))
+    return hashed.join(F.broadcast(words), "word").where(F.expr("shiftright(bits, cast(h & 63 as int)) & 1") == 1).drop("word", "bits", "h")
+
+
+def repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
+    """``doc_id, mark, covered``: ascending numbers of the lines that later occurrences of windows cover.
+
+    Texts are cut once, and only line hashes go on. A grouped count of window
+    hashes (combined before the shuffle, so a window in very many documents is
+    one row a task) finds what repeats; only occurrences that may be of those
+    are shuffled again, and there a window is all its line hashes. Windows in
+    a thousandth of all occurrences, a thousand at most, are joined by broadcast.
     """
-    windows = _windows(docs, lines, min_chars)
-    repeated = windows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("h", "first_doc")
-    found = cut(windows.join(repeated, "h"))
-    at_first = F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    firsts = found.where(at_first).groupBy(F.col("h").alias("first_h")).agg(F.min("place").alias("first_place"))
-    later = found.join(firsts, F.col("h") == F.col("first_h")).where(~(at_first & (F.col("place") == F.col("first_place"))))
-    low = F.lit(0xFFFFFFFF)
-    marked = later.select("doc_id", F.shiftleft(F.shiftright("place", 32), 32).alias("mark"), F.col("place").bitwiseAND(low).cast("int").alias("at"))
-    merged = marked.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + lines - 1))))
+    rtrimmed = F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.rtrim(x, F.lit(TRIMMED))))
+    hashed = stored(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("mark"), rtrimmed.alias("hashes")), "line-hashes")
+    windows, names = _windows(hashed, lines), [f"c{k}" for k in range(lines)]
+    key = F.xxhash64(*names)
+    repeated = cut(windows.select(key.alias("h")).groupBy("h").count().where("count > 1").select("h"))
+    found = cut(_passing(windows, key, repeated))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "at")
+    firsts = cut(found.groupBy(*names).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    later = join_counted(found, firsts, names).where(place != F.col("first"))
+    merged = later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + lines - 1)))))
     return merged.select("doc_id", "mark", covered.alias("covered"))
 
 
 def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFrame:
     """All columns of ``docs``, with later copies of repeated passages gone from ``text``, then ``n_removed``.
 
-    Every window of ``lines`` consecutive lines that holds ``min_chars``
-    characters is hashed. Of a window that occurs again anywhere, the first
-    occurrence (smallest doc_id, then place; rows without one come last)
-    stays, and the lines that others cover are removed, overlaps merged.
+    Every window of ``lines`` consecutive lines is hashed. Of a window that
+    occurs again anywhere, the first occurrence (smallest doc_id, then place;
+    rows without one come last) stays, and the lines that others cover are
+    merged into runs. A run of ``min_chars`` characters goes; shorter ones are
+    common phrases and stay (0 removes every run). ``n_removed`` counts lines.
 
     A text of fewer lines is left alone; null and empty texts are unchanged
-    with 0 removed. Rows that agree in doc_id and text count as one document
-    and are treated alike. An empty table stays empty. Other columns pass
-    through; the added one replaces a column of the same name.
+    with 0 removed. A very long text is one row throughout, with 8 bytes a
+    line. Rows that agree in doc_id and text count as one document and are
+    treated alike. An empty table stays empty. Other columns pass through
+    whatever their names; the added one replaces a column of the same name.
     """
-    found = repeated_lines(docs, lines, min_chars).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.array_sort("covered").alias("__covered"))
-    named = docs.withColumn("__own", F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)), 32))
-    joined = named.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
-    # only changed texts are cut again
-    whole = joined.withColumn("__lines", F.when(F.col("__covered").isNotNull(), lines_of(F.col("text"))))
-    # what stands between removed lines, joined: no search for each line
-    gaps = F.concat(F.array(F.lit(-1)), "__covered", F.array(F.size("__lines")))
-    between = F.transform(
-        F.sequence(F.lit(0), F.size("__covered")),
-        lambda k: F.array_join(F.slice("__lines", F.get(gaps, k) + 2, F.get(gaps, k + 1) - F.get(gaps, k) - 1), ""),
-    )
-    rebuilt = F.array_join(between, "")
+    found = repeated_lines(docs, lines).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
+    named = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("own"))
+    joined = named.join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (F.col("own") == F.col("found_mark")), "left")
+    # only texts with something covered are cut again
+    cut_again = joined.withColumn("lines", F.when(F.col("covered").isNotNull(), lines_of(F.col("row.text"))))
+    before = F.concat(F.array(F.lit(-2)), "covered")
+    after = F.concat(F.slice("covered", 2, 1 << 30), F.array(F.lit(1 << 30)))
+    first = F.filter("covered", lambda x, i: x - F.get(before, i) > 1)
+    last = F.filter("covered", lambda x, i: F.get(after, i) - x > 1)
+
+    def chars(run):
+        return F.aggregate(F.slice("lines", run["first"] + 1, run["last"] - run["first"] + 1), F.lit(0), lambda n, x: n + F.length(x))
+
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    gone = cut_again.withColumn("runs", F.filter(runs, lambda run: chars(run) >= min_chars))
+    ends = F.concat(F.array(F.lit(-1)), F.col("runs.last"))
+    begins = F.concat(F.col("runs.first"), F.array(F.size("lines")))
+    between = F.zip_with(ends, begins, lambda a, b: F.array_join(F.slice("lines", a + 2, b - a - 1), ""))
+    changed = F.coalesce(F.size("runs") > 0, F.lit(False))
+    text = F.when(changed, F.array_join(between, "")).otherwise(F.col("row.text"))
+    removed = F.when(changed, F.aggregate("runs", F.lit(0), lambda n, run: n + run["last"] - run["first"] + 1)).otherwise(0)
     order = [c for c in docs.columns if c != "n_removed"]
-    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(rebuilt)
-    return whole.select(*[text.alias("text") if c == "text" else F.col(c) for c in order], F.when(F.col("__covered").isNull(), F.lit(0)).otherwise(F.size("__covered")).alias("n_removed"))
+    return gone.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], removed.alias("n_removed"))

@@ -527,16 +527,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, for
 def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8, forest: Forest = Forest()) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id's, one of its repeated rows.
 
-    Rows whose text has no word all stay. Columns are unchanged.
+    Rows whose text has no word all stay. Columns are unchanged, whatever their
+    names; of repeated rows that differ in other columns any one stays.
     """
     rows = cut(_grouped(docs, width, threshold, forest))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    stay = rows.where("sid is not null").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("__doc"), F.col("o.mark").alias("__mark"), F.lit(True).alias("__stays"))
-    joined = docs.withColumn("__own", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left")
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = joined.where(F.col("__stays") | wordless)
+    stay = rows.where("sid is not null").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("stay_id"), F.col("o.mark").alias("stay_mark"), F.lit(True).alias("stays"))
+    # the input's columns stand in one struct, so their names can't clash
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own"))
+    joined = packed.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own") == F.col("stay_mark")), "left")
+    wordless = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = joined.where(F.col("stays") | wordless)
     repeated = rows.where("sid is not null").groupBy("doc_id", "mark").count().where("count > 1")
     if repeated.limit(1).count():
-        one = out.where(~wordless).dropDuplicates(["doc_id", "__own"])
+        one = out.where(~wordless).dropDuplicates(["own_id", "own"])
         out = one.unionByName(out.where(wordless))
-    return out.select(*docs.columns)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

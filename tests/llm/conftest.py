@@ -28,7 +28,7 @@ def messy(spark):
         (10, "x" * 30_000),
         (11, "naïve café's <|endoftext|> 12.5 \U0001f600 é́ it's"),
     ]
-    names = ["score", "sid", "h", "kept", "n_tokens", "__own", "mark", "item_id"]
+    names = ["score", "sid", "h", "kept", "n_tokens", "__own", "mark", "item_id", "__doc", "__score", "row", "own", "lines", "found_id", "covered", "root"]
     return spark.createDataFrame([(i, t, "en", *[k for k in range(len(names))]) for i, t in rows], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
 
 

@@ -98,6 +98,7 @@ def test_messy_rows(spark, messy, nothing):
     assert near_duplicates(nothing).count() == 0
     kept = keep_one(messy, 2, 0.8)
     assert kept.columns == messy.columns
+    assert {tuple(r[2:]) for r in kept.collect()} == {tuple(r[2:]) for r in messy.collect()}  # no clashing column is touched
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["0", "2", "3", "4", "5", "6", "8", "10", "11", "None"])
     assert keep_one(nothing).count() == 0
 
@@ -119,24 +120,49 @@ def test_op5(spark, duck):
 
 
 def lines_of(text):
-    return [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:][ \n\t\r])", text)] if text else [""]
+    return [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:][ \n\t\r])|(?<=[^ \n\t\r]{9}[ \n\t\r])", text)] if text else [""]
 
 
 def plain_dedup(rows, lines=3, least=60):
     seen, gone = set(), {}
     for key, text in sorted(rows):
-        parts = lines_of(text)
+        parts, covered = lines_of(text), set()
         for i in range(len(parts) - lines + 1):
-            window = parts[i : i + lines]
-            if sum(map(len, window)) < least:
-                continue
-            name = tuple(x.rstrip(" \n\t\r") for x in window)
+            name = tuple(x.rstrip(" \n\t\r") for x in parts[i : i + lines])
             if name in seen:
-                gone.setdefault(key, set()).update(range(i, i + lines))
+                covered.update(range(i, i + lines))
             seen.add(name)
+        run = []
+        for i in [*sorted(covered), None]:
+            if run and i != run[-1] + 1:
+                if sum(len(parts[k]) for k in run) >= least:
+                    gone.setdefault(key, set()).update(run)
+                run = []
+            run.append(i)
     return {k: "".join(x for i, x in enumerate(lines_of(t)) if i not in gone.get(k, ())) for k, t in rows}
 
 
+def windows_of(text, n=50):
+    words = text.split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_planted_passages_of_short_lines_and_of_few_marks(spark):
+    """Passages over 50 words, with a mark after each word or with none at all, go from all but the first document."""
+    short = " ".join(f"w{i}," for i in range(60))
+    plain = " ".join("longerword" + str(i) if i % 6 == 0 else f"w{i}" for i in range(60))
+    rows = []
+    for i in range(8):
+        rows.append((i, prose(i, 40) + " " + (short if i % 2 else plain) + " " + prose(90 + i, 40)))
+    clean = [(20 + i, prose(400 + i, 120)) for i in range(4)]
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    assert out == plain_dedup(rows + clean)
+    for i in range(2, 8):
+        assert not windows_of(out[i]) & windows_of(out[i % 2])
+    assert all(out[k] == t for k, t in clean)
+    assert short in out[1] and plain in out[0]
+
+
 def test_passages_inside_and_between_lines(spark):
     passage = "We met by the river at noon, all of us. The boats were late, as ever.\nNobody minded; the sun was out. A dog slept, then woke."
     rows = [(i, prose(i, 30) + (" " if i % 2 else "\n") + passage + " " + prose(50 + i, 30)) for i in range(6)] + [(9, "a. a. a. a. " * 20), (10, prose(77, 200))]
@@ -150,6 +176,7 @@ def test_passages_inside_and_between_lines(spark):
 def test_messy_lines(messy, nothing):
     out = dedup_lines(messy)
     assert out.columns == [*messy.columns, "n_removed"]
+    assert {tuple(r[2:-1]) for r in out.collect()} == {tuple(r[2:]) for r in messy.collect()}
     rows = {}
     for r in out.collect():
         rows.setdefault(r["doc_id"], []).append(r)
