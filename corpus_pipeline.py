@@ -3,7 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but
 the last return the columns of documents. ``run`` writes each stage's result
 as Parquet in the shared folder and reads it back as the next one's input, so
-a lost executor costs a stage at most.
+a lost executor costs a stage at most. Nulls, repeated rows, empty tables and
+further columns are handled as each stage's operator says; no row is special
+here.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ REJECT = THRESHOLD
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose whole text scores under ``REJECT``."""
+    """Rows whose whole text scores under ``REJECT``; null and empty texts score as the prior."""
     model = train(docs, read(spark, sf_dir, "labels"))
-    return scores(docs, model, "__score").where(F.col("__score") < REJECT).select(*docs.columns)
+    name = "score"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return scores(docs, model, name).where(F.col(name) < REJECT).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without later copies of repeated passages; n_chars follows the text."""
+    """All rows, without later copies of repeated passages; n_chars follows the text, and null texts stay null."""
     out = dedup_lines(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -38,12 +43,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One row of each group of near duplicates: five-word shingles, similarity 0.8. Rows without words all stay."""
     return keep_one(docs, width=5, threshold=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item."""
+    """Rows whose text holds no benchmark item; null and empty texts hold none."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
