@@ -7,6 +7,8 @@ or other partitions, give the same numbers, and no two rows share a stream.
 from __future__ import annotations
 
 import math
+import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,22 +18,52 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
-def uniform(*keys, seed: int = 0, tag: str = "u") -> Column:
+def _tagged(tag, end: str):
+    return tag + end if isinstance(tag, str) else F.concat(tag, F.lit(end))
+
+
+def uniform(*keys, seed: int | Column = 0, tag: str | Column = "u") -> Column:
     """Uniform on the open interval (0, 1), from 53 bits of a hash."""
-    h = F.xxhash64(F.lit(seed), F.lit(tag), *[_col(k) for k in keys])
+    h = F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, F.lit(tag) if isinstance(tag, str) else tag, *[_col(k) for k in keys])
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
 
-def normal(*keys, seed: int = 0, tag: str = "n") -> Column:
+def normal(*keys, seed: int | Column = 0, tag: str | Column = "n") -> Column:
     """Standard normal by Box and Muller's transform."""
-    u, v = (uniform(*keys, seed=seed, tag=f"{tag}{k}") for k in "ab")
+    u, v = (uniform(*keys, seed=seed, tag=_tagged(tag, k)) for k in "ab")
     return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
 
 
-def truncated_normal(bound: float, *keys, seed: int = 0, tag: str = "tn", tries: int = 4) -> Column:
-    """Standard normal on (-bound, bound): the first of ``tries`` draws inside, else 0."""
-    draws = [normal(*keys, seed=seed, tag=f"{tag}{k}") for k in range(tries)]
-    return F.coalesce(*[F.when(F.abs(z) < bound, z) for z in draws], F.lit(0.0))
+# Coefficients of Acklam's rational approximation to the inverse of the normal distribution.
+_MIDDLE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_MIDDLE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_TAIL_FROM = 0.02425
+
+
+def _polynomial(coefficients, x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def probit(p: Column) -> Column:
+    """Inverse of the standard normal distribution function, to about 1e-9."""
+    tail = F.least(p, 1.0 - p)
+    far = F.sqrt(-2.0 * F.log(tail))
+    outside = _polynomial(_TAIL, far) / _polynomial(_TAIL_BELOW, far)
+    q = p - 0.5
+    middle = q * _polynomial(_MIDDLE, q * q) / _polynomial(_MIDDLE_BELOW, q * q)
+    return F.when(tail >= _TAIL_FROM, middle).when(p < 0.5, outside).otherwise(-outside)
+
+
+def truncated_normal(bound: float, *keys, seed: int = 0, tag: str = "tn") -> Column:
+    """Standard normal on (-bound, bound), by its inverse distribution function."""
+    below = 0.5 * math.erfc(bound / math.sqrt(2))
+    p = below + (1 - 2 * below) * uniform(*keys, seed=seed, tag=tag)
+    return F.greatest(F.lit(-bound), F.least(F.lit(bound), probit(p)))
 
 
 def gamma2(scale: float, *keys, seed: int = 0, tag: str = "g") -> Column:
@@ -63,3 +95,61 @@ def laplace(*keys, seed: int = 0, tag: str = "l") -> Column:
 def lcg(i) -> Column:
     """A linear congruential value in [0, 1) that any SQL engine gives alike."""
     return (_col(i).cast("long") * 1103515245 + 12345) % 2147483648 / F.lit(2147483648.0)
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """Noise of a run from hashes of its name, step and keys."""
+
+    seed: int = 0
+
+    def normal(self, name: str, t: int | Column, *keys) -> Column:
+        return normal(*keys, seed=self.seed, tag=self._tag(name, t))
+
+    def uniform(self, name: str, t: int | Column, *keys) -> Column:
+        return uniform(*keys, seed=self.seed, tag=self._tag(name, t))
+
+    @staticmethod
+    def _tag(name, t):
+        return f"{name}{t}" if isinstance(t, int) else F.concat(F.lit(name), t.cast("string"))
+
+
+#: Integers of the scripted noise are under this.
+RANGE = 1 << 31
+
+
+@dataclass(frozen=True)
+class Scripted:
+    """Noise from integer arithmetic alone, which any SQL engine repeats to the last bit.
+
+    ``normal`` adds four uniforms and scales them to variance 1, so it needs no
+    logarithm or cosine and lies within 3.5.
+    """
+
+    seed: int = 0
+
+    @staticmethod
+    def constant(name: str) -> int:
+        return zlib.crc32(name.encode()) % RANGE
+
+    def hashed(self, name: str, t, *keys) -> Column:
+        h = F.lit(self.seed + self.constant(name)).cast("long") % RANGE
+        for k in (t, *keys):
+            h = (h * 1664525 + _col(k).cast("long")) % RANGE
+            h = h.bitwiseXOR(F.shiftright(h, 15))
+        h = (h * 1103515245 + 12345) % RANGE
+        h = h.bitwiseXOR(F.shiftright(h, 13))
+        return (h * 69069 + 1) % RANGE
+
+    def uniform(self, name: str, t, *keys) -> Column:
+        return (self.hashed(name, t, *keys) + 0.5) / float(RANGE)
+
+    def normal(self, name: str, t, *keys) -> Column:
+        a, b = self.hashed(name, t, *keys), self.hashed(name + "'", t, *keys)
+        low, high = F.lit((1 << 15) - 1).cast("long"), 16
+        total = F.shiftright(a, high) + a.bitwiseAND(low) + F.shiftright(b, high) + b.bitwiseAND(low)
+        return ((total + 2) / 32768.0 - 2.0) * math.sqrt(3.0)
+
+
+#: Sources of noise by name.
+NOISE = {"keyed": Keyed, "scripted": Scripted}

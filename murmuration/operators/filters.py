@@ -4,20 +4,19 @@ A step takes and gives a particle table; many series run side by side under
 ``series_id``. All noise is keyed by series, particle and step, so a step that
 runs again gives the same set. Weights stay log-weights until a step's largest
 is known, so a far observation underflows to equal weights and not to nothing.
+Series with small sets are folded instead, see :mod:`.packed`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import rng
+from ..functions.rng import NOISE
 from ..lineage import cut, new_path
+from . import packed
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, fixed_from_log, replicated
 from .schemes import SCHEMES
@@ -34,6 +33,9 @@ class FilterConfig:
     multiplies a new weight with the old one or replaces it; a set is
     resampled where its effective size is under ``ess_share`` of n (None:
     always); ``n_out`` lets a step's resampling give another number of rows.
+    ``noise`` is ``"keyed"`` or ``"scripted"`` and ``grid`` holds states on
+    multiples of 1/grid: with both, any engine repeats a run. Sets of
+    ``packed`` particles at most are folded, ``steps_at_once`` steps a job.
     """
 
     particles: int = 1000
@@ -47,18 +49,26 @@ class FilterConfig:
     n_out: int | None = None
     shrink: float = 0.98
     block: int | None = 1 << 16
+    noise: str = "keyed"
+    grid: float | None = None
+    packed: int = 1024
+    steps_at_once: int = 256
+
+    @property
+    def source(self):
+        return NOISE[self.noise](self.seed)
 
 
 def initial(series: DataFrame, model: BenchmarkModel, config: FilterConfig) -> DataFrame:
     """``series_id, id, part, w, x``: n equal-weight draws per series."""
     rows = series.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))).alias("id"))
     part = F.floor(F.col("id") * config.parts / config.particles).cast("int")
-    x = model.init(rng.normal("series_id", "id", seed=config.seed, tag="init"))
+    x = packed.on_grid(model.init(config.source.normal("init", 0, "series_id", "id")), config.grid)
     return rows.select("series_id", "id", part.alias("part"), F.lit(ONE).cast("long").alias("w"), x.alias("x"))
 
 
 def _log(w: str) -> Column:
-    return F.when(F.col(w) > 0, F.log(F.col(w) / F.lit(float(ONE)))).otherwise(F.lit(float("-inf")))
+    return packed.log_of(F.col(w))
 
 
 def summary(state: DataFrame, t: int) -> DataFrame:
@@ -70,10 +80,11 @@ def weighed(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel
     """The set moved to step t and weighed by its observation (``series_id, y``). A series without one only moves."""
     joined = state.join(observed.select("series_id", "y"), KEY, "left")
     time = F.lit(t * config.dt)
-    noise = rng.normal("series_id", "id", seed=config.seed, tag=f"move{t}")
+    noise = config.source.normal("move", t, "series_id", "id")
     proposed = model.proposal(F.col("x"), F.col("y"), time, noise)
-    after = model.propagate(F.col("x"), time, noise) if proposed is None else proposed
-    moved = joined.withColumn("__before", F.col("x")).withColumn("x", after)
+    after = model.propagate(F.col("x"), time, noise)
+    after = after if proposed is None else F.coalesce(proposed, after)
+    moved = joined.withColumn("__before", F.col("x")).withColumn("x", packed.on_grid(after, config.grid))
     seen = F.col("__before") if config.weight_on == "pre" else F.col("x")
     gain = model.log_likelihood(F.col("y"), seen)
     if proposed is not None:
@@ -83,11 +94,14 @@ def weighed(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel
     return fixed_from_log(moved.withColumn("__lw", log_w), "__lw", KEY).drop("__lw", "__before", "y")
 
 
+def _draw(config: FilterConfig, t: int, *keys: str):
+    return lambda i: config.source.uniform("pick", t, "series_id", *keys, *([] if i is None else [i]))
+
+
 def resampled(state: DataFrame, t: int, config: FilterConfig) -> DataFrame:
     """Equal weights for the series whose effective size is too small; the others keep theirs."""
     n = config.n_out or config.particles
-    pick = RESAMPLERS[config.resampler]
-    keyed_seed = config.seed * 1_000_003 + t
+    pick, draw = RESAMPLERS[config.resampler], _draw(config, t)
     if config.ess_share is None:
         thin, full = state, None
     else:
@@ -95,7 +109,7 @@ def resampled(state: DataFrame, t: int, config: FilterConfig) -> DataFrame:
         marked = state.join(sizes, KEY)
         poor = F.col("__ess") < config.ess_share * F.col("__n")
         thin, full = marked.where(poor).drop("__ess", "__n"), marked.where(~poor).drop("__ess", "__n")
-    out = replicated(pick(thin, n, keyed_seed, KEY, config.block)).withColumn("w", F.lit(ONE).cast("long")).select(*state.columns)
+    out = replicated(pick(thin, n, draw, KEY, config.block)).withColumn("w", F.lit(ONE).cast("long")).select(*state.columns)
     return out if full is None else out.unionByName(full)
 
 
@@ -107,15 +121,16 @@ def bootstrap_step(state: DataFrame, observed: DataFrame, t: int, model: Benchma
 
 def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
     """Resample by weight times the likelihood of the expected next state, move, and weigh by the ratio. A series without an observation only moves."""
-    time, noise = F.lit(t * config.dt), rng.normal("series_id", "id", seed=config.seed, tag=f"move{t}")
+    time, noise = F.lit(t * config.dt), config.source.normal("move", t, "series_id", "id")
     seen = observed.where("y is not null").select("series_id", "y")
     joined = state.join(seen, KEY)
     ahead = joined.withColumn("__ahead", model.log_likelihood(F.col("y"), model.mean(F.col("x"), time)))
     first = cut(fixed_from_log(ahead.withColumn("__lw", _log("w") + F.col("__ahead")), "__lw", KEY).drop("__lw"))
-    pick = RESAMPLERS[config.resampler](first, config.particles, config.seed * 1_000_003 + t, KEY, config.block)
-    chosen = replicated(pick).withColumn("x", model.propagate(F.col("x"), time, noise))
+    pick = RESAMPLERS[config.resampler](first, config.particles, _draw(config, t), KEY, config.block)
+    move = packed.on_grid(model.propagate(F.col("x"), time, noise), config.grid)
+    chosen = replicated(pick).withColumn("x", move)
     second = chosen.withColumn("__lw", model.log_likelihood(F.col("y"), F.col("x")) - F.col("__ahead"))
-    idle = state.join(seen, KEY, "left_anti").withColumn("x", model.propagate(F.col("x"), time, noise))
+    idle = state.join(seen, KEY, "left_anti").withColumn("x", move)
     columns = ["series_id", "id", "part", "w", "x"]
     now = cut(fixed_from_log(second, "__lw", KEY).select(*columns).unionByName(idle.select(*columns)))
     return now, summary(now, t)
@@ -149,26 +164,56 @@ def _going(state: DataFrame, ends: DataFrame, t: int) -> DataFrame:
 STEPS = {"bootstrap": bootstrap_step, "auxiliary": auxiliary_step}
 
 
+COLUMNS = ["series_id", "t", "mean", "ess", "q05", "q95"]
+
+
+def folds(config: FilterConfig) -> bool:
+    """Whether a set is small enough, and its resampler in closed form, to be an array."""
+    return max(config.particles, config.n_out or 0) <= config.packed and config.resampler in packed.BOUNDS
+
+
 def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark", filter_: str = "bootstrap", config: FilterConfig = FilterConfig()) -> DataFrame:
     """``series_id, t, mean, ess, q05, q95`` for every step of ``observations(series_id, t, y)``.
 
-    Steps depend on one another; series and particles do not, and lineage is
-    cut and the summary written once a step. Rows whose y is null count as no
-    observation; a series leaves after its last one.
+    Every series begins at step 1. Rows whose y is null count as no
+    observation, of repeated rows of a step the one with the least y counts,
+    and a series leaves after its last one. Steps depend on one another;
+    series and particles do not. Sets of ``config.packed`` particles at most
+    are folded, a row per series and a job for each ``config.steps_at_once``
+    steps; larger ones go step by step, a row per particle. Both give the same
+    numbers.
     """
     model = MODELS[model]() if isinstance(model, str) else model
-    seen = cut(observations.where("y is not null").select("series_id", "t", "y"))
+    seen = cut(observations.where("y is not null").groupBy("series_id", "t").agg(F.min("y").alias("y")))
     ends = _ends(seen)
-    last = ends.agg(F.max("end")).first()[0] or 0
-    state, out = _going(initial(seen, model, config), ends, 0), Told(seen.sparkSession)
-    for t in range(1, last + 1):
-        state, said = STEPS[filter_](state, seen.where(F.col("t") == t), t, model, config)
-        out.add(said, t)
-        state = cut(_going(state, ends, t))
-    columns = ["series_id", "t", "mean", "ess", "q05", "q95"]
-    if not out.steps:
-        return summary(state, 0).select(*columns).where("false")
-    return out.rows().select(*columns)
+    last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
+    if not last:
+        return summary(initial(seen, model, config), 0).select(*COLUMNS).where("false")
+    if not folds(config):
+        state = _going(initial(seen, model, config), ends, 0)
+        for t in range(1, last + 1):
+            state, said = STEPS[filter_](state, seen.where(F.col("t") == t), t, model, config)
+            out.add(said, t)
+            state = cut(_going(state, ends, t))
+        return out.rows().select(*COLUMNS)
+    noise = config.source
+    sets = ends.select("series_id", "end", packed.started(model, config, noise).alias("set"))
+    for low in range(1, last + 1, config.steps_at_once):
+        high = low + config.steps_at_once - 1
+        these = packed.observed(seen.where(F.col("t").between(low, high))).select("series_id", "seen")
+        rows = sets.join(these, "series_id", "left").select("series_id", "end", "set", F.lit(low).alias("low"), F.least(F.lit(high), "end").cast("int").alias("high"), F.coalesce("seen", F.array().cast("array<struct<t:int,y:double>>")).alias("seen"))
+        after = packed.advanced(rows, model, filter_, config, noise)
+        if high >= last:
+            out.add(_spread(after), low)
+        else:
+            after = cut(after)
+            out.add(_spread(after), low)
+            sets = cut(after.select("series_id", "set").join(ends.where(F.col("end") > high), "series_id"))
+    return out.rows().select(*COLUMNS)
+
+
+def _spread(after: DataFrame) -> DataFrame:
+    return after.select("series_id", F.inline("said"))
 
 
 def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
@@ -182,14 +227,14 @@ def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model
     state = cut(particles.select("id", F.col("part").cast("int").alias("part"), F.lit(ONE).cast("long").alias("w"), "x"))
     n, out = config.n_out or state.count(), Told(particles.sparkSession)
     for t in sorted(seen):
-        time, noise = F.lit(t * config.dt), rng.normal("part", "id", seed=config.seed, tag=f"move{t}")
-        moved = state.withColumn("__before", F.col("x")).withColumn("x", model.propagate(F.col("x"), time, noise))
+        time, noise = F.lit(t * config.dt), config.source.normal("move", t, "part", "id")
+        moved = state.withColumn("__before", F.col("x")).withColumn("x", packed.on_grid(model.propagate(F.col("x"), time, noise), config.grid))
         gain = model.log_likelihood(seen[t], F.col("__before") if config.weight_on == "pre" else F.col("x"))
         log_w = _log("w") + gain if config.accumulate else gain
         now = cut(fixed_from_log(moved.withColumn("__lw", log_w), "__lw").select("id", "part", "w", "x"))
         said = now.agg(weighted_mean("x").alias("mean"), effective_size().alias("ess")).select(F.lit(t).alias("t"), "mean", "ess")
         out.add(said, t)
-        draw = lambda *keys, t=t: rng.uniform(*keys, seed=config.seed, tag=f"draw{t}")
+        draw = lambda *keys, t=t: config.source.uniform("draw", t, *keys)
         chosen = SCHEMES[scheme](now, n, config.parts, draw, draw)
         if "part" not in chosen.columns:
             chosen = chosen.withColumn("part", F.floor(F.col("id") * config.parts / n).cast("int"))
@@ -219,41 +264,50 @@ def p(k: int) -> Column:
 
 
 def imm_moments(state: DataFrame, shrink: float) -> DataFrame:
-    """Per series: the next modes' probabilities, parameter means, and their covariance by the shrinkage's rest, in one aggregate."""
+    """Per series: the next modes' probabilities, parameter means, and their covariance by the shrinkage's rest.
+
+    Products are taken about the means, in a second pass, so a tight set far
+    from 0 loses nothing.
+    """
     model, w = RsGarch(), F.col("w") / F.lit(float(ONE))
     total = F.sum(w)
     mixed = [(F.sum(w * model.mode_probability(i, F.col("q"), F.col("vol"), p)) / total).alias(f"mode{i}") for i in range(model.modes)]
-    means = [(F.sum(w * p(k)) / total).alias(f"m{k}") for k in range(9)]
-    products = [((1 - shrink**2) * (F.sum(w * p(i) * p(j)) / total - F.sum(w * p(i)) / total * F.sum(w * p(j)) / total)).alias(f"c{i}_{j}") for i, j in PAIRS]
-    return state.groupBy(*KEY).agg(*mixed, *means, *products)
+    means = state.groupBy(*KEY).agg(*mixed, *[(F.sum(w * p(k)) / total).alias(f"m{k}") for k in range(9)])
+    away = [p(k) - F.col(f"m{k}") for k in range(9)]
+    products = [((1 - shrink**2) * F.sum(w * away[i] * away[j]) / total).alias(f"c{i}_{j}") for i, j in PAIRS]
+    return means.join(state.join(means, KEY).groupBy(*KEY).agg(*products), KEY)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def root_of(covariances: pd.Series) -> pd.Series:
-    """Lower triangles of roots of covariances given as lower triangles: Cholesky, or by eigenvalues where it has none."""
+def root_of(covariances: Column) -> Column:
+    """Lower triangle of a root of a covariance given as its lower triangle, both by rows.
+
+    Cholesky's recursion as a fold. A direction without variance, or with less
+    than rounding leaves of it, has a column of zeros, so a singular covariance
+    has a root too.
+    """
 
-    def one(flat):
-        c = np.zeros((9, 9))
-        for value, (i, j) in zip(flat, PAIRS, strict=True):
-            c[i, j] = c[j, i] = value
-        try:
-            root = np.linalg.cholesky(c)
-        except np.linalg.LinAlgError:
-            values, vectors = np.linalg.eigh(c)
-            half = vectors * np.sqrt(np.maximum(values, 0))
-            root = np.linalg.qr(half.T)[1].T  # triangular, same product
-        return [float(root[i, j]) for i, j in PAIRS]
+    def entry(done, k, row, column):
+        base, other = ((n * (n + 1) / 2).cast("int") for n in (row, column))
+        left = F.slice(done, base + 1, column)
+        right = F.when(row == column, left).otherwise(F.slice(done, other + 1, column))
+        dot = F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        rest = F.get(covariances, k) - dot
+        pivot = F.get(done, other + column)
+        small = F.abs(F.get(covariances, k)) * 1e-12
+        return F.when(row == column, F.sqrt(F.when(rest > small, rest).otherwise(0.0))).when(pivot > 0, rest / pivot).otherwise(0.0)
 
-    return covariances.map(one)
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(PAIRS)])
+    return F.aggregate(places, F.array().cast("array<double>"), lambda done, at: F.concat(done, F.array(entry(done, at["k"], at["i"], at["j"]))))
 
 
 def imm_first_stage(state: DataFrame, moments: DataFrame, observed: DataFrame, shrink: float) -> DataFrame:
     """A row for each particle and next mode, with log first-stage weight and the shrunk parameters m0..m8."""
     model = RsGarch()
-    joined = state.join(moments, KEY).join(observed.select("series_id", "y"), KEY)
+    rooted = moments.withColumn("root", root_of(F.array(*[f"c{i}_{j}" for i, j in PAIRS])))  # a row for each series
+    joined = state.join(rooted, KEY).join(observed.select("series_id", "y"), KEY)
     shrunk = [(shrink * p(k) + (1 - shrink) * F.col(f"m{k}")).alias(f"m{k}") for k in range(9)]
     keep = ["series_id", "id", "w", "r", "vol", "q", *THETA, "y", *[f"mode{i}" for i in range(model.modes)], "root"]
-    wide = joined.withColumn("root", root_of(F.array(*[f"c{i}_{j}" for i, j in PAIRS]))).select(*keep, *shrunk)
+    wide = joined.select(*keep, *shrunk)
     each = wide.withColumn("mode", F.explode(F.array(*[F.lit(i) for i in range(model.modes)])))
     ahead = model.log_likelihood(F.col("y"), model.predict(p))
     to_mode = F.when(F.col("mode") == 0, model.mode_probability(0, F.col("q"), F.col("vol"), p)).otherwise(model.mode_probability(1, F.col("q"), F.col("vol"), p))
@@ -268,9 +322,9 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
     first = cut(fixed_from_log(imm_first_stage(watched, imm_moments(watched, config.shrink), seen, config.shrink), "lw", ["series_id", "mode"], out="w"))
     keys = ["series_id", "mode"]
     n = F.lit(config.particles // model.modes).cast("long") + F.when(F.col("mode") < config.particles % model.modes, 1).otherwise(0)
-    chosen = RESAMPLERS[config.resampler](first, n, config.seed * 1_000_003 + t, keys, config.block).where("hi > lo")
+    chosen = RESAMPLERS[config.resampler](first, n, _draw(config, t, "mode"), keys, config.block).where("hi > lo")
     copies = chosen.withColumn("id", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))).withColumn("id", F.col("id") * model.modes + F.col("mode"))
-    z = [rng.normal("series_id", "id", seed=config.seed, tag=f"theta{t}_{k}") for k in range(9)]
+    z = [config.source.normal(f"theta{k}", t, "series_id", "id") for k in range(9)]
 
     def drawn(i):
         step = sum((F.get("root", PAIRS.index((i, j))) * z[j] for j in range(i + 1)), F.lit(0.0))
@@ -279,13 +333,13 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
     drawn_columns = copies.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", *[drawn(k).alias(f"d{k}") for k in range(9)])
     fixed_ = constrained(F.col("d3"), F.col("d4"), F.col("d1"), F.col("d2"))
     theta = drawn_columns.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", F.col("d0").alias("p0"), *fixed_, *[F.col(f"d{k}").alias(f"p{k}") for k in range(5, 9)])
-    noise = rng.normal("series_id", "id", seed=config.seed, tag=f"r{t}")
+    noise = config.source.normal("move", t, "series_id", "id")
     r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("mode"), p, noise)
     moved = theta.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).withColumn("q", F.col("mode"))
     share = F.when(F.col("mode") == 0, F.col("mode0")).otherwise(F.col("mode1"))
     second = moved.withColumn("lw", F.log(share) + model.log_likelihood(F.col("y"), F.col("r")) - F.col("ahead"))
     # without an observation a particle draws its next mode and keeps weight and parameters
-    turned = state.join(seen, KEY, "left_anti").withColumn("q", model.next_mode(F.col("q"), F.col("vol"), p, rng.uniform("series_id", "id", seed=config.seed, tag=f"q{t}")))
+    turned = state.join(seen, KEY, "left_anti").withColumn("q", model.next_mode(F.col("q"), F.col("vol"), p, config.source.uniform("mode", t, "series_id", "id")))
     r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("q"), p, noise)
     idle = turned.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r"))
     columns = ["series_id", "id", "w", "r", "vol", "q", *THETA]

@@ -7,7 +7,7 @@ bound of the row before, and no second pass over neighbours is needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,72 +64,84 @@ def _n(n) -> Column:
     return F.lit(n).cast("long") if isinstance(n, int) else n
 
 
-def systematic(df: DataFrame, n, u, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
-    """``df`` with ``lo, hi, cnt``: the points (u + i) / n that fall in each row's stretch of the weights.
-
-    ``u`` is in (0, 1), so the first row begins at 0 and the last ends at n.
-    A zero total gives no points.
-    """
-    n, u = _n(n), u if isinstance(u, Column) else F.lit(float(u))
+def systematic_bound(n: Column, u: Column) -> Callable[[Column, Column], Column]:
+    """How many of the points (u + i) / n lie under the running weight ``c`` of a total ``tw``."""
 
-    def bound(c):
-        at = F.ceil(n.cast("double") * c / F.nullif("tw", F.lit(0)) - u)
+    def bound(c, tw):
+        at = F.ceil(n.cast("double") * c / F.nullif(tw, F.lit(0)) - u)
         return F.coalesce(F.least(n, F.greatest(F.lit(0).cast("long"), at)), F.lit(0).cast("long"))
 
-    c = cumulated(df, w, keys, order, block)
-    out = c.withColumn("lo", bound(F.col("cw") - F.col(w))).withColumn("hi", bound(F.col("cw")))
-    return out.withColumn("cnt", F.col("hi") - F.col("lo")).drop("cw", "tw")
+    return bound
 
 
-def stratified(df: DataFrame, n, draw, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
-    """``lo, hi, cnt`` with one uniform ``draw(i)`` in each of n equal strata, in closed form."""
-    n = _n(n)
+def stratified_bound(n: Column, draw: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    """The same with a point ``draw(i)`` in each of n equal strata."""
 
-    def bound(c):
-        at = n.cast("double") * c / F.nullif("tw", F.lit(0))
+    def bound(c, tw):
+        at = n.cast("double") * c / F.nullif(tw, F.lit(0))
         whole = F.floor(at)
         return F.coalesce(F.least(n, whole + F.when(at - whole > draw(whole), 1).otherwise(0)), F.lit(0).cast("long"))
 
+    return bound
+
+
+def _bounded(df: DataFrame, bound, w: str, keys: Sequence[str], order: str, block: int | None) -> DataFrame:
     c = cumulated(df, w, keys, order, block)
-    out = c.withColumn("lo", bound(F.col("cw") - F.col(w))).withColumn("hi", bound(F.col("cw")))
+    out = c.withColumn("lo", bound(F.col("cw") - F.col(w), F.col("tw"))).withColumn("hi", bound(F.col("cw"), F.col("tw")))
     return out.withColumn("cnt", F.col("hi") - F.col("lo")).drop("cw", "tw")
 
 
-def multinomial(df: DataFrame, draws: DataFrame, buckets: int, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
+def systematic(df: DataFrame, n, u, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
+    """``df`` with ``lo, hi, cnt``: the points (u + i) / n that fall in each row's stretch of the weights.
+
+    ``u`` is in (0, 1), so the first row begins at 0 and the last ends at n.
+    A zero total gives no points.
+    """
+    return _bounded(df, systematic_bound(_n(n), u if isinstance(u, Column) else F.lit(float(u))), w, keys, order, block)
+
+
+def stratified(df: DataFrame, n, draw, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
+    """``lo, hi, cnt`` with one uniform ``draw(i)`` in each of n equal strata, in closed form."""
+    return _bounded(df, stratified_bound(_n(n), draw), w, keys, order, block)
+
+
+def multinomial(df: DataFrame, draws: DataFrame, buckets: int | Column, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
     """``df`` with ``cnt``: how many of ``draws(keys, u)``, u in [0, 1), fall on each row.
 
     Both sides are dealt into ``buckets`` equal stretches of the total weight
     and joined on the bucket, so neither is sorted as a whole. About as many
-    buckets as rows keep both sides of a bucket small.
+    buckets as rows keep both sides of a bucket small; their number may differ
+    by key, as a Column of the keys.
     """
     keys = list(keys)
     c = cumulated(df, w, keys, order, block).where(F.col(w) > 0)
-    scale = F.lit(float(buckets))
-    low = F.least(F.floor((F.col("cw") - F.col(w)) / F.col("tw") * scale), F.lit(buckets - 1))
-    high = F.least(F.floor(F.col("cw") / F.col("tw") * scale), F.lit(buckets - 1))
+    buckets = _n(buckets)
+    scale = buckets.cast("double")
+    low = F.least(F.floor((F.col("cw") - F.col(w)) / F.col("tw") * scale), buckets - 1)
+    high = F.least(F.floor(F.col("cw") / F.col("tw") * scale), buckets - 1)
     spread = c.select(*keys, F.col(order).alias("__id"), (F.col("cw") - F.col(w)).alias("__lo"), F.col("cw").alias("__hi"), "tw", F.explode(F.sequence(low, high)).alias("__k"))
-    dealt = draws.select(*keys, "u", F.least(F.floor(F.col("u") * scale), F.lit(buckets - 1)).alias("__k"))
+    dealt = draws.select(*keys, "u", F.least(F.floor(F.col("u") * scale), buckets - 1).alias("__k"))
     at = F.floor(F.col("u") * F.col("tw"))
     hits = dealt.join(spread, [*keys, "__k"]).where((at >= F.col("__lo")) & (at < F.col("__hi")))
     counts = hits.groupBy(*keys, F.col("__id").alias(order)).agg(F.count("*").alias("cnt"))
     return df.join(counts, [*keys, order], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
 
 
-def residual(df: DataFrame, n: int, draw, buckets: int, w: str = "w", order: str = "id", block: int | None = BLOCK) -> DataFrame:
+def residual(df: DataFrame, n, draw, buckets: int | Column, w: str = "w", keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
     """``df`` with ``cnt``: the whole part of n * w / total, and the rest drawn by what is left over.
 
-    ``draw(i)`` is the i-th uniform; how many are needed is one number that
-    the driver reads.
+    ``draw(i)`` is the i-th uniform of a key; how many are needed is a table of
+    one row a key. A zero total gives no rows.
     """
-    total = df.agg(F.sum(w)).first()[0]
-    if not total:
-        return df.withColumn("cnt", F.lit(0).cast("long"))
-    share = F.lit(n).cast("long") * F.col(w)
-    split = df.withColumn("__whole", (share - share % F.lit(total)) / F.lit(total)).withColumn("__whole", F.col("__whole").cast("long"))
-    split = split.withColumn("__rest", F.floor((share % F.lit(total)) / F.lit(float(total)) * F.lit(float(ONE))).cast("long"))
-    missing = n - split.agg(F.sum("__whole")).first()[0]
-    draws = df.sparkSession.range(missing).select(draw(F.col("id")).alias("u"))
-    drawn = multinomial(split, draws, buckets, "__rest", (), order, block)
+    keys, n = list(keys), _n(n)
+    totals = df.groupBy(*keys).agg(F.sum(w).alias("__tw"))
+    joined = df.join(totals, keys) if keys else df.crossJoin(F.broadcast(totals))  # one row
+    share, tw = n * F.col(w), F.nullif("__tw", F.lit(0))
+    split = joined.withColumn("__whole", F.coalesce(F.floor((share - share % tw) / tw), F.lit(0)).cast("long"))
+    split = split.withColumn("__rest", F.coalesce(F.floor((share % tw) / tw.cast("double") * F.lit(float(ONE))), F.lit(0)).cast("long")).drop("__tw")
+    missing = split.groupBy(*keys).agg((F.max(n) - F.sum("__whole")).alias("__missing"), F.sum("__rest").alias("__left")).where("__missing > 0 and __left > 0")
+    draws = missing.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__missing") - 1)).alias("__i")).select(*keys, draw(F.col("__i")).alias("u"))
+    drawn = multinomial(split, draws, buckets, "__rest", keys, order, block)
     return drawn.withColumn("cnt", F.col("__whole") + F.col("cnt")).drop("__whole", "__rest")
 
 
@@ -144,27 +156,40 @@ def copied(df: DataFrame, order: str = "id") -> DataFrame:
     return many.drop("cnt")
 
 
-#: Resamplers by name; each takes (df, n, seed, keys) and gives lo, hi, cnt.
-RESAMPLERS = {
-    "systematic": lambda df, n, seed, keys=(), block=BLOCK: systematic(df, n, uniform(*keys, seed=seed, tag="sys"), keys=keys, block=block),
-    "stratified": lambda df, n, seed, keys=(), block=BLOCK: stratified(df, n, lambda i: uniform(*keys, i, seed=seed, tag="str"), keys=keys, block=block),
-}
-
-
-def ranked(df: DataFrame, keys: Sequence[str] = (), order: str = "id") -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
     """Counts as positions: ``lo, hi`` from a prefix sum over ``cnt``."""
-    c = cumulated(df, "cnt", keys, order)
+    c = cumulated(df, "cnt", keys, order, block)
     return c.withColumn("lo", F.col("cw") - F.col("cnt")).withColumn("hi", F.col("cw")).drop("cw", "tw")
 
 
+def _draws(df: DataFrame, n, keys: Sequence[str], draw) -> DataFrame:
+    """``keys, u``: n uniforms for each key. ``n`` may be a Column of the keys."""
+    each = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    return each.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), _n(n) - 1)).alias("__i")).select(*keys, draw(F.col("__i")).alias("u"))
+
+
+def _systematic(df, n, draw, keys=(), block=BLOCK):
+    return systematic(df, n, draw(None), keys=keys, block=block)
+
+
+def _stratified(df, n, draw, keys=(), block=BLOCK):
+    return stratified(df, n, draw, keys=keys, block=block)
+
+
+def _multinomial(df, n, draw, keys=(), block=BLOCK):
+    return ranked(multinomial(df, _draws(df, n, keys, draw), n, keys=keys, block=block), keys, block=block)
+
+
+def _residual(df, n, draw, keys=(), block=BLOCK):
+    return ranked(residual(df, n, draw, n, keys=keys, block=block), keys, block=block)
+
+
+#: Resamplers by name; each takes (df, n, draw, keys, block) and gives lo, hi, cnt. ``draw(i)`` is a key's i-th uniform, ``draw(None)`` its only one.
+RESAMPLERS = {"systematic": _systematic, "stratified": _stratified, "multinomial": _multinomial, "residual": _residual}
+
+
 def resample(df: DataFrame, how: str, n: int, seed: int, rows: int | None = None) -> DataFrame:
-    """``lo, hi, cnt`` by the named resampler over the whole set; ``rows`` (about the set's size) sizes the buckets."""
-    if how in RESAMPLERS:
-        return RESAMPLERS[how](df, n, seed)
-    draw = lambda i: uniform(i, seed=seed, tag=how)
-    buckets = max(1, rows or n)
-    if how == "multinomial":
-        return ranked(multinomial(df, df.sparkSession.range(n).select(draw(F.col("id")).alias("u")), buckets))
-    if how == "residual":
-        return ranked(residual(df, n, draw, buckets))
-    raise ValueError(f"no resampler is called {how}")
+    """``lo, hi, cnt`` by the named resampler over the whole set."""
+    if how not in RESAMPLERS:
+        raise ValueError(f"no resampler is called {how}")
+    return RESAMPLERS[how](df, n, lambda i: uniform(*([] if i is None else [i]), seed=seed, tag=how))

@@ -68,7 +68,7 @@ def selected(df: DataFrame, parts: int, index: Draw, extra: int = 0) -> DataFram
     )
     at = draws.withColumn("__rn", F.least(F.floor(index(F.col("part"), F.col("target"), F.col("j")) * F.col("__n")), F.col("__n") - 1))
     taken = at.select("part", "__rn", "target", "j").join(rank, ["part", "__rn"])
-    new_id = (F.col("part").cast("long") * (1 << 20) + F.col("target")) * (1 << 32) + F.col("j")
+    new_id = (F.col("part").cast("long") * parts + F.col("target")) * (1 << 32) + F.col("j")
     return taken.withColumn("id", new_id).drop("part", "__rn", "j").withColumnRenamed("target", "part")
 
 
@@ -78,10 +78,13 @@ def dpf(df: DataFrame, n: int, parts: int, u: Draw, index: Draw) -> DataFrame:
 
 
 def dist1(df: DataFrame, n: int, parts: int, u: Draw) -> DataFrame:
-    """Each sub-filter to its share; weights keep the sub-filter's share of the total."""
-    sums = part_sums(df).select("part", F.col("w").alias("__wp"))
-    total = sums.agg(F.sum("__wp").alias("__wt"))
+    """Each sub-filter to its share; weights keep the sub-filter's share of the total.
+
+    With fewer rows than sub-filters some get none; the others share out their weight.
+    """
     mine = share_of(n, parts, F.col("part"))
+    sums = part_sums(df).where(mine > 0).select("part", F.col("w").alias("__wp"))
+    total = sums.agg(F.sum("__wp").alias("__wt"))
     out = _new_ids(systematic(df, mine, u(F.col("part")), keys=["part"]), "part")
     return out.join(F.broadcast(sums.crossJoin(total)), "part").withColumn("weight", F.col("__wp") / F.col("__wt") / mine).drop("__wp", "__wt")
 

@@ -46,7 +46,7 @@ def _w(spark, sf_dir):
 
 
 def _observations(spark, sf_dir):
-    return event_series(spark, sf_dir).where("t <= 20")
+    return event_series(spark, sf_dir)
 
 
 def obs_first(spark, sf_dir):

@@ -170,7 +170,7 @@ def _selected(extra: int = 0) -> str:
       tg AS (SELECT part, n, unnest(range({PARTS})) AS target FROM sz),
       dr AS (SELECT part, n, target, unnest(range(n // {PARTS} + {extra})) AS j FROM tg),
       pk AS (SELECT part, target, j, least(CAST(floor({INDEX} * n) AS BIGINT), n - 1) AS rn FROM dr),
-      sel AS (SELECT CAST(pk.target AS INT) AS part, (CAST(pk.part AS BIGINT) * 1048576 + pk.target) * 4294967296 + pk.j AS id, rk.w, rk.x FROM pk JOIN rk ON pk.part = rk.part AND pk.rn = rk.rn)"""
+      sel AS (SELECT CAST(pk.target AS INT) AS part, (CAST(pk.part AS BIGINT) * {PARTS} + pk.target) * 4294967296 + pk.j AS id, rk.w, rk.x FROM pk JOIN rk ON pk.part = rk.part AND pk.rn = rk.rn)"""
 
 
 _SUMS = f"ps AS (SELECT part, CAST(sum(w) AS BIGINT) AS w, count(*) AS n FROM p GROUP BY part), pc AS ({cum_sql('ps', '', 'part')})"

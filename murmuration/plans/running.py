@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from ..operators.stats import effective_size, weighted_mean
 from ..sources.tables import event_particles, event_series, table
 from ..streaming.online import OnlineFilter
 from .kernels import _w
+from .whole_sql import auxiliary_sql, bootstrap_sql
 
-CONFIG = FilterConfig(particles=64, seed=3)
+CONFIG = FilterConfig(particles=64, seed=3, noise="scripted", grid=float(1 << 20))
 
 
 def scheme_comparison(spark: SparkSession, sf_dir: str, n: int = 10_000, parts: int = 4) -> DataFrame:
@@ -31,27 +34,43 @@ def scheme_comparison(spark: SparkSession, sf_dir: str, n: int = 10_000, parts:
     return reduce(DataFrame.unionByName, out)
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("series_id", F.col("t").cast("int").alias("t"), *[F.round(c, 6).alias(c) for c in ("mean", "ess", "q05", "q95")])
+
+
 def bootstrap_run(spark, sf_dir):
-    return run_filter(event_series(spark, sf_dir), "benchmark", "bootstrap", CONFIG)
+    return _rounded(run_filter(event_series(spark, sf_dir), "benchmark", "bootstrap", CONFIG))
 
 
 def apf_run(spark, sf_dir):
-    return run_filter(event_series(spark, sf_dir), "growth", "auxiliary", CONFIG)
+    return _rounded(run_filter(event_series(spark, sf_dir), "growth", "auxiliary", CONFIG))
 
 
 def aux_imm_run(spark, sf_dir):
     return run_imm(event_series(spark, sf_dir), CONFIG)
 
 
-def scheme_runs(spark, sf_dir):
-    """The six partitioned filters over the users' mean values, every event a particle."""
+def _scheme_runs(spark, sf_dir, names) -> DataFrame:
+    """Partitioned filters over the users' mean values, every event a particle; the schemes run side by side."""
     seen = event_series(spark, sf_dir).groupBy("t").agg(F.avg("y").alias("y"))
-    particles = event_particles(spark, sf_dir)
-    out = []
-    for name in ("dpf", "dpf_noshuffle", "cen", "dist1", "dist2", "dist3"):
-        config = FilterConfig(parts=4, seed=21, weight_on="pre")
-        out.append(run_scheme(particles, seen, name, BenchmarkModel(), config)[1].select(F.lit(name).alias("scheme"), "t", "mean", "ess"))
-    return reduce(DataFrame.unionByName, out)
+    particles = cut(event_particles(spark, sf_dir))
+    config = FilterConfig(parts=4, seed=21, weight_on="pre")
+
+    def run(name):
+        return run_scheme(particles, seen, name, BenchmarkModel(), config)[1].select(F.lit(name).alias("scheme"), "t", "mean", "ess")
+
+    with ThreadPoolExecutor(len(names)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), names))
+
+
+def scheme_runs(spark, sf_dir):
+    """The six partitioned filters of the Spark side of the study."""
+    return _scheme_runs(spark, sf_dir, ("dpf", "dpf_noshuffle", "cen", "dist1", "dist2", "dist3"))
+
+
+def mr_scheme_runs(spark, sf_dir):
+    """The partitioned filters of its MapReduce side."""
+    return _scheme_runs(spark, sf_dir, ("decen", "sub", "hiera"))
 
 
 def online_run(spark, sf_dir):
@@ -63,7 +82,7 @@ def online_run(spark, sf_dir):
     online = OnlineFilter(spark, config=CONFIG)
     query = online.start(records)
     query.awaitTermination()
-    return online.summaries().select("series_id", F.col("t").cast("int").alias("t"), "mean", "ess", "q05", "q95")
+    return _rounded(online.summaries())
 
 
 def _placed(spark, sf_dir):
@@ -73,9 +92,10 @@ def _placed(spark, sf_dir):
 
 QUERIES = {
     "scheme_comparison": (scheme_comparison, None),
-    "bootstrap_run": (bootstrap_run, None),
-    "apf_run": (apf_run, None),
+    "bootstrap_run": (bootstrap_run, bootstrap_sql(CONFIG)),
+    "apf_run": (apf_run, auxiliary_sql(CONFIG)),
     "aux_imm_run": (aux_imm_run, None),
     "scheme_runs": (scheme_runs, None),
-    "online_run": (online_run, None),
+    "mr_scheme_runs": (mr_scheme_runs, None),
+    "online_run": (online_run, bootstrap_sql(CONFIG)),
 }

@@ -1,9 +1,10 @@
 """Online filtering: each micro-batch of observations advances a particle table.
 
-The state is one Parquet folder per step taken, with each series' own last
-step beside its particles. A batch writes the folders of its steps before the
-query commits it. What a replayed batch has taken already is late then, and
-the rest, with keyed noise, gives the same sets.
+The state is a Parquet folder with each series' own last step beside its
+particles, one per batch where sets are folded and one per step where they go
+row by row. A batch writes its folders before the query commits it. What a
+replayed batch has taken already is late then, and the rest, with keyed noise,
+gives the same sets.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..lineage import cut, new_path
-from ..operators.filters import STEPS, FilterConfig, initial
+from ..operators import packed
+from ..operators.filters import STEPS, FilterConfig, folds, initial
 from ..operators.models import MODELS, BenchmarkModel
 
 
@@ -52,6 +54,33 @@ class OnlineFilter:
         else:
             seen = seen.join(state.groupBy("series_id").agg(F.max("step").alias("step")), "series_id", "left")
         seen = cut(seen.where("step is null or t > step"))
+        (self._folded if folds(self.config) else self._by_steps)(seen, state)
+
+    def _write(self, state: DataFrame, said: DataFrame) -> None:
+        state.write.mode("overwrite").parquet(f"{self.path}/state/{self.version + 1}")
+        said.write.mode("overwrite").parquet(f"{self.path}/summary/version={self.version + 1}")
+        self.version += 1
+
+    def _folded(self, seen: DataFrame, state: DataFrame | None) -> None:
+        """All steps of a batch in one fold of each series' set; a series of very many new steps is folded again and again."""
+        noise, config = self.config.source, self.config
+        while low := seen.agg(F.min("t")).first()[0]:
+            high = low + config.steps_at_once - 1
+            now = packed.observed(seen.where(F.col("t") <= high)).withColumnRenamed("last", "high")
+            fresh = packed.started(self.model, config, noise)
+            if state is None:
+                rows = now.select("series_id", fresh.alias("set"), F.col("first").alias("low"), "high", "seen")
+            else:
+                joined = now.join(state, "series_id", "left")
+                rows = joined.select("series_id", F.coalesce("set", fresh).alias("set"), F.coalesce(F.col("step") + 1, F.col("first")).alias("low"), "high", "seen")
+            after = cut(packed.advanced(rows, self.model, self.filter_, config, noise).join(now.select("series_id", F.col("high").alias("step")), "series_id"))
+            said = after.select("series_id", F.inline("said")).join(seen.select("series_id", "t"), ["series_id", "t"], "left_semi")
+            moved = after.select("series_id", "step", "set")
+            self._write(moved if state is None else moved.unionByName(state.join(moved, "series_id", "left_anti")), said)
+            self.last_step = max(self.last_step, seen.where(F.col("t") <= high).agg(F.max("t")).first()[0])
+            seen, state = seen.where(F.col("t") > high), self._state()
+
+    def _by_steps(self, seen: DataFrame, state: DataFrame | None) -> None:
         spans = cut(seen.groupBy("series_id").agg(F.max("step").alias("step"), F.coalesce(F.max("step") + 1, F.min("t")).alias("low"), F.max("t").alias("high")))
         steps = spans.select(F.explode(F.sequence("low", "high")).alias("t")).distinct().orderBy("t").collect()
         for t in [r["t"] for r in steps]:
@@ -64,9 +93,8 @@ class OnlineFilter:
             after, said = STEPS[self.filter_](fresh, now.select("series_id", "y"), t, self.model, self.config)
             after = after.withColumn("step", F.lit(t))
             after = after if idle is None else after.unionByName(idle)
-            after.write.mode("overwrite").parquet(f"{self.path}/state/{self.version + 1}")
-            said.join(now.select("series_id"), "series_id", "left_semi").write.mode("overwrite").parquet(f"{self.path}/summary/version={self.version + 1}")
-            self.version, self.last_step = self.version + 1, max(self.last_step, t)
+            self._write(after, said.join(now.select("series_id"), "series_id", "left_semi"))
+            self.last_step = max(self.last_step, t)
 
     def start(self, stream: DataFrame, checkpoint: str | None = None) -> StreamingQuery:
         where = checkpoint or f"{self.path}/commits"

@@ -65,3 +65,18 @@ def test_a_slow_series_is_not_late(spark, tmp_path):
     assert all(abs(found[k] - wanted[k]) < 1e-9 for k in keys)
     online._batch(seen, 3)
     assert online.summaries().count() == len(keys)
+
+
+@pytest.mark.parametrize("noise,grid", [("keyed", None), ("scripted", 1e6)])
+@pytest.mark.parametrize("model,filter_,change", [("benchmark", "bootstrap", {}), ("growth", "auxiliary", {}), ("growth", "bootstrap", {"resampler": "stratified", "ess_share": None, "weight_on": "pre"}), ("benchmark", "bootstrap", {"n_out": 25, "accumulate": False})])
+def test_folded_sets_are_the_sets_row_by_row(spark, model, filter_, change, noise, grid):
+    """Series of other lengths, a gap, a null and a repeated step; folds of three steps a job."""
+    rows = [(i, t, None if (i, t) == (0, 3) else 0.5 * i + t) for i, n in ((0, 7), (1, 5), (2, 1)) for t in range(1, n + 1) if (i, t) != (1, 2)] + [(0, 4, 99.0)]
+    seen = spark.createDataFrame(rows, "series_id long, t int, y double")
+    runs = []
+    for extra in ({"packed": 0}, {"steps_at_once": 3}):
+        config = FilterConfig(particles=30, seed=4, noise=noise, grid=grid, **change, **extra)
+        runs.append({(r["series_id"], r["t"]): r for r in run_filter(seen, model, filter_, config).collect()})
+    assert runs[0].keys() == runs[1].keys() == {(i, t) for i, n in ((0, 7), (1, 5), (2, 1)) for t in range(1, n + 1)}
+    for k, r in runs[0].items():
+        assert all(runs[1][k][c] == pytest.approx(r[c], rel=1e-9) for c in ("mean", "ess", "q05", "q95")), k
