@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +63,11 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: int =
     return rows.join(few, keys).unionByName(rest)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though ``body`` uses it in a function of array elements."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

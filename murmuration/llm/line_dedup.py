@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, stored
+from .common import cut, join_counted, let, stored
 
 #: Places after a line feed, or after the white space that follows a mark or nine characters of one word.
 BREAKS = r"(?<=[ \n\t\r])(?:(?<=\n)|(?<=[.!?,;:][ \n\t\r])|(?<=[^ \n\t\r]{9}[ \n\t\r]))"  # most places fail at the first test
@@ -72,6 +72,28 @@ def repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     return merged.select("doc_id", "mark", covered.alias("covered"))
 
 
+def _runs(covered: Column, lines: Column, min_chars: int) -> Column:
+    """(first, last) of each run of consecutive line numbers that has enough characters."""
+    before = F.arrays_zip(covered.alias("x"), F.concat(F.array(F.lit(-2)), covered).alias("other"))
+    after = F.arrays_zip(covered.alias("x"), F.concat(F.slice(covered, 2, 1 << 30), F.array(F.lit(1 << 30))).alias("other"))
+    first = F.filter(before, lambda e: e["x"] - e["other"] > 1)
+    last = F.filter(after, lambda e: e["other"] - e["x"] > 1)
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a["x"].alias("first"), b["x"].alias("last")))
+
+    def chars(run):
+        return F.length(F.array_join(F.slice(lines, run["first"] + 1, run["last"] - run["first"] + 1), ""))
+
+    return F.filter(runs, lambda run: chars(run) >= min_chars)
+
+
+def _without(lines: Column, runs: Column) -> Column:
+    """(text, n_removed) of the lines outside the runs: what stands between them, joined."""
+    ends = F.concat(F.array(F.lit(-1)), F.transform(runs, lambda r: r["last"]))
+    begins = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(lines)))
+    between = F.zip_with(ends, begins, lambda a, b: F.array_join(F.slice(lines, a + 2, b - a - 1), ""))
+    return F.struct(F.array_join(between, "").alias("text"), F.aggregate(runs, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1).alias("n_removed"))
+
+
 def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFrame:
     """All columns of ``docs``, with later copies of repeated passages gone from ``text``, then ``n_removed``.
 
@@ -91,22 +113,9 @@ def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFra
     named = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("own"))
     joined = named.join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (F.col("own") == F.col("found_mark")), "left")
     # only texts with something covered are cut again
-    cut_again = joined.withColumn("lines", F.when(F.col("covered").isNotNull(), lines_of(F.col("row.text"))))
-    before = F.concat(F.array(F.lit(-2)), "covered")
-    after = F.concat(F.slice("covered", 2, 1 << 30), F.array(F.lit(1 << 30)))
-    first = F.filter("covered", lambda x, i: x - F.get(before, i) > 1)
-    last = F.filter("covered", lambda x, i: F.get(after, i) - x > 1)
-
-    def chars(run):
-        return F.aggregate(F.slice("lines", run["first"] + 1, run["last"] - run["first"] + 1), F.lit(0), lambda n, x: n + F.length(x))
-
-    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
-    gone = cut_again.withColumn("runs", F.filter(runs, lambda run: chars(run) >= min_chars))
-    ends = F.concat(F.array(F.lit(-1)), F.col("runs.last"))
-    begins = F.concat(F.col("runs.first"), F.array(F.size("lines")))
-    between = F.zip_with(ends, begins, lambda a, b: F.array_join(F.slice("lines", a + 2, b - a - 1), ""))
-    changed = F.coalesce(F.size("runs") > 0, F.lit(False))
-    text = F.when(changed, F.array_join(between, "")).otherwise(F.col("row.text"))
-    removed = F.when(changed, F.aggregate("runs", F.lit(0), lambda n, run: n + run["last"] - run["first"] + 1)).otherwise(0)
+    rest = F.when(F.col("covered").isNotNull(), let(lines_of(F.col("row.text")), lambda v: let(_runs(F.col("covered"), v, min_chars), lambda runs: _without(v, runs))))
+    out = joined.withColumn("rest", rest)
+    removed = F.coalesce("rest.n_removed", F.lit(0))
+    text = F.when(removed > 0, F.col("rest.text")).otherwise(F.col("row.text"))
     order = [c for c in docs.columns if c != "n_removed"]
-    return gone.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], removed.alias("n_removed"))
+    return out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], removed.alias("n_removed"))
