@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted, let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -37,7 +37,7 @@ _WORTH = {
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = r"^" + r"\.".join([_PART] * 4) + r"$"
 #: A token with a digit or an at sign: what an unseen identifier may be.
-TOKEN = r"(?<!\S)(?=\S{0,64}?[0-9@])\S{6,64}+(?!\S)"
+TOKEN = r"(?<!\S)(?=\S{0,64}?[0-9@])[^\s\uE020-\uE02B]{6,64}+(?!\S)"
 
 
 def _luhn(digits: Column) -> Column:
@@ -62,48 +62,109 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, worth: Column) -> Column:
-    """Array of (start, end, value) of all leftmost matches, in code points.
+#: Entries of one block of a running sum.
+_BLOCK = 256
 
-    The pieces between matches and the matches alternate, so each start is the
-    length of all before it.
-    """
-    pieces = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    entry = "array<struct<start:int,end:int,value:string>>"
 
-    def step(state, pair):
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("found"))
+def _running(values: Column) -> Column:
+    """The sum of all entries before each, of an array of ints. Blocks are summed by themselves and then their totals, so the work stays near the length."""
+    none = F.array().cast("array<int>")
 
-    pairs = F.zip_with(pieces, values, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("found"))
-    kept = F.filter(pairs, lambda x: x["value"].isNotNull())
-    return F.when(worth, F.aggregate(kept, start, step, lambda state: state["found"])).otherwise(F.array().cast(entry))
+    def sums(entries):
+        start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+        return F.aggregate(entries, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")))
 
+    def in_blocks(values):
+        last = F.floor((F.size(values) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: sums(F.slice(values, k * _BLOCK + 1, _BLOCK)))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, sums(F.transform(b, lambda x: x["at"]))["found"], lambda x, base: F.transform(x["found"], lambda y: y + base))))
+
+    return let(values, lambda v: F.when(F.size(v) <= _BLOCK, sums(v)["found"]).otherwise(in_blocks(v)))
 
-def _spans(text: Column, kind: str, number: int) -> Column:
-    found = F.filter(_matches(text, PATTERNS[kind], _WORTH[kind](text)), lambda m: _valid(kind, m["value"]))
-    return F.transform(found, lambda m: F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
+_MATCH = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
-def base_spans(text: Column) -> Column:
-    """All valid spans of the fixed patterns, by kind and start."""
-    return F.concat(*[_spans(text, kind, i) for i, kind in enumerate(KINDS)])
 
+def _matches(text: Column, pattern: str, worth: Column, around: int = 40) -> Column:
+    """Array of (start, end, value, left, right) of all leftmost matches, in code points.
+
+    The pieces between matches and the matches alternate, so each start is the
+    length of all before it; ``left`` and ``right`` are the ``around``
+    characters beside a match, not beyond the next match. No step goes back to
+    the whole text for a single match.
+    """
+    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    inside = F.slice(pieces, 1, F.size(values))
+    sizes = F.zip_with(inside, values, lambda p, v: F.length(p) + F.length(v))
+    before = F.concat(F.array(F.lit("")), values)
+    after = F.concat(F.slice(values, 2, 1 << 30), F.array(F.lit("")))
+    zipped = F.arrays_zip(inside.alias("piece"), values.alias("value"), _running(sizes).alias("at"), F.slice(before, 1, F.size(values)).alias("before"), F.slice(pieces, 2, 1 << 30).alias("next"), after.alias("after"))
+
+    def entry(m):
+        start = m["at"] + F.length(m["piece"])
+        return F.struct(
+            start.alias("start"),
+            (start + F.length(m["value"])).alias("end"),
+            m["value"].alias("value"),
+            F.right(F.concat(F.right(m["before"], F.lit(around)), m["piece"]), F.lit(around)).alias("left"),
+            F.left(F.concat(m["next"], F.left(m["after"], F.lit(around))), F.lit(around)).alias("right"),
+        )
 
-def _words_beside(text: Column, span: Column) -> tuple[Column, Column]:
-    """The last word before and the first word after, from 40 characters each side; '' at the text's edge."""
-    left = F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40)))
-    right = F.substring(text, span["end"] + 1, F.lit(40))
+    return F.when(worth, F.transform(zipped, entry)).otherwise(F.array().cast(_MATCH))
+
+
+def _words_beside(span: Column) -> tuple[Column, Column]:
+    """The last word before and the first word after, from the characters beside; '' at the text's edge."""
     trim = "[^\\p{L}\\p{N}=:]"
     return (
-        F.lower(F.regexp_replace(F.regexp_extract(left, r"(\S+)\s*+$", 1), trim, "")),
-        F.lower(F.regexp_replace(F.regexp_extract(right, r"^\s*+(\S+)", 1), trim, "")),
+        F.lower(F.regexp_replace(F.regexp_extract(span["left"], r"(\S+)\s*+$", 1), trim, "")),
+        F.lower(F.regexp_replace(F.regexp_extract(span["right"], r"^\s*+(\S+)", 1), trim, "")),
     )
 
 
+def _seen(found: Column, kind: Column) -> Column:
+    """Matches as (kind, start, end, value, left word, right word)."""
+
+    def one(m):
+        left, right = _words_beside(m)
+        return F.struct(kind.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), left.alias("left"), right.alias("right"))
+
+    return F.transform(found, one)
+
+
+def _spans(text: Column, kind: str) -> Column:
+    found = F.filter(_matches(text, PATTERNS[kind], _WORTH[kind](text)), lambda m: _valid(kind, m["value"]))
+    return _seen(found, F.lit(KINDS.index(kind)))
+
+
+# Cards and phones may reach over several tokens. For the search for tokens
+# their characters move, one for one, to these private ones, which no token
+# may hold and which the phone pattern reads like the plain ones.
+_PLAIN, _MOVED = "0123456789 -", "".join(chr(0xE020 + i) for i in range(12))
+_DIGIT, _GAP = f"0-9{_MOVED[0]}-{_MOVED[9]}", _MOVED[10:]
+
+
+def _moved(text: Column, pattern: str, worth: Column, good) -> Column:
+    """``text`` with the characters of good matches moved."""
+    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hidden = F.transform(values, lambda v: F.when(good(v), F.translate(v, _PLAIN + "+().", _MOVED + _MOVED[10] * 4)).otherwise(v))
+    joined = F.array_join(F.zip_with(pieces, hidden, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    return F.when(worth, joined).otherwise(text)
+
+
+def _without_numbers(text: Column) -> Column:
+    """``text``, with valid cards and phones moved out of the way of tokens; positions stay."""
+    no_cards = _moved(text, PATTERNS["card"], _WORTH["card"](text), lambda v: _valid("card", v))
+    phone = rf"\+[{_DIGIT}][\x20().{_DIGIT}{_GAP}-]+[{_DIGIT}]"
+    return _moved(no_cards, phone, _WORTH["phone"](text), lambda v: F.length(F.regexp_replace(v, f"[^{_DIGIT}]", "")).between(8, 15))
+
+
+def _holds_base(value: Column) -> Column:
+    """Whether a token holds an email address or a valid ip; neither reaches beyond a token."""
+    ips = F.regexp_extract_all(value, F.lit(PATTERNS["ip"]), F.lit(0))
+    return value.rlike(PATTERNS["email"]) | F.exists(ips, lambda v: _valid("ip", v))
+
+
 @dataclass(frozen=True)
 class Bootstrap:
     """A pattern needs ``min_seeds`` different seeds and ``confidence``; a token, that mean over its patterns and two of them."""
@@ -114,21 +175,20 @@ class Bootstrap:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, base, tokens`` of every row; tokens are candidates that no base span touches."""
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = read.select("doc_id", F.xxhash64("text").alias("mark"), "text", base_spans(F.col("text")).alias("base"))
-    tokens = _matches(F.col("text"), TOKEN, F.col("text").rlike("[0-9@]"))
-    free = F.filter(tokens, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-
-    def seen(span, kind):
-        left, right = _words_beside(F.col("text"), span)
-        return F.struct(kind.alias("kind"), span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), left.alias("left"), right.alias("right"))
-
-    known = F.transform("base", lambda b: seen(b, b["kind"]))
-    unknown = F.transform("free", lambda t: seen(t, F.lit(None).cast("int")))
-    return (
-        spans.withColumn("free", free)
-        .select("doc_id", "mark", F.transform("base", lambda b: F.struct(b["kind"], b["start"], b["end"])).alias("base"), F.concat(known, unknown).alias("seen"))
+    """``doc_id, mark, base, seen`` of every row; ``seen`` has the base spans and the tokens that none of them touches, with the words beside."""
+    text = F.col("text")
+    spans = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id",
+        F.xxhash64("text").alias("mark"),
+        "text",
+        F.concat(*[_spans(text, kind) for kind in KINDS]).alias("known"),
+    )
+    tokens = F.filter(_matches(_without_numbers(text), TOKEN, text.rlike("[0-9@]")), lambda m: ~_holds_base(m["value"]))
+    return spans.select(
+        "doc_id",
+        "mark",
+        F.transform("known", lambda b: F.struct(b["kind"], b["start"], b["end"])).alias("base"),
+        F.concat("known", _seen(tokens, F.lit(None).cast("int"))).alias("seen"),
     )
 
 
@@ -165,8 +225,9 @@ def discovered(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
             *[F.sum((F.col("kind") == k).cast("int")).alias(f"seeds{k}") for k in kinds],
         )
         best = F.array_max(F.array(*[F.struct((F.col(f"s{k}") / F.col("n")).alias("c"), F.lit(k).alias("k"), F.coalesce(f"seeds{k}", F.lit(0)).alias("seeds")) for k in kinds]))
-        good = sums.select("pattern", best.alias("b")).where((F.col("b.c") >= how.confidence) & (F.col("b.seeds") >= how.min_seeds)).select("pattern", F.col("b.c").alias("c"), F.col("b.k").alias("k"))
-        unknown = edges.where("kind is null").join(good, "pattern", "left")
+        good = (F.col("b.c") >= how.confidence) & (F.col("b.seeds") >= how.min_seeds)
+        marked = cut(sums.select("pattern", "n", best.alias("b")).select("pattern", "n", F.when(good, F.col("b.c")).alias("c"), F.when(good, F.col("b.k")).alias("k")))
+        unknown = join_counted(edges.where("kind is null"), marked, ["pattern"])
         named = cut(
             unknown.groupBy("value")
             .agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("trust"), F.count("c").alias("patterns"), F.min("k").alias("kind"), F.max("k").alias("other"))
@@ -184,7 +245,9 @@ def personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
 
     Null and empty texts have no span (the digest is of the empty string);
     null doc_ids are kept, repeated rows each get the same answer, and an
-    empty table gives no rows.
+    empty table gives no rows. Time follows a text's length, however many
+    matches it has. Further columns are not read. Tokens of other than 6 to 64
+    characters are no candidates.
     """
     found = cut(_found(docs))
     named = discovered(found, how)

@@ -215,10 +215,8 @@ def test_tricky_spans(spark, messy, nothing):
     texts = dict(enumerate(TRICKY))
     rows = personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     check_spans(rows, texts)
-    # a known weakness: 60,000 tokens with digits in one text take time by their square
-    short = messy.where("doc_id is null or doc_id <> 8")
-    out = personal_data(short)
-    assert out.count() == short.count()
+    out = personal_data(messy)
+    assert out.count() == messy.count()
     assert all(r["spans"] == "" for r in out.where("doc_id in (2, 3, 4)").collect())
     assert personal_data(nothing).count() == 0
 
@@ -234,6 +232,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert out[21]["spans"] == "" and out[22]["spans"] == ""
 
 
+def test_tokens_keep_off_base_spans(spark):
+    """Discovered tokens never touch a base span, and their places are right behind moved numbers."""
+    seeds = [(i, f"please write to mail: user{i}x@site{i}.org today because it matters") for i in range(12)]
+    odd = "call +33 (1) 23-45 67 89 or 4111 1111 1111 1111 now. please write to mail: a(at)b99 today because 1.2.3.4x mail: x@y.zz-1@ today because"
+    out = {r["doc_id"]: r for r in personal_data(spark.createDataFrame([*seeds, (50, odd)], "doc_id long, text string")).collect()}
+    at = odd.index("a(at)b99")
+    spans = [s.split(":") for s in out[50]["spans"].split(",")]
+    assert ["email", str(at), str(at + 8)] in spans and out[50]["n_added"] == 1
+    places = sorted((int(a), int(b)) for _, a, b in spans)
+    assert all(b <= c for (_, b), (c, _) in zip(places, places[1:], strict=False))
+    check_spans([out[50]], {50: odd})
+
+
 # 9
 
 
