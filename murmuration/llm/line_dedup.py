@@ -8,10 +8,10 @@ cuts that depend on the words alone fall at the same places in every copy.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, let, stored
+from .common import cut, let, stored
 
 #: Places after a line feed, or after the white space that follows a mark or nine characters of one word.
 BREAKS = r"(?<=[ \n\t\r])(?:(?<=\n)|(?<=[.!?,;:][ \n\t\r])|(?<=[^ \n\t\r]{9}[ \n\t\r]))"  # most places fail at the first test
@@ -37,16 +37,23 @@ def _word(h: Column, bits: int) -> Column:
     return F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int")
 
 
-def _passing(windows: DataFrame, key: Column, repeated: DataFrame) -> DataFrame:
-    """The windows whose key may be among ``repeated``, by a bitmap over the low bits of the hash.
+def _bitmap(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """(``word, bits`` of a bitmap over the low bits of ``hashes(h)``, its size as a power of 2).
 
-    The bitmap has 16 bits for each repeated hash up to a fixed size, which
-    bounds what is broadcast; what it lets through is compared exactly after.
+    It has 16 bits for each hash up to a fixed size, which bounds what is
+    broadcast. It only saves shuffles: what it lets through is compared exactly.
     """
-    bits = min(MOST_BITS, max(10, (16 * repeated.count()).bit_length()))
-    words = repeated.select(_word(F.col("h"), bits).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    hashed = windows.withColumn("h", key).withColumn("word", _word(F.col("h"), bits))
-    return hashed.join(F.broadcast(words), "word").where(F.expr("shiftright(bits, cast(h & 63 as int)) & 1") == 1).drop("word", "bits", "h")
+    bits = min(MOST_BITS, max(10, (16 * hashes.count()).bit_length()))
+    words = hashes.select(_word(F.col("h"), bits).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return cut(words.groupBy("word").agg(F.bit_or("bit").alias("bits"))), bits
+
+
+def _marked(rows: DataFrame, h: Column, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` with ``in_bitmap``, whether the bitmap has the hash."""
+    words, bits = bitmap
+    joined = rows.withColumn("word", _word(h, bits)).join(F.broadcast(words), "word", "left")
+    # a shift of a long counts by the low six bits of its second argument
+    return joined.withColumn("in_bitmap", F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("word", "bits")
 
 
 def repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
@@ -55,19 +62,30 @@ def repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     Texts are cut once, and only line hashes go on. A grouped count of window
     hashes (combined before the shuffle, so a window in very many documents is
     one row a task) finds what repeats; only occurrences that may be of those
-    are shuffled again, and there a window is all its line hashes. Windows in
-    a thousandth of all occurrences, a thousand at most, are joined by broadcast.
+    are shuffled again, and there a window is two hashes of its line hashes.
+    Windows in a thousandth of all occurrences, a thousand at most, have their
+    first found by a grouped minimum and broadcast; the others stand in groups
+    that are all small.
     """
     rtrimmed = F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.rtrim(x, F.lit(TRIMMED))))
     hashed = stored(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("mark"), rtrimmed.alias("hashes")), "line-hashes")
     windows, names = _windows(hashed, lines), [f"c{k}" for k in range(lines)]
-    key = F.xxhash64(*names)
-    repeated = cut(windows.select(key.alias("h")).groupBy("h").count().where("count > 1").select("h"))
-    found = cut(_passing(windows, key, repeated))
+    both = windows.select("doc_id", "mark", "at", F.xxhash64(*names).alias("h"), F.xxhash64(F.lit(1), *names).alias("check"))
+    repeated = cut(both.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    found = stored(_marked(both, F.col("h"), _bitmap(repeated.select("h"))).where("in_bitmap").select("doc_id", "mark", "at", "h", "check"), "windows")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = repeated.where(F.col("n") > max(10_000, total // 1000)).select("h")  # a thousand rows at most
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "at")
-    firsts = cut(found.groupBy(*names).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
-    later = join_counted(found, firsts, names).where(place != F.col("first"))
-    merged = later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
+    key = ["h", "check"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("doc_id").isNull(), "doc_id", "mark", "at"))
+    rest, later = found, None
+    if hot.limit(1).count():
+        many = found.join(F.broadcast(hot), "h")
+        firsts = many.groupBy(*key).agg(F.min(place).alias("first"))
+        later = many.join(F.broadcast(firsts), key).where(place != F.col("first")).select("doc_id", "mark", "at")
+        rest = found.join(F.broadcast(hot), "h", "left_anti")
+    few = rest.withColumn("rank", rank).where("rank > 1").select("doc_id", "mark", "at")
+    merged = (few if later is None else few.unionByName(later)).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + lines - 1)))))
     return merged.select("doc_id", "mark", covered.alias("covered"))
 
@@ -109,13 +127,14 @@ def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFra
     treated alike. An empty table stays empty. Other columns pass through
     whatever their names; the added one replaces a column of the same name.
     """
-    found = repeated_lines(docs, lines).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
-    named = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("own"))
-    joined = named.join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (F.col("own") == F.col("found_mark")), "left")
-    # only texts with something covered are cut again
+    found = cut(repeated_lines(docs, lines)).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
+    named = _marked(docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("own")), F.col("own"), _bitmap(found.select(F.col("found_mark").alias("h"))))
+    # only texts with something covered are shuffled and cut again
+    joined = named.where("in_bitmap").join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (F.col("own") == F.col("found_mark")), "left")
     rest = F.when(F.col("covered").isNotNull(), let(lines_of(F.col("row.text")), lambda v: let(_runs(F.col("covered"), v, min_chars), lambda runs: _without(v, runs))))
     out = joined.withColumn("rest", rest)
     removed = F.coalesce("rest.n_removed", F.lit(0))
     text = F.when(removed > 0, F.col("rest.text")).otherwise(F.col("row.text"))
     order = [c for c in docs.columns if c != "n_removed"]
-    return out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], removed.alias("n_removed"))
+    changed = out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], removed.alias("n_removed"))
+    return changed.unionByName(named.where("not in_bitmap").select(*[F.col("row")[c].alias(c) for c in order], F.lit(0).alias("n_removed")))
