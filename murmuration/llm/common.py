@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``.
+    """The folder all executors share, ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) is a temporary
-    folder made and set.
+    A session on one machine that names none gets a temporary folder; on a
+    cluster that would be each machine's own, so there it is an error.
     """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="murmuration-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="murmuration-")
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -30,8 +30,10 @@ class Search:
     from the item's in one bit at most in some block, so looking up each block's
     value and its 8 neighbours misses none; within 23, in two bits at most.
 
-    ``items_at_once`` bounds what is broadcast: more items are searched in
-    blocks, each with a pass of its own over the documents.
+    ``items_at_once`` and ``item_bytes_at_once`` bound what is broadcast: more
+    items are searched in blocks, each with a pass of its own over the
+    documents. ``windows_at_once`` bounds the fingerprints of one text that
+    stand in memory.
     """
 
     width: int = 5
@@ -39,6 +41,8 @@ class Search:
     radius: int = 15
     blocks: int = 8
     items_at_once: int = 20_000
+    item_bytes_at_once: int = 32 << 20
+    windows_at_once: int = 4096
     miss: float = 2e-5
 
     @cached_property
@@ -136,6 +140,13 @@ def _windows_with(hits: np.ndarray, n_shingles: int, span: int) -> Iterator[tupl
         yield int(low[i]), int(high[j])
 
 
+def _pieces(ranges: Iterator[tuple[int, int]], most: int) -> Iterator[tuple[int, int]]:
+    """The same ranges, in pieces of ``most`` at most."""
+    for low, high in ranges:
+        for a in range(low, high + 1, most):
+            yield a, min(high, a + most - 1)
+
+
 def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, float]]:
     """(text, item, first word, similarity): the best window of each pair that reaches the threshold.
 
@@ -173,7 +184,7 @@ def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tu
             for size in np.unique(items.sizes[found_items]):
                 span = min(int(size) - search.width + 1, len(own))
                 hits = np.unique(hit_at[items.sizes[found_items] == size])
-                for low, high in _windows_with(hits, len(own), span):
+                for low, high in _pieces(_windows_with(hits, len(own), span), search.windows_at_once):
                     signs = _signs(own[low : high + span])
                     run = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)])
                     sums = run[span:] - run[:-span]
@@ -190,8 +201,9 @@ def leaks_in(data: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tu
 
 def _item_blocks(benchmark: DataFrame, search: Search) -> Iterator[tuple[list, Items]]:
     """Blocks of items of bounded size, each with the items' ids."""
-    wanted = benchmark.select("item_id", "text").where("text is not null")
-    n_blocks = max(1, -(-wanted.count() // search.items_at_once))
+    wanted = benchmark.select("item_id", "text").where("text is not null").distinct()
+    n, size = wanted.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n_blocks = max(1, -(-n // search.items_at_once), -(-(size or 0) // search.item_bytes_at_once))
     for k in range(n_blocks):
         mine = wanted if n_blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         rows = sorted((tuple(r) for r in mine.collect()), key=str)
@@ -205,8 +217,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
     is bounded however large the benchmark is; documents are not shuffled.
 
     Null and empty texts and items have no leak, nor do items under five
-    words. Null doc_ids are searched and reported as null; repeated rows are
-    reported each; an empty table on either side gives no rows.
+    words, which hold no shingle to compare. Null doc_ids are searched and
+    reported as null; repeated documents are reported each and repeated items
+    once; an empty table on either side gives no rows. Very long texts are
+    searched whole, their windows some thousands at a time. Further columns
+    are not read.
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)

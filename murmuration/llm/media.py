@@ -17,7 +17,10 @@ def store_media(docs: DataFrame, path: str) -> None:
     """Write ``doc_id, n_bytes, media`` for every row at ``path``.
 
     A text's UTF-8 bytes, filled with spaces to a positive multiple of 192,
-    are one JPEG file in the ``media`` column. One narrow pass.
+    are one JPEG file in the ``media`` column. One narrow pass. Null and empty
+    texts are one unit of spaces; null doc_ids and repeated rows are stored
+    like others, an empty table is stored empty, and further columns are left
+    out. A very long text is one file, made in one piece.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -38,7 +41,9 @@ def media_features(media: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
     ``feature`` is ``width x height : sha256 of the DC-only luminance
     thumbnail`` (first 16 hex digits) and its 64-bit average hash. Only bytes
     read from the column enter, so equal files have equal features. A null
-    file gives null columns; a file that is no baseline JPEG is an error.
+    file gives null columns; a file that is no baseline JPEG does too, and says
+    why in ``error``. Null doc_ids and repeated rows are rows like others, an
+    empty table gives none, and further columns are not read.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
 
@@ -48,8 +53,14 @@ def media_features(media: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
             files = table.column("media").to_pylist()
             offsets = np.concatenate([[0], np.cumsum([len(f or b"") for f in files])]).astype(np.int64)
             for a, b in slices_by_bytes(offsets, slice_bytes):
-                real = [i for i in range(a, b) if files[i] is not None]
-                images = [jpeg.parse(files[i]) for i in real]
+                real, images, wrong = [], [], {}
+                for i in range(a, b):
+                    if files[i] is not None:
+                        try:
+                            images.append(jpeg.parse(files[i]))
+                            real.append(i)
+                        except (ValueError, IndexError) as e:
+                            wrong[i] = str(e) or type(e).__name__
                 rows = {}
                 for i, image, values in zip(real, images, jpeg.coefficients(images), strict=True):
                     payload = jpeg.payload_of(image, values)
@@ -66,13 +77,13 @@ def media_features(media: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 part = table.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").combine_chunks(), part.column("n_bytes").combine_chunks(), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    [part.column("doc_id").combine_chunks(), part.column("n_bytes").combine_chunks(), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], pa.array([wrong.get(i) for i in range(a, b)], pa.string())],
+                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"],
                 )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         run,
-        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string",
     )
 
 

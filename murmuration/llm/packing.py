@@ -19,14 +19,17 @@ from .unit_tokens import cuts_at_units, unit_tokenizer
 class Capacities:
     """What a sequence may hold, and how much each dimension weighs in the choice.
 
-    ``attention`` bounds the sum of squared piece lengths, which is what
-    block-diagonal attention over the sequence costs. ``rule`` is
+    ``documents`` bounds the pieces of a sequence, so a table of very short
+    texts doesn't make sequences of thousands of masks. ``attention`` bounds
+    the sum of squared piece lengths, which is what block-diagonal attention
+    over the sequence costs; it can't be under the square of ``tokens`` where
+    pieces as long as a sequence have to fit. ``rule`` is
     ``"residual"`` (smallest weighted norm of what stays free) or ``"dot"``
     (largest weighted dot-product of demand and free room).
     """
 
     tokens: int = 2048
-    documents: int = 2048
+    documents: int = 256
     attention: int = 2048 * 2048
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     rule: str = "residual"
@@ -98,16 +101,6 @@ def best_fit(lengths: np.ndarray, caps: Capacities) -> tuple[np.ndarray, np.ndar
     return bins, offsets
 
 
-#: Bytes of one Arrow batch.
-ARROW_BYTES = 8 << 20
-
-
-def batch_bytes(spark) -> int:
-    """The session's bound on an Arrow batch."""
-    said = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
-    return int(said) if said.isdigit() else 1 << 62
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, deal`` of every document.
 
@@ -142,16 +135,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> Da
                 row += len(owner)
             pa.default_memory_pool().release_unused()
 
-    # batches by bytes: a worker holds one and its ids beside the table of units
-    spark = docs.sparkSession
-    if batch_bytes(spark) > ARROW_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     narrow = docs.select("doc_id", "text")
     out = narrow.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
     return out.withColumn("deal", F.xxhash64("doc_id", "piece", "row")).drop("row")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, caps: Capacities = Capacities(), block_pieces: int = 16384) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, caps: Capacities = Capacities(), block_pieces: int = 4096) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of all pieces.
 
     Pieces are dealt by hash into blocks of about ``block_pieces`` and each

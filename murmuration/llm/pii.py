@@ -93,12 +93,14 @@ def _matches(text: Column, pattern: str, worth: Column, around: int = 40) -> Col
     characters beside a match, not beyond the next match. No step goes back to
     the whole text for a single match.
     """
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inside = F.slice(pieces, 1, F.size(values))
-    sizes = F.zip_with(inside, values, lambda p, v: F.length(p) + F.length(v))
-    before = F.concat(F.array(F.lit("")), values)
-    after = F.concat(F.slice(values, 2, 1 << 30), F.array(F.lit("")))
-    zipped = F.arrays_zip(inside.alias("piece"), values.alias("value"), _running(sizes).alias("at"), F.slice(before, 1, F.size(values)).alias("before"), F.slice(pieces, 2, 1 << 30).alias("next"), after.alias("after"))
+    def zipped(both):
+        pieces, values = both["pieces"], both["values"]
+        inside = F.slice(pieces, 1, F.size(values))
+        sizes = F.zip_with(inside, values, lambda p, v: F.length(p) + F.length(v))
+        before = F.concat(F.array(F.lit("")), values)
+        after = F.concat(F.slice(values, 2, 1 << 30), F.array(F.lit("")))
+        rows = F.arrays_zip(inside.alias("piece"), values.alias("value"), _running(sizes).alias("at"), F.slice(before, 1, F.size(values)).alias("before"), F.slice(pieces, 2, 1 << 30).alias("next"), after.alias("after"))
+        return F.when(F.size(values) > 0, F.transform(rows, entry)).otherwise(F.array().cast(_MATCH))
 
     def entry(m):
         start = m["at"] + F.length(m["piece"])
@@ -110,7 +112,8 @@ def _matches(text: Column, pattern: str, worth: Column, around: int = 40) -> Col
             F.left(F.concat(m["next"], F.left(m["after"], F.lit(around))), F.lit(around)).alias("right"),
         )
 
-    return F.when(worth, F.transform(zipped, entry)).otherwise(F.array().cast(_MATCH))
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    return F.when(worth, let(both, zipped)).otherwise(F.array().cast(_MATCH))
 
 
 def _words_beside(span: Column) -> tuple[Column, Column]:

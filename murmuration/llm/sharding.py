@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +57,35 @@ def rebalanced(now: SlotMap, slot_bytes: np.ndarray, tolerance: float = 1e-4, sh
 
 
 def store_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Write one version under ``path``; earlier versions stay."""
+    """Write one version under ``path`` and the edits that made it; earlier versions stay."""
+    edits = [(slot, a, b, place) for place, (slot, a, b) in enumerate(slot_map.edits)]
+    spark.createDataFrame(edits, "virtual_slot int, from_shard int, to_shard int, place int").coalesce(1).write.mode("overwrite").parquet(f"{path}/edits/version={slot_map.version}")
     rows = [(slot, shard) for slot, shard in enumerate(slot_map.shard_of)]
-    spark.createDataFrame(rows, "virtual_slot int, shard int").withColumn("shards", F.lit(slot_map.shards)).coalesce(1).write.parquet(f"{path}/version={slot_map.version}")
+    # the map comes last: a version that can be read is whole
+    spark.createDataFrame(rows, "virtual_slot int, shard int").withColumn("shards", F.lit(slot_map.shards)).coalesce(1).write.mode("overwrite").parquet(f"{path}/maps/version={slot_map.version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """``virtual_slot, shard`` of a version, the newest by default: as many rows as there are slots."""
-    table = spark.read.parquet(path)
+    """``virtual_slot, shard, shards`` of a version, the newest by default: as many rows as there are slots."""
+    table = spark.read.parquet(f"{path}/maps")
     if version is None:
         version = table.agg(F.max("version")).first()[0]
-    return table.where(F.col("version") == version).select("virtual_slot", "shard")
+    return table.where(F.col("version") == version).select("virtual_slot", "shard", "shards")
+
+
+def load_edits(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """``virtual_slot, from_shard, to_shard, place`` of the edits that made a version."""
+    return spark.read.parquet(f"{path}/edits").where(F.col("version") == version).drop("version")
+
+
+def newest_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest version stored under ``path``, if any."""
+    try:
+        version = spark.read.parquet(f"{path}/maps").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+    rows = sorted(load_map(spark, path, version).collect())  # as many as there are slots
+    return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -84,24 +103,31 @@ def shard(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFr
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot`` of every row, under the law ``bytes``.
 
     Records hash into ``slots`` virtual slots. Bytes per slot, a table of that
-    fixed length, come to the driver; version 0 of the map deals slots round
-    robin, version 1 is edited until shard sizes are near equal, and both are
-    stored at ``path``. The newest is read back and joined: its size is bound
-    by ``slots``. A row's place ``slot`` in its shard is its rank in the
+    fixed length, come to the driver. The newest map stored at ``path`` is
+    loaded (version 0, stored first, deals slots round robin), edited until
+    shard sizes are near equal, and stored as the next version with its edits;
+    a later call with other rows, or more shards, goes on from there and moves
+    only slots that it has to. What was stored is read back and joined: its
+    size is bound by ``slots``. A row's place ``slot`` in its shard is its rank in the
     virtual slot plus the rows of the shard's slots before, so no task holds a
     whole shard.
 
     A null text has size 1; null doc_ids and repeated rows are placed like
-    others, each in a place of its own; an empty table gives no rows.
+    others, each in a place of its own; an empty table gives no rows. A text
+    of any length is only hashed and measured. Further columns are not read.
     """
     spark = docs.sparkSession
     rows = slotted(docs, slots)
     slot_bytes, slot_rows = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
         slot_bytes[r["virtual_slot"]], slot_rows[r["virtual_slot"]] = r["bytes"], r["n"]
-    first = round_robin(shards, slots)
-    second = rebalanced(first, slot_bytes)
-    store_map(spark, first, path)
+    now = newest_map(spark, path)
+    if now is None:
+        now = round_robin(shards, slots)
+        store_map(spark, now, path)
+    if len(now.shard_of) != slots or now.shards > shards:
+        raise ValueError("a stored map keeps its slots and never has fewer shards")
+    second = rebalanced(now, slot_bytes, shards=shards)
     store_map(spark, second, path)
     shard_of = np.array(second.shard_of)
     before = np.zeros(slots, np.int64)
@@ -109,7 +135,7 @@ def shard(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFr
         mine = np.flatnonzero(shard_of == s)
         before[mine] = np.cumsum(slot_rows[mine]) - slot_rows[mine]
     offsets = spark.createDataFrame([(i, int(n)) for i, n in enumerate(before)], "virtual_slot int, rows_before long")
-    newest = load_map(spark, path).join(F.broadcast(offsets), "virtual_slot")
+    newest = load_map(spark, path).drop("shards").join(F.broadcast(offsets), "virtual_slot")
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     placed = rows.withColumn("rank", rank).join(F.broadcast(newest), "virtual_slot")
     return placed.select(

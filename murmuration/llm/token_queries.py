@@ -10,6 +10,8 @@ from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 
 CONTEXT = 2048
+#: Pieces of one packed sequence.
+DOCUMENTS = 256
 
 
 def vocabulary() -> str:
@@ -29,7 +31,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=0, caps=Capacities(tokens=CONTEXT, documents=CONTEXT, attention=CONTEXT * CONTEXT))
+    return pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=0, caps=Capacities(tokens=CONTEXT, documents=DOCUMENTS, attention=CONTEXT * CONTEXT))
 
 
 QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op4_best_fit_packing)}

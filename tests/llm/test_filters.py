@@ -16,7 +16,7 @@ from murmuration.llm.media import media_features, store_media
 from murmuration.llm.media_queries import QUERIES as MEDIA
 from murmuration.llm.pii import Bootstrap, discovered, personal_data
 from murmuration.llm.pii_queries import QUERIES as PII
-from murmuration.llm.sharding import load_map, rebalanced, round_robin, shard
+from murmuration.llm.sharding import load_edits, load_map, rebalanced, round_robin, shard
 from murmuration.llm.sharding_queries import QUERIES as SHARDS
 from murmuration.llm.toxicity import Training, fit, held_out, toxicity
 from murmuration.llm.toxicity_queries import QUERIES as TOXIC
@@ -160,6 +160,28 @@ def test_slot_maps(spark, messy, nothing, tmp_path):
     assert shard(nothing, 3, str(tmp_path / "none")).count() == 0
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    """A second call goes on from the newest version and moves few slots; one more shard takes only what it needs."""
+    path, n = str(tmp_path / "map"), 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    more = docs.unionByName(spark.range(n, n + 150).select(F.col("id").alias("doc_id"), F.lit("yy").alias("text")))
+    maps = []
+    for rows, shards in ((docs, 4), (more, 4), (more, 5)):
+        got = shard(rows, shards, path, slots=256).collect()
+        check_shards(got, range(rows.count()), shards)
+        maps.append({r["virtual_slot"]: r["shard"] for r in load_map(spark, path).collect()})
+    assert load_map(spark, path, 0).count() == 256 and load_map(spark, path).first()["shards"] == 5
+    for k in (1, 2):
+        edits = sorted(load_edits(spark, path, k + 1).collect(), key=lambda r: r["place"])
+        moved = dict(maps[k - 1])
+        for r in edits:
+            assert moved[r["virtual_slot"]] == r["from_shard"]
+            moved[r["virtual_slot"]] = r["to_shard"]
+        assert moved == maps[k]
+    assert sum(maps[0][s] != maps[1][s] for s in maps[0]) < 64
+    assert 0 < sum(s == 4 for s in maps[2].values()) < 100
+
+
 # 8
 
 PATTERNS = {
@@ -317,6 +339,8 @@ def test_messy_media(spark, messy, nothing, tmp_path):
     assert media_features(spark.read.parquet(str(tmp_path / "none"))).count() == 0
     gaps = spark.createDataFrame([(1, None, None)], "doc_id long, n_bytes long, media binary")
     assert media_features(gaps).first()["feature"] is None
+    broken = spark.createDataFrame([(1, 5, b"no image"), (2, 5, b""), (3, 5, b"\xff\xd8\xff\xd9")], "doc_id long, n_bytes long, media binary")
+    assert all(r["feature"] is None and r["media_sha256"] is None and r["error"] for r in media_features(broken).collect())
 
 
 @pytest.mark.parametrize("units", [1, 2, 63, 64, 65, 130, 700])
