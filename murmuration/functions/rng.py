@@ -114,8 +114,10 @@ class Keyed:
         return f"{name}{t}" if isinstance(t, int) else F.concat(F.lit(name), t.cast("string"))
 
 
-#: Integers of the scripted noise are under this.
-RANGE = 1 << 31
+#: Integers of the scripted noise are under this prime.
+RANGE = (1 << 31) - 1
+#: Keys enter it linearly and are mixed by a square for each of these.
+SQUARES = (40014, 80028)
 
 
 @dataclass(frozen=True)
@@ -133,13 +135,12 @@ class Scripted:
         return zlib.crc32(name.encode()) % RANGE
 
     def hashed(self, name: str, t, *keys) -> Column:
-        h = F.lit(self.seed + self.constant(name)).cast("long") % RANGE
+        h = F.lit((self.seed + self.constant(name)) % RANGE).cast("long")
         for k in (t, *keys):
-            h = (h * 1664525 + _col(k).cast("long")) % RANGE
-            h = h.bitwiseXOR(F.shiftright(h, 15))
-        h = (h * 1103515245 + 12345) % RANGE
-        h = h.bitwiseXOR(F.shiftright(h, 13))
-        return (h * 69069 + 1) % RANGE
+            h = (h * 48271 + _col(k).cast("long")) % RANGE
+        for add in SQUARES:
+            h = (h * h + add) % RANGE
+        return h
 
     def uniform(self, name: str, t, *keys) -> Column:
         return (self.hashed(name, t, *keys) + 0.5) / float(RANGE)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import NOISE
 from ..lineage import cut, new_path
-from . import packed
+from . import packed, packed_imm
+from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, fixed_from_log, replicated
 from .schemes import SCHEMES
@@ -181,8 +182,12 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     series and particles do not. Sets of ``config.packed`` particles at most
     are folded, a row per series and a job for each ``config.steps_at_once``
     steps; larger ones go step by step, a row per particle. Both give the same
-    numbers.
+    numbers. The filter ``"imm"`` on the model ``"rsgarch"`` is :func:`run_imm`.
     """
+    if filter_ == "imm":
+        if model != "rsgarch":
+            raise ValueError("the filter 'imm' is for the model 'rsgarch'")
+        return run_imm(observations, config)
     model = MODELS[model]() if isinstance(model, str) else model
     seen = cut(observations.where("y is not null").groupBy("series_id", "t").agg(F.min("y").alias("y")))
     ends = _ends(seen)
@@ -197,19 +202,25 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
             state = cut(_going(state, ends, t))
         return out.rows().select(*COLUMNS)
     noise = config.source
-    sets = ends.select("series_id", "end", packed.started(model, config, noise).alias("set"))
+    return _fold(
+        ends.withColumn("set", packed.started(model, config, noise)),
+        lambda rows: packed.advanced(rows, model, filter_, config, noise),
+        seen, last, config, out,
+    ).select(*COLUMNS)
+
+
+def _fold(sets: DataFrame, advance, seen: DataFrame, last: int, config: FilterConfig, out: Told) -> DataFrame:
+    """The summaries of all steps of ``sets(series_id, end, set)``, a job for each ``config.steps_at_once`` of them."""
     for low in range(1, last + 1, config.steps_at_once):
         high = low + config.steps_at_once - 1
         these = packed.observed(seen.where(F.col("t").between(low, high))).select("series_id", "seen")
         rows = sets.join(these, "series_id", "left").select("series_id", "end", "set", F.lit(low).alias("low"), F.least(F.lit(high), "end").cast("int").alias("high"), F.coalesce("seen", F.array().cast("array<struct<t:int,y:double>>")).alias("seen"))
-        after = packed.advanced(rows, model, filter_, config, noise)
-        if high >= last:
-            out.add(_spread(after), low)
-        else:
+        after = advance(rows)
+        if high < last:
             after = cut(after)
-            out.add(_spread(after), low)
-            sets = cut(after.select("series_id", "set").join(ends.where(F.col("end") > high), "series_id"))
-    return out.rows().select(*COLUMNS)
+            sets = cut(after.select("series_id", "set").join(sets.select("series_id", "end").where(F.col("end") > high), "series_id"))
+        out.add(_spread(after), low)
+    return out.rows()
 
 
 def _spread(after: DataFrame) -> DataFrame:
@@ -247,7 +258,6 @@ def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model
 # The auxiliary interacting-multiple-model filter with parameter learning.
 
 THETA = [f"p{k}" for k in range(9)]
-PAIRS = [(i, j) for i in range(9) for j in range(i + 1)]
 
 
 def imm_initial(series: DataFrame, config: FilterConfig, p0: float = 0.5) -> DataFrame:
@@ -278,28 +288,6 @@ def imm_moments(state: DataFrame, shrink: float) -> DataFrame:
     return means.join(state.join(means, KEY).groupBy(*KEY).agg(*products), KEY)
 
 
-def root_of(covariances: Column) -> Column:
-    """Lower triangle of a root of a covariance given as its lower triangle, both by rows.
-
-    Cholesky's recursion as a fold. A direction without variance, or with less
-    than rounding leaves of it, has a column of zeros, so a singular covariance
-    has a root too.
-    """
-
-    def entry(done, k, row, column):
-        base, other = ((n * (n + 1) / 2).cast("int") for n in (row, column))
-        left = F.slice(done, base + 1, column)
-        right = F.when(row == column, left).otherwise(F.slice(done, other + 1, column))
-        dot = F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        rest = F.get(covariances, k) - dot
-        pivot = F.get(done, other + column)
-        small = F.abs(F.get(covariances, k)) * 1e-12
-        return F.when(row == column, F.sqrt(F.when(rest > small, rest).otherwise(0.0))).when(pivot > 0, rest / pivot).otherwise(0.0)
-
-    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate(PAIRS)])
-    return F.aggregate(places, F.array().cast("array<double>"), lambda done, at: F.concat(done, F.array(entry(done, at["k"], at["i"], at["j"]))))
-
-
 def imm_first_stage(state: DataFrame, moments: DataFrame, observed: DataFrame, shrink: float) -> DataFrame:
     """A row for each particle and next mode, with log first-stage weight and the shrunk parameters m0..m8."""
     model = RsGarch()
@@ -356,15 +344,19 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
 
 
 def run_imm(observations: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """``series_id, t, mean, vol, ess, prob_mode0, q05, q95, p0..p8`` for every step."""
-    seen = cut(observations.where("y is not null").select("series_id", "t", "y"))
+    """``series_id, t, mean, vol, ess, prob_mode0, q05, q95, p0..p8`` for every step, as :func:`run_filter` goes."""
+    seen = cut(observations.where("y is not null").groupBy("series_id", "t").agg(F.min("y").alias("y")))
     ends = _ends(seen)
-    last = ends.agg(F.max("end")).first()[0] or 0
-    state, out = cut(_going(imm_initial(seen, config), ends, 0)), Told(seen.sparkSession)
+    last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
+    if not last:
+        raise ValueError("there are no observations")
+    columns = ["series_id", "t", "mean", "vol", "ess", "prob_mode0", "q05", "q95"]
+    if folds(config):
+        said = _fold(ends.withColumn("set", packed_imm.started(config)), lambda rows: packed_imm.advanced(rows, config, config.source), seen, last, config, out)
+        return said.select(*columns, *[F.get("p", k).alias(f"p{k}") for k in range(9)])
+    state = cut(_going(imm_initial(seen, config), ends, 0))
     for t in range(1, last + 1):
         state, said = imm_step(state, seen.where(F.col("t") == t), t, config)
         out.add(said, t)
         state = cut(_going(state, ends, t))
-    if not out.steps:
-        raise ValueError("there are no observations")
-    return out.rows().select("series_id", "t", "mean", "vol", "ess", "prob_mode0", "q05", "q95", *THETA)
+    return out.rows().select(*columns, *THETA)

@@ -46,14 +46,14 @@ def log_of(w: Column) -> Column:
 def weighted(moved: Column, entry: Callable[[Column, Column], Column]) -> Column:
     """Particles with fixed-point weights from ``lw``, shifted by the largest; equal ones where all vanish."""
 
-    def of(top):
+    def of(moved, top):
         def one(p):
             w = F.when(top.isNull(), F.lit(ONE)).otherwise(F.coalesce(fixed(F.exp(clean(p["lw"]) - top)), F.lit(0).cast("long")))
             return entry(p, w.cast("long"))
 
         return F.transform(moved, one)
 
-    return let(F.array_max(F.transform(moved, lambda p: clean(p["lw"]))), of)
+    return let(moved, lambda m: let(F.array_max(F.transform(m, lambda p: clean(p["lw"]))), lambda top: of(m, top)))
 
 
 def size(particles: Column) -> Column:

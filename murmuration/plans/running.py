@@ -47,7 +47,7 @@ def apf_run(spark, sf_dir):
 
 
 def aux_imm_run(spark, sf_dir):
-    return run_imm(event_series(spark, sf_dir), CONFIG)
+    return run_imm(event_series(spark, sf_dir), FilterConfig(particles=64, seed=3))
 
 
 def _scheme_runs(spark, sf_dir, names) -> DataFrame:

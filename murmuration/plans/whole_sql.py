@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from ..functions.rng import RANGE, Scripted
+from ..functions.rng import RANGE, SQUARES, Scripted
 from ..operators.filters import FilterConfig
 from .kernels import ROOT_10, ROOT_2PI
 
@@ -14,11 +14,10 @@ ONE = "4294967296.0::DOUBLE"
 def hashed_sql(noise: Scripted, name: str, *keys: str) -> str:
     h = f"CAST({(noise.seed + noise.constant(name)) % RANGE} AS BIGINT)"
     for k in keys:
-        h = f"(({h} * 1664525 + CAST({k} AS BIGINT)) % {RANGE})"
-        h = f"xor({h}, {h} >> 15)"
-    h = f"(({h} * 1103515245 + 12345) % {RANGE})"
-    h = f"xor({h}, {h} >> 13)"
-    return f"(({h} * 69069 + 1) % {RANGE})"
+        h = f"(({h} * 48271 + CAST({k} AS BIGINT)) % {RANGE})"
+    for add in SQUARES:
+        h = f"(({h} * {h} + {add}) % {RANGE})"
+    return h
 
 
 def uniform_sql(noise: Scripted, name: str, *keys: str) -> str:

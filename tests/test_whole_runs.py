@@ -80,3 +80,21 @@ def test_folded_sets_are_the_sets_row_by_row(spark, model, filter_, change, nois
     assert runs[0].keys() == runs[1].keys() == {(i, t) for i, n in ((0, 7), (1, 5), (2, 1)) for t in range(1, n + 1)}
     for k, r in runs[0].items():
         assert all(runs[1][k][c] == pytest.approx(r[c], rel=1e-9) for c in ("mean", "ess", "q05", "q95")), k
+
+
+def test_folded_imm_is_imm_row_by_row(spark):
+    rows = [(i, t, None if (i, t) == (0, 2) else 0.1 * i - 0.2 * t) for i, n in ((0, 4), (1, 3)) for t in range(1, n + 1)]
+    seen = spark.createDataFrame(rows, "series_id long, t int, y double")
+    runs = [{(r["series_id"], r["t"]): r for r in run_filter(seen, "rsgarch", "imm", FilterConfig(particles=31, seed=4, **extra)).collect()} for extra in ({"packed": 0}, {"steps_at_once": 3})]
+    assert runs[0].keys() == runs[1].keys() and len(runs[0]) == 7
+    for k, r in runs[0].items():
+        assert all(runs[1][k][c] == pytest.approx(r[c], rel=1e-6, abs=1e-9) for c in r.asDict()), k
+
+
+@pytest.mark.parametrize("resampler", ["systematic", "stratified", "multinomial", "residual"])
+@pytest.mark.parametrize("filter_", ["bootstrap", "auxiliary", "imm"])
+def test_every_resampler_in_every_filter(spark, resampler, filter_):
+    seen = spark.createDataFrame([(i, t, 0.3 * i + t) for i in range(2) for t in (1, 2)], "series_id long, t int, y double")
+    out = run_filter(seen, "rsgarch" if filter_ == "imm" else "growth", filter_, FilterConfig(particles=20, seed=1, resampler=resampler, ess_share=None)).collect()
+    assert sorted((r["series_id"], r["t"]) for r in out) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert all(1 <= r["ess"] <= 20 + 1e-6 for r in out)
