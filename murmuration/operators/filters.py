@@ -21,7 +21,7 @@ from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, fixed_from_log, replicated
 from .schemes import SCHEMES
-from .stats import effective_size, quantile_band, weighted_mean
+from .stats import banded, effective_size, weighted_mean
 
 KEY = ["series_id"]
 
@@ -74,7 +74,8 @@ def _log(w: str) -> Column:
 
 def summary(state: DataFrame, t: int) -> DataFrame:
     """``series_id, t, mean, ess, q05, q95`` of a weighted set."""
-    return state.groupBy(*KEY).agg(weighted_mean("x").alias("mean"), effective_size().alias("ess"), *quantile_band("x")).withColumn("t", F.lit(t))
+    means = state.groupBy(*KEY).agg(weighted_mean("x").alias("mean"), effective_size().alias("ess"))
+    return means.join(banded(state, "x", KEY), KEY, "left").withColumn("t", F.lit(t))
 
 
 def weighed(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> DataFrame:
@@ -337,10 +338,9 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
         weighted_mean("vol").alias("vol"),
         effective_size().alias("ess"),
         weighted_mean(F.when(F.col("q") == 0, 1.0).otherwise(0.0)).alias("prob_mode0"),
-        *quantile_band("r"),
         *[weighted_mean(p(k)).alias(f"p{k}") for k in range(9)],
-    ).withColumn("t", F.lit(t))
-    return now, said
+    )
+    return now, said.join(banded(now, "r", KEY), KEY, "left").withColumn("t", F.lit(t))
 
 
 def run_imm(observations: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:

@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resample import cumulated, multinomial, systematic
+from ..lineage import cut
+from .resample import cumulated, multinomial, replicated, systematic
+from .stats import weighted_mean
 
 Draw = Callable[..., Column]
 #: Stands in for a sub-filter where one uniform serves the allocation over all of them.
@@ -50,28 +52,46 @@ def local(df: DataFrame, n: int, parts: int, u: Draw) -> DataFrame:
     return _new_ids(out, "part").withColumn("weight", F.lit(1.0 / n))
 
 
-def selected(df: DataFrame, parts: int, index: Draw, extra: int = 0) -> DataFrame:
+def selected(df: DataFrame, parts: int, index: Draw, extra: int = 0, sims: int | None = None) -> DataFrame:
     """Selection and exchange: every sub-filter draws rows for every target, which become the target's.
 
     Each draws its rows div parts (and ``extra``) per target, uniformly with
     replacement and whatever their weights, which they keep. ``index(part,
     target, j)`` is the draw. Ranks come from exact prefix sums and meet the
-    draws in an equi-join.
+    draws in an equi-join. With ``sims`` the selection is made so many times
+    from the one set, ranked once; ``index`` then takes the column ``sim``
+    first, and the rows have it.
     """
     rank = cumulated(df.withColumn("__one", F.lit(1).cast("long")), "__one", ["part"]).withColumn("__rn", F.col("cw") - 1).drop("__one", "cw", "tw")
     sizes = df.groupBy("part").agg(F.count("*").alias("__n"))
     each = F.floor(F.col("__n") / parts).cast("long") + extra
+    keys = [] if sims is None else ["sim"]
+    runs = sizes if sims is None else sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     draws = (
-        sizes.select("part", "__n", each.alias("__each"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("target"))
+        runs.select("part", "__n", *keys, each.alias("__each"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("target"))
         .where("__each > 0")
-        .select("part", "__n", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__each") - 1)).alias("j"))
+        .select("part", "__n", *keys, "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__each") - 1)).alias("j"))
     )
-    at = draws.withColumn("__rn", F.least(F.floor(index(F.col("part"), F.col("target"), F.col("j")) * F.col("__n")), F.col("__n") - 1))
-    taken = at.select("part", "__rn", "target", "j").join(rank, ["part", "__rn"])
+    at = draws.withColumn("__rn", F.least(F.floor(index(*map(F.col, keys), F.col("part"), F.col("target"), F.col("j")) * F.col("__n")), F.col("__n") - 1))
+    taken = at.select("part", "__rn", *keys, "target", "j").join(rank, ["part", "__rn"])
     new_id = (F.col("part").cast("long") * parts + F.col("target")) * (1 << 32) + F.col("j")
     return taken.withColumn("id", new_id).drop("part", "__rn", "j").withColumnRenamed("target", "part")
 
 
+def repeated_selection(df: DataFrame, n: int, parts: int, sims: int, u: Draw, index: Draw) -> DataFrame:
+    """``sim, part, weight, mean, resampled``: ``sims`` selections of one set, each then resampled by sub-filter.
+
+    ``weight`` is the sub-filter's share of the simulation's weight, ``mean``
+    its weighted mean, and ``resampled`` its mean after the resampling.
+    """
+    keys = ["sim", "part"]
+    chosen = cut(selected(df, parts, index, sims=sims))
+    sums = chosen.groupBy(*keys).agg(F.sum("w").alias("w"), weighted_mean("x").alias("mean"))
+    totals = sums.groupBy("sim").agg(F.sum("w").alias("tw"))
+    points = replicated(systematic(chosen, share_of(n, parts, F.col("part")), u(F.col("sim"), F.col("part")), keys=keys)).groupBy(*keys).agg(F.avg("x").alias("resampled"))
+    return sums.join(totals, "sim").join(points, keys, "left").select(*keys, (F.col("w") / F.col("tw")).alias("weight"), "mean", "resampled")
+
+
 def dpf(df: DataFrame, n: int, parts: int, u: Draw, index: Draw) -> DataFrame:
     """Selection and exchange, then each sub-filter by itself."""
     return local(selected(df, parts, index), n, parts, u)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resample import cumulated
@@ -39,6 +39,38 @@ def quantile_band(x, low: float = 0.05, high: float = 0.95) -> list[Column]:
     return [F.get(both, 0).alias("q05"), F.get(both, 1).alias("q95")]
 
 
+#: Groups up to this many rows may stand in one aggregate.
+SMALL_GROUP = 10_000
+
+
+def banded(df: DataFrame, x: str, keys: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``keys, q05, q95``: :func:`quantile_band` of each key, however many rows a key has.
+
+    In a large group a sketch of bounded size first gives values a thousandth
+    of the rows below and above each rank, five errors of the sketch away. The
+    rows between them are few; the rest only counts. Ranks among those, and so
+    the quantiles, are exact.
+    """
+    keys = list(keys)
+    values = df.select(*keys, F.col(x).alias("__x")).where("__x is not null")
+    slack, shares = 0.001, (low, high)
+    wanted = [float(min(1.0, max(0.0, p + d))) for p in shares for d in (-slack, slack)]
+    counted = values.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__x", F.array(*map(F.lit, wanted)), F.lit(5000)).alias("__c"))
+    large = counted.where(F.col("__n") > SMALL_GROUP)
+    of_small = values.join(counted.where(F.col("__n") <= SMALL_GROUP).select(*keys), keys).groupBy(*keys).agg(*quantile_band("__x", low, high))
+    near = values.join(large, keys)
+    sides = F.array(*[F.struct(F.lit(k).alias("__k"), F.get("__c", 2 * k).alias("__from"), F.get("__c", 2 * k + 1).alias("__to"), ((F.col("__n") - 1) * F.lit(p)).alias("__place")) for k, p in enumerate(shares)])
+    each = near.select(*keys, "__x", F.inline(sides)).where(F.col("__x") <= F.col("__to"))
+    counts = each.groupBy(*keys, "__k", "__from", "__place").agg(F.count_if(F.col("__x") < F.col("__from")).alias("below"))
+    order = Window.partitionBy(*keys, "__k").orderBy("__x")
+    ranked = each.where(F.col("__x") >= F.col("__from")).select(*keys, "__k", "__x", F.row_number().over(order).alias("rank")).join(counts, [*keys, "__k"])
+    at = F.col("below") + F.col("rank") - 1
+    share = F.when(at == F.floor("__place"), F.floor("__place") + 1 - F.col("__place")).when(at == F.floor("__place") + 1, F.col("__place") - F.floor("__place"))
+    found = ranked.withColumn("share", share).where("share is not null").groupBy(*keys, "__k").agg(F.sum(F.col("share") * F.col("__x")).alias("q"))
+    of_large = found.groupBy(*keys).agg(F.max(F.when(F.col("__k") == 0, F.col("q"))).alias("q05"), F.max(F.when(F.col("__k") == 1, F.col("q"))).alias("q95"))
+    return of_small.unionByName(of_large)
+
+
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float]) -> DataFrame:
     """``prob, value``: the first value whose running weight reaches each share (exact for fixed-point weights)."""
     by_value = df.groupBy(x).agg(F.sum(w).alias(w)).where(F.col(w) > 0)
@@ -78,11 +110,10 @@ def resampling_variance(means: DataFrame, before: float, n: int) -> Column:
     return F.struct((square / F.count("*")).alias("by_simulations"), (square / n).alias("by_particles"))
 
 
-def covariance(columns: Sequence[str], w: str) -> list[Column]:
-    """Upper triangle of the weighted covariance, in one aggregate over products."""
+def centred_covariance(df: DataFrame, columns: Sequence[str], w: str) -> DataFrame:
+    """One row: the upper triangle of the weighted covariance, products taken about the means in a second pass."""
     total = F.sum(w)
-    out = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            out.append((F.sum(F.col(w) * F.col(a) * F.col(b)) / total - F.sum(F.col(w) * F.col(a)) / total * F.sum(F.col(w) * F.col(b)) / total).alias(f"{a}_{b}"))
-    return out
+    means = df.agg(*[(F.sum(F.col(w) * F.col(c)) / total).alias(f"__m_{c}") for c in columns])
+    joined = df.crossJoin(F.broadcast(means))  # one row
+    away = {c: F.col(c) - F.col(f"__m_{c}") for c in columns}
+    return joined.agg(*[(F.sum(F.col(w) * away[a] * away[b]) / total).alias(f"{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]])

@@ -9,7 +9,7 @@ from ..functions.rng import lcg, normal, uniform
 from ..operators.filters import imm_moments, p
 from ..operators.models import BenchmarkModel, GrowthModel, RsGarch, constrained
 from ..operators.resample import ONE
-from ..operators.stats import effective_size, histogram, integral, mean_and_variance, mode_probability, quantile_band, weighted_mean, weighted_quantiles
+from ..operators.stats import effective_size, histogram, integral, mean_and_variance, banded, mode_probability, weighted_mean, weighted_quantiles
 from ..sources.simulate import simulated
 from ..sources.tables import event_particles, event_series, table, weighted_events
 from ..sources.text import observation
@@ -192,8 +192,7 @@ def param_means(spark, sf_dir):
 
 
 def quantile_band_query(spark, sf_dir):
-    band = quantile_band("x")
-    return _w(spark, sf_dir).groupBy("part").agg(*[F.round(b, 6).alias(n) for b, n in zip(band, ("q05", "q95"), strict=True)])
+    return banded(_w(spark, sf_dir), "x", ["part"]).select("part", F.round("q05", 6).alias("q05"), F.round("q95", 6).alias("q95"))
 
 
 def weighted_quantile(spark, sf_dir):

@@ -125,6 +125,17 @@ def dpf_select_exchange(spark, sf_dir):
     return schemes.selected(_w(spark, sf_dir), PARTS, index_of).select("part", "id", "w", F.round("x", 6).alias("x"))
 
 
+SIMS = 20
+
+
+def selection_repeats(spark, sf_dir):
+    """Selections of one set again and again: weight and mean of each sub-filter, before and after resampling."""
+    u = lambda sim, part: u_of(sim * PARTS + part)
+    index = lambda sim, part, target, j: lcg(sim.cast("long") * 5000011 + part * 1000003 + target * 10007 + j * 31)
+    out = schemes.repeated_selection(_w(spark, sf_dir), N, PARTS, SIMS, u, index)
+    return out.select("sim", "part", F.round("weight", 9).alias("weight"), F.round("mean", 6).alias("mean"), F.round("resampled", 6).alias("resampled"))
+
+
 def dpf_step(spark, sf_dir):
     return points(schemes.dpf(_w(spark, sf_dir), N, PARTS, u_of, index_of))
 
@@ -173,6 +184,15 @@ def _selected(extra: int = 0) -> str:
       sel AS (SELECT CAST(pk.target AS INT) AS part, (CAST(pk.part AS BIGINT) * {PARTS} + pk.target) * 4294967296 + pk.j AS id, rk.w, rk.x FROM pk JOIN rk ON pk.part = rk.part AND pk.rn = rk.rn)"""
 
 
+_REPEATS = f"""WITH {WEIGHED}, rk AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS rn FROM p),
+      sz AS (SELECT part, count(*) AS n, unnest(range({SIMS})) AS sim FROM p GROUP BY part),
+      tg AS (SELECT sim, part, n, unnest(range({PARTS})) AS target FROM sz),
+      dr AS (SELECT sim, part, n, target, unnest(range(n // {PARTS})) AS j FROM tg),
+      pk AS (SELECT sim, part, target, j, least(CAST(floor({lcg_sql('(sim * 5000011 + CAST(part AS BIGINT) * 1000003 + target * 10007 + j * 31)')} * n) AS BIGINT), n - 1) AS rn FROM dr),
+      sel AS (SELECT sim, CAST(pk.target AS INT) AS part, (CAST(pk.part AS BIGINT) * {PARTS} + pk.target) * 4294967296 + pk.j AS id, rk.w, rk.x FROM pk JOIN rk ON pk.part = rk.part AND pk.rn = rk.rn),
+      c AS ({cum_sql('sel', 'sim, part')}), b AS (SELECT *, {bounds_sql(str(N // PARTS), u_sql(f'(sim * {PARTS} + part)'))} FROM c),
+      s AS (SELECT sim, part, sum(w) AS w, sum(w * x) / sum(w) AS mean, sum((hi - lo) * x) / sum(hi - lo) AS resampled FROM b GROUP BY sim, part)
+      SELECT CAST(sim AS INT) AS sim, part, round(CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY sim) AS DOUBLE), 9) AS weight, round(mean, 6) AS mean, round(resampled, 6) AS resampled FROM s"""
 _SUMS = f"ps AS (SELECT part, CAST(sum(w) AS BIGINT) AS w, count(*) AS n FROM p GROUP BY part), pc AS ({cum_sql('ps', '', 'part')})"
 _ALLOC = f"al AS (SELECT part, w, lo, hi, hi - lo AS cnt FROM (SELECT *, {bounds_sql(str(N), u_sql('1000000'))} FROM pc))"
 _TOTAL = "CAST((SELECT sum(w) FROM ps) AS DOUBLE)"
@@ -284,4 +304,5 @@ QUERIES = {
         c AS ({cum_sql('p', 'mode')}), k AS (SELECT mode, id, hi - lo AS cnt FROM (SELECT *, {bounds_sql('2000', f'{U}::DOUBLE')} FROM c)) SELECT mode, id, CAST(cnt AS BIGINT) AS cnt FROM k WHERE cnt > 0""",
     ),
     "mc_variance": (mc_variance, _MC),
+    "selection_repeats": (selection_repeats, _REPEATS),
 }

@@ -96,3 +96,17 @@ def test_partitioned_runs(spark, series, scheme):
     state, said = run_scheme(start, one, scheme, BenchmarkModel(), FilterConfig(parts=4, seed=2))
     assert state.count() == 400 and {r["t"] for r in said.collect()} == {1, 2}
     assert state.select("part").distinct().count() <= 4
+
+
+def test_quantiles_of_a_large_group_are_exact(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from murmuration.operators import stats
+
+    df = spark.range(30_000).select((F.col("id") % 3).alias("k"), F.floor(F.pow(F.rand(3), 4) * 5000).alias("x").cast("double")).where("k < 2 or x > 4000").cache()
+    wanted = {r["k"]: (r["q05"], r["q95"]) for r in df.groupBy("k").agg(*stats.quantile_band("x")).collect()}
+    monkeypatch.setattr(stats, "SMALL_GROUP", 5_000)
+    assert df.groupBy("k").count().where("count > 5000").count() == 2
+    found = {r["k"]: (r["q05"], r["q95"]) for r in stats.banded(df, "x", ["k"]).collect()}
+    assert found.keys() == wanted.keys()
+    assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)
