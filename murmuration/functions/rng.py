@@ -118,6 +118,8 @@ class Keyed:
 RANGE = (1 << 31) - 1
 #: Keys enter it linearly and are mixed by a square for each of these.
 SQUARES = (40014, 80028)
+#: A further square gives the second number of a normal draw.
+SECOND = 120042
 
 
 @dataclass(frozen=True)
@@ -146,10 +148,13 @@ class Scripted:
         return (self.hashed(name, t, *keys) + 0.5) / float(RANGE)
 
     def normal(self, name: str, t, *keys) -> Column:
-        a, b = self.hashed(name, t, *keys), self.hashed(name + "'", t, *keys)
-        low, high = F.lit((1 << 15) - 1).cast("long"), 16
-        total = F.shiftright(a, high) + a.bitwiseAND(low) + F.shiftright(b, high) + b.bitwiseAND(low)
-        return ((total + 2) / 32768.0 - 2.0) * math.sqrt(3.0)
+        def of(a):
+            b = (a * a + SECOND) % RANGE
+            total = F.shiftright(a, 16) + a.bitwiseAND(low) + F.shiftright(b, 16) + b.bitwiseAND(low)
+            return ((total + 2) / 32768.0 - 2.0) * math.sqrt(3.0)
+
+        low = F.lit((1 << 15) - 1).cast("long")
+        return F.get(F.transform(F.array(self.hashed(name, t, *keys)), of), 0)  # hashed once
 
 
 #: Sources of noise by name.

@@ -80,7 +80,7 @@ def picked(particles: Column, n: int, how: str, draw: Callable[[Column | None],
 
 def band(particles: Column, low: float = 0.05, high: float = 0.95) -> list[Column]:
     """Unweighted quantiles of x by linear interpolation."""
-    values = F.array_sort(F.transform(particles, lambda p: p["x"]))
+    values = F.sort_array(F.transform(particles, lambda p: p["x"]))  # array_sort would compare through an expression
 
     def at(v, share):
         place = (F.size(v) - 1) * F.lit(share)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from ..functions.rng import RANGE, SQUARES, Scripted
+from ..functions.rng import RANGE, SECOND, SQUARES, Scripted
 from ..operators.filters import FilterConfig
 from .kernels import ROOT_10, ROOT_2PI
 
@@ -24,8 +24,9 @@ def uniform_sql(noise: Scripted, name: str, *keys: str) -> str:
     return f"(({hashed_sql(noise, name, *keys)} + 0.5::DOUBLE) / {float(RANGE)}::DOUBLE)"
 
 
-def normal_sql(a: str, b: str) -> str:
-    """Of two hashed columns."""
+def normal_sql(a: str) -> str:
+    """Of a hashed column."""
+    b = f"(({a} * {a} + {SECOND}) % {RANGE})"
     return f"((({a} >> 16) + ({a} & 32767) + ({b} >> 16) + ({b} & 32767) + 2) / 32768.0::DOUBLE - 2.0::DOUBLE) * {math.sqrt(3.0)!r}::DOUBLE"
 
 
@@ -63,10 +64,10 @@ def _sums(source: str) -> str:
 
 def _run(config: FilterConfig, step: str) -> str:
     noise, n = config.source, config.particles
-    start = _grid(f"{normal_sql('a', 'b')} * {ROOT_10}", config.grid)
+    start = _grid(f"{normal_sql('a')} * {ROOT_10}", config.grid)
     return f"""WITH RECURSIVE {_OBSERVED},
       i AS (SELECT s, unnest(range({n})) AS id FROM ends),
-      z AS (SELECT s, id, {hashed_sql(noise, "init", "0", "s", "id")} AS a, {hashed_sql(noise, "init'", "0", "s", "id")} AS b FROM i),
+      z AS (SELECT s, id, {hashed_sql(noise, "init", "0", "s", "id")} AS a FROM i),
       r AS (SELECT s, id, CAST(0 AS BIGINT) AS t, CAST({ONE} AS BIGINT) AS w, {start} AS x FROM z UNION ALL ({step}))
       SELECT s AS series_id, CAST(t AS INT) AS t, round(sum(w * x) / CAST(sum(w) AS DOUBLE), 6) AS mean,
         round(sum(CAST(w AS DOUBLE)) * sum(CAST(w AS DOUBLE)) / sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)), 6) AS ess,
@@ -77,8 +78,8 @@ def _run(config: FilterConfig, step: str) -> str:
 def _noise(config: FilterConfig, source: str) -> str:
     """``source`` with the next step's noise z; its rows have s, t and id."""
     noise = config.source
-    pair = f"SELECT *, {hashed_sql(noise, 'move', 't + 1', 's', 'id')} AS a, {hashed_sql(noise, 'move' + chr(39), 't + 1', 's', 'id')} AS b FROM {source}"
-    return f"SELECT *, {normal_sql('a', 'b')} AS z FROM ({pair})"
+    pair = f"SELECT *, {hashed_sql(noise, 'move', 't + 1', 's', 'id')} AS a FROM {source}"
+    return f"SELECT *, {normal_sql('a')} AS z FROM ({pair})"
 
 
 def bootstrap_sql(config: FilterConfig) -> str:
