@@ -19,7 +19,7 @@ from ..lineage import cut, new_path
 from . import packed, packed_imm
 from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
-from .resample import ONE, RESAMPLERS, fixed_from_log, replicated
+from .resample import ONE, RESAMPLERS, fixed, fixed_from_log, replicated
 from .schemes import SCHEMES
 from .stats import banded, effective_size, weighted_mean
 
@@ -236,24 +236,26 @@ def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model
     weights go into the next step.
     """
     seen = {r["t"]: r["y"] for r in observations.where("y is not null").select("t", "y").collect()}  # one number a step
-    state = cut(particles.select("id", F.col("part").cast("int").alias("part"), F.lit(ONE).cast("long").alias("w"), "x"))
-    n, out = config.n_out or state.count(), Told(particles.sparkSession)
+    if not seen:
+        raise ValueError("there are no observations")
+    state = particles.select("id", F.col("part").cast("int").alias("part"), F.lit(ONE).cast("long").alias("w"), "x")
+    n, said = config.n_out or particles.count(), []
     for t in sorted(seen):
         time, noise = F.lit(t * config.dt), config.source.normal("move", t, "part", "id")
-        moved = state.withColumn("__before", F.col("x")).withColumn("x", packed.on_grid(model.propagate(F.col("x"), time, noise), config.grid))
-        gain = model.log_likelihood(seen[t], F.col("__before") if config.weight_on == "pre" else F.col("x"))
-        log_w = _log("w") + gain if config.accumulate else gain
-        now = cut(fixed_from_log(moved.withColumn("__lw", log_w), "__lw").select("id", "part", "w", "x"))
-        said = now.agg(weighted_mean("x").alias("mean"), effective_size().alias("ess")).select(F.lit(t).alias("t"), "mean", "ess")
-        out.add(said, t)
+        moved = state.withColumn("before", F.col("x")).withColumn("x", packed.on_grid(model.propagate(F.col("x"), time, noise), config.grid))
+        gain = model.log_likelihood(seen[t], F.col("before") if config.weight_on == "pre" else F.col("x"))
+        weighed_ = cut(moved.select("id", "part", "x", packed.clean(_log("w") + gain if config.accumulate else gain).alias("lw")))
+        top = weighed_.agg(F.max("lw")).first()[0]
+        w = F.lit(ONE).cast("long") if top is None else F.coalesce(fixed(F.exp(F.col("lw") - top)), F.lit(0).cast("long"))
+        now = weighed_.select("id", "part", w.alias("w"), "x")
+        said.append((t, *now.agg(weighted_mean("x"), effective_size()).first()))  # one row a step
         draw = lambda *keys, t=t: config.source.uniform("draw", t, *keys)
         chosen = SCHEMES[scheme](now, n, config.parts, draw, draw)
         if "part" not in chosen.columns:
             chosen = chosen.withColumn("part", F.floor(F.col("id") * config.parts / n).cast("int"))
-        state = cut(fixed_from_log(chosen.withColumn("__lw", F.log("weight")), "__lw").select("id", F.col("part").cast("int").alias("part"), "w", "x"))
-    if not out.steps:
-        raise ValueError("there are no observations")
-    return state, out.rows()
+        # a row stands for about 1 of n, so n of its weight is near 1
+        state = chosen.select("id", F.col("part").cast("int").alias("part"), fixed(F.col("weight") * n).alias("w"), "x")
+    return cut(state), particles.sparkSession.createDataFrame(said, "t int, mean double, ess double")
 
 
 # The auxiliary interacting-multiple-model filter with parameter learning.

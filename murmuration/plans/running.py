@@ -34,6 +34,10 @@ def scheme_comparison(spark: SparkSession, sf_dir: str, n: int = 10_000, parts:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Steps of the partitioned runs at most; a step is some seconds of planning and code generation whatever the size.
+STRETCHES = 10
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("series_id", F.col("t").cast("int").alias("t"), *[F.round(c, 6).alias(c) for c in ("mean", "ess", "q05", "q95")])
 
@@ -51,8 +55,15 @@ def aux_imm_run(spark, sf_dir):
 
 
 def _scheme_runs(spark, sf_dir, names) -> DataFrame:
-    """Partitioned filters over the users' mean values, every event a particle; the schemes run side by side."""
-    seen = event_series(spark, sf_dir).groupBy("t").agg(F.avg("y").alias("y"))
+    """Partitioned filters over the users' mean values, every event a particle; the schemes run side by side.
+
+    The observations are means over the places of all events among their
+    user's, in ``STRETCHES`` equal stretches where there are more places.
+    """
+    series = cut(event_series(spark, sf_dir))
+    last = series.agg(F.max("t")).first()[0] or 1
+    step = F.col("t") if last <= STRETCHES else F.ceil(F.col("t") * STRETCHES / last)
+    seen = series.groupBy(step.cast("int").alias("t")).agg(F.avg("y").alias("y"))
     particles = cut(event_particles(spark, sf_dir))
     config = FilterConfig(parts=4, seed=21, weight_on="pre")
 
