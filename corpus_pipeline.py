@@ -18,7 +18,7 @@ from murmuration.llm.decontaminate import decontaminate
 from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.lsh_forest import keep_one
 from murmuration.llm.packing import Capacities, pack
-from murmuration.llm.token_queries import CONTEXT, vocabulary
+from murmuration.llm.token_queries import CONTEXT, DOCUMENTS, vocabulary
 from murmuration.llm.toxicity import THRESHOLD, scores, train
 
 #: Score from which a document is rejected: the operator's own.
@@ -54,7 +54,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, packed into sequences."""
-    return pack(docs, vocabulary(), end_id=0, caps=Capacities(tokens=CONTEXT, documents=CONTEXT, attention=CONTEXT * CONTEXT))
+    return pack(docs, vocabulary(), end_id=0, caps=Capacities(tokens=CONTEXT, documents=DOCUMENTS, attention=CONTEXT * CONTEXT))
 
 
 STAGES = [
