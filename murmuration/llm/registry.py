@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sharding_queries, token_queries, toxicity_queries
+from . import decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sentencepiece_queries, sharding_queries, token_queries, toxicity_queries
 
-MODULES = (decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sharding_queries, token_queries, toxicity_queries)
+MODULES = (decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sentencepiece_queries, sharding_queries, token_queries, toxicity_queries)
 
 
 def queries() -> dict:
