@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment_queries, decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sentencepiece_queries, sharding_queries, token_queries, toxicity_queries
+from . import alignment_queries, collocation_queries, decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sentencepiece_queries, sharding_queries, token_queries, toxicity_queries
 
-MODULES = (alignment_queries, decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sentencepiece_queries, sharding_queries, token_queries, toxicity_queries)
+MODULES = (alignment_queries, collocation_queries, decontaminate_queries, dedup_queries, line_queries, media_queries, pii_queries, sentencepiece_queries, sharding_queries, token_queries, toxicity_queries)
 
 
 def queries() -> dict:
