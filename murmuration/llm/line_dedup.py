@@ -62,30 +62,24 @@ def repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     Texts are cut once, and only line hashes go on. A grouped count of window
     hashes (combined before the shuffle, so a window in very many documents is
     one row a task) finds what repeats; only occurrences that may be of those
-    are shuffled again, and there a window is two hashes of its line hashes.
-    Windows in a thousandth of all occurrences, a thousand at most, have their
-    first found by a grouped minimum and broadcast; the others stand in groups
-    that are all small.
+    go further, and there a window is two hashes of its line hashes. The first
+    place of each window is a grouped minimum. All other places are later
+    ones, so places and first places meet by document, never by window: no
+    window is gathered, however frequent. Beyond some two million repeated
+    windows the bitmap lets nearly every occurrence through; what follows is
+    still combined in each task before it is shuffled.
     """
     rtrimmed = F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.rtrim(x, F.lit(TRIMMED))))
     hashed = stored(docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("mark"), rtrimmed.alias("hashes")), "line-hashes")
     windows, names = _windows(hashed, lines), [f"c{k}" for k in range(lines)]
     both = windows.select("doc_id", "mark", "at", F.xxhash64(*names).alias("h"), F.xxhash64(F.lit(1), *names).alias("check"))
-    repeated = cut(both.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    found = stored(_marked(both, F.col("h"), _bitmap(repeated.select("h"))).where("in_bitmap").select("doc_id", "mark", "at", "h", "check"), "windows")
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    hot = repeated.where(F.col("n") > max(10_000, total // 1000)).select("h")  # a thousand rows at most
+    repeated = cut(both.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    found = stored(_marked(both, F.col("h"), _bitmap(repeated)).where("in_bitmap").select("doc_id", "mark", "at", "h", "check"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "at")
-    key = ["h", "check"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("doc_id").isNull(), "doc_id", "mark", "at"))
-    rest, later = found, None
-    if hot.limit(1).count():
-        many = found.join(F.broadcast(hot), "h")
-        firsts = many.groupBy(*key).agg(F.min(place).alias("first"))
-        later = many.join(F.broadcast(firsts), key).where(place != F.col("first")).select("doc_id", "mark", "at")
-        rest = found.join(F.broadcast(hot), "h", "left_anti")
-    few = rest.withColumn("rank", rank).where("rank > 1").select("doc_id", "mark", "at")
-    merged = (few if later is None else few.unionByName(later)).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
+    firsts = found.groupBy("h", "check").agg(F.min(place).alias("first")).select("first.doc_id", "first.mark", "first.at", F.lit(True).alias("is_first"))
+    places = found.select("doc_id", "mark", "at", F.lit(False).alias("is_first")).unionByName(firsts)
+    each = places.groupBy("doc_id", "mark").agg(F.collect_set(F.when(~F.col("is_first"), F.col("at"))).alias("all"), F.collect_set(F.when(F.col("is_first"), F.col("at"))).alias("first"))
+    merged = each.select("doc_id", "mark", F.array_except("all", "first").alias("starts")).where(F.size("starts") > 0)
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + lines - 1)))))
     return merged.select("doc_id", "mark", covered.alias("covered"))
 
@@ -112,19 +106,20 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.struct(F.array_join(between, "").alias("text"), F.aggregate(runs, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1).alias("n_removed"))
 
 
-def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFrame:
-    """All columns of ``docs``, with later copies of repeated passages gone from ``text``, then ``n_removed``.
+def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60, removed: str = "n_removed") -> DataFrame:
+    """All columns of ``docs``, with later copies of repeated passages gone from ``text``, then a count named by ``removed``.
 
     Every window of ``lines`` consecutive lines is hashed. Of a window that
     occurs again anywhere, the first occurrence (smallest doc_id, then place;
     rows without one come last) stays, and the lines that others cover are
     merged into runs. A run of ``min_chars`` characters goes; shorter ones are
-    common phrases and stay (0 removes every run). ``n_removed`` counts lines.
+    common phrases and stay (0 removes every run). The count is of lines.
 
     A text of fewer lines is left alone; null and empty texts are unchanged
     with 0 removed. A very long text is one row throughout, with 8 bytes a
-    line. Rows that agree in doc_id and text count as one document and are
-    treated alike. An empty table stays empty. Other columns pass through
+    line. Rows that agree in doc_id and text count as one document: each keeps
+    what is first in it and loses what an earlier document or an earlier place
+    in it has. An empty table stays empty. Other columns pass through
     whatever their names; the added one replaces a column of the same name.
     """
     found = cut(repeated_lines(docs, lines)).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
@@ -133,8 +128,8 @@ def dedup_lines(docs: DataFrame, lines: int = 3, min_chars: int = 60) -> DataFra
     joined = named.where("in_bitmap").join(found, F.col("row.doc_id").eqNullSafe(F.col("found_id")) & (F.col("own") == F.col("found_mark")), "left")
     rest = F.when(F.col("covered").isNotNull(), let(lines_of(F.col("row.text")), lambda v: let(_runs(F.col("covered"), v, min_chars), lambda runs: _without(v, runs))))
     out = joined.withColumn("rest", rest)
-    removed = F.coalesce("rest.n_removed", F.lit(0))
-    text = F.when(removed > 0, F.col("rest.text")).otherwise(F.col("row.text"))
-    order = [c for c in docs.columns if c != "n_removed"]
-    changed = out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], removed.alias("n_removed"))
-    return changed.unionByName(named.where("not in_bitmap").select(*[F.col("row")[c].alias(c) for c in order], F.lit(0).alias("n_removed")))
+    n_removed = F.coalesce("rest.n_removed", F.lit(0))
+    text = F.when(n_removed > 0, F.col("rest.text")).otherwise(F.col("row.text"))
+    order = [c for c in docs.columns if c.lower() != removed.lower()]
+    changed = out.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in order], n_removed.alias(removed))
+    return changed.unionByName(named.where("not in_bitmap").select(*[F.col("row")[c].alias(c) for c in order], F.lit(0).alias(removed)))

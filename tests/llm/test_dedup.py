@@ -182,5 +182,26 @@ def test_messy_lines(messy, nothing):
         rows.setdefault(r["doc_id"], []).append(r)
     assert rows[2][0]["text"] is None and rows[3][0]["text"] == "" and rows[2][0]["n_removed"] == 0
     assert rows[0][0]["n_removed"] == 0 and rows[1][0]["n_removed"] > 0
-    assert rows[6][0]["text"] == rows[6][1]["text"]
+    whole = {r["text"] for r in messy.where("doc_id = 6").collect()}
+    assert {r["text"] for r in rows[6]} == whole and all(r["n_removed"] == 0 for r in rows[6])  # the first of its passages, in both rows
     assert dedup_lines(nothing).count() == 0
+
+
+def test_repeated_rows_keep_their_first_passage(spark):
+    """Equal rows are one document: what is first in it stays in each, later documents and later places lose theirs."""
+    passage = "".join(f"this is clause number {i} of the passage, " for i in range(8))
+    rows = [(1, passage), (1, passage), (2, "before all, " + passage), (None, passage), (None, passage), (3, passage + "and then, once more, again: " + passage)]
+    for copies in (1, 40):  # few and very many occurrences go the same way
+        many = rows + [(10 + i, passage) for i in range(copies)]
+        out = dedup_lines(spark.createDataFrame(many, "doc_id long, text string")).collect()
+        by = {}
+        for r in out:
+            assert (r["text"] == dict(many)[r["doc_id"]]) == (r["n_removed"] == 0)
+            by.setdefault(r["doc_id"], []).append(r["text"])
+        assert by[1] == [passage] * 2
+        assert by[None] == [""] * 2
+        assert by[2] == ["before all, "]
+        assert "clause" not in by[3][0] and "once more" in by[3][0]
+        assert all(by[10 + i] == [""] for i in range(copies))
+    alone = dedup_lines(spark.createDataFrame([(None, passage), (None, passage)], "doc_id long, text string")).collect()
+    assert [r["text"] for r in alone] == [passage] * 2
