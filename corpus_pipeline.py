@@ -25,18 +25,29 @@ from murmuration.llm.toxicity import THRESHOLD, scores, train
 REJECT = THRESHOLD
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose whole text scores under ``REJECT``; null and empty texts score as the prior."""
     model = train(docs, read(spark, sf_dir, "labels"))
-    name = "score"
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
+    name = free_name(docs, "score")
     return scores(docs, model, name).where(F.col(name) < REJECT).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without later copies of repeated passages; n_chars follows the text, and null texts stay null."""
-    out = dedup_lines(docs).select(*docs.columns)
+    """All rows that still have text, without later copies of repeated passages.
+
+    n_chars follows the text. A row that loses its last word stood in earlier
+    documents as a whole and goes; null and empty texts stay as they are.
+    """
+    removed = free_name(docs, "n_removed")
+    found = dedup_lines(docs, removed=removed)
+    out = found.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -70,6 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages, from all its rows.
+
+    Null, empty and very long texts, repeated rows and ties are what each
+    stage's operator says; an empty table gives no pieces. Extra columns,
+    whatever their names, go through up to packing.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
