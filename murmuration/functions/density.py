@@ -1,20 +1,19 @@
-"""Densities as Column expressions."""
+"""Densities of Columns, numpy arrays or numbers."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .elementwise import exp, log
 
 ROOT_2PI = math.sqrt(2 * math.pi)
 
 
-def normal_pdf(x: Column, mean, sd) -> Column:
+def normal_pdf(x, mean, sd):
     z = (x - mean) / sd
-    return F.exp(-0.5 * z * z) / (F.lit(ROOT_2PI) * sd)
+    return exp(-0.5 * z * z) / (ROOT_2PI * sd)
 
 
-def log_normal_pdf(x: Column, mean, sd) -> Column:
+def log_normal_pdf(x, mean, sd):
     z = (x - mean) / sd
-    return -0.5 * z * z - F.log(F.lit(ROOT_2PI) * sd)
+    return -0.5 * z * z - log(ROOT_2PI * sd)

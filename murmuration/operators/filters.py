@@ -4,7 +4,7 @@ A step takes and gives a particle table; many series run side by side under
 ``series_id``. All noise is keyed by series, particle and step, so a step that
 runs again gives the same set. Weights stay log-weights until a step's largest
 is known, so a far observation underflows to equal weights and not to nothing.
-Series with small sets are folded instead, see :mod:`.packed`.
+Series with small sets are matrix rows instead, see :mod:`.packed`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..lineage import cut, new_path
 from . import packed, packed_imm
 from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
-from .resample import ONE, RESAMPLERS, fixed, fixed_from_log, replicated
+from .resample import ONE, RESAMPLERS, clean, fixed, fixed_from_log, log_of, on_grid, replicated
 from .schemes import SCHEMES
 from .stats import banded, effective_size, weighted_mean
 
@@ -36,7 +36,7 @@ class FilterConfig:
     always); ``n_out`` lets a step's resampling give another number of rows.
     ``noise`` is ``"keyed"`` or ``"scripted"`` and ``grid`` holds states on
     multiples of 1/grid: with both, any engine repeats a run. Sets of
-    ``packed`` particles at most are folded, ``steps_at_once`` steps a job.
+    ``packed`` particles at most are matrix rows, ``steps_at_once`` steps a job.
     """
 
     particles: int = 1000
@@ -64,12 +64,12 @@ def initial(series: DataFrame, model: BenchmarkModel, config: FilterConfig) -> D
     """``series_id, id, part, w, x``: n equal-weight draws per series."""
     rows = series.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))).alias("id"))
     part = F.floor(F.col("id") * config.parts / config.particles).cast("int")
-    x = packed.on_grid(model.init(config.source.normal("init", 0, "series_id", "id")), config.grid)
+    x = on_grid(model.init(config.source.normal("init", 0, "series_id", "id")), config.grid)
     return rows.select("series_id", "id", part.alias("part"), F.lit(ONE).cast("long").alias("w"), x.alias("x"))
 
 
 def _log(w: str) -> Column:
-    return packed.log_of(F.col(w))
+    return log_of(F.col(w))
 
 
 def summary(state: DataFrame, t: int) -> DataFrame:
@@ -86,7 +86,7 @@ def weighed(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel
     proposed = model.proposal(F.col("x"), F.col("y"), time, noise)
     after = model.propagate(F.col("x"), time, noise)
     after = after if proposed is None else F.coalesce(proposed, after)
-    moved = joined.withColumn("__before", F.col("x")).withColumn("x", packed.on_grid(after, config.grid))
+    moved = joined.withColumn("__before", F.col("x")).withColumn("x", on_grid(after, config.grid))
     seen = F.col("__before") if config.weight_on == "pre" else F.col("x")
     gain = model.log_likelihood(F.col("y"), seen)
     if proposed is not None:
@@ -129,7 +129,7 @@ def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: Benchma
     ahead = joined.withColumn("__ahead", model.log_likelihood(F.col("y"), model.mean(F.col("x"), time)))
     first = cut(fixed_from_log(ahead.withColumn("__lw", _log("w") + F.col("__ahead")), "__lw", KEY).drop("__lw"))
     pick = RESAMPLERS[config.resampler](first, config.particles, _draw(config, t), KEY, config.block)
-    move = packed.on_grid(model.propagate(F.col("x"), time, noise), config.grid)
+    move = on_grid(model.propagate(F.col("x"), time, noise), config.grid)
     chosen = replicated(pick).withColumn("x", move)
     second = chosen.withColumn("__lw", model.log_likelihood(F.col("y"), F.col("x")) - F.col("__ahead"))
     idle = state.join(seen, KEY, "left_anti").withColumn("x", move)
@@ -169,9 +169,11 @@ STEPS = {"bootstrap": bootstrap_step, "auxiliary": auxiliary_step}
 COLUMNS = ["series_id", "t", "mean", "ess", "q05", "q95"]
 
 
-def folds(config: FilterConfig) -> bool:
-    """Whether a set is small enough, and its resampler in closed form, to be an array."""
-    return max(config.particles, config.n_out or 0) <= config.packed and config.resampler in packed.BOUNDS
+def folds(config: FilterConfig, model: BenchmarkModel | RsGarch, series_type: str) -> bool:
+    """Whether sets are matrix rows: small, of one size, with a resampler in closed form, and keys and formulas that numpy has."""
+    small = config.particles <= config.packed and config.n_out in (None, config.particles) and config.resampler in packed.BOUNDS
+    keys = ("bigint", "int") if config.noise == "scripted" else ("bigint", "int", "string")
+    return small and not model.columns_only and series_type in keys
 
 
 def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark", filter_: str = "bootstrap", config: FilterConfig = FilterConfig()) -> DataFrame:
@@ -181,45 +183,57 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     observation, of repeated rows of a step the one with the least y counts,
     and a series leaves after its last one. Steps depend on one another;
     series and particles do not. Sets of ``config.packed`` particles at most
-    are folded, a row per series and a job for each ``config.steps_at_once``
-    steps; larger ones go step by step, a row per particle. Both give the same
-    numbers. The filter ``"imm"`` on the model ``"rsgarch"`` is :func:`run_imm`.
+    are matrix rows, many series a task and a job for each
+    ``config.steps_at_once`` steps; larger ones go step by step, a row per
+    particle. Both give the same numbers. Rows without a series_id are left
+    out, and an empty table gives no rows. The filter ``"imm"`` on the model ``"rsgarch"`` is :func:`run_imm`.
     """
     if filter_ == "imm":
         if model != "rsgarch":
             raise ValueError("the filter 'imm' is for the model 'rsgarch'")
         return run_imm(observations, config)
     model = MODELS[model]() if isinstance(model, str) else model
-    seen = cut(observations.where("y is not null").groupBy("series_id", "t").agg(F.min("y").alias("y")))
+    seen = _seen(observations)
     ends = _ends(seen)
     last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
     if not last:
         return summary(initial(seen, model, config), 0).select(*COLUMNS).where("false")
-    if not folds(config):
+    if not folds(config, model, dict(seen.dtypes)["series_id"]):
         state = _going(initial(seen, model, config), ends, 0)
         for t in range(1, last + 1):
             state, said = STEPS[filter_](state, seen.where(F.col("t") == t), t, model, config)
             out.add(said, t)
             state = cut(_going(state, ends, t))
         return out.rows().select(*COLUMNS)
-    noise = config.source
-    return _fold(
-        ends.withColumn("set", packed.started(model, config, noise)),
-        lambda rows: packed.advanced(rows, model, filter_, config, noise),
-        seen, last, config, out,
-    ).select(*COLUMNS)
+    sets = ends.select("*", *[F.lit(None).cast(f"array<{kind}>").alias(c) for c, kind in (("w", "bigint"), ("x", "double"))])
+    return _fold(sets, packed.Sets.names, lambda rows: packed.advanced(rows, model, filter_, config), seen, last, config, out).select(*COLUMNS)
 
 
-def _fold(sets: DataFrame, advance, seen: DataFrame, last: int, config: FilterConfig, out: Told) -> DataFrame:
-    """The summaries of all steps of ``sets(series_id, end, set)``, a job for each ``config.steps_at_once`` of them."""
+def _seen(observations: DataFrame) -> DataFrame:
+    """Observations that count: of a series and a step the least y. Rows without a series belong to none."""
+    return cut(observations.where("y is not null and series_id is not null").groupBy("series_id", "t").agg(F.min("y").alias("y")))
+
+
+def _tasks(sets: DataFrame, last: int, config: FilterConfig) -> int:
+    """Tasks for the steps of all series: as many as run at once, more where that is over 2**28 particle steps a task."""
+    spark = sets.sparkSession
+    work = (sets.agg(F.sum("end")).first()[0] or 0) * config.particles
+    return int(max(spark.sparkContext.defaultParallelism, work >> 28))
+
+
+def _fold(sets: DataFrame, names: tuple[str, ...], advance, seen: DataFrame, last: int, config: FilterConfig, out: Told) -> DataFrame:
+    """The summaries of all steps of ``sets(series_id, end, ...)``, a job for each ``config.steps_at_once`` of them."""
+    tasks = _tasks(sets, last, config)
     for low in range(1, last + 1, config.steps_at_once):
         high = low + config.steps_at_once - 1
         these = packed.observed(seen.where(F.col("t").between(low, high))).select("series_id", "seen")
-        rows = sets.join(these, "series_id", "left").select("series_id", "end", "set", F.lit(low).alias("low"), F.least(F.lit(high), "end").cast("int").alias("high"), F.coalesce("seen", F.array().cast("array<struct<t:int,y:double>>")).alias("seen"))
+        joined = sets.join(these, "series_id", "left")
+        # long and short series are dealt out by a hash of their own, whatever the shuffle's partitions are
+        rows = joined.select("series_id", *names, F.lit(low).alias("low"), F.least(F.lit(high), "end").cast("int").alias("high"), F.coalesce("seen", F.array().cast("array<struct<t:int,y:double>>")).alias("seen")).repartition(tasks, "series_id")
         after = advance(rows)
         if high < last:
             after = cut(after)
-            sets = cut(after.select("series_id", "set").join(sets.select("series_id", "end").where(F.col("end") > high), "series_id"))
+            sets = cut(after.select("series_id", *names).join(sets.select("series_id", "end").where(F.col("end") > high), "series_id"))
         out.add(_spread(after), low)
     return out.rows()
 
@@ -242,9 +256,9 @@ def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model
     n, said = config.n_out or particles.count(), []
     for t in sorted(seen):
         time, noise = F.lit(t * config.dt), config.source.normal("move", t, "part", "id")
-        moved = state.withColumn("before", F.col("x")).withColumn("x", packed.on_grid(model.propagate(F.col("x"), time, noise), config.grid))
+        moved = state.withColumn("before", F.col("x")).withColumn("x", on_grid(model.propagate(F.col("x"), time, noise), config.grid))
         gain = model.log_likelihood(seen[t], F.col("before") if config.weight_on == "pre" else F.col("x"))
-        weighed_ = cut(moved.select("id", "part", "x", packed.clean(_log("w") + gain if config.accumulate else gain).alias("lw")))
+        weighed_ = cut(moved.select("id", "part", "x", clean(_log("w") + gain if config.accumulate else gain).alias("lw")))
         top = weighed_.agg(F.max("lw")).first()[0]
         w = F.lit(ONE).cast("long") if top is None else F.coalesce(fixed(F.exp(F.col("lw") - top)), F.lit(0).cast("long"))
         now = weighed_.select("id", "part", w.alias("w"), "x")
@@ -347,14 +361,15 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
 
 def run_imm(observations: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
     """``series_id, t, mean, vol, ess, prob_mode0, q05, q95, p0..p8`` for every step, as :func:`run_filter` goes."""
-    seen = cut(observations.where("y is not null").groupBy("series_id", "t").agg(F.min("y").alias("y")))
+    seen = _seen(observations)
     ends = _ends(seen)
     last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
-    if not last:
-        raise ValueError("there are no observations")
     columns = ["series_id", "t", "mean", "vol", "ess", "prob_mode0", "q05", "q95"]
-    if folds(config):
-        said = _fold(ends.withColumn("set", packed_imm.started(config)), lambda rows: packed_imm.advanced(rows, config, config.source), seen, last, config, out)
+    if not last:
+        return imm_step(imm_initial(seen, config), seen, 0, config)[1].select(*columns, *THETA).where("false")
+    if folds(config, RsGarch(), dict(seen.dtypes)["series_id"]):
+        sets = cut(ends.select("*", *packed_imm.started(config)))
+        said = _fold(sets, packed_imm.ImmSets.names, lambda rows: packed_imm.advanced(rows, config), seen, last, config, out)
         return said.select(*columns, *[F.get("p", k).alias(f"p{k}") for k in range(9)])
     state = cut(_going(imm_initial(seen, config), ends, 0))
     for t in range(1, last + 1):

@@ -1,8 +1,8 @@
-"""State-space models whose densities are Spark Columns.
+"""State-space models whose formulas serve Spark Columns and numpy arrays alike.
 
 A model says how a row's state moves and how an observation weighs it. Noise
-comes in as Columns, so the same expressions serve keyed random numbers and
-deterministic checks.
+comes in as an argument, so the same expressions serve keyed random numbers
+and deterministic checks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.density import log_normal_pdf, normal_pdf
+from ..functions.elementwise import cos, exp, greatest, sqrt, where
 
 ROOT_10 = math.sqrt(10.0)
 
@@ -34,9 +35,15 @@ class ModelSpec:
 
 
 class Model(ABC):
-    """The scalar interface. ``proposal`` is an optional hook; a filter that has one weighs by likelihood * transition / proposal."""
+    """The scalar interface. ``proposal`` is an optional hook; a filter that has one weighs by likelihood * transition / proposal.
+
+    Formulas made of operators and :mod:`..functions.elementwise` serve small
+    sets, which are numpy arrays, and large ones, which are rows. A model that
+    can do with Columns only says so by ``columns_only``.
+    """
 
     spec = ModelSpec()
+    columns_only = False
 
     @abstractmethod
     def init(self, z: Column) -> Column: ...
@@ -78,7 +85,7 @@ class BenchmarkModel(Model):
         return z * ROOT_10
 
     def _mean(self, x, t):
-        return (x - self.shift) / 2 + 25 * x / (1 + x * x) + 8 * F.cos(F.lit(1.2) * t)
+        return (x - self.shift) / 2 + 25 * x / (1 + x * x) + 8 * cos(1.2 * t)
 
     def mean(self, x, t):
         """In closed form: the integral of x times a normal density is its mean."""
@@ -91,13 +98,13 @@ class BenchmarkModel(Model):
         return x * x / 20 + z
 
     def transition_pdf(self, x, before, t):
-        return normal_pdf(x, self.mean(before, t), F.lit(ROOT_10))
+        return normal_pdf(x, self.mean(before, t), ROOT_10)
 
     def likelihood(self, y, x):
-        return normal_pdf(F.lit(y) if not isinstance(y, Column) else y, x * x / 20, F.lit(1.0))
+        return normal_pdf(y, x * x / 20, 1.0)
 
     def log_likelihood(self, y, x):
-        return log_normal_pdf(F.lit(y) if not isinstance(y, Column) else y, x * x / 20, F.lit(1.0))
+        return log_normal_pdf(y, x * x / 20, 1.0)
 
 
 class GrowthModel(BenchmarkModel):
@@ -118,6 +125,7 @@ class RsGarch:
     """
 
     spec = ModelSpec(has_q=True, has_theta=True)
+    columns_only = False
     modes = 2
 
     @staticmethod
@@ -145,13 +153,13 @@ class RsGarch:
 
     @staticmethod
     def volatility(r: Column, vol: Column, q: Column, p) -> Column:
-        base = F.when(q == 0, p(1)).otherwise(p(2))
+        base = where(q == 0, p(1), p(2))
         shock = r - p(0)
         return base + p(3) * shock * shock + p(4) * vol
 
     def propagate(self, r, vol, q, p, z) -> tuple[Column, Column]:
         after = self.volatility(r, vol, q, p)
-        return p(0) + F.sqrt(after) * z, after
+        return p(0) + sqrt(after) * z, after
 
     @staticmethod
     def predict(p) -> Column:
@@ -161,23 +169,22 @@ class RsGarch:
     @staticmethod
     def stay(q, vol: Column, p) -> Column:
         """Probability to stay in mode q."""
-        stay0 = 1.0 / (1.0 + F.exp(p(5) + p(7) * vol))
-        stay1 = 1.0 / (1.0 + F.exp(p(6) + p(8) * vol))
+        stay0 = 1.0 / (1.0 + exp(p(5) + p(7) * vol))
+        stay1 = 1.0 / (1.0 + exp(p(6) + p(8) * vol))
         if isinstance(q, int):
             return stay0 if q == 0 else stay1
-        return F.when(q == 0, stay0).otherwise(stay1)
+        return where(q == 0, stay0, stay1)
 
     def mode_probability(self, to, before, vol, p) -> Column:
-        same = (F.lit(to) if isinstance(to, int) else to) == before
         stay = self.stay(before, vol, p)
-        return F.when(same, stay).otherwise(1.0 - stay)
+        return where(before == to, stay, 1.0 - stay)
 
     def next_mode(self, q, vol, p, u) -> Column:
-        return F.when(u < self.stay(q, vol, p), q).otherwise(1 - q)
+        return where(u < self.stay(q, vol, p), q, 1 - q)
 
     @staticmethod
     def return_pdf(r: Column, vol: Column, p) -> Column:
-        return normal_pdf(r, p(0), F.sqrt(vol))
+        return normal_pdf(r, p(0), sqrt(vol))
 
     @staticmethod
     def observe(r: Column, z: Column) -> Column:
@@ -185,18 +192,18 @@ class RsGarch:
 
     @staticmethod
     def likelihood(y, r: Column) -> Column:
-        return normal_pdf(F.lit(y) if not isinstance(y, Column) else y, r, F.lit(1.0))
+        return normal_pdf(y, r, 1.0)
 
     @staticmethod
     def log_likelihood(y, r: Column) -> Column:
-        return log_normal_pdf(F.lit(y) if not isinstance(y, Column) else y, r, F.lit(1.0))
+        return log_normal_pdf(y, r, 1.0)
 
 
-def constrained(p3: Column, p4: Column, p1: Column, p2: Column) -> list[Column]:
-    """Parameters pushed back into their ranges: p3 first, then p4 by it, then the base volatilities."""
-    alpha = F.greatest(p3, F.lit(0.0))
-    beta = F.when(alpha + p4 > 1, 1.0 - alpha).otherwise(p4)
-    return [F.greatest(p1, F.lit(0.0)).alias("p1"), F.greatest(p2, F.lit(0.0)).alias("p2"), alpha.alias("p3"), beta.alias("p4")]
+def constrained(p3, p4, p1, p2) -> list:
+    """Parameters p1 to p4 pushed back into their ranges: p3 first, then p4 by it, then the base volatilities."""
+    alpha = greatest(p3, 0.0)
+    out = [greatest(p1, 0.0), greatest(p2, 0.0), alpha, where(alpha + p4 > 1, 1.0 - alpha, p4)]
+    return [c.alias(f"p{k + 1}") if isinstance(c, Column) else c for k, c in enumerate(out)]
 
 
 #: Models by name for :func:`murmuration.operators.filters.run_filter`.

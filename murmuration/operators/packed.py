@@ -1,189 +1,239 @@
-"""Many small sets: a series' particles stand in one array, and its steps follow one another in one task.
+"""Many small sets: matrices of series by particles, advanced in numpy inside one Arrow function.
 
-Steps of a series depend on one another and series do not, so one row per
-series and a fold over its observations is all the parallelism there is while
-sets are small. The fold uses the same model Columns, noise and fixed-point
-weights as the step-by-step filters, and gives the same numbers. Sets too
-large for an array go step by step instead, a row per particle.
+Steps of a series depend on one another and series do not. Where sets are
+small a task takes many series at a time, a row of a matrix each, through one
+step after another. Formulas, noise and fixed-point weights are those of the
+filters that go a row per particle, and give the same numbers. Sets too large
+for a matrix row go that way instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resample import ONE, fixed, stratified_bound, systematic_bound
+from ..functions.noise_arrays import arrays_of
+from .resample import ONE
 
-#: Resamplers in closed form, as ``f(n, uniform(i))``; 'systematic' takes one draw.
-BOUNDS = {
-    "systematic": lambda n, draw: systematic_bound(n, draw(None)),
-    "stratified": lambda n, draw: stratified_bound(n, draw),
-}
-SET = "array<struct<id:bigint,w:bigint,x:double>>"
+#: Particles of the series that are advanced together, which bounds a task's memory.
+CELLS = 1 << 18
 SAID = "array<struct<t:int,mean:double,ess:double,q05:double,q95:double>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def log_weights(w: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(w / float(ONE))
 
 
-def total(values: Column, of: Callable[[Column], Column], kind: str) -> Column:
-    return F.aggregate(values, F.lit(0).cast(kind), lambda s, p: s + of(p).cast(kind))
+def weights(log_w: np.ndarray) -> np.ndarray:
+    """Fixed-point weights of each row, shifted by its largest; equal ones where all vanish."""
+    clean = np.where(np.isnan(log_w), -np.inf, log_w)
+    top = clean.max(axis=1, keepdims=True)
+    none = np.isneginf(top)
+    with np.errstate(invalid="ignore", over="ignore"):
+        w = np.floor(np.exp(clean - np.where(none, 0.0, top)) * ONE + 0.5)
+    return np.where(none, ONE, np.where(np.isnan(w), 0, w)).astype(np.int64)
 
 
-def clean(log_w: Column) -> Column:
-    """A log-weight, null where it is no number."""
-    return F.when(F.isnan(log_w) | (log_w == float("-inf")), None).otherwise(log_w)
+def size(w: np.ndarray) -> np.ndarray:
+    """Effective size of each row."""
+    d = w.astype(np.float64)
+    return d.sum(axis=1) ** 2 / (d * d).sum(axis=1)
 
 
-def log_of(w: Column) -> Column:
-    return F.when(w > 0, F.log(w / F.lit(float(ONE)))).otherwise(F.lit(float("-inf")))
+def mean(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (w * x).sum(axis=1) / w.sum(axis=1)
 
 
-def weighted(moved: Column, entry: Callable[[Column, Column], Column]) -> Column:
-    """Particles with fixed-point weights from ``lw``, shifted by the largest; equal ones where all vanish."""
+def _systematic(at: np.ndarray, n: int, draw) -> np.ndarray:
+    return np.clip(np.ceil(at - draw(None)), 0, n)
 
-    def of(moved, top):
-        def one(p):
-            w = F.when(top.isNull(), F.lit(ONE)).otherwise(F.coalesce(fixed(F.exp(clean(p["lw"]) - top)), F.lit(0).cast("long")))
-            return entry(p, w.cast("long"))
 
-        return F.transform(moved, one)
+def _stratified(at: np.ndarray, n: int, draw) -> np.ndarray:
+    whole = np.floor(at)
+    return np.minimum(n, whole + (at - whole > draw(whole.astype(np.int64))))
 
-    return let(moved, lambda m: let(F.array_max(F.transform(m, lambda p: clean(p["lw"]))), lambda top: of(m, top)))
 
+#: Resamplers in closed form: how many of n points lie under each running weight, given as a share of n.
+BOUNDS = {"systematic": _systematic, "stratified": _stratified}
 
-def size(particles: Column) -> Column:
-    """Effective size."""
-    squares = total(particles, lambda p: p["w"].cast("double") * p["w"].cast("double"), "double")
-    return let(total(particles, lambda p: p["w"], "double"), lambda s: s * s / F.nullif(squares, F.lit(0.0)))
 
+def picked(w: np.ndarray, n: int, how: str, draw) -> np.ndarray:
+    """The particle of each of n points, for each row."""
+    c = np.cumsum(w, axis=1)
+    bound = BOUNDS[how](float(n) * c / c[:, -1:], n, draw).astype(np.int64)
+    counts = np.diff(bound, axis=1, prepend=0)
+    return np.repeat(np.tile(np.arange(w.shape[1]), len(w)), counts.ravel()).reshape(len(w), n)
 
-def picked(particles: Column, n: int, how: str, draw: Callable[[Column | None], Column], entry: Callable[[Column, Column], Column]) -> Column:
-    """``entry(particle, new id)`` for each point of a resampling to n."""
-    bound = BOUNDS[how](F.lit(n).cast("long"), draw)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"))
-    before = F.aggregate(particles, start, lambda s, p: F.struct((s["at"] + p["w"]).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")))
 
-    def of(sums):
-        def one(p, c):
-            low, high = bound(c, sums["at"]), bound(c + p["w"], sums["at"])
-            return let(F.struct(low.alias("lo"), high.alias("hi")), lambda b: F.when(b["hi"] > b["lo"], F.transform(F.sequence(b["lo"], b["hi"] - 1), lambda i: entry(p, i))))
+def at_share(ordered: np.ndarray, share: float) -> np.ndarray:
+    """A quantile of each sorted row by linear interpolation."""
+    place = (ordered.shape[1] - 1) * share
+    below = int(place)
+    above = ordered[:, below + 1] if below + 1 < ordered.shape[1] else 0.0
+    return (below + 1 - place) * ordered[:, below] + (place - below) * above
 
-        return F.flatten(F.filter(F.zip_with(particles, sums["found"], one), lambda x: x.isNotNull()))
 
-    return let(before, of)
+def band(x: np.ndarray) -> list[np.ndarray]:
+    ordered = np.sort(x, axis=1)
+    return [at_share(ordered, 0.05), at_share(ordered, 0.95)]
 
 
-def band(particles: Column, low: float = 0.05, high: float = 0.95) -> list[Column]:
-    """Unweighted quantiles of x by linear interpolation."""
-    values = F.sort_array(F.transform(particles, lambda p: p["x"]))  # array_sort would compare through an expression
+def gridded(x: np.ndarray, grid: float | None) -> np.ndarray:
+    return x if grid is None else np.floor(x * grid + 0.5) / grid
 
-    def at(v, share):
-        place = (F.size(v) - 1) * F.lit(share)
-        below = F.floor(place).cast("int")
-        return let(F.struct(place.alias("p"), below.alias("b")), lambda s: (s["b"] + 1 - s["p"]) * F.get(v, s["b"]) + (s["p"] - s["b"]) * F.coalesce(F.get(v, s["b"] + 1), F.lit(0.0)))
 
-    return [let(values, lambda v: at(v, low)).alias("q05"), let(values, lambda v: at(v, high)).alias("q95")]
+class Sets:
+    """The sets ``w, x`` of some series, and one step of a filter over those that have it."""
 
+    names = ("w", "x")
 
-def told(particles: Column, t: Column) -> Column:
-    """The summary of a weighted set."""
-    weight = total(particles, lambda p: p["w"], "double")
-    mean = total(particles, lambda p: p["w"] * p["x"], "double") / F.nullif(weight, F.lit(0.0))
-    return F.struct(t.cast("int").alias("t"), mean.alias("mean"), size(particles).alias("ess"), *band(particles))
+    def __init__(self, model, filter_: str, config, series: np.ndarray):
+        self.model, self.config, self.noise = model, config, arrays_of(config.source)
+        self.step = {"bootstrap": self.bootstrap, "auxiliary": self.auxiliary}[filter_]
+        self.ids = np.arange(config.particles, dtype=np.int64)[None, :]
+        self.series = series[:, None]
 
+    def started(self, n: int) -> dict[str, np.ndarray]:
+        x = gridded(self.model.init(self.noise.normal("init", 0, self.series, self.ids)), self.config.grid)
+        return {"w": np.full((n, self.config.particles), ONE, np.int64), "x": np.broadcast_to(x, (n, self.config.particles)).copy()}
 
-def on_grid(x: Column, grid: float | None) -> Column:
-    """x on a grid of 1/grid, so that engines whose last bits differ keep the same state."""
-    return x if grid is None else F.floor(x * F.lit(grid) + 0.5) / F.lit(grid)
-
-
-def particle(i: Column, w: Column, x: Column) -> Column:
-    return F.struct(i.alias("id"), w.alias("w"), x.alias("x"))
-
-
-def bootstrap(particles: Column, series: Column, t: Column, y: Column, model, config, noise) -> tuple[Column, Callable[[Column], Column]]:
-    """(the set moved and weighed, the set to go on with as a function of it)."""
-    time = t.cast("double") * config.dt
-
-    def moved(p):
-        z = noise.normal("move", t, series, p["id"])
-        proposed = model.proposal(p["x"], y, time, z)
-        after = model.propagate(p["x"], time, z) if proposed is None else F.coalesce(proposed, model.propagate(p["x"], time, z))
-
-        def weigh(x):
-            gain = model.log_likelihood(y, p["x"] if config.weight_on == "pre" else x)
+    def bootstrap(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray, seen: np.ndarray):
+        """(set moved and weighed, set to go on with)."""
+        model, config, noise = self.model, self.config, self.noise
+        w, before, time, y = own["w"], own["x"], float(t) * config.dt, y[:, None]
+        z = noise.normal("move", t, series, self.ids)
+        after, proposed = model.propagate(before, time, z), model.proposal(before, y, time, z)
+        if proposed is not None:
+            after = np.where(seen[:, None], proposed, after)
+        x = gridded(after, config.grid)
+        with np.errstate(over="ignore", invalid="ignore"):
+            gain = model.log_likelihood(y, before if config.weight_on == "pre" else x)
             if proposed is not None:
-                gain = gain + F.log(model.transition_pdf(x, p["x"], time)) - F.log(model.proposal_pdf(x, p["x"], y, time))
-            gain = F.coalesce(gain, F.lit(0.0))
-            return F.struct(p["id"].alias("id"), x.alias("x"), (log_of(p["w"]) + gain if config.accumulate else gain).alias("lw"))
-
-        return let(on_grid(after, config.grid), weigh)
-
-    now = weighted(F.transform(particles, moved), lambda p, w: particle(p["id"], w, p["x"]))
-    n = config.n_out or config.particles
-
-    def after(now):
-        drawn = picked(now, n, config.resampler, lambda i: noise.uniform("pick", t, series, *([] if i is None else [i])), lambda p, i: particle(i, F.lit(ONE).cast("long"), p["x"]))
-        return drawn if config.ess_share is None else F.when(size(now) < config.ess_share * F.size(now), drawn).otherwise(now)
-
-    return now, after
-
-
-def auxiliary(particles: Column, series: Column, t: Column, y: Column, model, config, noise) -> tuple[Column, Callable[[Column], Column]]:
-    """Resampled by weight times the likelihood of the expected next state, moved, and weighed by the ratio; only moved without an observation."""
-    time = t.cast("double") * config.dt
-
-    def move(x, i):
-        return on_grid(model.propagate(x, time, noise.normal("move", t, series, i)), config.grid)
-
-    def ahead(p):
-        chance = model.log_likelihood(y, model.mean(p["x"], time))
-        return let(chance, lambda c: F.struct(p["x"].alias("x"), c.alias("ahead"), (log_of(p["w"]) + c).alias("lw")))
-
-    first = weighted(F.transform(particles, ahead), lambda p, w: F.struct(w.alias("w"), p["x"].alias("x"), p["ahead"].alias("ahead")))
-
-    def second(first):
-        def entry(p, i):
-            return let(move(p["x"], i), lambda x: F.struct(i.alias("id"), x.alias("x"), (model.log_likelihood(y, x) - p["ahead"]).alias("lw")))
-
-        drawn = picked(first, config.particles, config.resampler, lambda i: noise.uniform("pick", t, series, *([] if i is None else [i])), entry)
-        return weighted(drawn, lambda p, w: particle(p["id"], w, p["x"]))
-
-    idle = F.transform(particles, lambda p: particle(p["id"], p["w"], move(p["x"], p["id"])))
-    return F.when(y.isNotNull(), let(first, second)).otherwise(idle), lambda now: now
-
-
-FILTERS = {"bootstrap": bootstrap, "auxiliary": auxiliary}
-
-
-def started(model, config, noise) -> Column:
-    """A series' first set: n equal-weight draws."""
-    ids = F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))
-    return F.transform(ids, lambda i: particle(i, F.lit(ONE).cast("long"), on_grid(model.init(noise.normal("init", 0, F.col("series_id"), i)), config.grid))).cast(SET)
-
-
-def advanced(rows: DataFrame, model, filter_: str, config, noise) -> DataFrame:
-    """``series_id, set, said`` after the steps ``low..high`` of each row of ``series_id, set, low, high, seen``.
-
-    ``seen`` is an array of (t, y). A step without an entry has no observation.
+                gain = gain + np.log(model.transition_pdf(x, before, time)) - np.log(model.proposal_pdf(x, before, y, time))
+        gain = np.where(seen[:, None], gain, 0.0)
+        w = weights(log_weights(w) + gain if config.accumulate else gain)
+        now = {"w": w, "x": x}
+        poor = np.flatnonzero(size(w) < config.ess_share * w.shape[1]) if config.ess_share is not None else np.arange(len(w))
+        if not poor.size:
+            return now, now
+        chosen = picked(w[poor], config.particles, config.resampler, self._draw(t, series[poor]))
+        after = {"w": w.copy(), "x": x.copy()}
+        after["w"][poor] = ONE
+        after["x"][poor] = np.take_along_axis(x[poor], chosen, axis=1)
+        return now, after
+
+    def auxiliary(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray, seen: np.ndarray):
+        """Resampled by weight times the likelihood of the expected next state, moved, and weighed by the ratio; only moved without an observation."""
+        model, config = self.model, self.config
+        w, x, time, y = own["w"], own["x"], float(t) * config.dt, y[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            ahead = model.log_likelihood(y, model.mean(x, time))
+        chosen = picked(weights(log_weights(w) + ahead), config.particles, config.resampler, self._draw(t, series))
+        chosen = np.where(seen[:, None], chosen, self.ids)
+        parent = np.take_along_axis(x, chosen, axis=1)
+        x = gridded(model.propagate(parent, time, self.noise.normal("move", t, series, self.ids)), config.grid)
+        with np.errstate(over="ignore", invalid="ignore"):
+            second = weights(model.log_likelihood(y, x) - np.take_along_axis(ahead, chosen, axis=1))
+        now = {"w": np.where(seen[:, None], second, w), "x": x}
+        return now, now
+
+    def _draw(self, t: int, series: np.ndarray, *keys: np.ndarray):
+        return lambda i: self.noise.uniform("pick", t, series, *keys, *([] if i is None else [i]))
+
+    @staticmethod
+    def told(own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        low, high = band(own["x"])
+        return {"mean": mean(own["w"], own["x"]), "ess": size(own["w"]), "q05": low, "q95": high}
+
+
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    """A list column whose lists are equally long."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(len(column), -1)
+
+
+def _advanced(sets: Sets, known: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, owner: np.ndarray, t_seen: np.ndarray, y_seen: np.ndarray) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """All series through their steps: (sets, summaries by series)."""
+    first = int(low.min(initial=1))
+    steps = max(0, int(high.max(initial=0)) - first + 1)
+    y, has = np.zeros((len(low), steps)), np.zeros((len(low), steps), bool)
+    inside = (t_seen >= first) & (t_seen < first + steps)
+    y[owner[inside], t_seen[inside] - first] = y_seen[inside]
+    has[owner[inside], t_seen[inside] - first] = True
+    parts: list[dict[str, np.ndarray]] = []
+    for k in range(steps):
+        t = first + k
+        at = np.flatnonzero((low <= t) & (t <= high))
+        if not at.size:
+            continue
+        now, after = sets.step({c: m[at] for c, m in known.items()}, sets.series[at], t, y[at, k], has[at, k])
+        for c, m in known.items():
+            m[at] = after[c]
+        parts.append({"series": at, "t": np.full(len(at), t, np.int32), **sets.told(now)})
+    if not parts:
+        return known, None
+    said = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    order = np.argsort(said["series"], kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(said.pop("series"), minlength=len(low)))])
+    columns = [pa.array(v[order]) if v.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v[order].ravel())) for v in said.values()]
+    return known, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=list(said)))
+
+
+def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str, type], particles: int, said: str) -> DataFrame:
+    """``series_id``, the set columns and ``said`` after the steps ``low..high`` of each row of ``series_id, low, high, seen`` and the set.
+
+    ``seen`` is an array of (t, y); a step without an entry has no
+    observation. Null set columns stand for a set that has not begun.
+    ``make(series)`` gives the :class:`Sets` of an array of series.
     """
-    step = FILTERS[filter_]
-
-    def fold(state, t):
-        def at(y):
-            now, after = step(state["set"], F.col("series_id"), t, y, model, config, noise)
-            return let(now, lambda now: F.struct(after(now).cast(SET).alias("set"), F.concat(state["said"], F.array(told(now, t))).cast(SAID).alias("said")))
-
-        return let(F.get(F.filter("seen", lambda o: o["t"] == t), 0)["y"], at)
-
-    start = F.struct(F.col("set").cast(SET).alias("set"), F.array().cast(SAID).alias("said"))
-    end = F.when(F.col("low") <= F.col("high"), F.aggregate(F.sequence("low", "high"), start, fold)).otherwise(start)
-    return rows.select("series_id", end.alias("end")).select("series_id", "end.set", "end.said")
+    kind = rows.schema["series_id"].dataType.simpleString()
+    spark_names = {np.int64: "bigint", np.float64: "double", np.int32: "int"}
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, particles))
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            column = {n: part.column(k) for k, n in enumerate(part.schema.names)}
+            series = column["series_id"].to_numpy(zero_copy_only=False)
+            sets = make(series)
+            known = sets.started(len(series))
+            begun = np.flatnonzero(column[names[0]].is_valid().to_numpy(zero_copy_only=False))
+            for c in names if begun.size else ():
+                m = _matrix(column[c].take(pa.array(begun)), kinds[c])
+                known[c][begun] = m.reshape(len(begun), *known[c].shape[1:])
+            seen = column["seen"]
+            owner = np.repeat(np.arange(len(series)), np.diff(seen.offsets.to_numpy()))
+            flat = seen.flatten()
+            t, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            low, high = (column[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("low", "high"))
+            known, told = _advanced(sets, known, low, high, owner, t.astype(np.int64), y)
+            lists = []
+            for c in names:
+                flat = known[c].reshape(len(series), -1)
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(series) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel())))
+            told = pa.array([[]] * len(series)) if told is None else told
+            yield pa.RecordBatch.from_arrays([column["series_id"], *lists, told], names=["series_id", *names, "said"])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from blocks(batch)
+
+    schema = f"series_id {kind}, {', '.join(f'{c} array<{spark_names[kinds[c]]}>' for c in names)}, said {said}"
+    return rows.select("series_id", "low", "high", "seen", *names).mapInArrow(run, schema)
+
+
+KINDS = {"w": np.int64, "x": np.float64}
+
+
+def advanced(rows: DataFrame, model, filter_: str, config) -> DataFrame:
+    """The bootstrap and auxiliary filters by :func:`advance_with`."""
+    return advance_with(rows, lambda series: Sets(model, filter_, config, series), Sets.names, KINDS, config.particles, SAID)
 
 
 def observed(seen: DataFrame) -> DataFrame:

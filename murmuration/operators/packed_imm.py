@@ -1,22 +1,24 @@
-"""The auxiliary interacting-multiple-model filter over small sets, a fold of each series.
+"""The auxiliary interacting-multiple-model filter over small sets, matrices of series by particles.
 
-A particle is (id, w, r, vol, q, p), p the nine parameters. The steps are those
-of :func:`.filters.imm_step` with the same noise, an array for each series.
+A set is ``w, r, vol, q, p``, p nine parameters of each particle. The steps
+are those of :func:`.filters.imm_step` with the same noise.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.noise_arrays import arrays_of
 from .models import RsGarch, constrained
-from .packed import band, let, log_of, picked, size, total, weighted
+from .packed import advance_with, band, log_weights, mean, picked, size, weights
 from .resample import ONE
 
 PARAMETERS = 9
 PAIRS = [(i, j) for i in range(PARAMETERS) for j in range(i + 1)]
-SET = "array<struct<id:bigint,w:bigint,r:double,vol:double,q:int,p:array<double>>>"
 SAID = "array<struct<t:int,mean:double,vol:double,ess:double,prob_mode0:double,q05:double,q95:double,p:array<double>>>"
+KINDS = {"w": np.int64, "r": np.float64, "vol": np.float64, "q": np.int32, "p": np.float64}
 
 
 def root_of(covariances: Column) -> Column:
@@ -41,127 +43,108 @@ def root_of(covariances: Column) -> Column:
     return F.aggregate(places, F.array().cast("array<double>"), lambda done, at: F.concat(done, F.array(entry(done, at["k"], at["i"], at["j"]))))
 
 
-def p_of(x: Column):
-    return lambda k: F.get(x["p"], k)
+def root_arrays(covariances: np.ndarray) -> np.ndarray:
+    """:func:`root_of` for each row of an array."""
+    done = np.zeros_like(covariances)
+    place = {pair: k for k, pair in enumerate(PAIRS)}
+    for k, (i, j) in enumerate(PAIRS):
+        rest = covariances[:, k] - sum((done[:, place[i, m]] * done[:, place[j, m]] for m in range(j)), np.zeros(len(done)))
+        if i == j:
+            done[:, k] = np.sqrt(np.where(rest > np.abs(covariances[:, k]) * 1e-12, rest, 0.0))
+        else:
+            pivot = done[:, place[j, j]]
+            done[:, k] = np.divide(rest, pivot, out=np.zeros_like(rest), where=pivot > 0)
+    return done
 
 
-def particle(i, w, r, vol, q, p) -> Column:
-    return F.struct(i.alias("id"), w.alias("w"), r.alias("r"), vol.alias("vol"), q.cast("int").alias("q"), p.alias("p"))
+class ImmSets:
+    """The sets of some series, and one step of the filter over those that have it."""
 
-
-def moments(particles: Column, shrink: float) -> Column:
-    """(mode: probabilities of the next modes, m: parameter means, root: root of their covariance by the shrinkage's rest)."""
+    names = tuple(KINDS)
     model = RsGarch()
 
-    def of(weight):
-        modes = F.array(*[total(particles, lambda x, i=i: x["w"] * model.mode_probability(i, x["q"], x["vol"], p_of(x)), "double") / weight for i in range(model.modes)])
-        means = F.transform(F.sequence(F.lit(0), F.lit(PARAMETERS - 1)), lambda k: total(particles, lambda x: x["w"] * F.get(x["p"], k), "double") / weight)
-
-        def about(m):
-            places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in PAIRS])
-            product = lambda x, at: x["w"] * (F.get(x["p"], at["i"]) - F.get(m, at["i"])) * (F.get(x["p"], at["j"]) - F.get(m, at["j"]))
-            covariance = F.transform(places, lambda at: (1 - shrink**2) * total(particles, lambda x: product(x, at), "double") / weight)
-            return F.struct(modes.alias("mode"), m.alias("m"), let(covariance, root_of).alias("root"))
-
-        return let(means, about)
-
-    return let(total(particles, lambda x: x["w"], "double"), of)
-
-
-def watched(particles: Column, series: Column, t: Column, y: Column, config, noise) -> Column:
-    """The set after a step with an observation."""
+    def __init__(self, config, series: np.ndarray):
+        self.config, self.noise = config, arrays_of(config.source)
+        self.ids = np.arange(config.particles, dtype=np.int64)[None, :]
+        self.series = series[:, None]
+
+    def started(self, n: int) -> dict[str, np.ndarray]:
+        """Room for sets that rows bring with them."""
+        shape = (n, self.config.particles)
+        return {c: np.zeros((*shape, PARAMETERS) if c == "p" else shape, kind) for c, kind in KINDS.items()}
+
+    def step(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray, seen: np.ndarray):
+        after = {c: np.empty_like(m) for c, m in own.items()}
+        for some, move in ((np.flatnonzero(seen), self.watched), (np.flatnonzero(~seen), self.idle)):
+            if some.size:
+                for c, m in move({k: v[some] for k, v in own.items()}, series[some], t, y[some]).items():
+                    after[c][some] = m
+        return after, after
+
+    def moments(self, own: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(probabilities of the next modes, parameter means, root of their covariance by the shrinkage's rest)."""
+        w, p = own["w"], own["p"]
+        modes = [mean(w, self.model.mode_probability(i, own["q"], own["vol"], lambda k: p[:, :, k])) for i in range(self.model.modes)]
+        middle = np.stack([mean(w, p[:, :, k]) for k in range(PARAMETERS)], axis=1)
+        away = p - middle[:, None, :]
+        covariances = np.stack([(1 - self.config.shrink**2) * mean(w, away[:, :, i] * away[:, :, j]) for i, j in PAIRS], axis=1)
+        return modes, middle, root_arrays(covariances)
+
+    def watched(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Sets after a step with an observation."""
+        model, config, noise, y = self.model, self.config, self.noise, y[:, None]
+        p, place = own["p"], {pair: k for k, pair in enumerate(PAIRS)}
+        modes, middle, root = self.moments(own)
+        shrunk = config.shrink * p + (1 - config.shrink) * middle[:, None, :]
+        ahead = model.log_likelihood(y, model.predict(lambda k: p[:, :, k]))
+        out = {c: np.empty_like(m) for c, m in own.items()}
+        log_w = np.empty(own["w"].shape)
+        for mode in range(model.modes):
+            n = config.particles // model.modes + (mode < config.particles % model.modes)
+            with np.errstate(divide="ignore"):
+                to_mode = np.log(model.mode_probability(mode, own["q"], own["vol"], lambda k: p[:, :, k]))
+                share = np.log(modes[mode])[:, None]
+            first = weights(ahead + to_mode + log_weights(own["w"]))
+            key = np.full((1, 1), mode, np.int32)
+            chosen = picked(first, n, config.resampler, lambda i, key=key: noise.uniform("pick", t, series, key, *([] if i is None else [i])))
+            ids = self.ids[:, mode :: model.modes][:, :n]
+            z = [noise.normal(f"theta{k}", t, series, ids) for k in range(PARAMETERS)]
+            base = np.take_along_axis(shrunk, chosen[:, :, None], axis=1)
+            d = [base[:, :, k] + sum((root[:, place[k, j], None] * z[j] for j in range(k + 1)), 0.0) for k in range(PARAMETERS)]
+            p1, p2, p3, p4 = constrained(d[3], d[4], d[1], d[2])
+            theta = np.stack([d[0], p1, p2, p3, p4, *d[5:]], axis=2)
+            r, vol = model.propagate(*(np.take_along_axis(own[c], chosen, axis=1) for c in ("r", "vol")), np.full(chosen.shape, mode, np.int32), lambda k, theta=theta: theta[:, :, k], noise.normal("move", t, series, ids))
+            here = np.s_[:, mode :: model.modes]
+            out["r"][here], out["vol"][here], out["q"][here], out["p"][here] = r, vol, mode, theta
+            log_w[here] = share + model.log_likelihood(y, r) - np.take_along_axis(ahead, chosen, axis=1)
+        out["w"] = weights(log_w)
+        return out
+
+    def idle(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Without an observation a particle draws its next mode and keeps weight and parameters."""
+        p = lambda k: own["p"][:, :, k]
+        q = self.model.next_mode(own["q"], own["vol"], p, self.noise.uniform("mode", t, series, self.ids))
+        r, vol = self.model.propagate(own["r"], own["vol"], q, p, self.noise.normal("move", t, series, self.ids))
+        return {**own, "q": q, "r": r, "vol": vol}
+
+    @staticmethod
+    def told(own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        w, (low, high) = own["w"], band(own["r"])
+        p = np.stack([mean(w, own["p"][:, :, k]) for k in range(PARAMETERS)], axis=1)
+        return {"mean": mean(w, own["r"]), "vol": mean(w, own["vol"]), "ess": size(w), "prob_mode0": mean(w, own["q"] == 0), "q05": low, "q95": high, "p": p}
+
+
+def started(config, p0: float = 0.5) -> list[Column]:
+    """A series' first set as columns, as :func:`.filters.imm_initial` has it."""
     model = RsGarch()
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))
+    q = lambda i: (i % model.modes).cast("int")
+    weight = lambda i: F.round(F.when(q(i) == 0, p0).otherwise(1 - p0) * ONE).cast("long")
+    state = F.transform(ids, lambda i: F.struct(*[c.alias(n) for n, c in zip(("r", "vol"), model.init_state("series_id", i, seed=config.seed), strict=True)]))
+    theta = F.flatten(F.transform(ids, lambda i: F.array(*model.init_parameters("series_id", i, seed=config.seed))))
+    return [F.transform(ids, weight).alias("w"), F.transform(state, lambda s: s["r"]).alias("r"), F.transform(state, lambda s: s["vol"]).alias("vol"), F.transform(ids, q).alias("q"), theta.alias("p")]
 
-    def chosen(mode: int, known: Column) -> Column:
-        n = config.particles // model.modes + (mode < config.particles % model.modes)
-
-        def ahead(x):
-            shrunk = F.transform(x["p"], lambda v, k: config.shrink * v + (1 - config.shrink) * F.get(known["m"], k))
-            chance = model.log_likelihood(y, model.predict(p_of(x)))
-            to_mode = F.log(model.mode_probability(mode, x["q"], x["vol"], p_of(x)))
-            return let(chance, lambda c: F.struct(x["r"].alias("r"), x["vol"].alias("vol"), shrunk.alias("p"), c.alias("ahead"), (c + to_mode + log_of(x["w"])).alias("lw")))
-
-        def entry(x, point):
-            i = point * model.modes + mode
-            z = F.array(*[noise.normal(f"theta{k}", t, series, i) for k in range(PARAMETERS)])
-
-            def drawn(z):
-                d = [F.get(x["p"], k) + sum((F.get(known["root"], PAIRS.index((k, j))) * F.get(z, j) for j in range(k + 1)), F.lit(0.0)) for k in range(PARAMETERS)]
-                p1, p2, p3, p4 = constrained(d[3], d[4], d[1], d[2])
-                return F.array(d[0], p1, p2, p3, p4, *d[5:])
-
-            def moved(p):
-                r, vol = model.propagate(x["r"], x["vol"], F.lit(mode), lambda k: F.get(p, k), noise.normal("move", t, series, i))
-                share = F.log(F.get(known["mode"], mode))
-                return let(
-                    F.struct(r.alias("r"), vol.alias("vol")),
-                    lambda s: F.struct(i.alias("id"), s["r"].alias("r"), s["vol"].alias("vol"), F.lit(mode).alias("q"), p.alias("p"), (share + model.log_likelihood(y, s["r"]) - x["ahead"]).alias("lw")),
-                )
-
-            return let(let(z, drawn), moved)
-
-        first = weighted(F.transform(particles, ahead), lambda x, w: F.struct(w.alias("w"), x["r"].alias("r"), x["vol"].alias("vol"), x["p"].alias("p"), x["ahead"].alias("ahead")))
-        draw = lambda i: noise.uniform("pick", t, series, mode, *([] if i is None else [i]))
-        return let(first, lambda f: picked(f, n, config.resampler, draw, entry))
-
-    def both(known):
-        second = weighted(F.concat(*[chosen(m, known) for m in range(model.modes)]), lambda x, w: particle(x["id"], w, x["r"], x["vol"], x["q"], x["p"]))
-        return F.array_sort(second)  # ids are unique and come first
-
-    return let(moments(particles, config.shrink), both)
-
-
-def idle(particles: Column, series: Column, t: Column, noise) -> Column:
-    """Without an observation a particle draws its next mode and keeps weight and parameters."""
-    model = RsGarch()
-
-    def one(x):
-        def moved(q):
-            r, vol = model.propagate(x["r"], x["vol"], q, p_of(x), noise.normal("move", t, series, x["id"]))
-            return particle(x["id"], x["w"], r, vol, q, x["p"])
-
-        return let(model.next_mode(x["q"], x["vol"], p_of(x), noise.uniform("mode", t, series, x["id"])), moved)
-
-    return F.transform(particles, one)
-
-
-def told(particles: Column, t: Column) -> Column:
-    weight = let(total(particles, lambda x: x["w"], "double"), lambda s: F.nullif(s, F.lit(0.0)))
-    mean = lambda of: total(particles, lambda x: x["w"] * of(x), "double") / weight
-    return F.struct(
-        t.cast("int").alias("t"),
-        mean(lambda x: x["r"]).alias("mean"),
-        mean(lambda x: x["vol"]).alias("vol"),
-        size(particles).alias("ess"),
-        mean(lambda x: F.when(x["q"] == 0, 1.0).otherwise(0.0)).alias("prob_mode0"),
-        *band(F.transform(particles, lambda x: F.struct(x["r"].alias("x")))),
-        F.transform(F.sequence(F.lit(0), F.lit(PARAMETERS - 1)), lambda k: mean(lambda x: F.get(x["p"], k))).alias("p"),
-    )
-
-
-def started(config, p0: float = 0.5) -> Column:
-    """A series' first set, as :func:`.filters.imm_initial` has it."""
-    model = RsGarch()
-
-    def one(i):
-        q = (i % model.modes).cast("int")
-        r, vol = model.init_state("series_id", i, seed=config.seed)
-        w = F.round(F.when(q == 0, p0).otherwise(1 - p0) * ONE).cast("long")
-        return particle(i, w, r, vol, q, F.array(*model.init_parameters("series_id", i, seed=config.seed)))
-
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long")), one).cast(SET)
-
-
-def advanced(rows: DataFrame, config, noise) -> DataFrame:
-    """``series_id, set, said`` after the steps ``low..high`` of each row of ``series_id, set, low, high, seen``."""
-
-    def fold(state, t):
-        def at(y):
-            after = F.when(y.isNotNull(), watched(state["set"], F.col("series_id"), t, y, config, noise)).otherwise(idle(state["set"], F.col("series_id"), t, noise))
-            return let(after.cast(SET), lambda now: F.struct(now.alias("set"), F.concat(state["said"], F.array(told(now, t))).cast(SAID).alias("said")))
-
-        return let(F.get(F.filter("seen", lambda o: o["t"] == t), 0)["y"], at)
 
-    start = F.struct(F.col("set").cast(SET).alias("set"), F.array().cast(SAID).alias("said"))
-    end = F.when(F.col("low") <= F.col("high"), F.aggregate(F.sequence("low", "high"), start, fold)).otherwise(start)
-    return rows.select("series_id", end.alias("end")).select("series_id", "end.set", "end.said")
+def advanced(rows: DataFrame, config) -> DataFrame:
+    """The filter by :func:`.packed.advance_with`."""
+    return advance_with(rows, lambda series: ImmSets(config, series), ImmSets.names, KINDS, config.particles * PARAMETERS, SAID)

@@ -47,14 +47,14 @@ class OnlineFilter:
         return self.spark.read.parquet(f"{self.path}/state/{self.version}") if self.version else None
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        seen = batch.where("y is not null").dropDuplicates(["series_id", "t"]).select("series_id", F.col("t").cast("int").alias("t"), "y")
+        seen = batch.where("y is not null and series_id is not null").groupBy("series_id", F.col("t").cast("int").alias("t")).agg(F.min("y").alias("y"))
         state = self._state()
         if state is None:
             seen = seen.withColumn("step", F.lit(None).cast("int"))
         else:
             seen = seen.join(state.groupBy("series_id").agg(F.max("step").alias("step")), "series_id", "left")
         seen = cut(seen.where("step is null or t > step"))
-        (self._folded if folds(self.config) else self._by_steps)(seen, state)
+        (self._folded if folds(self.config, self.model, dict(seen.dtypes)["series_id"]) else self._by_steps)(seen, state)
 
     def _write(self, state: DataFrame, said: DataFrame) -> None:
         state.write.mode("overwrite").parquet(f"{self.path}/state/{self.version + 1}")
@@ -63,19 +63,17 @@ class OnlineFilter:
 
     def _folded(self, seen: DataFrame, state: DataFrame | None) -> None:
         """All steps of a batch in one fold of each series' set; a series of very many new steps is folded again and again."""
-        noise, config = self.config.source, self.config
+        config, tasks = self.config, self.spark.sparkContext.defaultParallelism
         while low := seen.agg(F.min("t")).first()[0]:
             high = low + config.steps_at_once - 1
             now = packed.observed(seen.where(F.col("t") <= high)).withColumnRenamed("last", "high")
-            fresh = packed.started(self.model, config, noise)
             if state is None:
-                rows = now.select("series_id", fresh.alias("set"), F.col("first").alias("low"), "high", "seen")
+                rows = now.select("series_id", F.lit(None).cast("array<bigint>").alias("w"), F.lit(None).cast("array<double>").alias("x"), F.col("first").alias("low"), "high", "seen")
             else:
-                joined = now.join(state, "series_id", "left")
-                rows = joined.select("series_id", F.coalesce("set", fresh).alias("set"), F.coalesce(F.col("step") + 1, F.col("first")).alias("low"), "high", "seen")
-            after = cut(packed.advanced(rows, self.model, self.filter_, config, noise).join(now.select("series_id", F.col("high").alias("step")), "series_id"))
+                rows = now.join(state, "series_id", "left").select("series_id", "w", "x", F.coalesce(F.col("step") + 1, F.col("first")).alias("low"), "high", "seen")
+            after = cut(packed.advanced(rows.repartition(tasks, "series_id"), self.model, self.filter_, config).join(now.select("series_id", F.col("high").alias("step")), "series_id"))
             said = after.select("series_id", F.inline("said")).join(seen.select("series_id", "t"), ["series_id", "t"], "left_semi")
-            moved = after.select("series_id", "step", "set")
+            moved = after.select("series_id", "step", "w", "x")
             self._write(moved if state is None else moved.unionByName(state.join(moved, "series_id", "left_anti")), said)
             self.last_step = max(self.last_step, seen.where(F.col("t") <= high).agg(F.max("t")).first()[0])
             seen, state = seen.where(F.col("t") > high), self._state()
