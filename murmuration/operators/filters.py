@@ -9,14 +9,18 @@ Series with small sets are matrix rows instead, see :mod:`.packed`.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import NOISE
 from ..lineage import cut, new_path
-from . import packed, packed_imm
+from . import packed, packed_imm, packed_schemes
+from .history import History, weights_of
 from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, clean, fixed, fixed_from_log, log_of, on_grid, replicated
@@ -36,7 +40,8 @@ class FilterConfig:
     always); ``n_out`` lets a step's resampling give another number of rows.
     ``noise`` is ``"keyed"`` or ``"scripted"`` and ``grid`` holds states on
     multiples of 1/grid: with both, any engine repeats a run. Sets of
-    ``packed`` particles at most are matrix rows, ``steps_at_once`` steps a job.
+    ``packed`` particles at most are matrix rows, ``steps_at_once`` steps a job;
+    a partitioned run of ``packed_run`` particles at most is a task.
     """
 
     particles: int = 1000
@@ -53,6 +58,7 @@ class FilterConfig:
     noise: str = "keyed"
     grid: float | None = None
     packed: int = 1024
+    packed_run: int = 1 << 20
     steps_at_once: int = 256
 
     @property
@@ -242,34 +248,79 @@ def _spread(after: DataFrame) -> DataFrame:
     return after.select("series_id", F.inline("said"))
 
 
-def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
+SCHEME_SET = "id long, parent long, part int, lw double, x double"
+
+
+def scheme_step(now: DataFrame, t: int, y: float, scheme: str, n: int, model: BenchmarkModel, config: FilterConfig) -> DataFrame:
+    """The set of step t, as ``SCHEME_SET``, from the weighted set ``id, parent, part, w, x`` of the step before.
+
+    The set before is resampled by the scheme; at the first step it is taken
+    as it is. ``scheme`` is None there.
+    """
+    draw = lambda *keys: config.source.uniform("draw", t - 1, *keys)
+    if scheme:
+        now = SCHEMES[scheme](now.drop("parent").withColumn("parent", F.col("id")), n, config.parts, draw, draw)
+        # a row stands for about 1 of n, so n of its weight is near 1
+        now = now.withColumn("w", fixed(F.col("weight") * n))
+    time, noise = F.lit(t * config.dt), config.source.normal("move", t, "part", "id")
+    moved = now.select("id", "parent", F.col("part").cast("int").alias("part"), "w", F.col("x").alias("before"), on_grid(model.propagate(F.col("x"), time, noise), config.grid).alias("x"))
+    gain = model.log_likelihood(F.lit(y), F.col("before") if config.weight_on == "pre" else F.col("x"))
+    lw = clean(_log("w") + gain if config.accumulate else gain)
+    return moved.select("id", "parent", "part", lw.alias("lw"), "x")
+
+
+def observed_steps(observations: DataFrame) -> dict[int, float]:
+    """The least y of each step of ``observations(t, y)``: one number a step."""
+    return {r["t"]: r["y"] for r in observations.where("y is not null").groupBy("t").agg(F.min("y").alias("y")).collect()}
+
+
+def run_scheme(particles: DataFrame, observations: DataFrame, scheme: str, model: BenchmarkModel, config: FilterConfig, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A partitioned filter over one series: (final set, ``t, mean, ess`` of every step before resampling).
 
     ``particles`` has ``id, part, x`` and ``observations`` has ``t, y``. Each
-    step moves and weighs the set and resamples it by the named scheme, whose
-    weights go into the next step.
+    step resamples the set by the named scheme, moves and weighs it. A step is
+    one job: it reads the set of the step before and writes its own, under
+    ``store`` or in the shared folder, as a :class:`.history.History` without
+    series. Its largest log-weight is one row that is broadcast, no number
+    goes by way of the driver, and the summaries of all steps are one job over
+    the stored sets at the end.
     """
-    seen = {r["t"]: r["y"] for r in observations.where("y is not null").select("t", "y").collect()}  # one number a step
+    spark = particles.sparkSession
+    seen = observed_steps(observations)
     if not seen:
         raise ValueError("there are no observations")
-    state = particles.select("id", F.col("part").cast("int").alias("part"), F.lit(ONE).cast("long").alias("w"), "x")
-    n, said = config.n_out or particles.count(), []
+    history = History(spark, store or new_path(spark, f"scheme-{scheme}"), SCHEME_SET, ())
+    n, last = config.n_out or particles.count(), None
     for t in sorted(seen):
-        time, noise = F.lit(t * config.dt), config.source.normal("move", t, "part", "id")
-        moved = state.withColumn("before", F.col("x")).withColumn("x", on_grid(model.propagate(F.col("x"), time, noise), config.grid))
-        gain = model.log_likelihood(seen[t], F.col("before") if config.weight_on == "pre" else F.col("x"))
-        weighed_ = cut(moved.select("id", "part", "x", clean(_log("w") + gain if config.accumulate else gain).alias("lw")))
-        top = weighed_.agg(F.max("lw")).first()[0]
-        w = F.lit(ONE).cast("long") if top is None else F.coalesce(fixed(F.exp(F.col("lw") - top)), F.lit(0).cast("long"))
-        now = weighed_.select("id", "part", w.alias("w"), "x")
-        said.append((t, *now.agg(weighted_mean("x"), effective_size()).first()))  # one row a step
-        draw = lambda *keys, t=t: config.source.uniform("draw", t, *keys)
-        chosen = SCHEMES[scheme](now, n, config.parts, draw, draw)
-        if "part" not in chosen.columns:
-            chosen = chosen.withColumn("part", F.floor(F.col("id") * config.parts / n).cast("int"))
-        # a row stands for about 1 of n, so n of its weight is near 1
-        state = chosen.select("id", F.col("part").cast("int").alias("part"), fixed(F.col("weight") * n).alias("w"), "x")
-    return cut(state), particles.sparkSession.createDataFrame(said, "t int, mean double, ess double")
+        if last is None:
+            now = particles.select("id", F.col("id").alias("parent"), "part", F.lit(ONE).cast("long").alias("w"), "x")
+        else:
+            now = weights_of(history.raw(last), [])
+        history.write(scheme_step(now, t, seen[t], scheme if last is not None else None, n, model, config), t)
+        last = t
+    sets = history.weighted()
+    said = sets.groupBy("t").agg(weighted_mean("x").alias("mean"), effective_size().alias("ess"))
+    return weights_of(history.raw(last), []).select("id", "part", "w", "x"), said
+
+
+def run_schemes(particles: DataFrame, observations: DataFrame, schemes: tuple[str, ...], model: BenchmarkModel, config: FilterConfig) -> DataFrame:
+    """``scheme, t, mean, ess`` of a partitioned run by each scheme, side by side.
+
+    Sets of ``config.packed_run`` particles at most, whose memory is bounded
+    by that, take all their steps in a task for each run. Larger sets go a job
+    for each step and run, :func:`run_scheme`. Both give the same numbers.
+    Without observations or particles there are no rows.
+    """
+    seen = observed_steps(observations)
+    n = particles.count()
+    if max(n, config.n_out or 0) <= config.packed_run or not seen or not n:
+        return packed_schemes.runs(particles, seen, schemes, model, config)
+
+    def run(name):
+        return run_scheme(particles, observations, name, model, config)[1].select(F.lit(name).alias("scheme"), "t", "mean", "ess")
+
+    with ThreadPoolExecutor(len(schemes)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(particles.sparkSession)(run), schemes))
 
 
 # The auxiliary interacting-multiple-model filter with parameter learning.

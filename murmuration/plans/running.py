@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
 from ..lineage import cut
-from ..operators.filters import FilterConfig, run_filter, run_imm, run_scheme
+from ..operators.filters import FilterConfig, run_filter, run_imm, run_schemes
 from ..operators.models import BenchmarkModel
 from ..operators.schemes import SCHEMES
 from ..operators.stats import effective_size, weighted_mean
 from ..sources.tables import event_particles, event_series, table
 from ..streaming.online import OnlineFilter
 from .kernels import _w
+from .scheme_sql import schemes_sql
 from .whole_sql import auxiliary_sql, bootstrap_sql
 
 CONFIG = FilterConfig(particles=64, seed=3, noise="scripted", grid=float(1 << 20))
@@ -34,10 +34,6 @@ def scheme_comparison(spark: SparkSession, sf_dir: str, n: int = 10_000, parts:
     return reduce(DataFrame.unionByName, out)
 
 
-#: Steps of the partitioned runs at most; a step is some seconds of planning and code generation whatever the size.
-STRETCHES = 10
-
-
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("series_id", F.col("t").cast("int").alias("t"), *[F.round(c, 6).alias(c) for c in ("mean", "ess", "q05", "q95")])
 
@@ -54,34 +50,33 @@ def aux_imm_run(spark, sf_dir):
     return run_imm(event_series(spark, sf_dir), FilterConfig(particles=64, seed=3))
 
 
-def _scheme_runs(spark, sf_dir, names) -> DataFrame:
+#: The Spark side of the study weighs before the move and multiplies weights; its MapReduce side weighs after and replaces them.
+SPARK_SIDE = FilterConfig(parts=4, seed=21, noise="scripted", grid=float(1 << 20), weight_on="pre", accumulate=True)
+MR_SIDE = replace(SPARK_SIDE, weight_on="post", accumulate=False)
+
+
+def _scheme_runs(spark, sf_dir, names, config) -> DataFrame:
     """Partitioned filters over the users' mean values, every event a particle; the schemes run side by side.
 
-    The observations are means over the places of all events among their
-    user's, in ``STRETCHES`` equal stretches where there are more places.
+    The observation of a step is the mean over the users' events of that place.
     """
-    series = cut(event_series(spark, sf_dir))
-    last = series.agg(F.max("t")).first()[0] or 1
-    step = F.col("t") if last <= STRETCHES else F.ceil(F.col("t") * STRETCHES / last)
-    seen = series.groupBy(step.cast("int").alias("t")).agg(F.avg("y").alias("y"))
-    particles = cut(event_particles(spark, sf_dir))
-    config = FilterConfig(parts=4, seed=21, weight_on="pre")
+    seen = event_series(spark, sf_dir).groupBy(F.col("t").cast("int").alias("t")).agg(F.avg("y").alias("y"))
+    said = run_schemes(cut(event_particles(spark, sf_dir)), seen, names, BenchmarkModel(), config)
+    return said.select("scheme", "t", F.round("mean", 6).alias("mean"), F.round("ess", 6).alias("ess"))
 
-    def run(name):
-        return run_scheme(particles, seen, name, BenchmarkModel(), config)[1].select(F.lit(name).alias("scheme"), "t", "mean", "ess")
 
-    with ThreadPoolExecutor(len(names)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), names))
+SPARK_SCHEMES = ("dpf", "dpf_noshuffle", "cen", "dist1", "dist2", "dist3")
+MR_SCHEMES = ("decen", "sub", "hiera")
 
 
 def scheme_runs(spark, sf_dir):
     """The six partitioned filters of the Spark side of the study."""
-    return _scheme_runs(spark, sf_dir, ("dpf", "dpf_noshuffle", "cen", "dist1", "dist2", "dist3"))
+    return _scheme_runs(spark, sf_dir, SPARK_SCHEMES, SPARK_SIDE)
 
 
 def mr_scheme_runs(spark, sf_dir):
     """The partitioned filters of its MapReduce side."""
-    return _scheme_runs(spark, sf_dir, ("decen", "sub", "hiera"))
+    return _scheme_runs(spark, sf_dir, MR_SCHEMES, MR_SIDE)
 
 
 def online_run(spark, sf_dir):
@@ -106,7 +101,7 @@ QUERIES = {
     "bootstrap_run": (bootstrap_run, bootstrap_sql(CONFIG)),
     "apf_run": (apf_run, auxiliary_sql(CONFIG)),
     "aux_imm_run": (aux_imm_run, None),
-    "scheme_runs": (scheme_runs, None),
-    "mr_scheme_runs": (mr_scheme_runs, None),
+    "scheme_runs": (scheme_runs, schemes_sql(SPARK_SIDE, SPARK_SCHEMES)),
+    "mr_scheme_runs": (mr_scheme_runs, schemes_sql(MR_SIDE, MR_SCHEMES)),
     "online_run": (online_run, bootstrap_sql(CONFIG)),
 }

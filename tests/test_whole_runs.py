@@ -1,11 +1,13 @@
 """Whole runs take every event of every user."""
 
 import datetime
+from dataclasses import replace
 
 import pytest
 
-from murmuration.operators.filters import FilterConfig, run_filter, run_imm
-from murmuration.plans.running import QUERIES
+from murmuration.operators.filters import FilterConfig, run_filter, run_imm, run_schemes
+from murmuration.operators.models import BenchmarkModel
+from murmuration.plans.running import MR_SCHEMES, MR_SIDE, QUERIES, SPARK_SCHEMES, SPARK_SIDE
 from murmuration.streaming.online import OnlineFilter
 
 LENGTHS = {1: 7, 2: 5, 3: 1}
@@ -32,6 +34,19 @@ def test_scheme_runs_take_every_step(spark, events):
     assert sorted(found) == sorted(6 * list(range(1, max(LENGTHS.values()) + 1)))
 
 
+@pytest.mark.parametrize("side,change", [(SPARK_SIDE, {}), (MR_SIDE, {"noise": "keyed", "grid": None, "n_out": 90})], ids=["spark", "mapreduce"])
+def test_runs_in_a_task_are_runs_step_by_step(spark, side, change):
+    """All nine schemes under both families' switches; a set over the bound goes a job a step."""
+    particles = spark.range(101).selectExpr("id * 3 as id", "cast(id % 4 as int) as part", "cast(id as double) / 10 - 5 as x")
+    seen = spark.createDataFrame([(1, 1.0), (2, 3.0), (4, 0.5), (4, 9.0), (5, None)], "t int, y double")
+    names = SPARK_SCHEMES + MR_SCHEMES
+    runs = [{(r["scheme"], r["t"]): r for r in run_schemes(particles, seen, names, BenchmarkModel(), replace(side, **change, packed_run=bound)).collect()} for bound in (1 << 20, 0)]
+    assert runs[0].keys() == runs[1].keys() == {(s, t) for s in names for t in (1, 2, 4)}
+    for k, r in runs[0].items():
+        assert all(runs[1][k][c] == pytest.approx(r[c], rel=1e-9) for c in ("mean", "ess")), k
+    assert run_schemes(particles, seen.where("false"), names, BenchmarkModel(), side).count() == 0
+
+
 @pytest.mark.parametrize("run", [lambda s: run_filter(s, "growth", "auxiliary", CONFIG), lambda s: run_imm(s, CONFIG)], ids=["auxiliary", "imm"])
 def test_a_gap_does_not_end_a_series(spark, run):
     """Series 0 has a null y and series 1 no row at step 2; series 2 has all."""
