@@ -46,8 +46,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     documents as a whole and goes; null and empty texts stay as they are.
     """
     removed = free_name(docs, "n_removed")
-    found = dedup_lines(docs, removed=removed)
-    out = found.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    # asked inside the row: as a filter it would be moved below what it reads, which then were computed again
+    row = F.array(F.struct(*docs.columns, removed))
+    keeps = lambda r: (r[removed] == 0) | r["text"].rlike(r"[^\x20\x09-\x0D]")
+    out = dedup_lines(docs, removed=removed).select(F.inline(F.filter(row, keeps))).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
