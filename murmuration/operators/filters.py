@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import NOISE
 from ..lineage import cut, new_path
 from . import packed, packed_imm, packed_schemes
-from .history import History, weights_of
+from .history import History, schema_of, weights_of
 from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
 from .resample import ONE, RESAMPLERS, clean, fixed, fixed_from_log, log_of, on_grid, replicated
@@ -67,11 +67,11 @@ class FilterConfig:
 
 
 def initial(series: DataFrame, model: BenchmarkModel, config: FilterConfig) -> DataFrame:
-    """``series_id, id, part, w, x``: n equal-weight draws per series."""
+    """``series_id, id, part, w, x, parent``: n equal-weight draws per series."""
     rows = series.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))).alias("id"))
     part = F.floor(F.col("id") * config.parts / config.particles).cast("int")
     x = on_grid(model.init(config.source.normal("init", 0, "series_id", "id")), config.grid)
-    return rows.select("series_id", "id", part.alias("part"), F.lit(ONE).cast("long").alias("w"), x.alias("x"))
+    return rows.select("series_id", "id", part.alias("part"), F.lit(ONE).cast("long").alias("w"), x.alias("x"), F.col("id").alias("parent"))
 
 
 def _log(w: str) -> Column:
@@ -110,6 +110,7 @@ def resampled(state: DataFrame, t: int, config: FilterConfig) -> DataFrame:
     """Equal weights for the series whose effective size is too small; the others keep theirs."""
     n = config.n_out or config.particles
     pick, draw = RESAMPLERS[config.resampler], _draw(config, t)
+    state = state.withColumn("parent", F.col("id"))
     if config.ess_share is None:
         thin, full = state, None
     else:
@@ -121,16 +122,17 @@ def resampled(state: DataFrame, t: int, config: FilterConfig) -> DataFrame:
     return out if full is None else out.unionByName(full)
 
 
-def bootstrap_step(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
-    """(set after resampling, summary before it)."""
+def bootstrap_step(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(set after resampling, summary before it, set before it)."""
     now = cut(weighed(state, observed, t, model, config))
-    return resampled(now, t, config), summary(now, t)
+    return resampled(now, t, config), summary(now, t), now
 
 
-def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame]:
+def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel, config: FilterConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Resample by weight times the likelihood of the expected next state, move, and weigh by the ratio. A series without an observation only moves."""
     time, noise = F.lit(t * config.dt), config.source.normal("move", t, "series_id", "id")
     seen = observed.where("y is not null").select("series_id", "y")
+    state = state.withColumn("parent", F.col("id"))
     joined = state.join(seen, KEY)
     ahead = joined.withColumn("__ahead", model.log_likelihood(F.col("y"), model.mean(F.col("x"), time)))
     first = cut(fixed_from_log(ahead.withColumn("__lw", _log("w") + F.col("__ahead")), "__lw", KEY).drop("__lw"))
@@ -139,9 +141,9 @@ def auxiliary_step(state: DataFrame, observed: DataFrame, t: int, model: Benchma
     chosen = replicated(pick).withColumn("x", move)
     second = chosen.withColumn("__lw", model.log_likelihood(F.col("y"), F.col("x")) - F.col("__ahead"))
     idle = state.join(seen, KEY, "left_anti").withColumn("x", move)
-    columns = ["series_id", "id", "part", "w", "x"]
+    columns = ["series_id", "id", "part", "w", "x", "parent"]
     now = cut(fixed_from_log(second, "__lw", KEY).select(*columns).unionByName(idle.select(*columns)))
-    return now, summary(now, t)
+    return now, summary(now, t), now
 
 
 class Told:
@@ -182,7 +184,7 @@ def folds(config: FilterConfig, model: BenchmarkModel | RsGarch, series_type: st
     return small and not model.columns_only and series_type in keys
 
 
-def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark", filter_: str = "bootstrap", config: FilterConfig = FilterConfig()) -> DataFrame:
+def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark", filter_: str = "bootstrap", config: FilterConfig = FilterConfig(), store: str | None = None) -> DataFrame:
     """``series_id, t, mean, ess, q05, q95`` for every step of ``observations(series_id, t, y)``.
 
     Every series begins at step 1. Rows whose y is null count as no
@@ -191,8 +193,9 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     series and particles do not. Sets of ``config.packed`` particles at most
     are matrix rows, many series a task and a job for each
     ``config.steps_at_once`` steps; larger ones go step by step, a row per
-    particle. Both give the same numbers. Rows without a series_id are left
-    out, and an empty table gives no rows. The filter ``"imm"`` on the model ``"rsgarch"`` is :func:`run_imm`.
+    particle. Both give the same numbers. ``store`` is a new folder for the
+    weighted sets of all steps, see :func:`history_of`. Rows without a
+    series_id are left out, and an empty table gives no rows. The filter ``"imm"`` on the model ``"rsgarch"`` is :func:`run_imm`.
     """
     if filter_ == "imm":
         if model != "rsgarch":
@@ -204,15 +207,23 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
     if not last:
         return summary(initial(seen, model, config), 0).select(*COLUMNS).where("false")
+    history = history_of(observations, store) if store else None
     if not folds(config, model, dict(seen.dtypes)["series_id"]):
         state = _going(initial(seen, model, config), ends, 0)
         for t in range(1, last + 1):
-            state, said = STEPS[filter_](state, seen.where(F.col("t") == t), t, model, config)
+            state, said, now = STEPS[filter_](state, seen.where(F.col("t") == t), t, model, config)
             out.add(said, t)
+            if history:
+                history.append(now.select("series_id", F.lit(t).alias("t"), "id", "parent", "w", "x"))
             state = cut(_going(state, ends, t))
         return out.rows().select(*COLUMNS)
-    sets = ends.select("*", *[F.lit(None).cast(f"array<{kind}>").alias(c) for c, kind in (("w", "bigint"), ("x", "double"))])
-    return _fold(sets, packed.Sets.names, lambda rows: packed.advanced(rows, model, filter_, config), seen, last, config, out).select(*COLUMNS)
+    advance = lambda rows: packed.advanced(rows, model, filter_, config, bool(store))
+    return _fold(ends.select("*", *packed.nothing()), packed.Sets.names, advance, seen, last, config, out, history).select(*COLUMNS)
+
+
+def history_of(observations: DataFrame, store: str) -> History:
+    """The sets that ``run_filter(observations, ..., store=store)`` has left."""
+    return History(observations.sparkSession, store, schema_of(dict(observations.dtypes)["series_id"]))
 
 
 def _seen(observations: DataFrame) -> DataFrame:
@@ -227,7 +238,7 @@ def _tasks(sets: DataFrame, last: int, config: FilterConfig) -> int:
     return int(max(spark.sparkContext.defaultParallelism, work >> 28))
 
 
-def _fold(sets: DataFrame, names: tuple[str, ...], advance, seen: DataFrame, last: int, config: FilterConfig, out: Told) -> DataFrame:
+def _fold(sets: DataFrame, names: tuple[str, ...], advance, seen: DataFrame, last: int, config: FilterConfig, out: Told, history: History | None = None) -> DataFrame:
     """The summaries of all steps of ``sets(series_id, end, ...)``, a job for each ``config.steps_at_once`` of them."""
     tasks = _tasks(sets, last, config)
     for low in range(1, last + 1, config.steps_at_once):
@@ -237,8 +248,12 @@ def _fold(sets: DataFrame, names: tuple[str, ...], advance, seen: DataFrame, las
         # long and short series are dealt out by a hash of their own, whatever the shuffle's partitions are
         rows = joined.select("series_id", *names, F.lit(low).alias("low"), F.least(F.lit(high), "end").cast("int").alias("high"), F.coalesce("seen", F.array().cast("array<struct<t:int,y:double>>")).alias("seen")).repartition(tasks, "series_id")
         after = advance(rows)
-        if high < last:
+        if high < last or history:
             after = cut(after)
+        if history:
+            each = _spread(after).select("series_id", "t", F.posexplode(F.arrays_zip(*names)).alias("id", "of"))
+            history.append(each.select("series_id", "t", F.col("id").cast("long").alias("id"), "of.parent", "of.w", "of.x"))
+        if high < last:
             sets = cut(after.select("series_id", *names).join(sets.select("series_id", "end").where(F.col("end") > high), "series_id"))
         out.add(_spread(after), low)
     return out.rows()

@@ -1,8 +1,8 @@
 """Sets of earlier steps: a table by step, with each particle's parent.
 
-A run that is given a folder leaves its weighted set of every step there, one
-partition a step. Statistics of any step read that partition alone, and a
-path back through the parents is a join a step.
+A run that is given a folder leaves its weighted set of every step there, as
+it was before resampling, one partition a step. Statistics of any step read
+that partition alone, and a path back through the parents is a join a step.
 """
 
 from __future__ import annotations
@@ -14,23 +14,32 @@ from ..lineage import cut
 from .resample import ONE, fixed
 from .stats import effective_size, weighted_mean
 
-#: ``parent`` is the particle of the step before from which one comes; log-weights are kept as they were found.
-SCHEMA = "series_id long, id long, parent long, part int, lw double, x double"
+def schema_of(series_type: str) -> str:
+    """Columns of a stored step; ``parent`` is the particle of the step before from which one comes."""
+    return f"series_id {series_type}, id long, parent long, w long, x double"
 
 
 class History:
-    """The stored sets of one run at ``path``; ``keys`` name what tells its series apart."""
+    """The stored sets of one run at ``path``; ``keys`` name what tells its series apart.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = SCHEMA, keys: tuple[str, ...] = ("series_id",)):
+    A set has fixed-point weights ``w`` or log-weights ``lw``. A step that is
+    not there has no rows; weights that all vanish count as equal.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("series_id",)):
         self.spark, self.path, self.schema, self.keys = spark, path, schema, list(keys)
 
     def write(self, rows: DataFrame, t: int) -> None:
         """Store step t; a step that is written again replaces what was there."""
         rows.write.mode("overwrite").parquet(f"{self.path}/t={t}")
 
+    def append(self, rows: DataFrame) -> None:
+        """Store the steps of ``rows``, which have ``t``."""
+        rows.write.mode("append").partitionBy("t").parquet(self.path)
+
     def raw(self, t: int) -> DataFrame:
         """Step t as it was stored."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/t={t}")
+        return self.steps().where(F.col("t") == t).drop("t")
 
     def steps(self) -> DataFrame:
         """All steps with their number ``t``, which prunes what is read."""
@@ -39,7 +48,7 @@ class History:
     def weighted(self, t: int | None = None) -> DataFrame:
         """The sets of step t, or of all steps, with fixed-point weights ``w`` from their log-weights."""
         rows = self.steps() if t is None else self.steps().where(F.col("t") == t)
-        return weights_of(rows, [*self.keys, "t"])
+        return weights_of(rows, [*self.keys, "t"]) if "lw" in rows.columns else rows
 
     def effective_size(self, t: int) -> DataFrame:
         """``keys, t, ess`` of a step."""

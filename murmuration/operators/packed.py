@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise_arrays import arrays_of
@@ -88,9 +88,12 @@ def gridded(x: np.ndarray, grid: float | None) -> np.ndarray:
 
 
 class Sets:
-    """The sets ``w, x`` of some series, and one step of a filter over those that have it."""
+    """The sets ``w, x, parent`` of some series, and one step of a filter over those that have it.
 
-    names = ("w", "x")
+    ``parent`` is a particle's place in the weighted set of the step before.
+    """
+
+    names = ("w", "x", "parent")
 
     def __init__(self, model, filter_: str, config, series: np.ndarray):
         self.model, self.config, self.noise = model, config, arrays_of(config.source)
@@ -100,7 +103,8 @@ class Sets:
 
     def started(self, n: int) -> dict[str, np.ndarray]:
         x = gridded(self.model.init(self.noise.normal("init", 0, self.series, self.ids)), self.config.grid)
-        return {"w": np.full((n, self.config.particles), ONE, np.int64), "x": np.broadcast_to(x, (n, self.config.particles)).copy()}
+        shape = (n, self.config.particles)
+        return {"w": np.full(shape, ONE, np.int64), "x": np.broadcast_to(x, shape).copy(), "parent": np.broadcast_to(self.ids, shape).copy()}
 
     def bootstrap(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray, seen: np.ndarray):
         """(set moved and weighed, set to go on with)."""
@@ -117,13 +121,13 @@ class Sets:
                 gain = gain + np.log(model.transition_pdf(x, before, time)) - np.log(model.proposal_pdf(x, before, y, time))
         gain = np.where(seen[:, None], gain, 0.0)
         w = weights(log_weights(w) + gain if config.accumulate else gain)
-        now = {"w": w, "x": x}
+        now = {"w": w, "x": x, "parent": own["parent"]}
+        after = {"w": w.copy(), "x": x.copy(), "parent": np.broadcast_to(self.ids, w.shape).copy()}
         poor = np.flatnonzero(size(w) < config.ess_share * w.shape[1]) if config.ess_share is not None else np.arange(len(w))
         if not poor.size:
-            return now, now
+            return now, after
         chosen = picked(w[poor], config.particles, config.resampler, self._draw(t, series[poor]))
-        after = {"w": w.copy(), "x": x.copy()}
-        after["w"][poor] = ONE
+        after["w"][poor], after["parent"][poor] = ONE, chosen
         after["x"][poor] = np.take_along_axis(x[poor], chosen, axis=1)
         return now, after
 
@@ -139,7 +143,7 @@ class Sets:
         x = gridded(model.propagate(parent, time, self.noise.normal("move", t, series, self.ids)), config.grid)
         with np.errstate(over="ignore", invalid="ignore"):
             second = weights(model.log_likelihood(y, x) - np.take_along_axis(ahead, chosen, axis=1))
-        now = {"w": np.where(seen[:, None], second, w), "x": x}
+        now = {"w": np.where(seen[:, None], second, w), "x": x, "parent": chosen}
         return now, now
 
     def _draw(self, t: int, series: np.ndarray, *keys: np.ndarray):
@@ -157,8 +161,8 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _advanced(sets: Sets, known: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, owner: np.ndarray, t_seen: np.ndarray, y_seen: np.ndarray) -> tuple[dict[str, np.ndarray], pa.Array]:
-    """All series through their steps: (sets, summaries by series)."""
+def _advanced(sets: Sets, known: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, owner: np.ndarray, t_seen: np.ndarray, y_seen: np.ndarray, keep: bool) -> tuple[dict[str, np.ndarray], pa.Array | None]:
+    """All series through their steps: (sets, summaries by series, with the weighted sets themselves where they are kept)."""
     first = int(low.min(initial=1))
     steps = max(0, int(high.max(initial=0)) - first + 1)
     y, has = np.zeros((len(low), steps)), np.zeros((len(low), steps), bool)
@@ -174,7 +178,7 @@ def _advanced(sets: Sets, known: dict[str, np.ndarray], low: np.ndarray, high: n
         now, after = sets.step({c: m[at] for c, m in known.items()}, sets.series[at], t, y[at, k], has[at, k])
         for c, m in known.items():
             m[at] = after[c]
-        parts.append({"series": at, "t": np.full(len(at), t, np.int32), **sets.told(now)})
+        parts.append({"series": at, "t": np.full(len(at), t, np.int32), **sets.told(now), **({c: now[c] for c in sets.names} if keep else {})})
     if not parts:
         return known, None
     said = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
@@ -184,7 +188,7 @@ def _advanced(sets: Sets, known: dict[str, np.ndarray], low: np.ndarray, high: n
     return known, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=list(said)))
 
 
-def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str, type], particles: int, said: str) -> DataFrame:
+def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str, type], particles: int, said: str, keep: bool = False) -> DataFrame:
     """``series_id``, the set columns and ``said`` after the steps ``low..high`` of each row of ``series_id, low, high, seen`` and the set.
 
     ``seen`` is an array of (t, y); a step without an entry has no
@@ -193,6 +197,8 @@ def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str,
     """
     kind = rows.schema["series_id"].dataType.simpleString()
     spark_names = {np.int64: "bigint", np.float64: "double", np.int32: "int"}
+    if keep:
+        said = said.removesuffix(">>") + "".join(f",{c}:array<{spark_names[kinds[c]]}>" for c in names) + ">>"
 
     def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // max(1, particles))
@@ -211,7 +217,7 @@ def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str,
             flat = seen.flatten()
             t, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             low, high = (column[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("low", "high"))
-            known, told = _advanced(sets, known, low, high, owner, t.astype(np.int64), y)
+            known, told = _advanced(sets, known, low, high, owner, t.astype(np.int64), y, keep)
             lists = []
             for c in names:
                 flat = known[c].reshape(len(series), -1)
@@ -228,12 +234,17 @@ def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str,
     return rows.select("series_id", "low", "high", "seen", *names).mapInArrow(run, schema)
 
 
-KINDS = {"w": np.int64, "x": np.float64}
+KINDS = {"w": np.int64, "x": np.float64, "parent": np.int64}
+
+
+def advanced(rows: DataFrame, model, filter_: str, config, keep: bool = False) -> DataFrame:
+    """The bootstrap and auxiliary filters by :func:`advance_with`; with ``keep``, ``said`` holds each step's weighted set too."""
+    return advance_with(rows, lambda series: Sets(model, filter_, config, series), Sets.names, KINDS, config.particles, SAID, keep)
 
 
-def advanced(rows: DataFrame, model, filter_: str, config) -> DataFrame:
-    """The bootstrap and auxiliary filters by :func:`advance_with`."""
-    return advance_with(rows, lambda series: Sets(model, filter_, config, series), Sets.names, KINDS, config.particles, SAID)
+def nothing() -> list[Column]:
+    """The columns of sets that have not begun."""
+    return [F.lit(None).cast(f"array<{kind}>").alias(c) for c, kind in (("w", "bigint"), ("x", "double"), ("parent", "bigint"))]
 
 
 def observed(seen: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
-from ..lineage import cut
-from ..operators.filters import FilterConfig, run_filter, run_imm, run_schemes
+from ..lineage import cut, new_path
+from ..operators.filters import FilterConfig, history_of, run_filter, run_imm, run_schemes
 from ..operators.models import BenchmarkModel
 from ..operators.schemes import SCHEMES
 from ..operators.stats import effective_size, weighted_mean
@@ -18,7 +18,7 @@ from ..sources.tables import event_particles, event_series, table
 from ..streaming.online import OnlineFilter
 from .kernels import _w
 from .scheme_sql import schemes_sql
-from .whole_sql import auxiliary_sql, bootstrap_sql
+from .whole_sql import auxiliary_sql, bootstrap_sql, stored_ancestors_sql, stored_ess_sql, stored_integral_sql
 
 CONFIG = FilterConfig(particles=64, seed=3, noise="scripted", grid=float(1 << 20))
 
@@ -42,6 +42,33 @@ def bootstrap_run(spark, sf_dir):
     return _rounded(run_filter(event_series(spark, sf_dir), "benchmark", "bootstrap", CONFIG))
 
 
+#: The step that the queries of stored sets go back to, and how far their ancestors do.
+STORED_STEP, BACK_TO = 5, 2
+
+
+def _stored(spark, sf_dir):
+    """Sets of all steps of ``bootstrap_run``."""
+    seen, path = event_series(spark, sf_dir), new_path(spark, "history")
+    run_filter(seen, "benchmark", "bootstrap", CONFIG, store=path)
+    return history_of(seen, path)
+
+
+def stored_ess(spark, sf_dir):
+    """Effective sizes at an earlier step."""
+    return _stored(spark, sf_dir).effective_size(STORED_STEP).select("series_id", "t", F.round("ess", 6).alias("ess"))
+
+
+def stored_integral(spark, sf_dir):
+    """The mean of x squared at an earlier step."""
+    found = _stored(spark, sf_dir).integral(F.col("x") * F.col("x"), STORED_STEP)
+    return found.select("series_id", "t", F.round("value", 6).alias("value"))
+
+
+def stored_ancestors(spark, sf_dir):
+    """Paths of an earlier step's particles through their ancestors."""
+    return _stored(spark, sf_dir).ancestors(STORED_STEP, BACK_TO).withColumn("x", F.round("x", 6))
+
+
 def apf_run(spark, sf_dir):
     return _rounded(run_filter(event_series(spark, sf_dir), "growth", "auxiliary", CONFIG))
 
@@ -99,6 +126,9 @@ def _placed(spark, sf_dir):
 QUERIES = {
     "scheme_comparison": (scheme_comparison, None),
     "bootstrap_run": (bootstrap_run, bootstrap_sql(CONFIG)),
+    "stored_ess": (stored_ess, stored_ess_sql(CONFIG, STORED_STEP)),
+    "stored_integral": (stored_integral, stored_integral_sql(CONFIG, STORED_STEP)),
+    "stored_ancestors": (stored_ancestors, stored_ancestors_sql(CONFIG, STORED_STEP, BACK_TO)),
     "apf_run": (apf_run, auxiliary_sql(CONFIG)),
     "aux_imm_run": (aux_imm_run, None),
     "scheme_runs": (scheme_runs, schemes_sql(SPARK_SIDE, SPARK_SCHEMES)),

@@ -62,17 +62,20 @@ def _sums(source: str) -> str:
     return f"SELECT *, CAST(sum(w) OVER (PARTITION BY s ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cw, CAST(sum(w) OVER (PARTITION BY s) AS BIGINT) AS tw, sum(CAST(w AS DOUBLE)) OVER (PARTITION BY s) AS sd, sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)) OVER (PARTITION BY s) AS sq, count(*) OVER (PARTITION BY s) AS n FROM {source}"
 
 
-def _run(config: FilterConfig, step: str) -> str:
+SUMMARY = """SELECT s AS series_id, CAST(t AS INT) AS t, round(sum(w * x) / CAST(sum(w) AS DOUBLE), 6) AS mean,
+        round(sum(CAST(w AS DOUBLE)) * sum(CAST(w AS DOUBLE)) / sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)), 6) AS ess,
+        round(quantile_cont(x, 0.05), 6) AS q05, round(quantile_cont(x, 0.95), 6) AS q95
+      FROM r WHERE t > 0 GROUP BY s, t"""
+
+
+def _run(config: FilterConfig, step: str, told: str = SUMMARY) -> str:
     noise, n = config.source, config.particles
     start = _grid(f"{normal_sql('a')} * {ROOT_10}", config.grid)
     return f"""WITH RECURSIVE {_OBSERVED},
       i AS (SELECT s, unnest(range({n})) AS id FROM ends),
       z AS (SELECT s, id, {hashed_sql(noise, "init", "0", "s", "id")} AS a FROM i),
-      r AS (SELECT s, id, CAST(0 AS BIGINT) AS t, CAST({ONE} AS BIGINT) AS w, {start} AS x FROM z UNION ALL ({step}))
-      SELECT s AS series_id, CAST(t AS INT) AS t, round(sum(w * x) / CAST(sum(w) AS DOUBLE), 6) AS mean,
-        round(sum(CAST(w AS DOUBLE)) * sum(CAST(w AS DOUBLE)) / sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)), 6) AS ess,
-        round(quantile_cont(x, 0.05), 6) AS q05, round(quantile_cont(x, 0.95), 6) AS q95
-      FROM r WHERE t > 0 GROUP BY s, t"""
+      r AS (SELECT s, id, id AS parent, CAST(0 AS BIGINT) AS t, CAST({ONE} AS BIGINT) AS w, {start} AS x FROM z UNION ALL ({step}))
+      {told}"""
 
 
 def _noise(config: FilterConfig, source: str) -> str:
@@ -82,16 +85,16 @@ def _noise(config: FilterConfig, source: str) -> str:
     return f"SELECT *, {normal_sql('a')} AS z FROM ({pair})"
 
 
-def bootstrap_sql(config: FilterConfig) -> str:
-    """The bootstrap filter on the benchmark model."""
+def bootstrap_sql(config: FilterConfig, told: str = SUMMARY) -> str:
+    """The bootstrap filter on the benchmark model; ``told`` selects from its sets ``r``."""
     n, time = config.particles, f"(CAST(t + 1 AS DOUBLE) * {config.dt}::DOUBLE)"
     u = uniform_sql(config.source, "pick", "t", "s")
     bounded = f"SELECT *, {_bound('(cw - w)', n, u)} AS lo, {_bound('cw', n, u)} AS hi, sd * sd / sq < {config.ess_share}::DOUBLE * n AS poor FROM ({_sums('r')})"
-    spread = f"SELECT s, t, x, unnest(CASE WHEN poor THEN range(lo, hi) ELSE [id] END) AS id, CASE WHEN poor THEN CAST({ONE} AS BIGINT) ELSE w END AS w FROM ({bounded})"
-    moved = f"SELECT s, id, t, w, {_grid(f'{_mean("x", time, 0.0)} + z * {ROOT_10}', config.grid)} AS x FROM ({_noise(config, f'({spread})')})"
-    gained = f"SELECT m.s, m.id, m.t + 1 AS t, m.x, {_log('m.w')} + coalesce({_log_pdf('o.y', 'm.x')}, 0) AS lw FROM ({moved}) m JOIN ends ON m.s = ends.s AND m.t < ends.e LEFT JOIN o ON m.s = o.s AND m.t + 1 = o.t"
+    spread = f"SELECT s, t, x, id AS parent, unnest(CASE WHEN poor THEN range(lo, hi) ELSE [id] END) AS id, CASE WHEN poor THEN CAST({ONE} AS BIGINT) ELSE w END AS w FROM ({bounded})"
+    moved = f"SELECT s, id, parent, t, w, {_grid(f'{_mean("x", time, 0.0)} + z * {ROOT_10}', config.grid)} AS x FROM ({_noise(config, f'({spread})')})"
+    gained = f"SELECT m.s, m.id, m.parent, m.t + 1 AS t, m.x, {_log('m.w')} + coalesce({_log_pdf('o.y', 'm.x')}, 0) AS lw FROM ({moved}) m JOIN ends ON m.s = ends.s AND m.t < ends.e LEFT JOIN o ON m.s = o.s AND m.t + 1 = o.t"
     topped = f"SELECT *, max(lw) OVER (PARTITION BY s) AS top FROM ({gained})"
-    return _run(config, f"SELECT s, id, t, {_weight('lw', 'top')} AS w, x FROM ({topped})")
+    return _run(config, f"SELECT s, id, parent, t, {_weight('lw', 'top')} AS w, x FROM ({topped})", told)
 
 
 def auxiliary_sql(config: FilterConfig) -> str:
@@ -103,7 +106,22 @@ def auxiliary_sql(config: FilterConfig) -> str:
     first = f"SELECT s, id, t, x, y, ahead, {_weight('lw', 'top')} AS w FROM ({topped})"
     u = uniform_sql(config.source, "pick", "t + 1", "s")
     bounded = f"SELECT *, {_bound('(cw - w)', n, u)} AS lo, {_bound('cw', n, u)} AS hi FROM ({_sums(f'({first})')})"
-    spread = f"SELECT s, t, x, y, ahead, unnest(range(lo, hi)) AS id FROM ({bounded})"
-    moved = f"SELECT s, id, t, y, ahead, {_grid(f'{_mean("x", time, 1.0)} + z * {ROOT_10}', config.grid)} AS x FROM ({_noise(config, f'({spread})')})"
+    spread = f"SELECT s, t, x, y, ahead, id AS parent, unnest(range(lo, hi)) AS id FROM ({bounded})"
+    moved = f"SELECT s, id, parent, t, y, ahead, {_grid(f'{_mean("x", time, 1.0)} + z * {ROOT_10}', config.grid)} AS x FROM ({_noise(config, f'({spread})')})"
     again = f"SELECT *, max(lw) OVER (PARTITION BY s) AS top FROM (SELECT *, {_log_pdf('y', 'x')} - ahead AS lw FROM ({moved}))"
-    return _run(config, f"SELECT s, id, t + 1 AS t, {_weight('lw', 'top')} AS w, x FROM ({again})")
+    return _run(config, f"SELECT s, id, parent, t + 1 AS t, {_weight('lw', 'top')} AS w, x FROM ({again})")
+
+
+def stored_ess_sql(config: FilterConfig, t: int) -> str:
+    return bootstrap_sql(config, f"SELECT s AS series_id, CAST(t AS INT) AS t, round(sum(CAST(w AS DOUBLE)) * sum(CAST(w AS DOUBLE)) / sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE)), 6) AS ess FROM r WHERE t = {t} GROUP BY s, t")
+
+
+def stored_integral_sql(config: FilterConfig, t: int) -> str:
+    return bootstrap_sql(config, f"SELECT s AS series_id, CAST(t AS INT) AS t, round(sum(w * x * x) / CAST(sum(w) AS DOUBLE), 6) AS value FROM r WHERE t = {t} GROUP BY s, t")
+
+
+def stored_ancestors_sql(config: FilterConfig, t: int, back_to: int) -> str:
+    steps = [f"a{t} AS (SELECT s, id, t, id AS ancestor, parent, x FROM r WHERE t = {t})"]
+    steps += [f"a{k} AS (SELECT a.s, a.id, r.t, r.id AS ancestor, r.parent, r.x FROM a{k + 1} a JOIN r ON a.s = r.s AND r.t = {k} AND r.id = a.parent)" for k in range(t - 1, back_to - 1, -1)]
+    rows = " UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(back_to, t + 1))
+    return bootstrap_sql(config, f"SELECT * FROM (WITH {', '.join(steps)} SELECT s AS series_id, id, CAST(t AS INT) AS t, ancestor, round(x, 6) AS x FROM ({rows}))")

@@ -68,12 +68,12 @@ class OnlineFilter:
             high = low + config.steps_at_once - 1
             now = packed.observed(seen.where(F.col("t") <= high)).withColumnRenamed("last", "high")
             if state is None:
-                rows = now.select("series_id", F.lit(None).cast("array<bigint>").alias("w"), F.lit(None).cast("array<double>").alias("x"), F.col("first").alias("low"), "high", "seen")
+                rows = now.select("series_id", *packed.nothing(), F.col("first").alias("low"), "high", "seen")
             else:
-                rows = now.join(state, "series_id", "left").select("series_id", "w", "x", F.coalesce(F.col("step") + 1, F.col("first")).alias("low"), "high", "seen")
+                rows = now.join(state, "series_id", "left").select("series_id", *packed.Sets.names, F.coalesce(F.col("step") + 1, F.col("first")).alias("low"), "high", "seen")
             after = cut(packed.advanced(rows.repartition(tasks, "series_id"), self.model, self.filter_, config).join(now.select("series_id", F.col("high").alias("step")), "series_id"))
             said = after.select("series_id", F.inline("said")).join(seen.select("series_id", "t"), ["series_id", "t"], "left_semi")
-            moved = after.select("series_id", "step", "w", "x")
+            moved = after.select("series_id", "step", *packed.Sets.names)
             self._write(moved if state is None else moved.unionByName(state.join(moved, "series_id", "left_anti")), said)
             self.last_step = max(self.last_step, seen.where(F.col("t") <= high).agg(F.max("t")).first()[0])
             seen, state = seen.where(F.col("t") > high), self._state()
@@ -88,7 +88,7 @@ class OnlineFilter:
                 moving = spans.where((F.col("low") <= t) & (F.col("high") >= t)).select("series_id")
                 fresh = state.drop("step").join(moving, "series_id", "left_semi").unionByName(fresh)
                 idle = state.join(moving, "series_id", "left_anti")
-            after, said = STEPS[self.filter_](fresh, now.select("series_id", "y"), t, self.model, self.config)
+            after, said, _ = STEPS[self.filter_](fresh, now.select("series_id", "y"), t, self.model, self.config)
             after = after.withColumn("step", F.lit(t))
             after = after if idle is None else after.unionByName(idle)
             self._write(after, said.join(now.select("series_id"), "series_id", "left_semi"))
