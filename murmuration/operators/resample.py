@@ -165,6 +165,30 @@ def replicated(df: DataFrame, out: str = "id") -> DataFrame:
     return df.where("hi > lo").withColumn(out, F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))).drop("lo", "hi", "cnt")
 
 
+def kept_in_place(df: DataFrame, keys: Sequence[str] = (), order: str = "id", block: int | None = BLOCK) -> DataFrame:
+    """The resampled set of ``df`` with ``cnt``, survivors in their own slots; ``source`` is where a row's state comes from.
+
+    A row that is chosen keeps its ``order`` and its state, so it need not be
+    written again. Its further copies go to the slots of rows that are not:
+    copies and free slots are numbered by exact prefix sums, both in order, and
+    meet by their numbers. With fewer points than rows some slots stay out;
+    copies beyond the free slots go after the last one, in the same order.
+    """
+    keys = list(keys)
+    extra = F.greatest(F.col("cnt") - 1, F.lit(0)).cast("long")
+    stay = df.where("cnt > 0").withColumn("source", F.col(order)).drop("cnt")
+    free = cumulated(df.select(*keys, order, (F.col("cnt") == 0).cast("long").alias("__one")), "__one", keys, order, block)
+    slots = free.where("__one = 1").select(*keys, (F.col("cw") - 1).alias("__rank"), F.col(order).alias("__slot"))
+    ends = free.groupBy(*keys).agg(F.max(order).alias("__last"), F.max("tw").alias("__free"))
+    surplus = cumulated(df.withColumn("__extra", extra), "__extra", keys, order, block).where("__extra > 0")
+    copies = surplus.withColumn("__rank", F.explode(F.sequence(F.col("cw") - F.col("__extra"), F.col("cw") - 1))).drop("cw", "tw", "__extra", "cnt")
+    placed = copies.join(slots, [*keys, "__rank"], "left")
+    placed = placed.join(ends, keys) if keys else placed.crossJoin(F.broadcast(ends))  # one row
+    slot = F.coalesce("__slot", F.col("__last") + 1 + F.col("__rank") - F.col("__free"))
+    moved = placed.withColumn("source", F.col(order)).withColumn(order, slot).drop("__rank", "__slot", "__last", "__free")
+    return stay.unionByName(moved)
+
+
 def copied(df: DataFrame, order: str = "id") -> DataFrame:
     """One row for each count, for resamplers without positions; ids are (old id, copy) hashed apart by rank."""
     many = df.where("cnt > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cnt") - 1)))

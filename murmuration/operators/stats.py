@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .resample import cumulated
+from .resample import cumulated, systematic_bound
 
 
 def _w(w) -> Column:
@@ -104,6 +104,18 @@ def histogram(df: DataFrame, x: str, w: str | None = None, bins: int = 50) -> Da
     )
 
 
+def repeated_means(df: DataFrame, n: int, draws: list[Column], x: str = "x") -> DataFrame:
+    """``sim, mean``: the mean of ``x`` after each of some systematic resamplings to n, one for each uniform.
+
+    The weights are summed up once and all simulations are counted in one pass.
+    """
+    c = cumulated(df)
+    bounds = [systematic_bound(F.lit(n).cast("long"), u) for u in draws]
+    counts = [b(F.col("cw"), F.col("tw")) - b(F.col("cw") - F.col("w"), F.col("tw")) for b in bounds]
+    sums = c.agg(F.array(*[F.sum(k * F.col(x)) / n for k in counts]).alias("means"))
+    return sums.select(F.posexplode("means").alias("sim", "mean"))
+
+
 def resampling_variance(means: DataFrame, before: float, n: int) -> Column:
     """Monte-Carlo variance of resampled means: by simulations and, as often printed, by particles."""
     square = F.sum((F.col("mean") - before) * (F.col("mean") - before))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.rng import lcg
 from ..operators import schemes
 from ..operators.models import BenchmarkModel, RsGarch
-from ..operators.resample import fixed, multinomial, replicated, residual, stratified, systematic
+from ..operators.resample import fixed, kept_in_place, multinomial, replicated, residual, stratified, systematic
 from ..operators.filters import p
-from ..operators.stats import effective_size, resampling_variance, weighted_mean
+from ..operators.stats import effective_size, repeated_means, resampling_variance, weighted_mean
 from .kernels import EVENTS, ROOT_10, T, WEIGHED, Y, _TO0, _TO1, _garch_rows, _garch_sql, _w, lcg_sql, mean_sql, pdf_sql
 
 N, PARTS, U = 5000, 4, 0.37
@@ -76,6 +76,13 @@ def residual_query(spark, sf_dir):
     return counted(residual(_w(spark, sf_dir), N, lambda i: lcg(i), 1 << 13))
 
 
+def survivors_in_place(spark, sf_dir):
+    """A set resampled to its own size: survivors stay in their slots, copies take the free ones."""
+    rows = _w(spark, sf_dir)
+    out = kept_in_place(systematic(rows, rows.count(), U).drop("lo", "hi"))
+    return out.select("id", "source", F.round("x", 6).alias("x"))
+
+
 _SHARE = f"({N // PARTS} + CASE WHEN part < {N % PARTS} THEN 1 ELSE 0 END)"
 _C = f"c AS ({cum_sql('p')})"
 _CP = f"c AS ({cum_sql('p', 'part')})"
@@ -101,6 +108,13 @@ _MULTINOMIAL = f"""WITH {WEIGHED}, {_C},
  k AS ({_asof('SELECT pt FROM d', 'c', 'id', 'w')})
  SELECT k.id, k.cnt, round(p.x, 6) AS x FROM k JOIN p ON k.id = p.id"""
 
+_IN_PLACE = f"""WITH {WEIGHED}, {_C}, k AS (SELECT id, x, hi - lo AS cnt FROM (SELECT *, {bounds_sql('(SELECT count(*) FROM p)', f'{U}::DOUBLE')} FROM c)),
+ slots AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM k WHERE cnt = 0),
+ extra AS (SELECT id, x, unnest(range(cnt - 1)) AS i FROM k WHERE cnt > 1),
+ copies AS (SELECT id, x, row_number() OVER (ORDER BY id, i) AS rank FROM extra)
+ SELECT id, id AS source, round(x, 6) AS x FROM k WHERE cnt > 0
+ UNION ALL SELECT slots.id, copies.id AS source, round(copies.x, 6) AS x FROM copies JOIN slots ON copies.rank = slots.rank"""
+
 _RESIDUAL = f"""WITH {WEIGHED}, s AS (SELECT *, CAST((SELECT sum(w) FROM p) AS BIGINT) AS tw0 FROM p),
  t AS (SELECT id, x, ({N} * w) // tw0 AS whole, CAST(floor(CAST(({N} * w) % tw0 AS DOUBLE) / CAST(tw0 AS DOUBLE) * 4294967296.0::DOUBLE) AS BIGINT) AS w FROM s),
  c AS ({cum_sql('t')}),
@@ -244,8 +258,7 @@ def mc_variance(spark, sf_dir):
     """Means of repeated systematic resampling, and their spread about the mean before, by both divisors."""
     rows = _w(spark, sf_dir)
     before = rows.agg(weighted_mean("x").alias("m")).first()[0]
-    many = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(9))))  # ten simulations
-    means = systematic(many, 1000, lcg(F.col("sim") * 13 + 1), keys=["sim"]).groupBy("sim").agg((F.sum(F.col("cnt") * F.col("x")) / 1000).alias("mean"))
+    means = repeated_means(rows, 1000, [lcg(F.lit(sim * 13 + 1)) for sim in range(10)])
     v = resampling_variance(means, before, 1000)
     return means.agg(v.alias("v"), F.count("*").alias("sims")).select("sims", F.round("v.by_simulations", 9).alias("by_simulations"), F.round("v.by_particles", 9).alias("by_particles"))
 
@@ -304,5 +317,6 @@ QUERIES = {
         c AS ({cum_sql('p', 'mode')}), k AS (SELECT mode, id, hi - lo AS cnt FROM (SELECT *, {bounds_sql('2000', f'{U}::DOUBLE')} FROM c)) SELECT mode, id, CAST(cnt AS BIGINT) AS cnt FROM k WHERE cnt > 0""",
     ),
     "mc_variance": (mc_variance, _MC),
+    "survivors_in_place": (survivors_in_place, _IN_PLACE),
     "selection_repeats": (selection_repeats, _REPEATS),
 }

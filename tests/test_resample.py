@@ -153,3 +153,25 @@ def test_equal_part_sums_are_no_special_case(spark):
 def test_copies_for_counts(spark):
     df = frame(spark, [1, 1, 1]).withColumn("cnt", F.col("id"))
     assert copied(df).count() == 3
+
+
+@pytest.mark.parametrize("counts", [[3, 0, 1, 0, 2, 0], [0, 0, 0, 6, 0, 0], [1, 1, 1, 1, 1, 1], [0, 4, 0, 0, 0, 5], [0, 0, 2, 0, 0, 0]])
+def test_survivors_keep_their_slots(spark, counts):
+    """The plain loop: every free slot takes the first row that still has a copy to spare."""
+    from murmuration.operators.resample import kept_in_place
+
+    rows = [(k, i, float(10 * k + i), c) for k in (0, 1) for i, c in enumerate(counts)]
+    df = spark.createDataFrame(rows, "k int, id long, x double, cnt long")
+    left, wanted = [max(0, c - 1) for c in counts], {i: i for i, c in enumerate(counts) if c}
+    spare = iter([j for j, c in enumerate(left) for _ in range(c)])
+    for i in [i for i, c in enumerate(counts) if c == 0]:
+        if (j := next(spare, None)) is not None:
+            wanted[i] = j
+    for i, j in enumerate(spare, len(counts)):
+        wanted[i] = j
+    for keys, block in (["k"], 1 << 16), (["k"], 2):
+        found = {(r["k"], r["id"]): (r["source"], r["x"]) for r in kept_in_place(df, keys, block=block).collect()}
+        assert found == {(k, i): (j, float(10 * k + j)) for k in (0, 1) for i, j in wanted.items()}
+    alone = {r["id"]: r["source"] for r in kept_in_place(df.where("k = 0").drop("k")).collect()}
+    assert alone == wanted
+    assert kept_in_place(df.where("false"), ["k"]).count() == 0
