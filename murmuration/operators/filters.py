@@ -110,7 +110,8 @@ def resampled(state: DataFrame, t: int, config: FilterConfig) -> DataFrame:
     """Equal weights for the series whose effective size is too small; the others keep theirs."""
     n = config.n_out or config.particles
     pick, draw = RESAMPLERS[config.resampler], _draw(config, t)
-    state = state.withColumn("parent", F.col("id"))
+    if "parent" in state.columns:
+        state = state.withColumn("parent", F.col("id"))
     if config.ess_share is None:
         thin, full = state, None
     else:
@@ -197,11 +198,13 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
     weighted sets of all steps, see :func:`history_of`. Rows without a
     series_id are left out, and an empty table gives no rows. The filter ``"imm"`` on the model ``"rsgarch"`` is :func:`run_imm`.
     """
-    if filter_ == "imm":
-        if model != "rsgarch":
-            raise ValueError("the filter 'imm' is for the model 'rsgarch'")
-        return run_imm(observations, config)
     model = MODELS[model]() if isinstance(model, str) else model
+    if isinstance(model, RsGarch):
+        if filter_ not in HYBRID or store:
+            raise ValueError("the model 'rsgarch' has the filters 'bootstrap' and 'imm', and stores no sets")
+        return run_hybrid(observations, filter_, config, model)
+    if filter_ not in STEPS:
+        raise ValueError(f"the filter {filter_!r} is not for this model")
     seen = _seen(observations)
     ends = _ends(seen)
     last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
@@ -343,13 +346,12 @@ def run_schemes(particles: DataFrame, observations: DataFrame, schemes: tuple[st
 THETA = [f"p{k}" for k in range(9)]
 
 
-def imm_initial(series: DataFrame, config: FilterConfig, p0: float = 0.5) -> DataFrame:
+def imm_initial(series: DataFrame, config: FilterConfig, p0: float = 0.5, model: RsGarch = RsGarch()) -> DataFrame:
     """Equal blocks of particles per mode; a block's particles share its mode's probability. Remainders go to the first modes."""
-    model = RsGarch()
     rows = series.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))).alias("id"))
     q = (F.col("id") % model.modes).cast("int")
     weight = F.when(q == 0, p0).otherwise(1 - p0)
-    return rows.select("series_id", "id", F.round(weight * ONE).cast("long").alias("w"), *model.init_state("series_id", "id", seed=config.seed), q.alias("q"), *model.init_parameters("series_id", "id", seed=config.seed))
+    return rows.select("series_id", "id", F.round(weight * ONE).cast("long").alias("w"), *model.init_state("series_id", "id", seed=config.seed), q.alias("q"), *model.parameters("series_id", "id", seed=config.seed))
 
 
 def p(k: int) -> Column:
@@ -404,17 +406,24 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
     drawn_columns = copies.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", *[drawn(k).alias(f"d{k}") for k in range(9)])
     fixed_ = constrained(F.col("d3"), F.col("d4"), F.col("d1"), F.col("d2"))
     theta = drawn_columns.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", F.col("d0").alias("p0"), *fixed_, *[F.col(f"d{k}").alias(f"p{k}") for k in range(5, 9)])
-    noise = config.source.normal("move", t, "series_id", "id")
-    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("mode"), p, noise)
+    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("mode"), p, config.source.normal("move", t, "series_id", "id"))
     moved = theta.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).withColumn("q", F.col("mode"))
     share = F.when(F.col("mode") == 0, F.col("mode0")).otherwise(F.col("mode1"))
     second = moved.withColumn("lw", F.log(share) + model.log_likelihood(F.col("y"), F.col("r")) - F.col("ahead"))
-    # without an observation a particle draws its next mode and keeps weight and parameters
-    turned = state.join(seen, KEY, "left_anti").withColumn("q", model.next_mode(F.col("q"), F.col("vol"), p, config.source.uniform("mode", t, "series_id", "id")))
-    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("q"), p, noise)
-    idle = turned.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r"))
     columns = ["series_id", "id", "w", "r", "vol", "q", *THETA]
+    idle = turned(state.join(seen, KEY, "left_anti"), t, config)
     now = cut(fixed_from_log(second, "lw", KEY).select(*columns).unionByName(idle.select(*columns)))
+    return now, hybrid_summary(now, t)
+
+
+def turned(state: DataFrame, t: int, config: FilterConfig, model: RsGarch = RsGarch()) -> DataFrame:
+    """Particles that draw their next mode and move, and keep weight and parameters."""
+    drawn = state.withColumn("q", model.next_mode(F.col("q"), F.col("vol"), p, config.source.uniform("mode", t, "series_id", "id")))
+    r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("q"), p, config.source.normal("move", t, "series_id", "id"))
+    return drawn.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).drop("__r")
+
+
+def hybrid_summary(now: DataFrame, t: int) -> DataFrame:
     said = now.groupBy(*KEY).agg(
         weighted_mean("r").alias("mean"),
         weighted_mean("vol").alias("vol"),
@@ -422,24 +431,50 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
         weighted_mean(F.when(F.col("q") == 0, 1.0).otherwise(0.0)).alias("prob_mode0"),
         *[weighted_mean(p(k)).alias(f"p{k}") for k in range(9)],
     )
-    return now, said.join(banded(now, "r", KEY), KEY, "left").withColumn("t", F.lit(t))
+    return said.join(banded(now, "r", KEY), KEY, "left").withColumn("t", F.lit(t))
+
+
+def hybrid_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig, model: RsGarch = RsGarch()) -> tuple[DataFrame, DataFrame]:
+    """(set after resampling, summary before it) of the bootstrap filter: parameters stay with their particle."""
+    moved = turned(state, t, config, model).join(observed.select("series_id", "y"), KEY, "left")
+    gain = F.coalesce(model.log_likelihood(F.col("y"), F.col("r")), F.lit(0.0))
+    weighed_ = moved.withColumn("__lw", _log("w") + gain if config.accumulate else gain)
+    now = cut(fixed_from_log(weighed_, "__lw", KEY).drop("__lw", "y"))
+    return resampled(now, t, config), hybrid_summary(now, t)
+
+
+#: Filters of the hybrid model, each by rows and by matrix rows.
+HYBRID = {"imm": (imm_step, packed_imm.ImmSets), "bootstrap": (hybrid_step, packed_imm.HybridSets)}
 
 
 def run_imm(observations: DataFrame, config: FilterConfig = FilterConfig()) -> DataFrame:
-    """``series_id, t, mean, vol, ess, prob_mode0, q05, q95, p0..p8`` for every step, as :func:`run_filter` goes."""
+    """:func:`run_hybrid` with the auxiliary interacting-multiple-model filter, which learns the parameters."""
+    return run_hybrid(observations, "imm", config)
+
+
+def run_hybrid(observations: DataFrame, filter_: str, config: FilterConfig = FilterConfig(), model: RsGarch = RsGarch()) -> DataFrame:
+    """``series_id, t, mean, vol, ess, prob_mode0, q05, q95, p0..p8`` for every step, as :func:`run_filter` goes.
+
+    ``"bootstrap"`` moves modes and states under each particle's own
+    parameters, known ones or draws from the prior; ``"imm"`` learns them, so
+    it is for a model whose parameters are unknown.
+    """
+    if filter_ == "imm" and model.theta is not None:
+        raise ValueError("the filter 'imm' learns parameters; with known ones use 'bootstrap'")
+    step, kind = HYBRID[filter_]
     seen = _seen(observations)
     ends = _ends(seen)
     last, out = ends.agg(F.max("end")).first()[0] or 0, Told(seen.sparkSession)
     columns = ["series_id", "t", "mean", "vol", "ess", "prob_mode0", "q05", "q95"]
     if not last:
-        return imm_step(imm_initial(seen, config), seen, 0, config)[1].select(*columns, *THETA).where("false")
-    if folds(config, RsGarch(), dict(seen.dtypes)["series_id"]):
-        sets = cut(ends.select("*", *packed_imm.started(config)))
-        said = _fold(sets, packed_imm.ImmSets.names, lambda rows: packed_imm.advanced(rows, config), seen, last, config, out)
+        return hybrid_summary(imm_initial(seen, config, model=model), 0).select(*columns, *THETA).where("false")
+    if folds(config, model, dict(seen.dtypes)["series_id"]):
+        sets = cut(ends.select("*", *packed_imm.started(config, model)))
+        said = _fold(sets, kind.names, lambda rows: packed_imm.advanced(rows, config, kind), seen, last, config, out)
         return said.select(*columns, *[F.get("p", k).alias(f"p{k}") for k in range(9)])
-    state = cut(_going(imm_initial(seen, config), ends, 0))
+    state = cut(_going(imm_initial(seen, config, model=model), ends, 0))
     for t in range(1, last + 1):
-        state, said = imm_step(state, seen.where(F.col("t") == t), t, config)
+        state, said = step(state, seen.where(F.col("t") == t), t, config)
         out.add(said, t)
         state = cut(_going(state, ends, t))
     return out.rows().select(*columns, *THETA)

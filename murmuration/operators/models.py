@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -121,13 +122,19 @@ class RsGarch:
 
     p0 mean; p1, p2 the base volatility of modes 0 and 1; p3, p4 the weights
     of the squared shock and of the last volatility; (p5, p7) govern staying
-    in mode 0 and (p6, p8) in mode 1.
+    in mode 0 and (p6, p8) in mode 1. With ``theta`` these are known and the
+    same for every particle; without, each has its own from the prior.
     """
 
-    spec = ModelSpec(has_q=True, has_theta=True)
     columns_only = False
     modes = 2
 
+    def __init__(self, theta: Sequence[float] | None = None):
+        if theta is not None and len(theta) != 9:
+            raise ValueError("theta has nine parameters")
+        self.theta = None if theta is None else tuple(map(float, theta))
+        self.spec = ModelSpec(has_q=True, has_theta=theta is None)
+
     @staticmethod
     def init_state(*keys, seed: int = 0) -> list[Column]:
         return [rng.truncated_normal(5.0, *keys, seed=seed, tag="r").alias("r"), rng.beta_2_5(*keys, seed=seed, tag="vol").alias("vol")]
@@ -136,6 +143,12 @@ class RsGarch:
     def init_mode(p0: float, *keys, seed: int = 0) -> Column:
         return F.when(rng.uniform(*keys, seed=seed, tag="q") < p0, 0).otherwise(1)
 
+    def parameters(self, *keys, seed: int = 0) -> list[Column]:
+        """What is known, or draws from the prior."""
+        if self.theta is not None:
+            return [F.lit(v).alias(f"p{k}") for k, v in enumerate(self.theta)]
+        return self.init_parameters(*keys, seed=seed)
+
     @staticmethod
     def init_parameters(*keys, seed: int = 0) -> list[Column]:
         """The prior; base volatilities in ascending order, p3 + p4 at most 1."""
@@ -207,4 +220,4 @@ def constrained(p3, p4, p1, p2) -> list:
 
 
 #: Models by name for :func:`murmuration.operators.filters.run_filter`.
-MODELS = {"benchmark": BenchmarkModel, "growth": GrowthModel}
+MODELS = {"benchmark": BenchmarkModel, "growth": GrowthModel, "rsgarch": RsGarch}

@@ -134,17 +134,35 @@ class ImmSets:
         return {"mean": mean(w, own["r"]), "vol": mean(w, own["vol"]), "ess": size(w), "prob_mode0": mean(w, own["q"] == 0), "q05": low, "q95": high, "p": p}
 
 
-def started(config, p0: float = 0.5) -> list[Column]:
+class HybridSets(ImmSets):
+    """The same sets under the bootstrap filter: modes, states and weights move, parameters stay with their particle."""
+
+    def step(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray, seen: np.ndarray):
+        config = self.config
+        now = self.idle(own, series, t, y)
+        gain = np.where(seen[:, None], self.model.log_likelihood(y[:, None], now["r"]), 0.0)
+        now["w"] = weights(log_weights(own["w"]) + gain if config.accumulate else gain)
+        share = config.ess_share
+        poor = np.arange(len(y)) if share is None else np.flatnonzero(size(now["w"]) < share * config.particles)
+        after = {c: m.copy() for c, m in now.items()}
+        if poor.size:
+            chosen = picked(now["w"][poor], config.particles, config.resampler, lambda i: self.noise.uniform("pick", t, series[poor], *([] if i is None else [i])))
+            for c, m in now.items():
+                after[c][poor] = np.take_along_axis(m[poor], chosen[:, :, None] if c == "p" else chosen, axis=1)
+            after["w"][poor] = ONE
+        return now, after
+
+
+def started(config, model: RsGarch, p0: float = 0.5) -> list[Column]:
     """A series' first set as columns, as :func:`.filters.imm_initial` has it."""
-    model = RsGarch()
     ids = F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))
     q = lambda i: (i % model.modes).cast("int")
     weight = lambda i: F.round(F.when(q(i) == 0, p0).otherwise(1 - p0) * ONE).cast("long")
     state = F.transform(ids, lambda i: F.struct(*[c.alias(n) for n, c in zip(("r", "vol"), model.init_state("series_id", i, seed=config.seed), strict=True)]))
-    theta = F.flatten(F.transform(ids, lambda i: F.array(*model.init_parameters("series_id", i, seed=config.seed))))
+    theta = F.flatten(F.transform(ids, lambda i: F.array(*model.parameters("series_id", i, seed=config.seed))))
     return [F.transform(ids, weight).alias("w"), F.transform(state, lambda s: s["r"]).alias("r"), F.transform(state, lambda s: s["vol"]).alias("vol"), F.transform(ids, q).alias("q"), theta.alias("p")]
 
 
-def advanced(rows: DataFrame, config) -> DataFrame:
-    """The filter by :func:`.packed.advance_with`."""
-    return advance_with(rows, lambda series: ImmSets(config, series), ImmSets.names, KINDS, config.particles * PARAMETERS, SAID)
+def advanced(rows: DataFrame, config, kind: type[ImmSets] = ImmSets) -> DataFrame:
+    """The filter by :func:`.packed.advance_with`; ``kind`` says which."""
+    return advance_with(rows, lambda series: kind(config, series), kind.names, KINDS, config.particles * PARAMETERS, SAID)

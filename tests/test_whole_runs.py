@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 
 from murmuration.operators.filters import FilterConfig, run_filter, run_imm, run_schemes
-from murmuration.operators.models import BenchmarkModel
+from murmuration.operators.models import BenchmarkModel, RsGarch
 from murmuration.plans.running import MR_SCHEMES, MR_SIDE, QUERIES, SPARK_SCHEMES, SPARK_SIDE
 from murmuration.streaming.online import OnlineFilter
 
@@ -97,6 +97,25 @@ def test_folded_sets_are_the_sets_row_by_row(spark, model, filter_, change, nois
         assert all(runs[1][k][c] == pytest.approx(r[c], rel=1e-9) for c in ("mean", "ess", "q05", "q95")), k
 
 
+@pytest.mark.parametrize("theta", [None, (0.1, 0.2, 0.4, 0.1, 0.5, 0.0, -1.0, -2.0, 1.0)], ids=["unknown", "known"])
+def test_hybrid_sets_under_the_bootstrap_filter(spark, theta):
+    """Modes with known and with unknown parameters, as matrix rows and row by row, with a gap and a null."""
+    rows = [(i, t, None if (i, t) == (0, 2) else 0.1 * i - 0.2 * t) for i, n in ((0, 3), (1, 3)) for t in range(1, n + 1) if (i, t) != (1, 2)]
+    seen = spark.createDataFrame(rows, "series_id long, t int, y double")
+    model = "rsgarch" if theta is None else RsGarch(theta)
+    runs = [{(r["series_id"], r["t"]): r for r in run_filter(seen, model, "bootstrap", FilterConfig(particles=31, seed=4, ess_share=0.9, **extra)).collect()} for extra in ({"packed": 0}, {"steps_at_once": 2})]
+    assert runs[0].keys() == runs[1].keys() and len(runs[0]) == 6
+    for k, r in runs[0].items():
+        assert all(runs[1][k][c] == pytest.approx(r[c], rel=1e-6, abs=1e-9) for c in r.asDict()), k
+        assert 0 <= r["prob_mode0"] <= 1 and 1 <= r["ess"] <= 31 + 1e-6
+        assert theta is None or [r[f"p{k}"] for k in range(9)] == pytest.approx(theta)
+    with pytest.raises(ValueError):
+        run_filter(seen, "rsgarch", "auxiliary")
+    with pytest.raises(ValueError):
+        run_filter(seen, "benchmark", "imm")
+    assert run_filter(seen.where("false"), "rsgarch", "imm").count() == run_filter(seen.where("false"), "rsgarch", "bootstrap").count() == 0
+
+
 def test_folded_imm_is_imm_row_by_row(spark):
     rows = [(i, t, None if (i, t) == (0, 2) else 0.1 * i - 0.2 * t) for i, n in ((0, 4), (1, 3)) for t in range(1, n + 1)]
     seen = spark.createDataFrame(rows, "series_id long, t int, y double")
