@@ -113,6 +113,28 @@ def screened(in_positive: np.ndarray, positives: int, in_unlabelled: np.ndarray,
     return np.flatnonzero(often | rarely)
 
 
+def slopes(margin: np.ndarray, n_p: int, prior: float, how: Training) -> np.ndarray:
+    """Derivatives by each row's margin, positives first, of what a step goes down.
+
+    That is the risk, prior times the positives' loss as positive and the
+    corrected negative risk, or where the latter is under ``-beta`` its
+    negative times ``gamma``.
+    """
+    n_u = len(margin) - n_p
+    chance = _sigmoid(margin)
+    # logistic losses: l(+) = log(1 + e^-m), l(-) = log(1 + e^m)
+    lost = np.logaddexp(0, margin)
+    negative_risk = lost[n_p:].mean() - prior * lost[:n_p].mean()
+    slope = np.empty(len(margin))
+    if negative_risk >= -how.beta:
+        slope[:n_p] = prior * (chance[:n_p] - 1) / n_p - prior * chance[:n_p] / n_p
+        slope[n_p:] = chance[n_p:] / n_u
+    else:
+        slope[:n_p] = how.gamma * prior * chance[:n_p] / n_p
+        slope[n_p:] = -how.gamma * chance[n_p:] / n_u
+    return slope
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, how: Training = Training()) -> Model:
     """A linear classifier on feature presence under the non-negative risk, by AdaGrad.
 
@@ -140,22 +162,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         p_parts = np.array_split(rng.permutation(np.resize(np.arange(len(positive)), max(len(positive), n_batches))), n_batches)
         for p_rows, u_rows in zip(p_parts, u_parts, strict=True):
             rows = [positive[i] for i in p_rows] + [unlabelled[i] for i in u_rows]
-            n_p, n_u = len(p_rows), len(u_rows)
+            n_p = len(p_rows)
             sizes = np.fromiter(map(len, rows), np.int64, len(rows))
             flat = np.concatenate(rows)
             owner = np.repeat(np.arange(len(rows)), sizes)
             margin = np.bincount(owner, weights[flat], len(rows)) + bias
-            chance = _sigmoid(margin)
-            # logistic losses: l(+) = log(1 + e^-m), l(-) = log(1 + e^m)
-            lost = np.logaddexp(0, margin)
-            negative_risk = lost[n_p:].mean() - prior * lost[:n_p].mean()
-            slope = np.empty(len(rows))
-            if negative_risk >= -how.beta:
-                slope[:n_p] = prior * (chance[:n_p] - 1) / n_p - prior * chance[:n_p] / n_p
-                slope[n_p:] = chance[n_p:] / n_u
-            else:
-                slope[:n_p] = how.gamma * prior * chance[:n_p] / n_p
-                slope[n_p:] = -how.gamma * chance[n_p:] / n_u
+            slope = slopes(margin, n_p, prior, how)
             step = np.bincount(flat, slope[owner], n) + how.shrink * weights
             squares += step * step
             weights -= how.rate * step / np.sqrt(squares)

@@ -18,7 +18,7 @@ from murmuration.llm.pii import Bootstrap, discovered, personal_data
 from murmuration.llm.pii_queries import QUERIES as PII
 from murmuration.llm.sharding import load_edits, load_map, rebalanced, round_robin, shard
 from murmuration.llm.sharding_queries import QUERIES as SHARDS
-from murmuration.llm.toxicity import Training, fit, held_out, toxicity
+from murmuration.llm.toxicity import Training, fit, held_out, slopes, toxicity
 from murmuration.llm.toxicity_queries import QUERIES as TOXIC
 
 from ..conftest import SMALL
@@ -270,6 +270,25 @@ def test_tokens_keep_off_base_spans(spark):
 # 9
 
 
+@pytest.mark.parametrize("shift,sign", [(2.0, 1), (-6.0, -1)])
+def test_slopes_are_those_of_the_published_risk(shift, sign):
+    """Finite differences of a plain risk, with a corrected negative risk over and under its bound."""
+    how, prior, n_p = Training(beta=0.01, gamma=0.7), 0.3, 5
+    margin = np.random.default_rng(1).normal(size=12)
+    margin[n_p:] += shift
+    margin[:n_p] += 3.0
+
+    def parts(m):
+        loss = lambda z: np.log1p(np.exp(-z))
+        return prior * loss(m[:n_p]).mean(), loss(-m[n_p:]).mean() - prior * loss(-m[:n_p]).mean()
+
+    assert (parts(margin)[1] >= -how.beta) == (sign > 0)
+    target = (lambda m: sum(parts(m))) if sign > 0 else (lambda m: -how.gamma * parts(m)[1])
+    step = 1e-6
+    found = [(target(margin + step * e) - target(margin - step * e)) / (2 * step) for e in np.eye(12)]
+    assert np.allclose(slopes(margin, n_p, prior, how), found, atol=1e-8)
+
+
 def test_op9(spark):
     rows = TOXIC["op9_nnpu_toxicity"](spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
