@@ -17,7 +17,9 @@ def test_stages_keep_columns_and_take_effect(spark):
         after = {r["doc_id"]: r["text"] for r in out.collect()}
         assert after.keys() <= before.keys() and len(after) > 0.7 * len(before)
         if name == "line_dedup":
-            assert after == plain_dedup(list(before.items()))
+            left = plain_dedup(list(before.items()))
+            assert after == {k: t for k, t in left.items() if t == before[k] or t.strip()}  # rows that lose all their text go
+            assert len(after) < len(before)
         else:
             assert all(after[k] == before[k] for k in after)
         if name == "near_dedup":
@@ -40,6 +42,28 @@ def test_run(spark):
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
+def test_planted_rows_are_traced_through_the_filters(spark):
+    """Copies, near copies, a leaked item, repeated rows and clean texts, followed through line dedup, near-dedup and decontamination."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    base = " ".join(f"river{i} stone{i % 7}, and the old mill {i} turned." for i in range(40))
+    clean = {100 + i: " ".join(f"topic{i} sentence{k} speaks of matter{i * 31 + k}." for k in range(30)) for i in range(5)}
+    near = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base), (2, base), (1, base), (3, "intro words here. " + base), (4, near), (5, near.replace("w77 ", "changed ")), (6, f"Before it all. {item} And after it."), *clean.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+    lines = stages["line_dedup"](spark, docs, SMALL).cache()
+    found = texts(lines)
+    assert [t for i, t in found if i == 1] == [base, base]  # equal rows are one document
+    assert not [t for i, t in found if i == 2]  # an exact copy of another goes as a whole
+    assert [t for i, t in found if i == 3] == ["intro words here. "]
+    kept = stages["near_dedup"](spark, lines, SMALL).cache()
+    ids = [i for i, _ in texts(kept)]
+    assert ids.count(1) == 1 and 4 in ids and 5 not in ids
+    last = {i for i, _ in texts(stages["decontamination"](spark, kept, SMALL))}
+    assert 6 not in last and last == set(ids) - {6} and clean.keys() <= last
+
+
 def test_no_toxic_document_stays(spark):
     """What the operator calls toxic does not go on, with documents of all scores."""
     rows = [(i, " ".join(["awful"] * (i % 10) + [f"word{i % 7}"] * (10 - i % 10))) for i in range(200)]
