@@ -15,6 +15,7 @@ from ..operators.models import BenchmarkModel
 from ..operators.schemes import SCHEMES
 from ..operators.stats import effective_size, weighted_mean
 from ..sources.tables import event_particles, event_series, table
+from ..streaming.live import live_filter, live_session
 from ..streaming.online import OnlineFilter
 from .kernels import _w
 from .scheme_sql import schemes_sql
@@ -118,6 +119,16 @@ def online_run(spark, sf_dir):
     return _rounded(online.summaries())
 
 
+def live_run(spark, sf_dir):
+    """The same stream with the sets in keyed state, into a file sink."""
+    session, path = live_session(spark), new_path(spark, "live")
+    stream = session.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    records = stream.join(_placed(session, sf_dir), "event_id").select("series_id", "t", (F.col("value") / 25.0).alias("y"))
+    said = live_filter(records, config=CONFIG)
+    said.writeStream.option("checkpointLocation", f"{path}/commits").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return _rounded(spark.read.schema(said.schema).parquet(f"{path}/out"))
+
+
 def _placed(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("series_id"), F.row_number().over(order).alias("t"))
@@ -134,4 +145,5 @@ QUERIES = {
     "scheme_runs": (scheme_runs, schemes_sql(SPARK_SIDE, SPARK_SCHEMES)),
     "mr_scheme_runs": (mr_scheme_runs, schemes_sql(MR_SIDE, MR_SCHEMES)),
     "online_run": (online_run, bootstrap_sql(CONFIG)),
+    "live_run": (live_run, bootstrap_sql(CONFIG)),
 }

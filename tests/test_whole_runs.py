@@ -23,7 +23,7 @@ def events(spark, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("name", ["bootstrap_run", "apf_run", "aux_imm_run", "online_run"])
+@pytest.mark.parametrize("name", ["bootstrap_run", "apf_run", "aux_imm_run", "online_run", "live_run"])
 def test_every_event_is_filtered(spark, events, name):
     found = sorted((r["series_id"], r["t"]) for r in QUERIES[name][0](spark, events).collect())
     assert found == [(u, t) for u, n in LENGTHS.items() for t in range(1, n + 1)]
