@@ -96,7 +96,7 @@ def weighed(state: DataFrame, observed: DataFrame, t: int, model: BenchmarkModel
     seen = F.col("__before") if config.weight_on == "pre" else F.col("x")
     gain = model.log_likelihood(F.col("y"), seen)
     if proposed is not None:
-        gain = gain + F.log(model.transition_pdf(F.col("x"), F.col("__before"), time)) - F.log(model.proposal_pdf(F.col("x"), F.col("__before"), F.col("y"), time))
+        gain = gain + model.log_transition(F.col("x"), F.col("__before"), time) - model.log_proposal(F.col("x"), F.col("__before"), F.col("y"), time)
     gain = F.coalesce(gain, F.lit(0.0))
     log_w = _log("w") + gain if config.accumulate else gain
     return fixed_from_log(moved.withColumn("__lw", log_w), "__lw", KEY).drop("__lw", "__before", "y")

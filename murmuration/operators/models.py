@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.density import log_normal_pdf, normal_pdf
-from ..functions.elementwise import cos, exp, greatest, sqrt, where
+from ..functions.elementwise import cos, exp, greatest, log, sqrt, where
 
 ROOT_10 = math.sqrt(10.0)
 
@@ -68,12 +68,18 @@ class Model(ABC):
     @abstractmethod
     def log_likelihood(self, y, x: Column) -> Column: ...
 
+    def log_transition(self, x: Column, before: Column, t) -> Column:
+        return log(self.transition_pdf(x, before, t))
+
     def proposal(self, x: Column, y, t, z: Column) -> Column | None:
         return None
 
     def proposal_pdf(self, x: Column, before: Column, y, t) -> Column | None:
         return None
 
+    def log_proposal(self, x: Column, before: Column, y, t) -> Column:
+        return log(self.proposal_pdf(x, before, y, t))
+
 
 class BenchmarkModel(Model):
     """x' = x/2 + 25x/(1+x^2) + 8cos(1.2t) + sqrt(10) e, y = x^2/20 + e."""
@@ -117,6 +123,39 @@ class GrowthModel(BenchmarkModel):
         self.density_lag = density_lag
 
 
+class GuidedGrowthModel(GrowthModel):
+    """The growth variant whose particles move by the observation, too.
+
+    The observation is linearised about the expected state m, where it has
+    the slope m/10. The proposal is the normal distribution of the next state
+    given y under that line. Densities are taken at the move's own phase, so
+    the weights are those of the model and not of the linearised one.
+    """
+
+    def __init__(self):
+        super().__init__(density_lag=0)
+
+    def pulled(self, before, y, t):
+        """Mean and standard deviation of the next state given y."""
+        m = self.mean(before, t)
+        slope = m / 10
+        variance = 10 / (1 + 10 * slope * slope)
+        return m + variance * slope * (y - m * m / 20), sqrt(variance)
+
+    def log_transition(self, x, before, t):
+        return log_normal_pdf(x, self.mean(before, t), ROOT_10)
+
+    def proposal(self, x, y, t, z):
+        mean, sd = self.pulled(x, y, t)
+        return mean + sd * z
+
+    def proposal_pdf(self, x, before, y, t):
+        return normal_pdf(x, *self.pulled(before, y, t))
+
+    def log_proposal(self, x, before, y, t):
+        return log_normal_pdf(x, *self.pulled(before, y, t))
+
+
 class RsGarch:
     """Return r, volatility vol and mode q under parameters p0..p8.
 
@@ -220,4 +259,4 @@ def constrained(p3, p4, p1, p2) -> list:
 
 
 #: Models by name for :func:`murmuration.operators.filters.run_filter`.
-MODELS = {"benchmark": BenchmarkModel, "growth": GrowthModel, "rsgarch": RsGarch}
+MODELS = {"benchmark": BenchmarkModel, "growth": GrowthModel, "guided": GuidedGrowthModel, "rsgarch": RsGarch}

@@ -118,7 +118,7 @@ class Sets:
         with np.errstate(over="ignore", invalid="ignore"):
             gain = model.log_likelihood(y, before if config.weight_on == "pre" else x)
             if proposed is not None:
-                gain = gain + np.log(model.transition_pdf(x, before, time)) - np.log(model.proposal_pdf(x, before, y, time))
+                gain = gain + model.log_transition(x, before, time) - model.log_proposal(x, before, y, time)
         gain = np.where(seen[:, None], gain, 0.0)
         w = weights(log_weights(w) + gain if config.accumulate else gain)
         now = {"w": w, "x": x, "parent": own["parent"]}

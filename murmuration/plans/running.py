@@ -19,7 +19,7 @@ from ..streaming.live import live_filter, live_session
 from ..streaming.online import OnlineFilter
 from .kernels import _w
 from .scheme_sql import schemes_sql
-from .whole_sql import auxiliary_sql, bootstrap_sql, stored_ancestors_sql, stored_ess_sql, stored_integral_sql
+from .whole_sql import auxiliary_sql, bootstrap_sql, guided_sql, stored_ancestors_sql, stored_ess_sql, stored_integral_sql
 
 CONFIG = FilterConfig(particles=64, seed=3, noise="scripted", grid=float(1 << 20))
 
@@ -74,6 +74,11 @@ def apf_run(spark, sf_dir):
     return _rounded(run_filter(event_series(spark, sf_dir), "growth", "auxiliary", CONFIG))
 
 
+def guided_run(spark, sf_dir):
+    """The bootstrap filter with a proposal that looks at the observation."""
+    return _rounded(run_filter(event_series(spark, sf_dir), "guided", "bootstrap", CONFIG))
+
+
 def aux_imm_run(spark, sf_dir):
     return run_imm(event_series(spark, sf_dir), FilterConfig(particles=64, seed=3))
 
@@ -141,6 +146,7 @@ QUERIES = {
     "stored_integral": (stored_integral, stored_integral_sql(CONFIG, STORED_STEP)),
     "stored_ancestors": (stored_ancestors, stored_ancestors_sql(CONFIG, STORED_STEP, BACK_TO)),
     "apf_run": (apf_run, auxiliary_sql(CONFIG)),
+    "guided_run": (guided_run, guided_sql(CONFIG)),
     "aux_imm_run": (aux_imm_run, None),
     "scheme_runs": (scheme_runs, schemes_sql(SPARK_SIDE, SPARK_SCHEMES)),
     "mr_scheme_runs": (mr_scheme_runs, schemes_sql(MR_SIDE, MR_SCHEMES)),

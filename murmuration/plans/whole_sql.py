@@ -97,6 +97,26 @@ def bootstrap_sql(config: FilterConfig, told: str = SUMMARY) -> str:
     return _run(config, f"SELECT s, id, parent, t, {_weight('lw', 'top')} AS w, x FROM ({topped})", told)
 
 
+def _log_normal(x: str, mean: str, sd: str) -> str:
+    z = f"(({x} - {mean}) / {sd})"
+    return f"(-0.5::DOUBLE * {z} * {z} - ln({ROOT_2PI} * {sd}))"
+
+
+def guided_sql(config: FilterConfig) -> str:
+    """The bootstrap filter on the guided growth model."""
+    n, time = config.particles, f"(CAST(b.t + 1 AS DOUBLE) * {config.dt}::DOUBLE)"
+    u = uniform_sql(config.source, "pick", "t", "s")
+    bounded = f"SELECT *, {_bound('(cw - w)', n, u)} AS lo, {_bound('cw', n, u)} AS hi, sd * sd / sq < {config.ess_share}::DOUBLE * n AS poor FROM ({_sums('r')})"
+    spread = f"SELECT s, t, x, id AS parent, unnest(CASE WHEN poor THEN range(lo, hi) ELSE [id] END) AS id, CASE WHEN poor THEN CAST({ONE} AS BIGINT) ELSE w END AS w FROM ({bounded})"
+    ahead = f"SELECT b.s, b.id, b.parent, b.t, b.w, b.z, o.y, {_mean('b.x', time, 1.0)} AS m FROM ({_noise(config, f'({spread})')}) b JOIN ends ON b.s = ends.s AND b.t < ends.e LEFT JOIN o ON b.s = o.s AND b.t + 1 = o.t"
+    varied = f"SELECT *, 10 / (1 + 10 * (m / 10) * (m / 10)) AS v FROM ({ahead})"
+    pulled = f"SELECT *, m + v * (m / 10) * (y - m * m / 20) AS c, sqrt(v) AS d FROM ({varied})"
+    moved = f"SELECT *, {_grid(f'CASE WHEN y IS NULL THEN m + z * {ROOT_10} ELSE c + d * z END', config.grid)} AS x FROM ({pulled})"
+    gain = f"{_log_pdf('y', 'x')} + {_log_normal('x', 'm', ROOT_10)} - {_log_normal('x', 'c', 'd')}"
+    topped = f"SELECT *, max(lw) OVER (PARTITION BY s) AS top FROM (SELECT *, {_log('w')} + coalesce({gain}, 0) AS lw FROM ({moved}))"
+    return _run(config, f"SELECT s, id, parent, t + 1 AS t, {_weight('lw', 'top')} AS w, x FROM ({topped})")
+
+
 def auxiliary_sql(config: FilterConfig) -> str:
     """The auxiliary filter on the growth model, with an observation at every step."""
     n, now, time = config.particles, f"((CAST(t + 1 AS DOUBLE) * {config.dt}::DOUBLE) - 1)", f"(CAST(t + 1 AS DOUBLE) * {config.dt}::DOUBLE)"

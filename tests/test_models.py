@@ -2,10 +2,14 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from murmuration.functions import rng
-from murmuration.operators.models import BenchmarkModel, GrowthModel, RsGarch, constrained
+from murmuration.operators.filters import FilterConfig, run_filter
+from murmuration.operators.models import BenchmarkModel, GrowthModel, GuidedGrowthModel, RsGarch, constrained
+from murmuration.sources.simulate import benchmark_series
 
 
 def value(spark, column):
@@ -60,3 +64,38 @@ def test_draws_depend_on_keys_alone(spark):
     assert draw(spark.range(0, 500, 1, 2)) == draw(spark.range(0, 500, 1, 7))
     u = spark.range(20_000).agg(F.min(rng.uniform("id")), F.max(rng.uniform("id"))).first()
     assert u[0] > 0 and u[1] < 1
+
+
+def test_guided_weights_against_plain_numbers():
+    """The step's log weight is likelihood * transition / proposal, and the proposal is the exact posterior of the linearised observation."""
+    model, before, y, t, z = GuidedGrowthModel(), 1.7, 6.0, 3.0, 0.4
+    m = (before - 1) / 2 + 25 * before / (1 + before**2) + 8 * math.cos(1.2 * t)
+    mean, sd = model.pulled(before, y, t)
+    # the posterior of N(m, 10) under y = m^2/20 + m/10 (x - m) + e, by a fine sum
+    x = np.linspace(m - 40, m + 40, 400_001)
+    density = np.exp(-((x - m) ** 2) / 20 - (y - m * m / 20 - m / 10 * (x - m)) ** 2 / 2)
+    density /= density.sum()
+    assert mean == pytest.approx((x * density).sum(), abs=1e-6)
+    assert sd == pytest.approx(math.sqrt((x * x * density).sum() - (x * density).sum() ** 2), abs=1e-5)
+    moved = model.proposal(before, y, t, z)
+    pdf = lambda v, mu, s: math.exp(-((v - mu) ** 2) / (2 * s * s)) / (s * math.sqrt(2 * math.pi))
+    assert moved == pytest.approx(mean + sd * z)
+    assert model.log_transition(moved, before, t) == pytest.approx(math.log(pdf(moved, m, math.sqrt(10))))
+    assert model.log_proposal(moved, before, y, t) == pytest.approx(math.log(pdf(moved, mean, sd)))
+    assert math.exp(model.log_proposal(moved, before, y, t)) == pytest.approx(model.proposal_pdf(moved, before, y, t))
+
+
+def test_guided_particles_keep_larger_sets(spark):
+    """On series of the growth variant the guided filter's effective size is above the plain one's, by matrix and by row alike, and its means are as near."""
+    truth = benchmark_series(spark, 6, 12, seed=5, model=GrowthModel(density_lag=0)).cache()
+    seen = truth.select("series_id", F.col("t").cast("int").alias("t"), "y")
+    config = FilterConfig(particles=500, seed=3, ess_share=None)
+    said = {name: {(r["series_id"], r["t"]): r for r in run_filter(seen, name, "bootstrap", config).collect()} for name in ("guided", "growth")}
+    sizes = {name: sum(r["ess"] for r in rows.values()) / len(rows) for name, rows in said.items()}
+    assert sizes["guided"] > 1.2 * sizes["growth"]
+    away = sum(abs(said["guided"][k]["mean"] - said["growth"][k]["mean"]) for k in said["growth"]) / len(said["growth"])
+    assert away < 0.5
+    few = seen.where("t <= 2 and not (series_id = 0 and t = 1)")
+    by_row = {(r["series_id"], r["t"]): r for r in run_filter(few, "guided", "bootstrap", FilterConfig(particles=20, packed=0)).collect()}
+    for k, r in {(r["series_id"], r["t"]): r for r in run_filter(few, "guided", "bootstrap", FilterConfig(particles=20)).collect()}.items():
+        assert all(by_row[k][c] == pytest.approx(r[c], rel=1e-9) for c in ("mean", "ess", "q05", "q95")), k
