@@ -10,7 +10,9 @@ from ..operators.filters import imm_moments, p
 from ..operators.models import BenchmarkModel, GrowthModel, RsGarch, constrained
 from ..operators.resample import ONE
 from ..operators.stats import effective_size, histogram, integral, mean_and_variance, banded, mode_probability, weighted_mean, weighted_quantiles
+from ..lineage import new_path
 from ..sources.simulate import simulated
+from ..sources.steps import read_steps, write_observations
 from ..sources.tables import event_particles, event_series, table, weighted_events
 from ..sources.text import observation
 
@@ -62,6 +64,21 @@ def _obs_sql(step: int) -> str:
       SELECT user_id AS series_id, value / 25.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) WHERE t = {step}"""
 
 
+#: Steps of a folder of the stored series, and the steps read back.
+WIDTH, READ = 4, (5, 7)
+
+
+def obs_stored(spark, sf_dir):
+    """Some steps of the series' store, whose other folders aren't read."""
+    path = new_path(spark, "observations")
+    write_observations(_observations(spark, sf_dir), path, WIDTH)
+    return read_steps(spark, path, *READ).select("series_id", F.col("t").cast("int").alias("t"), F.round("y", 6).alias("y"))
+
+
+_STORED = f"""SELECT series_id, CAST(t AS INT) AS t, round(y, 6) AS y FROM (
+      SELECT user_id AS series_id, value / 25.0::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) WHERE t BETWEEN {READ[0]} AND {READ[1]}"""
+
+
 def simulate_growth(spark, sf_dir):
     """Eight steps from each event's state, with scripted noise."""
     starts = event_particles(spark, sf_dir)
@@ -260,6 +277,7 @@ def vector_mean(spark, sf_dir):
 QUERIES = {
     "obs_first": (obs_first, _obs_sql(1)),
     "obs_seek": (obs_seek, _obs_sql(5)),
+    "obs_stored": (obs_stored, _STORED),
     "simulate_growth": (simulate_growth, _SIMULATE),
     "propagate_mean": (propagate_mean, f"WITH {EVENTS} SELECT id, part, round({mean_sql()}, 6) AS x1 FROM e"),
     "obs_density_pre": (obs_density_pre, f"WITH {EVENTS} SELECT id, round({pdf_sql(f'{Y}::DOUBLE', 'x * x / 20')}, 9) AS w, round({mean_sql()}, 6) AS x1 FROM e"),
