@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels, resampling, running, simulating
+from . import kernels, resampling, running, simulating, splitting
 
-_ALL = kernels.QUERIES | resampling.QUERIES | running.QUERIES | simulating.QUERIES
+_ALL = kernels.QUERIES | resampling.QUERIES | running.QUERIES | simulating.QUERIES | splitting.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
