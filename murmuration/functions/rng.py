@@ -59,37 +59,46 @@ def probit(p: Column) -> Column:
     return F.when(tail >= _TAIL_FROM, middle).when(p < 0.5, outside).otherwise(-outside)
 
 
-def truncated_normal(bound: float, *keys, seed: int = 0, tag: str = "tn") -> Column:
+def _once(x: Column, f) -> Column:
+    """f of a column that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _from(source, keys, seed: int, tag: str) -> Column:
+    """The uniform that a distribution is drawn from: of a source of noise, or of a seed."""
+    return uniform(*keys, seed=seed, tag=tag) if source is None else source.uniform(tag, 0, *keys)
+
+
+def truncated_normal(bound: float, *keys, seed: int = 0, tag: str = "tn", source=None) -> Column:
     """Standard normal on (-bound, bound), by its inverse distribution function."""
     below = 0.5 * math.erfc(bound / math.sqrt(2))
-    p = below + (1 - 2 * below) * uniform(*keys, seed=seed, tag=tag)
-    return F.greatest(F.lit(-bound), F.least(F.lit(bound), probit(p)))
+    p = below + (1 - 2 * below) * _from(source, keys, seed, tag)
+    return F.greatest(F.lit(-bound), F.least(F.lit(bound), _once(p, probit)))
 
 
-def gamma2(scale: float, *keys, seed: int = 0, tag: str = "g") -> Column:
+def gamma2(scale: float, *keys, seed: int = 0, tag: str = "g", source=None) -> Column:
     """Gamma of shape 2: the sum of two exponentials."""
-    u, v = (uniform(*keys, seed=seed, tag=f"{tag}{k}") for k in "ab")
+    u, v = (_from(source, keys, seed, f"{tag}{k}") for k in "ab")
     return -F.lit(scale) * F.log(u * v)
 
 
-def beta_1(b: float, *keys, seed: int = 0, tag: str = "b1") -> Column:
+def beta_1(b: float, *keys, seed: int = 0, tag: str = "b1", source=None) -> Column:
     """Beta(1, b) by its inverse distribution function."""
-    return 1.0 - F.pow(uniform(*keys, seed=seed, tag=tag), F.lit(1.0 / b))
+    return 1.0 - F.pow(_from(source, keys, seed, tag), F.lit(1.0 / b))
 
 
-def beta_to(a: float, upper, *keys, seed: int = 0, tag: str = "ba") -> Column:
+def beta_to(a: float, upper, *keys, seed: int = 0, tag: str = "ba", source=None) -> Column:
     """Beta(a, 1) cut off at ``upper``."""
-    return _col(upper) * F.pow(uniform(*keys, seed=seed, tag=tag), F.lit(1.0 / a))
+    return _col(upper) * F.pow(_from(source, keys, seed, tag), F.lit(1.0 / a))
 
 
-def beta_2_5(*keys, seed: int = 0, tag: str = "b25") -> Column:
+def beta_2_5(*keys, seed: int = 0, tag: str = "b25", source=None) -> Column:
     """Beta(2, 5): the second smallest of six uniforms."""
-    return F.get(F.array_sort(F.array(*[uniform(*keys, seed=seed, tag=f"{tag}{k}") for k in range(6)])), 1)
+    return F.get(F.array_sort(F.array(*[_from(source, keys, seed, f"{tag}{k}") for k in range(6)])), 1)
 
 
-def laplace(*keys, seed: int = 0, tag: str = "l") -> Column:
-    u = uniform(*keys, seed=seed, tag=tag) - 0.5
-    return -F.signum(u) * F.log(1.0 - 2.0 * F.abs(u))
+def laplace(*keys, seed: int = 0, tag: str = "l", source=None) -> Column:
+    return _once(_from(source, keys, seed, tag) - 0.5, lambda u: -F.signum(u) * F.log(1.0 - 2.0 * F.abs(u)))
 
 
 def lcg(i) -> Column:

@@ -351,25 +351,26 @@ def imm_initial(series: DataFrame, config: FilterConfig, p0: float = 0.5, model:
     rows = series.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))).alias("id"))
     q = (F.col("id") % model.modes).cast("int")
     weight = F.when(q == 0, p0).otherwise(1 - p0)
-    return rows.select("series_id", "id", F.round(weight * ONE).cast("long").alias("w"), *model.init_state("series_id", "id", seed=config.seed), q.alias("q"), *model.parameters("series_id", "id", seed=config.seed))
+    return rows.select("series_id", "id", F.round(weight * ONE).cast("long").alias("w"), *model.init_state("series_id", "id", source=config.source, grid=config.grid), q.alias("q"), *model.parameters("series_id", "id", source=config.source, grid=config.grid))
 
 
 def p(k: int) -> Column:
     return F.col(f"p{k}")
 
 
-def imm_moments(state: DataFrame, shrink: float) -> DataFrame:
+def imm_moments(state: DataFrame, shrink: float, grid: float | None = None) -> DataFrame:
     """Per series: the next modes' probabilities, parameter means, and their covariance by the shrinkage's rest.
 
     Products are taken about the means, in a second pass, so a tight set far
-    from 0 loses nothing.
+    from 0 loses nothing. With ``grid`` means and covariances are multiples of
+    1/grid, whose root is then the same to the last bit wherever it is taken.
     """
     model, w = RsGarch(), F.col("w") / F.lit(float(ONE))
     total = F.sum(w)
     mixed = [(F.sum(w * model.mode_probability(i, F.col("q"), F.col("vol"), p)) / total).alias(f"mode{i}") for i in range(model.modes)]
-    means = state.groupBy(*KEY).agg(*mixed, *[(F.sum(w * p(k)) / total).alias(f"m{k}") for k in range(9)])
+    means = state.groupBy(*KEY).agg(*mixed, *[on_grid(F.sum(w * p(k)) / total, grid).alias(f"m{k}") for k in range(9)])
     away = [p(k) - F.col(f"m{k}") for k in range(9)]
-    products = [((1 - shrink**2) * F.sum(w * away[i] * away[j]) / total).alias(f"c{i}_{j}") for i, j in PAIRS]
+    products = [on_grid((1 - shrink**2) * F.sum(w * away[i] * away[j]) / total, grid).alias(f"c{i}_{j}") for i, j in PAIRS]
     return means.join(state.join(means, KEY).groupBy(*KEY).agg(*products), KEY)
 
 
@@ -392,7 +393,7 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
     model = RsGarch()
     seen = observed.where("y is not null").select("series_id", "y")
     watched = state.join(seen, KEY, "left_semi")
-    first = cut(fixed_from_log(imm_first_stage(watched, imm_moments(watched, config.shrink), seen, config.shrink), "lw", ["series_id", "mode"], out="w"))
+    first = cut(fixed_from_log(imm_first_stage(watched, imm_moments(watched, config.shrink, config.grid), seen, config.shrink), "lw", ["series_id", "mode"], out="w"))
     keys = ["series_id", "mode"]
     n = F.lit(config.particles // model.modes).cast("long") + F.when(F.col("mode") < config.particles % model.modes, 1).otherwise(0)
     chosen = RESAMPLERS[config.resampler](first, n, _draw(config, t, "mode"), keys, config.block).where("hi > lo")
@@ -403,11 +404,11 @@ def imm_step(state: DataFrame, observed: DataFrame, t: int, config: FilterConfig
         step = sum((F.get("root", PAIRS.index((i, j))) * z[j] for j in range(i + 1)), F.lit(0.0))
         return F.col(f"m{i}") + step
 
-    drawn_columns = copies.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", *[drawn(k).alias(f"d{k}") for k in range(9)])
+    drawn_columns = copies.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", *[on_grid(drawn(k), config.grid).alias(f"d{k}") for k in range(9)])
     fixed_ = constrained(F.col("d3"), F.col("d4"), F.col("d1"), F.col("d2"))
     theta = drawn_columns.select("series_id", "id", "mode", "r", "vol", "y", "mode0", "mode1", "ahead", F.col("d0").alias("p0"), *fixed_, *[F.col(f"d{k}").alias(f"p{k}") for k in range(5, 9)])
     r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("mode"), p, config.source.normal("move", t, "series_id", "id"))
-    moved = theta.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).withColumn("q", F.col("mode"))
+    moved = theta.withColumn("__r", on_grid(r, config.grid)).withColumn("vol", on_grid(vol, config.grid)).withColumn("r", F.col("__r")).withColumn("q", F.col("mode"))
     share = F.when(F.col("mode") == 0, F.col("mode0")).otherwise(F.col("mode1"))
     second = moved.withColumn("lw", F.log(share) + model.log_likelihood(F.col("y"), F.col("r")) - F.col("ahead"))
     columns = ["series_id", "id", "w", "r", "vol", "q", *THETA]
@@ -420,7 +421,7 @@ def turned(state: DataFrame, t: int, config: FilterConfig, model: RsGarch = RsGa
     """Particles that draw their next mode and move, and keep weight and parameters."""
     drawn = state.withColumn("q", model.next_mode(F.col("q"), F.col("vol"), p, config.source.uniform("mode", t, "series_id", "id")))
     r, vol = model.propagate(F.col("r"), F.col("vol"), F.col("q"), p, config.source.normal("move", t, "series_id", "id"))
-    return drawn.withColumn("__r", r).withColumn("vol", vol).withColumn("r", F.col("__r")).drop("__r")
+    return drawn.withColumn("__r", on_grid(r, config.grid)).withColumn("vol", on_grid(vol, config.grid)).withColumn("r", F.col("__r")).drop("__r")
 
 
 def hybrid_summary(now: DataFrame, t: int) -> DataFrame:

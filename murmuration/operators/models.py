@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.density import log_normal_pdf, normal_pdf
 from ..functions.elementwise import cos, exp, greatest, log, sqrt, where
+from .resample import on_grid
 
 ROOT_10 = math.sqrt(10.0)
+#: What is added to the Laplace draws of p5 to p8.
+SHIFTS = (0.0, -10.0, -5.0, 10.0)
 
 
 @dataclass(frozen=True)
@@ -175,33 +178,36 @@ class RsGarch:
         self.spec = ModelSpec(has_q=True, has_theta=theta is None)
 
     @staticmethod
-    def init_state(*keys, seed: int = 0) -> list[Column]:
-        return [rng.truncated_normal(5.0, *keys, seed=seed, tag="r").alias("r"), rng.beta_2_5(*keys, seed=seed, tag="vol").alias("vol")]
+    def init_state(*keys, seed: int = 0, source=None, grid: float | None = None) -> list[Column]:
+        """First return and volatility, drawn from ``source``, or by ``seed`` where it is None, on multiples of 1/grid."""
+        r = rng.truncated_normal(5.0, *keys, seed=seed, tag="r", source=source)
+        vol = rng.beta_2_5(*keys, seed=seed, tag="vol", source=source)
+        return [on_grid(r, grid).alias("r"), on_grid(vol, grid).alias("vol")]
 
     @staticmethod
     def init_mode(p0: float, *keys, seed: int = 0) -> Column:
         return F.when(rng.uniform(*keys, seed=seed, tag="q") < p0, 0).otherwise(1)
 
-    def parameters(self, *keys, seed: int = 0) -> list[Column]:
+    def parameters(self, *keys, seed: int = 0, source=None, grid: float | None = None) -> list[Column]:
         """What is known, or draws from the prior."""
         if self.theta is not None:
             return [F.lit(v).alias(f"p{k}") for k, v in enumerate(self.theta)]
-        return self.init_parameters(*keys, seed=seed)
+        return self.init_parameters(*keys, seed=seed, source=source, grid=grid)
 
     @staticmethod
-    def init_parameters(*keys, seed: int = 0) -> list[Column]:
-        """The prior; base volatilities in ascending order, p3 + p4 at most 1."""
-        c, d = (rng.gamma2(0.2, *keys, seed=seed, tag=f"c{k}") for k in range(2))
-        alpha = rng.beta_1(9.0, *keys, seed=seed, tag="alpha")
+    def init_parameters(*keys, seed: int = 0, source=None, grid: float | None = None) -> list[Column]:
+        """The prior; base volatilities in ascending order, p3 + p4 at most 1, on the grid too."""
+        c, d = (rng.gamma2(0.2, *keys, seed=seed, tag=f"c{k}", source=source) for k in range(2))
+        alpha = on_grid(rng.beta_1(9.0, *keys, seed=seed, tag="alpha", source=source), grid)
         out = [
-            rng.normal(*keys, seed=seed, tag="mu"),
+            rng.normal(*keys, seed=seed, tag="mu") if source is None else source.normal("mu", 0, *keys),
             F.least(c, d),
             F.greatest(c, d),
             alpha,
-            rng.beta_to(9.0, 1.0 - alpha, *keys, seed=seed, tag="beta"),
-            *[rng.laplace(*keys, seed=seed, tag=f"p{5 + k}") + shift for k, shift in enumerate((0.0, -10.0, -5.0, 10.0))],
+            rng.beta_to(9.0, 1.0 - alpha, *keys, seed=seed, tag="beta", source=source),
+            *[rng.laplace(*keys, seed=seed, tag=f"p{5 + k}", source=source) + shift for k, shift in enumerate(SHIFTS)],
         ]
-        return [c.alias(f"p{k}") for k, c in enumerate(out)]
+        return [on_grid(c, grid).alias(f"p{k}") for k, c in enumerate(out)]
 
     @staticmethod
     def volatility(r: Column, vol: Column, q: Column, p) -> Column:
@@ -210,7 +216,8 @@ class RsGarch:
         return base + p(3) * shock * shock + p(4) * vol
 
     def propagate(self, r, vol, q, p, z) -> tuple[Column, Column]:
-        after = self.volatility(r, vol, q, p)
+        """The next return and volatility. A negative volatility, as a drawn p4 under 0 can give, counts as 0."""
+        after = greatest(self.volatility(r, vol, q, p), 0.0)
         return p(0) + sqrt(after) * z, after
 
     @staticmethod

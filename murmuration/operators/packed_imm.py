@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.noise_arrays import arrays_of
 from .models import RsGarch, constrained
-from .packed import advance_with, band, log_weights, mean, picked, size, weights
+from .packed import advance_with, band, gridded, log_weights, mean, picked, size, weights
 from .resample import ONE
 
 PARAMETERS = 9
@@ -85,10 +85,11 @@ class ImmSets:
         """(probabilities of the next modes, parameter means, root of their covariance by the shrinkage's rest)."""
         w, p = own["w"], own["p"]
         modes = [mean(w, self.model.mode_probability(i, own["q"], own["vol"], lambda k: p[:, :, k])) for i in range(self.model.modes)]
-        middle = np.stack([mean(w, p[:, :, k]) for k in range(PARAMETERS)], axis=1)
+        grid = self.config.grid
+        middle = gridded(np.stack([mean(w, p[:, :, k]) for k in range(PARAMETERS)], axis=1), grid)
         away = p - middle[:, None, :]
         covariances = np.stack([(1 - self.config.shrink**2) * mean(w, away[:, :, i] * away[:, :, j]) for i, j in PAIRS], axis=1)
-        return modes, middle, root_arrays(covariances)
+        return modes, middle, root_arrays(gridded(covariances, grid))
 
     def watched(self, own: dict[str, np.ndarray], series: np.ndarray, t: int, y: np.ndarray) -> dict[str, np.ndarray]:
         """Sets after a step with an observation."""
@@ -111,9 +112,11 @@ class ImmSets:
             z = [noise.normal(f"theta{k}", t, series, ids) for k in range(PARAMETERS)]
             base = np.take_along_axis(shrunk, chosen[:, :, None], axis=1)
             d = [base[:, :, k] + sum((root[:, place[k, j], None] * z[j] for j in range(k + 1)), 0.0) for k in range(PARAMETERS)]
+            d = [gridded(x, config.grid) for x in d]
             p1, p2, p3, p4 = constrained(d[3], d[4], d[1], d[2])
             theta = np.stack([d[0], p1, p2, p3, p4, *d[5:]], axis=2)
             r, vol = model.propagate(*(np.take_along_axis(own[c], chosen, axis=1) for c in ("r", "vol")), np.full(chosen.shape, mode, np.int32), lambda k, theta=theta: theta[:, :, k], noise.normal("move", t, series, ids))
+            r, vol = gridded(r, config.grid), gridded(vol, config.grid)
             here = np.s_[:, mode :: model.modes]
             out["r"][here], out["vol"][here], out["q"][here], out["p"][here] = r, vol, mode, theta
             log_w[here] = share + model.log_likelihood(y, r) - np.take_along_axis(ahead, chosen, axis=1)
@@ -125,7 +128,7 @@ class ImmSets:
         p = lambda k: own["p"][:, :, k]
         q = self.model.next_mode(own["q"], own["vol"], p, self.noise.uniform("mode", t, series, self.ids))
         r, vol = self.model.propagate(own["r"], own["vol"], q, p, self.noise.normal("move", t, series, self.ids))
-        return {**own, "q": q, "r": r, "vol": vol}
+        return {**own, "q": q, "r": gridded(r, self.config.grid), "vol": gridded(vol, self.config.grid)}
 
     @staticmethod
     def told(own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -158,8 +161,8 @@ def started(config, model: RsGarch, p0: float = 0.5) -> list[Column]:
     ids = F.sequence(F.lit(0).cast("long"), F.lit(config.particles - 1).cast("long"))
     q = lambda i: (i % model.modes).cast("int")
     weight = lambda i: F.round(F.when(q(i) == 0, p0).otherwise(1 - p0) * ONE).cast("long")
-    state = F.transform(ids, lambda i: F.struct(*[c.alias(n) for n, c in zip(("r", "vol"), model.init_state("series_id", i, seed=config.seed), strict=True)]))
-    theta = F.flatten(F.transform(ids, lambda i: F.array(*model.parameters("series_id", i, seed=config.seed))))
+    state = F.transform(ids, lambda i: F.struct(*[c.alias(n) for n, c in zip(("r", "vol"), model.init_state("series_id", i, source=config.source, grid=config.grid), strict=True)]))
+    theta = F.flatten(F.transform(ids, lambda i: F.array(*model.parameters("series_id", i, source=config.source, grid=config.grid))))
     return [F.transform(ids, weight).alias("w"), F.transform(state, lambda s: s["r"]).alias("r"), F.transform(state, lambda s: s["vol"]).alias("vol"), F.transform(ids, q).alias("q"), theta.alias("p")]
 
 

@@ -17,6 +17,7 @@ from ..operators.stats import effective_size, weighted_mean
 from ..sources.tables import event_particles, event_series, table
 from ..streaming.live import live_filter, live_session
 from ..streaming.online import OnlineFilter
+from .imm_sql import imm_sql
 from .kernels import _w
 from .scheme_sql import schemes_sql
 from .whole_sql import auxiliary_sql, bootstrap_sql, guided_sql, stored_ancestors_sql, stored_ess_sql, stored_integral_sql
@@ -79,8 +80,13 @@ def guided_run(spark, sf_dir):
     return _rounded(run_filter(event_series(spark, sf_dir), "guided", "bootstrap", CONFIG))
 
 
+def _hybrid_rounded(df: DataFrame) -> DataFrame:
+    return df.select("series_id", F.col("t").cast("int").alias("t"), *[F.round(c, 6).alias(c) for c in df.columns if c not in ("series_id", "t")])
+
+
 def aux_imm_run(spark, sf_dir):
-    return run_imm(event_series(spark, sf_dir), FilterConfig(particles=64, seed=3))
+    """The filter that learns modes and parameters, over every event of every user."""
+    return _hybrid_rounded(run_imm(event_series(spark, sf_dir), CONFIG))
 
 
 #: The Spark side of the study weighs before the move and multiplies weights; its MapReduce side weighs after and replaces them.
@@ -147,7 +153,7 @@ QUERIES = {
     "stored_ancestors": (stored_ancestors, stored_ancestors_sql(CONFIG, STORED_STEP, BACK_TO)),
     "apf_run": (apf_run, auxiliary_sql(CONFIG)),
     "guided_run": (guided_run, guided_sql(CONFIG)),
-    "aux_imm_run": (aux_imm_run, None),
+    "aux_imm_run": (aux_imm_run, imm_sql(CONFIG)),
     "scheme_runs": (scheme_runs, schemes_sql(SPARK_SIDE, SPARK_SCHEMES)),
     "mr_scheme_runs": (mr_scheme_runs, schemes_sql(MR_SIDE, MR_SCHEMES)),
     "online_run": (online_run, bootstrap_sql(CONFIG)),
