@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +73,35 @@ def banded(df: DataFrame, x: str, keys: Sequence[str], low: float = 0.05, high:
     return of_small.unionByName(of_large)
 
 
+#: Stretches of values that weighted quantiles are sought in.
+STRETCHES = 4096
+
+
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float]) -> DataFrame:
-    """``prob, value``: the first value whose running weight reaches each share (exact for fixed-point weights)."""
-    by_value = df.groupBy(x).agg(F.sum(w).alias(w)).where(F.col(w) > 0)
-    low, high = by_value.agg(F.min(x), F.max(x)).first()
-    # blocks of the running sum are stretches of the value
-    wide = (high - low) / 4096 if low is not None and high > low else 1.0
-    c = cumulated(by_value, w, (), x, block=wide)
+    """``prob, value``: the first value whose running weight reaches each share (exact for fixed-point weights).
+
+    Approximate quantiles of the distinct values cut these into stretches of
+    about equal numbers, wherever outliers lie. Stretches are weighed as a
+    whole, and only the one that holds a share is ordered. Rows of null x or
+    without weight do not count; NaN is the largest value; an empty table gives
+    no rows.
+    """
+    by_value = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__x")).agg(F.sum(w).alias("__w")).where(F.col("__w") > 0)
+    inner = sorted(set(by_value.approxQuantile("__x", [k / STRETCHES for k in range(1, STRETCHES)], 0.5 / STRETCHES)))
+    splits = [-math.inf, *(c for c in inner if math.isfinite(c)), math.inf]
+    if len(splits) < 3:
+        splits.insert(1, 0.0)
+    placed = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="keep").transform(by_value)
+    # a row for each stretch
+    stretches = placed.groupBy("__b").agg(F.sum("__w").alias("__w"))
+    running = stretches.select("__b", F.sum("__w").over(Window.orderBy("__b")).alias("__cw"), "__w", F.sum("__w").over(Window.partitionBy()).alias("__tw"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    return c.select(x, "cw", "tw", wanted).where(F.col("cw") >= F.col("prob") * F.col("tw")).groupBy("prob").agg(F.min(x).alias("value"))
+    reached = running.select("__b", (F.col("__cw") - F.col("__w")).alias("__below"), "__cw", "__tw", wanted).where(F.col("__cw") >= F.col("prob") * F.col("__tw"))
+    held = reached.groupBy("prob").agg(F.min_by(F.struct("__b", "__below", "__tw"), "__b").alias("__at")).select("prob", "__at.*")
+    inside = placed.join(F.broadcast(held), "__b")  # a row for each share
+    order = Window.partitionBy("prob").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.select("prob", "__x", "__tw", (F.col("__below") + F.sum("__w").over(order)).alias("__cw"))
+    return ranked.where(F.col("__cw") >= F.col("prob") * F.col("__tw")).groupBy("prob").agg(F.min("__x").alias("value"))
 
 
 def mean_and_variance(x, about: Column | None = None) -> list[Column]:

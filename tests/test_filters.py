@@ -1,5 +1,8 @@
 """Filters on simulated series: they follow the truth, repeat exactly, and survive odd input."""
 
+import itertools
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +113,18 @@ def test_quantiles_of_a_large_group_are_exact(spark, monkeypatch):
     found = {r["k"]: (r["q05"], r["q95"]) for r in stats.banded(df, "x", ["k"]).collect()}
     assert found.keys() == wanted.keys()
     assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
+def test_weighted_quantiles_beside_an_outlier(spark):
+    """Two far values leave the others in stretches of their own; nulls and rows without weight do not count."""
+    plain = sorted([(float(i % 997) / 7, 1 + i % 5) for i in range(5000)] + [(1e300, 1), (-1e300, 1)])
+    rows = plain + [(None, 10**6), (3.0, 0)]
+    total, probs = sum(w for _, w in plain), [0.0, 0.05, 0.5, 0.95, 1.0]
+    sums = list(itertools.accumulate(w for _, w in plain))
+    expected = {p: next(x for (x, _), c in zip(plain, sums, strict=True) if c >= p * total) for p in probs}
+    df = spark.createDataFrame(rows, "x double, w long")
+    assert {r["prob"]: r["value"] for r in weighted_quantiles(df, "x", "w", probs).collect()} == expected
+    assert weighted_quantiles(df.where("false"), "x", "w", probs).count() == 0
+    one = spark.createDataFrame([(5.0, 2), (float("nan"), 1)], "x double, w long")
+    found = {r["prob"]: r["value"] for r in weighted_quantiles(one, "x", "w", [0.5, 1.0]).collect()}
+    assert found[0.5] == 5.0 and math.isnan(found[1.0])

@@ -3,6 +3,7 @@
 import datetime
 from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from murmuration.operators.filters import FilterConfig, run_filter, run_imm, run_schemes
@@ -132,3 +133,19 @@ def test_every_resampler_in_every_filter(spark, resampler, filter_):
     out = run_filter(seen, "rsgarch" if filter_ == "imm" else "growth", filter_, FilterConfig(particles=20, seed=1, resampler=resampler, ess_share=None)).collect()
     assert sorted((r["series_id"], r["t"]) for r in out) == [(0, 1), (0, 2), (1, 1), (1, 2)]
     assert all(1 <= r["ess"] <= 20 + 1e-6 for r in out)
+
+
+def test_imm_on_a_grid_is_imm_row_by_row(spark):
+    """Scripted prior, parameters and modes, a step with and one without an observation."""
+    seen = spark.createDataFrame([(7, 1, 0.4), (7, 2, None), (7, 3, -0.3)], "series_id long, t int, y double")
+    config = FilterConfig(particles=21, seed=4, noise="scripted", grid=float(1 << 20))
+    runs = [{r["t"]: r for r in run_imm(seen, replace(config, **extra)).collect()} for extra in ({"packed": 0}, {})]
+    assert runs[0].keys() == runs[1].keys() == {1, 2, 3}
+    for t, r in runs[0].items():
+        assert all(runs[1][t][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9) for c in r.asDict()), t
+
+
+def test_negative_volatility_counts_as_zero():
+    p = lambda k: np.array([1.5, 0.0, 0.0, 0.0, -5.0, 0, 0, 0, 0])[k : k + 1]
+    r, vol = RsGarch().propagate(np.array([1.5]), np.array([2.0]), np.array([0]), p, np.array([3.0]))
+    assert vol.tolist() == [0.0] and r.tolist() == [1.5]
