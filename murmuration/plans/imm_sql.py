@@ -111,3 +111,8 @@ def imm_sql(config: FilterConfig) -> str:
     return f"""WITH RECURSIVE {_OBSERVED},
       r AS ({prior_sql(config)} UNION ALL ({step}))
       SELECT s AS series_id, CAST(t AS INT) AS t, {', '.join(said)} FROM r WHERE t > 0 GROUP BY s, t"""
+
+
+def imm_prior_sql(config: FilterConfig) -> str:
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("r", "vol", *THETA))
+    return f"WITH {_OBSERVED} SELECT s AS series_id, id, w, q, {rounded} FROM ({prior_sql(config)})"

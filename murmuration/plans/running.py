@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
 from ..lineage import cut, new_path
-from ..operators.filters import FilterConfig, history_of, run_filter, run_imm, run_schemes
+from ..operators.filters import THETA, FilterConfig, history_of, imm_initial, run_filter, run_imm, run_schemes
 from ..operators.models import BenchmarkModel
 from ..operators.schemes import SCHEMES
 from ..operators.stats import effective_size, weighted_mean
 from ..sources.tables import event_particles, event_series, table
 from ..streaming.live import live_filter, live_session
 from ..streaming.online import OnlineFilter
-from .imm_sql import imm_sql
+from .imm_sql import imm_prior_sql, imm_sql
 from .kernels import _w
 from .scheme_sql import schemes_sql
 from .whole_sql import auxiliary_sql, bootstrap_sql, guided_sql, stored_ancestors_sql, stored_ess_sql, stored_integral_sql
@@ -89,6 +89,12 @@ def aux_imm_run(spark, sf_dir):
     return _hybrid_rounded(run_imm(event_series(spark, sf_dir), CONFIG))
 
 
+def imm_prior(spark, sf_dir):
+    """First sets of all users: states, modes and parameters from their priors."""
+    first = imm_initial(event_series(spark, sf_dir), CONFIG)
+    return first.select("series_id", "id", "w", "q", *[F.round(c, 6).alias(c) for c in ("r", "vol", *THETA)])
+
+
 #: The Spark side of the study weighs before the move and multiplies weights; its MapReduce side weighs after and replaces them.
 SPARK_SIDE = FilterConfig(parts=4, seed=21, noise="scripted", grid=float(1 << 20), weight_on="pre", accumulate=True)
 MR_SIDE = replace(SPARK_SIDE, weight_on="post", accumulate=False)
@@ -153,6 +159,7 @@ QUERIES = {
     "stored_ancestors": (stored_ancestors, stored_ancestors_sql(CONFIG, STORED_STEP, BACK_TO)),
     "apf_run": (apf_run, auxiliary_sql(CONFIG)),
     "guided_run": (guided_run, guided_sql(CONFIG)),
+    "imm_prior": (imm_prior, imm_prior_sql(CONFIG)),
     "aux_imm_run": (aux_imm_run, imm_sql(CONFIG)),
     "scheme_runs": (scheme_runs, schemes_sql(SPARK_SIDE, SPARK_SCHEMES)),
     "mr_scheme_runs": (mr_scheme_runs, schemes_sql(MR_SIDE, MR_SCHEMES)),
