@@ -8,9 +8,11 @@ them after one full cycle, when its count is complete.
 
 What has reached the threshold goes to the scans as a table of fixed size: a
 byte for each slot of hashes, which holds the scan after which the first
-phrase of the slot reached it and never changes again. Two phrases in a slot
-can only make a phrase join needlessly or early; for how long it is counted
-depends on its slots alone, so it always has one full cycle.
+phrase of the slot reached it and never changes again. Another phrase in the
+slot may have reached it before this one was counted at all, so a phrase
+counts as there no sooner than it joined. Then two phrases in a slot can only
+make a phrase join needlessly or early, and never before all that it holds
+have; when it joins depends on its slots alone, so it always has one full cycle.
 """
 
 from __future__ import annotations
@@ -169,14 +171,14 @@ def counted(lang: str, words: np.ndarray, table: np.ndarray, scan: int, mining:
     first, number, n = _distinct(words[place])
     if scan < mining.shards:
         yield words[place[first]][:, None], n, np.zeros(len(first), np.int64)
-    known = table[_slots(lang, words[place[first]][:, None], mining.slot_bits)]
+    known = table[_slots(lang, words[place[first]][:, None], mining.slot_bits)].astype(np.int64)
     width = len(first)
     word_at = np.zeros(len(words), np.int64)
     word_at[place] = number
     for length in range(2, mining.longest + 1):
         # phrases of length - 1 that have reached the threshold, by place
         ready = known[number] != NEVER
-        at, own, reached = place[ready], number[ready], known[number[ready]].astype(np.int64)
+        at, own, reached = place[ready], number[ready], known[number[ready]]
         follows = np.flatnonzero(at[1:] == at[:-1] + 1)
         at, own, starts = at[follows], own[follows], np.maximum(reached[follows], reached[follows + 1]) + 1
         if not len(at):
@@ -189,7 +191,8 @@ def counted(lang: str, words: np.ndarray, table: np.ndarray, scan: int, mining:
         if now.any():
             yield phrases[now], n[now], starts[now]
         if length < mining.longest:
-            known = table[_slots(lang, phrases, mining.slot_bits)]
+            # not before the phrase joined, whoever else is in its slot; NEVER is above all scans
+            known = np.maximum(table[_slots(lang, phrases, mining.slot_bits)], starts)
 
 
 def _scan(rows: DataFrame, table, scan: int, mining: Mining) -> DataFrame:

@@ -107,3 +107,27 @@ def test_scans_end_one_cycle_after_the_last_reached(spark):
     assert {len(r["phrase"]) // 8 for r in found.collect()} == {1, 2, 3, 4, 5}
     assert {r["n"] for r in found.collect()} == {60}
     assert totals.collect()[0]["n"] == 360
+
+
+def test_a_phrase_joins_after_what_it_holds():
+    """Another phrase marked the slot of (5, 6, 7) long before (5, 6) reached the threshold."""
+    from murmuration.llm.collocations import _slots
+
+    mining = Mining(threshold=1, shards=3, slot_bits=16)
+    words = np.array([5, 6, 7, 8], np.uint64)
+    table = np.full(1 << 16, NEVER, np.uint8)
+    for phrase, scan in [((5,), 0), ((6,), 0), ((7,), 0), ((8,), 0), ((5, 6), 4), ((6, 7), 1), ((7, 8), 1), ((6, 7, 8), 2), ((5, 6, 7), 0)]:
+        slot = _slots("en", np.array([phrase], np.uint64), 16)
+        assert table[slot] == NEVER
+        table[slot] = scan
+    starts = {scan: s for scan in range(5, 11) for phrases, _, starts in counted("en", words, table, scan, mining) for p, s in zip(phrases.tolist(), starts, strict=True) if p == [5, 6, 7, 8]}
+    assert starts == {6: 6, 7: 6, 8: 6}
+
+
+@pytest.mark.parametrize(("seed", "slot_bits"), [(11, 7), (40, 6)])
+def test_phrases_that_share_slots_are_not_lost(spark, seed, slot_bits):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = [("en", " ".join(words[min(int(r.expovariate(0.4)), 39)] for _ in range(r.randrange(1, 12)))) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    assert rows_of(collocations(docs, 10_000, Mining(threshold=4, slot_bits=slot_bits, row_words=20))) == sorted(brute(rows, 4, 10_000))
