@@ -8,18 +8,19 @@ have a new ``id`` and a ``weight`` that says what share of 1 each stands for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .resample import cumulated, multinomial, replicated, systematic
-from .stats import weighted_mean
+from .resample import cumulated, multinomial, systematic, systematic_bound
 
 Draw = Callable[..., Column]
 #: Stands in for a sub-filter where one uniform serves the allocation over all of them.
 ALLOCATION = 1_000_000
+#: Draws that one row spreads into.
+DRAWS = 1 << 16
 
 
 def share_of(n: int, parts: int, part: Column) -> Column:
@@ -52,30 +53,51 @@ def local(df: DataFrame, n: int, parts: int, u: Draw) -> DataFrame:
     return _new_ids(out, "part").withColumn("weight", F.lit(1.0 / n))
 
 
-def selected(df: DataFrame, parts: int, index: Draw, extra: int = 0, sims: int | None = None) -> DataFrame:
+def _at(part: Column, place: Column) -> Column:
+    """A sub-filter and a place in it as one long, which joins sort as a number."""
+    return part.cast("long") * (1 << 32) + place
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    """The state of ``df`` and ``__at``, each row's sub-filter and rank there, by exact prefix sums."""
+    rank = cumulated(df.withColumn("__one", F.lit(1).cast("long")), "__one", ["part"])
+    return rank.withColumn("__at", _at(F.col("part"), F.col("cw") - 1)).drop("__one", "cw", "tw", "id", "part")
+
+
+def _taken(draws: DataFrame, rank: DataFrame, parts: int, index: Draw, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows that ``draws(keys, part, __n, target, j)`` take from ranked ones; the target is the new part.
+
+    The join is a merge: draws are as many as rows but come from few rows, and
+    the planner takes them for small enough to be broadcast.
+    """
+    drawn = F.floor(index(*map(F.col, keys), F.col("part"), F.col("target"), F.col("j")) * F.col("__n"))
+    new_id = _at(F.col("part").cast("long") * parts + F.col("target"), F.col("j"))
+    at = draws.select(*keys, _at(F.col("part"), F.least(drawn, F.col("__n") - 1)).alias("__at"), F.col("target").alias("part"), new_id.alias("id"))
+    return at.hint("merge").join(rank, "__at").drop("__at")
+
+
+def _each(parts: int, extra: int) -> Column:
+    """How many draws a sub-filter of ``__n`` rows makes for a target."""
+    return F.floor(F.col("__n") / parts).cast("long") + extra
+
+
+def _draws(sizes: DataFrame, parts: int, extra: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, part, __n, target, j`` of a selection from ``sizes(keys, part, __n)``; stretches of ``DRAWS`` are dealt over the tasks."""
+    targets = sizes.withColumn("__each", _each(parts, extra)).withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).where("__each > 0")
+    stretches = targets.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__each") - 1, F.lit(DRAWS).cast("long"))))
+    dealt = stretches.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select(*keys, "part", "__n", "target", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + DRAWS, F.col("__each")) - 1)).alias("j"))
+
+
+def selected(df: DataFrame, parts: int, index: Draw, extra: int = 0) -> DataFrame:
     """Selection and exchange: every sub-filter draws rows for every target, which become the target's.
 
     Each draws its rows div parts (and ``extra``) per target, uniformly with
     replacement and whatever their weights, which they keep. ``index(part,
-    target, j)`` is the draw. Ranks come from exact prefix sums and meet the
-    draws in an equi-join. With ``sims`` the selection is made so many times
-    from the one set, ranked once; ``index`` then takes the column ``sim``
-    first, and the rows have it.
+    target, j)`` is the draw. Ranks meet the draws in an equi-join.
     """
-    rank = cumulated(df.withColumn("__one", F.lit(1).cast("long")), "__one", ["part"]).withColumn("__rn", F.col("cw") - 1).drop("__one", "cw", "tw")
     sizes = df.groupBy("part").agg(F.count("*").alias("__n"))
-    each = F.floor(F.col("__n") / parts).cast("long") + extra
-    keys = [] if sims is None else ["sim"]
-    runs = sizes if sims is None else sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    draws = (
-        runs.select("part", "__n", *keys, each.alias("__each"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("target"))
-        .where("__each > 0")
-        .select("part", "__n", *keys, "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__each") - 1)).alias("j"))
-    )
-    at = draws.withColumn("__rn", F.least(F.floor(index(*map(F.col, keys), F.col("part"), F.col("target"), F.col("j")) * F.col("__n")), F.col("__n") - 1))
-    taken = at.select("part", "__rn", *keys, "target", "j").join(rank, ["part", "__rn"])
-    new_id = (F.col("part").cast("long") * parts + F.col("target")) * (1 << 32) + F.col("j")
-    return taken.withColumn("id", new_id).drop("part", "__rn", "j").withColumnRenamed("target", "part")
+    return _taken(_draws(sizes, parts, extra), _ranked(df), parts, index)
 
 
 def repeated_selection(df: DataFrame, n: int, parts: int, sims: int, u: Draw, index: Draw) -> DataFrame:
@@ -83,13 +105,36 @@ def repeated_selection(df: DataFrame, n: int, parts: int, sims: int, u: Draw, in
 
     ``weight`` is the sub-filter's share of the simulation's weight, ``mean``
     its weighted mean, and ``resampled`` its mean after the resampling.
+    ``index(sim, part, target, j)`` is the draw. The set is ranked once. Of
+    the selections, ``sims`` times the set, only the sums of stretches of ids
+    are kept; the stretches on which points fall are drawn again.
     """
     keys = ["sim", "part"]
-    chosen = cut(selected(df, parts, index, sims=sims))
-    sums = chosen.groupBy(*keys).agg(F.sum("w").alias("w"), weighted_mean("x").alias("mean"))
-    totals = sums.groupBy("sim").agg(F.sum("w").alias("tw"))
-    points = replicated(systematic(chosen, share_of(n, parts, F.col("part")), u(F.col("sim"), F.col("part")), keys=keys)).groupBy(*keys).agg(F.avg("x").alias("resampled"))
-    return sums.join(totals, "sim").join(points, keys, "left").select(*keys, (F.col("w") / F.col("tw")).alias("weight"), "mean", "resampled")
+    rank = cut(_ranked(df.select("id", "part", "w", "x")))
+    sizes = cut(df.groupBy("part").agg(F.count("*").alias("__n")))
+    runs = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    # some ten stretches of 2**width ids for a point
+    width = max(0, (rank.count() // max(1, n)).bit_length() - 4)
+    chosen = _taken(_draws(runs, parts, keys=["sim"]), rank, parts, index, ["sim"])
+    sums = cut(chosen.groupBy(*keys, F.shiftright("id", width).alias("stretch")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("__wx")))
+    shares = sums.groupBy(*keys).agg(F.sum("w").alias("w"), (F.sum("__wx") / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    totals = shares.groupBy("sim").agg(F.sum("w").alias("tw"))
+
+    bound = systematic_bound(share_of(n, parts, F.col("part")), u(F.col("sim"), F.col("part")))
+    points = lambda low, high: bound(high, F.col("tw")) - bound(low, F.col("tw"))
+    running = cumulated(sums, "w", keys, "stretch").withColumn("__base", F.col("cw") - F.col("w"))
+    hit = running.where(points(F.col("__base"), F.col("cw")) > 0).select(*keys, "stretch", "__base", "tw")
+    first = F.shiftleft("stretch", width)
+    ids = hit.select(*keys, "stretch", "__base", "tw", F.explode(F.sequence(first, first + (1 << width) - 1)).alias("id"))
+    source = F.shiftright("id", 32)
+    again = ids.select("sim", F.col("part").alias("target"), "stretch", "__base", "tw", ((source - F.col("part")) / parts).cast("int").alias("part"), (F.col("id") - F.shiftleft(source, 32)).alias("j"))
+    again = again.join(F.broadcast(sizes), "part").where(F.col("j") < _each(parts, 0))  # a row for each sub-filter
+    more = ["sim", "stretch", "__base", "tw"]
+    inside = Window.partitionBy(*keys, "stretch").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    found = _taken(again, rank, parts, lambda sim, b, base, tw, *place: index(sim, *place), more).withColumn("cw", F.col("__base") + F.sum("w").over(inside))
+    counted = found.withColumn("cnt", points(F.col("cw") - F.col("w"), F.col("cw")))
+    resampled = counted.groupBy(*keys).agg((F.sum(F.col("cnt") * F.col("x")) / F.nullif(F.sum("cnt"), F.lit(0))).alias("resampled"))
+    return shares.join(totals, "sim").join(resampled, keys, "left").select(*keys, (F.col("w") / F.col("tw")).alias("weight"), "mean", "resampled")
 
 
 def dpf(df: DataFrame, n: int, parts: int, u: Draw, index: Draw) -> DataFrame:
