@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from murmuration.functions.rng import lcg
 from murmuration.operators import schemes
 from murmuration.operators.resample import replicated, systematic
+from murmuration.plans import registry
+
+from .conftest import SMALL
 
 PARTS = 4
 
@@ -65,3 +68,8 @@ def test_repeated_selections_are_single_ones(spark, monkeypatch, n):
             assert r["resampled"] == (pytest.approx(means[part]) if part in means else None)
     if n < 100:
         assert max(k.count() for k in kept[1:]) < sims * 1500 / 4
+
+
+@pytest.mark.parametrize("name,times", [("dpf_step", 1)])
+def test_queries_do_not_broadcast_draws(spark, name, times):
+    assert joins(registry.queries()[name](spark, SMALL)).count("SortMergeJoin [__at") == times
