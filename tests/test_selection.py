@@ -70,6 +70,6 @@ def test_repeated_selections_are_single_ones(spark, monkeypatch, n):
         assert max(k.count() for k in kept[1:]) < sims * 1500 / 4
 
 
-@pytest.mark.parametrize("name,times", [("dpf_step", 1)])
+@pytest.mark.parametrize("name,times", [("dpf_step", 1), ("scheme_comparison", 2)])
 def test_queries_do_not_broadcast_draws(spark, name, times):
     assert joins(registry.queries()[name](spark, SMALL)).count("SortMergeJoin [__at") == times
