@@ -70,6 +70,7 @@ def test_repeated_selections_are_single_ones(spark, monkeypatch, n):
         assert max(k.count() for k in kept[1:]) < sims * 1500 / 4
 
 
-@pytest.mark.parametrize("name,times", [("dpf_step", 1), ("scheme_comparison", 2), ("sub_step", 1)])
-def test_queries_do_not_broadcast_draws(spark, name, times):
-    assert joins(registry.queries()[name](spark, SMALL)).count("SortMergeJoin [__at") == times
+@pytest.mark.parametrize("name", ["dpf_step", "scheme_comparison", "sub_step"])
+def test_queries_do_not_broadcast_draws(spark, name):
+    plan = joins(registry.queries()[name](spark, SMALL))
+    assert "SortMergeJoin [__at" in plan and "BroadcastHashJoin [__at" not in plan
