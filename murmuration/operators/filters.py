@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import NOISE
 from ..lineage import cut, new_path
-from . import packed, packed_imm, packed_schemes
+from . import chunked_schemes, packed, packed_imm, packed_schemes
 from .history import History, schema_of, weights_of
 from .packed_imm import PAIRS, root_of
 from .models import MODELS, BenchmarkModel, RsGarch, constrained
@@ -325,14 +325,18 @@ def run_schemes(particles: DataFrame, observations: DataFrame, schemes: tuple[st
     """``scheme, t, mean, ess`` of a partitioned run by each scheme, side by side.
 
     Sets of ``config.packed_run`` particles at most, whose memory is bounded
-    by that, take all their steps in a task for each run. Larger sets go a job
-    for each step and run, :func:`run_scheme`. Both give the same numbers.
-    Without observations or particles there are no rows.
+    by that, take all their steps in a task for each run. Larger sets go step
+    by step in chunks of ``config.block`` particles, all runs in the same jobs,
+    or, where the model has Columns only, a job for each step and run,
+    :func:`run_scheme`. All give the same numbers. Without observations or
+    particles there are no rows.
     """
     seen = observed_steps(observations)
     n = particles.count()
     if max(n, config.n_out or 0) <= config.packed_run or not seen or not n:
         return packed_schemes.runs(particles, seen, schemes, model, config)
+    if not model.columns_only:
+        return chunked_schemes.runs(particles, seen, schemes, model, config, n)
 
     def run(name):
         return run_scheme(particles, observations, name, model, config)[1].select(F.lit(name).alias("scheme"), "t", "mean", "ess")
