@@ -220,7 +220,7 @@ def run_filter(observations: DataFrame, model: str | BenchmarkModel = "benchmark
                 history.append(now.select("series_id", F.lit(t).alias("t"), "id", "parent", "w", "x"))
             state = cut(_going(state, ends, t))
         return out.rows().select(*COLUMNS)
-    advance = lambda rows: packed.advanced(rows, model, filter_, config, bool(store))
+    advance = lambda rows, keep=False: packed.advanced(rows, model, filter_, config, keep)
     return _fold(ends.select("*", *packed.nothing()), packed.Sets.names, advance, seen, last, config, out, history).select(*COLUMNS)
 
 
@@ -241,20 +241,29 @@ def _tasks(sets: DataFrame, last: int, config: FilterConfig) -> int:
     return int(max(spark.sparkContext.defaultParallelism, work >> 28))
 
 
+#: Steps of a job that keeps the sets of all its steps.
+KEPT_STEPS = 16
+
+
 def _fold(sets: DataFrame, names: tuple[str, ...], advance, seen: DataFrame, last: int, config: FilterConfig, out: Told, history: History | None = None) -> DataFrame:
-    """The summaries of all steps of ``sets(series_id, end, ...)``, a job for each ``config.steps_at_once`` of them."""
+    """The summaries of all steps of ``sets(series_id, end, ...)``, a job for each ``config.steps_at_once`` of them.
+
+    Where all sets are stored, the steps are run once more for that, a few at a
+    time: they go to the store as they are made and are held nowhere else.
+    """
     tasks = _tasks(sets, last, config)
-    for low in range(1, last + 1, config.steps_at_once):
-        high = low + config.steps_at_once - 1
+    span = min(config.steps_at_once, KEPT_STEPS) if history else config.steps_at_once
+    for low in range(1, last + 1, span):
+        high = low + span - 1
         these = packed.observed(seen.where(F.col("t").between(low, high))).select("series_id", "seen")
         joined = sets.join(these, "series_id", "left")
         # long and short series are dealt out by a hash of their own, whatever the shuffle's partitions are
         rows = joined.select("series_id", *names, F.lit(low).alias("low"), F.least(F.lit(high), "end").cast("int").alias("high"), F.coalesce("seen", F.array().cast("array<struct<t:int,y:double>>")).alias("seen")).repartition(tasks, "series_id")
         after = advance(rows)
-        if high < last or history:
+        if high < last:
             after = cut(after)
         if history:
-            each = _spread(after).select("series_id", "t", F.posexplode(F.arrays_zip(*names)).alias("id", "of"))
+            each = _spread(advance(rows, True)).select("series_id", "t", F.posexplode(F.arrays_zip(*names)).alias("id", "of"))
             history.append(each.select("series_id", "t", F.col("id").cast("long").alias("id"), "of.parent", "of.w", "of.x"))
         if high < last:
             sets = cut(after.select("series_id", *names).join(sets.select("series_id", "end").where(F.col("end") > high), "series_id"))

@@ -21,6 +21,8 @@ from .resample import ONE
 
 #: Particles of the series that are advanced together, which bounds a task's memory.
 CELLS = 1 << 18
+#: Particles of all steps together whose sets are kept at a time, some 24 MB.
+KEPT = 1 << 20
 SAID = "array<struct<t:int,mean:double,ess:double,q05:double,q95:double>>"
 
 
@@ -155,6 +157,12 @@ class Sets:
         return {"mean": mean(own["w"], own["x"]), "ess": size(own["w"]), "q05": low, "q95": high}
 
 
+def block_of(particles: int, steps: int, keep: bool) -> int:
+    """How many series are advanced together; fewer where the sets of all their steps are kept."""
+    most = CELLS // max(1, particles)
+    return max(1, min(most, KEPT // max(1, particles * steps)) if keep else most)
+
+
 def _matrix(column: pa.Array, kind) -> np.ndarray:
     """A list column whose lists are equally long."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
@@ -201,7 +209,8 @@ def advance_with(rows: DataFrame, make, names: tuple[str, ...], kinds: dict[str,
         said = said.removesuffix(">>") + "".join(f",{c}:array<{spark_names[kinds[c]]}>" for c in names) + ">>"
 
     def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        step = max(1, CELLS // max(1, particles))
+        first, last = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+        step = block_of(particles, int((last - first).max(initial=0)) + 1, keep)
         for i in range(0, batch.num_rows, step):
             part = batch.slice(i, step)
             column = {n: part.column(k) for k, n in enumerate(part.schema.names)}
