@@ -21,8 +21,8 @@ from .resample import ONE
 
 #: Particles of the series that are advanced together, which bounds a task's memory.
 CELLS = 1 << 18
-#: Particles of all steps together whose sets are kept at a time, some 24 MB.
-KEPT = 1 << 20
+#: Particles of all steps together whose sets are kept at a time, some 6 MB.
+KEPT = 1 << 18
 SAID = "array<struct<t:int,mean:double,ess:double,q05:double,q95:double>>"
 
 
