@@ -42,3 +42,10 @@ def test_runs_row_by_row_are_the_same(inputs, scheme):
     found = {r["t"]: r for r in run_schemes(*inputs, (scheme,), BenchmarkModel(), replace(SPARK_SIDE, packed_run=0)).collect()}
     assert found.keys() == wanted.keys()
     assert all(found[t][c] == pytest.approx(r[c], rel=1e-9) for t, r in wanted.items() for c in ("mean", "ess"))
+
+
+def test_tasks_follow_the_chunks(spark):
+    """A larger set takes more tasks, not more chunks a task."""
+    few = spark.sparkContext.defaultParallelism
+    assert chunked_schemes._tasks(spark, 1) == few
+    assert chunked_schemes._tasks(spark, 10_000) == 10_000 // chunked_schemes.TASK
